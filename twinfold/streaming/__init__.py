@@ -1,0 +1 @@
+"""Left empty on purpose: the modelled jobs are batch jobs and define no streaming operator."""
