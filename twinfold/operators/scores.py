@@ -93,7 +93,8 @@ def second_stage_features(
     score_col: str = SCORE_COL,
     features_col: str = "features",
     log_col: str = "logprob_1",
+    keep: Sequence[str] = (MATCH_COL, ID_COL, LABEL_COL),
 ) -> DataFrame:
     """Second-stage table: the score's logarithm becomes the last feature."""
     rows = second_stage_rows(scored, cut, score_col, log_col).withColumnRenamed(features_col, "features1")
-    return assemble(rows, ["features1", log_col], features_col, keep=(MATCH_COL, ID_COL, LABEL_COL))
+    return assemble(rows, ["features1", log_col], features_col, keep=keep)

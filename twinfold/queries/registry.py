@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,9 +13,11 @@ from pyspark.sql import types as T
 from twinfold.functions import columns as fx
 from twinfold.operators import cohort as co
 from twinfold.operators import crossval, curve, distance, folds, ranking, scores
-from twinfold.operators.clustering import assemble, similar_controls, split_test_rows, with_discarded
+from twinfold.operators.clustering import assemble, cluster_rows, similar_controls, split_test_rows, with_discarded
 from twinfold.operators.evaluator import PrecisionRecallEvaluator
 from twinfold.plans.cleaning import clean_cohort
+from twinfold.plans.cluster_flow import ClusterFlowConfig, cluster_then_classify
+from twinfold.plans.two_stage import TwoStageConfig, two_stage
 from twinfold.queries import sql
 from twinfold.session import scratch_path
 from twinfold.sources import orders_cohort as oc
@@ -772,3 +776,50 @@ def cv_metrics_avg(spark, folder):
 def best_params(spark, folder):
     table = cv_table(spark, folder)
     return crossval.mark_best(table, "metric").withColumn("metric", F.round("metric", 9))
+
+
+# --- fitted models: no SQL can repeat an iterative fit ------------------------------------------
+
+
+@register("kmeans_assign")
+def kmeans_assign(spark, folder):
+    """Cases by K-means cluster over the flag columns, with the distance to their centre."""
+    cases = study(oc.flag_rows(spark, folder)).filter(F.col("label") == 1).drop("population")
+    _, clustered = cluster_rows(cases, oc.FLAGS, k=3, seed=SEED)
+    return clustered.select("patid", "cluster_id", "dist")
+
+
+@register("stratified_cv")
+def stratified_cv(spark, folder):
+    """Metrics of an elastic-net grid over five match-group folds."""
+    rows = assemble(study(oc.cohort(spark, folder)), ALL_FEATURES)
+    tagged = folds.assign_folds(rows, 5, seed=SEED)
+    lr = LogisticRegression(maxIter=100_000, standardization=True)
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).addGrid(lr.elasticNetParam, [0.0, 0.5]).build()
+    validator = crossval.FoldCrossValidator(
+        estimator=lr,
+        estimatorParamMaps=grid,
+        evaluator=PrecisionRecallEvaluator(rawPredictionCol="probability"),
+        stratifyCol="foldID",
+        evaluateOtherMetrics=True,
+        otherMetrics=[
+            {"metricName": "precisionAtGivenRecall", "metricParams": {"recallValue": 0.05}},
+            {"metricName": "precisionAtGivenRecall", "metricParams": {"recallValue": 0.1}},
+        ],
+        parallelism=4,
+    )
+    return validator.fit(tagged).avgMetrics
+
+
+@register("cluster_classify")
+def cluster_classify(spark, folder):
+    """Predictions of the cluster-then-classify flow on a small parameter grid."""
+    config = ClusterFlowConfig(n_clusters=2, n_eval_folds=2, n_cv_folds=2, lambdas=(0.01, 0.1), alphas=(0.5,))
+    return cluster_then_classify(*oc.split(oc.cohort(spark, folder)), config).predictions
+
+
+@register("two_stage_scores")
+def two_stage_scores(spark, folder):
+    """Second-stage scores of the two-stage model."""
+    config = TwoStageConfig(n_outer=2, n_inner=3)
+    return two_stage(*oc.split(oc.cohort(spark, folder)), config).second_stage
