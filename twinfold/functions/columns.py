@@ -69,7 +69,11 @@ def label_as_double(df: DataFrame, label_col: str = LABEL_COL) -> DataFrame:
 
 def positive_score(df: DataFrame, column: str) -> Column:
     """Score of the positive class: element 1 of a probability vector or array, or a plain number."""
-    kind = df.schema[column].dataType
+    return positive_score_of(column, df.schema[column].dataType)
+
+
+def positive_score_of(column: str, kind: T.DataType) -> Column:
+    """Score of the positive class in a column of a known type."""
     if isinstance(kind, VectorUDT):
         return vector_to_array(F.col(column)).getItem(1)
     if isinstance(kind, T.ArrayType):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
-from functools import partial
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinfold.functions.columns import positive_score
+from twinfold.functions.columns import positive_score_of
+from twinfold.operators.cohort import union_all
 from twinfold.operators.evaluator import DEFAULT_METRICS, PrecisionRecallEvaluator, metric_key
 from twinfold.operators.folds import validate_folds
 
@@ -56,6 +57,21 @@ def param_table(spark, param_maps: Sequence[Mapping[Param, Any]]) -> DataFrame:
     return spark.createDataFrame(rows, T.StructType(fields))
 
 
+def _stack_scores(rows: DataFrame, models: Mapping[int, Model], label: str, prediction: str) -> DataFrame:
+    """Every row once per model with that model's positive score, in one pass over the rows."""
+    scored, names, kind = rows, rows.columns, None
+    for index, model in models.items():
+        transformed = model.transform(scored)
+        kind = kind or transformed.schema[prediction].dataType
+        name = f"_score_{index}"
+        scored = transformed.select(*names, positive_score_of(prediction, kind).alias(name))
+        names = [*names, name]
+    scores = [F.struct(F.lit(i).alias("paramSetID"), F.col(f"_score_{i}").alias("score")) for i in models]
+    return scored.select(label, F.explode(F.array(*scores)).alias("_s")).select(
+        label, "_s.paramSetID", F.col("_s.score").alias(prediction)
+    )
+
+
 class FoldCrossValidatorModel(CrossValidatorModel):
     """Best model, with ``avgMetrics`` as a DataFrame."""
 
@@ -148,21 +164,23 @@ class FoldCrossValidator(CrossValidator):
         cached = not dataset.is_cached
         if cached:
             data = data.persist(StorageLevel.MEMORY_AND_DISK)
-        pool = ThreadPool(min(self.getParallelism(), len(param_maps)))
-        rows: list[tuple[int, int, str, float]] = []
+        spark = dataset.sparkSession
+        train = [data.filter(F.col(fold_col) != i).drop(fold_col) for i in range(n_folds)]
+        validation = [data.filter(F.col(fold_col) == i).drop(fold_col) for i in range(n_folds)]
+        fitted = [estimator.fitMultiple(part, param_maps) for part in train]
+        fit_next = inheritable_thread_target(spark)(lambda fold: (fold, *next(fitted[fold])))
         try:
-            for fold in range(n_folds):
-                train = data.filter(F.col(fold_col) != fold).drop(fold_col)
-                validation = data.filter(F.col(fold_col) == fold).drop(fold_col)
-                fitted = estimator.fitMultiple(train, param_maps)
-                task = inheritable_thread_target(partial(next, fitted))
-                models = dict(pool.map(lambda _: task(), range(len(param_maps))))
-                rows += [(fold, *row) for row in self._fold_metrics(models, validation, pool)]
+            # all folds and parameter sets wait in one queue, so a small grid keeps every thread busy too
+            with ThreadPool(min(self.getParallelism(), n_folds * len(param_maps))) as pool:
+                queue = sorted([*range(n_folds)] * len(param_maps))
+                models = {(fold, i): m for fold, i, m in pool.map(fit_next, queue, chunksize=1)}
+                if isinstance(evaluator, PrecisionRecallEvaluator):
+                    rows = self._grouped_metrics(models, validation)
+                else:
+                    rows = self._single_metrics(models, validation, pool)
         finally:
-            pool.close()
             if cached:
                 data.unpersist()
-        spark = dataset.sparkSession
         fold_metrics = spark.createDataFrame(rows, "fold int, paramSetID int, metric string, value double")
         main = CV_METRIC + evaluator.getMetricName()
         names = [main, *[metric_key(s) for s in self._metric_specs()]]
@@ -174,52 +192,54 @@ class FoldCrossValidator(CrossValidator):
         model = FoldCrossValidatorModel(best_model, table.orderBy("paramSetID"), fold_metrics, self.bestIndex)
         return self._copyValues(model)
 
-    def _fold_metrics(
-        self, models: Mapping[int, Model], validation: DataFrame, pool: ThreadPool
-    ) -> list[tuple[int, str, float]]:
-        """``(paramSetID, metric, value)`` of all models on one validation fold."""
-        evaluator = self.getEvaluator()
+    def _single_metrics(
+        self, models: Mapping[tuple[int, int], Model], validation: Sequence[DataFrame], pool: ThreadPool
+    ) -> list[tuple[int, int, str, float]]:
+        """``(fold, paramSetID, metric, value)`` by one evaluator call per model."""
+        evaluator, param_maps = self.getEvaluator(), self.getEstimatorParamMaps()
         main = CV_METRIC + evaluator.getMetricName()
-        if isinstance(evaluator, PrecisionRecallEvaluator):
-            return self._grouped_metrics(models, validation, main)
-        param_maps = self.getEstimatorParamMaps()
 
-        @inheritable_thread_target
-        def one(index: int) -> tuple[int, str, float]:
-            scored = models[index].transform(validation, param_maps[index])
-            return index, main, float(evaluator.evaluate(scored))
+        def one(key: tuple[int, int]) -> tuple[int, int, str, float]:
+            fold, index = key
+            scored = models[key].transform(validation[fold], param_maps[index])
+            return fold, index, main, float(evaluator.evaluate(scored))
 
-        return pool.map(one, range(len(models)))
+        return pool.map(inheritable_thread_target(validation[0].sparkSession)(one), list(models))
 
     def _grouped_metrics(
-        self, models: Mapping[int, Model], validation: DataFrame, main: str
-    ) -> list[tuple[int, str, float]]:
-        """Score the validation rows with all models in one pass and evaluate per parameter set."""
+        self, models: Mapping[tuple[int, int], Model], validation: Sequence[DataFrame]
+    ) -> list[tuple[int, int, str, float]]:
+        """The same rows from one table of all validation scores, evaluated per fold and parameter set."""
         evaluator = self.getEvaluator()
         label, prediction = evaluator.getLabelCol(), evaluator.getRawPredictionCol()
-        scored, scores = validation, []
-        for index, model in models.items():
-            name = f"_score_{index}"
-            transformed = model.transform(scored)
-            scored = transformed.select(*scored.columns, positive_score(transformed, prediction).alias(name))
-            scores.append(F.struct(F.lit(index).alias("paramSetID"), F.col(name).alias("score")))
-        stacked = scored.select(label, F.explode(F.array(*scores)).alias("_s")).select(
-            label, "_s.paramSetID", F.col("_s.score").alias(prediction)
+        stacked = union_all(
+            [
+                _stack_scores(rows, {i: m for (f, i), m in models.items() if f == fold}, label, prediction)
+                .withColumn("fold", F.lit(fold))
+                for fold, rows in enumerate(validation)
+            ]
         )
-        spec: dict[str, Any] = {"metricName": evaluator.getMetricName()}
-        if not spec["metricName"].startswith("area"):
+        main = evaluator.getMetricName()
+        spec: dict[str, Any] = {"metricName": main}
+        if not main.startswith("area"):
             spec["metricParams"] = evaluator.getMetricValue()
-        others = self._metric_specs()
-        unique = list({metric_key(s): s for s in [spec, *others]}.values())
-        found = evaluator.evaluate_groups(stacked, ["paramSetID"], unique).collect()
-        values = {(r.paramSetID, r.metric): r.value for r in found}
-        missing = float("nan")
-        rows = []
-        for index in models:
-            for name, one in [(main, spec), *[(metric_key(s), s) for s in others]]:
-                value = values.get((index, metric_key(one)))
-                rows.append((index, name, missing if value is None else float(value)))
-        return rows
+        wanted = [(CV_METRIC + main, spec), *[(metric_key(s), s) for s in self._metric_specs()]]
+        unique = {metric_key(s): s for _, s in wanted}
+        # areas read the scores a second time: keep them rather than score again
+        keep = any(name.startswith("area") for name in unique)
+        if keep:
+            stacked.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            found = evaluator.evaluate_groups(stacked, ["fold", "paramSetID"], list(unique.values())).collect()
+        finally:
+            if keep:
+                stacked.unpersist()
+        values = {(r.fold, r.paramSetID, r.metric): r.value for r in found}
+        return [
+            (fold, index, name, math.nan if (v := values.get((fold, index, metric_key(s)))) is None else float(v))
+            for fold, index in models
+            for name, s in wanted
+        ]
 
     def getBestModelParams(self) -> dict[str, Any] | str:
         """Parameters chosen by the last ``fit``."""

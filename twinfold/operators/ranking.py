@@ -101,7 +101,14 @@ def _at_most(keys: Sequence[str], bound: Sequence) -> Column:
     return result
 
 
-def kth_key(df: DataFrame, keys: Sequence[str], k: int, one_task_rows: int = ONE_TASK_ROWS, seed: int = 1) -> tuple:
+def kth_key(
+    df: DataFrame,
+    keys: Sequence[str],
+    k: int,
+    n_rows: int | None = None,
+    one_task_rows: int = ONE_TASK_ROWS,
+    seed: int = 1,
+) -> tuple:
     """Exact ``k``-th smallest (1-based) key tuple. Keys must be unique and not NULL.
 
     The range that holds the answer is narrowed with sampled bounds and exact counts until it is
@@ -110,7 +117,7 @@ def kth_key(df: DataFrame, keys: Sequence[str], k: int, one_task_rows: int = ONE
     """
     keys = list(keys)
     rows = df.select(*keys)
-    n, below, inside = rows.count(), 0, F.lit(True)
+    n, below, inside = rows.count() if n_rows is None else n_rows, 0, F.lit(True)
     if not 1 <= k <= n:
         raise ValueError(f"k must be between 1 and the {n} rows, not {k}")
     sample_size, halve = 4000, False
@@ -151,7 +158,7 @@ def smallest_fraction(df: DataFrame, keys: Sequence[str], fraction: float, n_row
         return F.lit(False)
     if k >= n:
         return F.lit(True)
-    return _at_most(list(keys), kth_key(df, keys, k))
+    return _at_most(list(keys), kth_key(df, keys, k, n))
 
 
 def quantile_bounds(df: DataFrame, column: str, buckets: int = 512) -> list[float]:

@@ -29,8 +29,10 @@ def score_with(df: DataFrame, model: Model, score_col: str = SCORE_COL) -> DataF
 def score_with_all(df: DataFrame, models: Sequence[Model], prefix: str = "_score_") -> tuple[DataFrame, list[str]]:
     """Append one score column per model in a single pass over the rows."""
     names = [f"{prefix}{i}" for i in range(len(models))]
-    for name, model in zip(names, models):
-        df = score_with(df, model, name)
+    columns = df.columns
+    for i, model in enumerate(models):
+        score = vector_to_array(F.col(model.getProbabilityCol()))[1].alias(names[i])
+        df = model.transform(df).select(*columns, *names[:i], score)
     return df, names
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -20,8 +21,8 @@ from twinfold.operators.distance import DIST_COL, cluster_shares, nearest_overal
 from twinfold.operators.evaluator import AT_RECALL, PrecisionRecallEvaluator
 from twinfold.operators.folds import assign_folds, attach_folds, fold_table
 from twinfold.operators.scores import SCORE_COL, score_with
-from twinfold.session import scratch_path
-from twinfold.sources.sinks import run_manifest, write_metrics, write_results
+from twinfold.session import materialise, scratch_path
+from twinfold.sources.sinks import run_manifest, run_path, write_results
 from twinfold.sources.tables import align_columns
 
 EVAL_FOLD = "eval_fold"
@@ -42,7 +43,9 @@ class ClusterFlowConfig:
     cv_recall: float = 0.05
     max_iter: int = 100_000
     seed: int = 42
+    # classifier fits at a time within a cluster, and clusters at a time within a fold
     parallelism: int = 4
+    cluster_threads: int = 3
     # "union" keeps a test row once per cluster in the fold and overall metrics, "max" its best score
     combine: str = "union"
 
@@ -104,9 +107,9 @@ def cluster_then_classify(
     manifest = run_manifest({"n_rows_pos": pos, "n_rows_neg": neg, "n_rows_ss": ss}, asdict(config))
     write_results(manifest, f"{out}/manifest", fmt="json")
 
-    work = scratch_path(spark, "eval-folds")
-    write_results(tag_eval_folds(pos, neg, ss, config.n_eval_folds, config.seed), work, [EVAL_FOLD])
-    tagged = spark.read.parquet(work)
+    tagged = materialise(
+        tag_eval_folds(pos, neg, ss, config.n_eval_folds, config.seed), "eval-folds", (EVAL_FOLD,)
+    )
     test_sizes = {r[EVAL_FOLD]: r["count"] for r in tagged.groupBy(EVAL_FOLD).count().collect()}
 
     for fold in range(config.n_eval_folds):
@@ -116,13 +119,16 @@ def cluster_then_classify(
         cases = train.filter((F.col(LABEL_COL) == 1) & (F.col(PART) == "pos")).drop(PART)
         controls = train.filter(F.col(PART) == "neg").drop(PART)
         model, clustered = cluster_rows(cases, flags, config.n_clusters, config.seed)
-        centres = centres_of(model)
+        clustered, centres = materialise(clustered, "clustered-cases"), centres_of(model)
         shares = {r[CLUSTER_COL]: r for r in cluster_shares(clustered).collect()}
-        for cluster, row in sorted(shares.items()):
+
+        def step(cluster: int) -> None:
             own = clustered.filter(F.col(CLUSTER_COL) == cluster).drop(CLUSTER_COL, DIST_COL)
-            _one_cluster(
-                own, controls, test, test_sizes.get(fold, 0), centres[cluster], row, fold, predictors, flags, config, out
-            )
+            n_test, row = test_sizes.get(fold, 0), shares[cluster]
+            _one_cluster(own, controls, test, n_test, centres[cluster], row, fold, predictors, flags, config, out)
+
+        with ThreadPool(config.cluster_threads) as pool:
+            pool.map(inheritable_thread_target(spark)(step), sorted(shares), chunksize=1)
 
     predictions = spark.read.parquet(f"{out}/predictions")
     metrics = flow_metrics(predictions, config)
@@ -155,30 +161,25 @@ def _one_cluster(
     key = {"fold": fold, "cluster": cluster}
     chosen = similar_controls(controls, own, flags, centre, share)
     train = assemble(union_all([own, align_columns(chosen, own)]), predictors)
-    train = assign_folds(train, config.n_cv_folds, fold_col=CV_FOLD, seed=config.seed)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n_train = train.count()
-        classifier = LogisticRegression(
-            maxIter=config.max_iter, featuresCol="features", labelCol=LABEL_COL, standardization=True
-        )
-        validator = FoldCrossValidator(
-            estimator=classifier,
-            estimatorParamMaps=parameter_grid(classifier, config),
-            evaluator=PrecisionRecallEvaluator(
-                rawPredictionCol="probability",
-                labelCol=LABEL_COL,
-                metricName=AT_RECALL,
-                metricParams={"recallValue": config.cv_recall},
-            ),
-            stratifyCol=CV_FOLD,
-            parallelism=config.parallelism,
-        )
-        fitted = validator.fit(train)
-        grid_table = mark_best(fitted.avgMetrics, CV_METRIC + AT_RECALL)
-        write_metrics(grid_table, f"{out}/cv_metrics", key)
-    finally:
-        train.unpersist()
+    train = materialise(assign_folds(train, config.n_cv_folds, fold_col=CV_FOLD, seed=config.seed), "train")
+    n_train = train.count()
+    classifier = LogisticRegression(
+        maxIter=config.max_iter, featuresCol="features", labelCol=LABEL_COL, standardization=True
+    )
+    validator = FoldCrossValidator(
+        estimator=classifier,
+        estimatorParamMaps=parameter_grid(classifier, config),
+        evaluator=PrecisionRecallEvaluator(
+            rawPredictionCol="probability",
+            labelCol=LABEL_COL,
+            metricName=AT_RECALL,
+            metricParams={"recallValue": config.cv_recall},
+        ),
+        stratifyCol=CV_FOLD,
+        parallelism=config.parallelism,
+    )
+    fitted = validator.fit(train)
+    write_results(mark_best(fitted.avgMetrics, CV_METRIC + AT_RECALL), run_path(f"{out}/cv_metrics", key))
 
     # rows far from the centre count as negative: score 0
     near = nearest_overall_condition(test, flags, centre, share, ID_COL, "_near_dist", n_test)
@@ -186,20 +187,18 @@ def _one_cluster(
     vectors = assemble(rows, predictors, keep=(MATCH_COL, LABEL_COL, ID_COL, "_near"))
     scored = score_with(vectors, fitted.bestModel)
     predictions = scored.select(
-        F.lit(fold).alias("fold"),
-        F.lit(cluster).alias("cluster"),
         ID_COL,
         MATCH_COL,
         LABEL_COL,
-        "_near",
+        F.col("_near").alias("near"),
         F.when(F.col("_near"), F.col(SCORE_COL)).otherwise(0.0).alias(SCORE_COL),
-    ).withColumnRenamed("_near", "near")
-    write_results(predictions, f"{out}/predictions", ["fold", "cluster"], mode="append")
+    )
+    write_results(predictions, run_path(f"{out}/predictions", key))
 
     counts = own.sparkSession.createDataFrame(
         [(share_row["n_rows"], share, n_train, n_test)], "n_cases bigint, share double, n_train bigint, n_test bigint"
     )
-    write_metrics(counts, f"{out}/loops", key)
+    write_results(counts, run_path(f"{out}/loops", key))
 
 
 def flow_metrics(predictions: DataFrame, config: ClusterFlowConfig) -> DataFrame:

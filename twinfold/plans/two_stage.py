@@ -24,7 +24,7 @@ from twinfold.operators.scores import (
     score_with_all,
     second_stage_features,
 )
-from twinfold.session import scratch_path
+from twinfold.session import materialise, scratch_path
 from twinfold.sources.sinks import write_metrics, write_results
 from twinfold.sources.tables import align_columns
 
@@ -84,15 +84,11 @@ def two_stage(
         assemble(label_as_double(align_columns(df, pos)), names).withColumn(PART, F.lit(REP if p == REP else STUDY))
         for p, df in tables.items()
     ]
-    work = scratch_path(spark, "two-stage-rows")
-    outer = fold_table(pos, config.n_outer, MATCH_COL, OUTER, config.seed)
-    write_results(outer, f"{work}/folds")
-    outer = spark.read.parquet(f"{work}/folds")
+    outer = materialise(fold_table(pos, config.n_outer, MATCH_COL, OUTER, config.seed), "outer-folds")
     tagged = union_all(vectors).join(outer, MATCH_COL, "left").fillna(-1, [OUTER])
-    write_results(tagged, f"{work}/rows", [OUTER])
-    tagged = spark.read.parquet(f"{work}/rows")
+    tagged = materialise(tagged, "two-stage-rows", (OUTER,))
     for sim in range(config.n_outer):
-        _outer_fold(tagged, outer, sim, config, f"{work}/sim-{sim}", out)
+        _outer_fold(tagged, outer, sim, config, out)
 
     second = spark.read.parquet(f"{out}/second_stage")
     evaluated = second.filter(F.col("set") != "train")
@@ -107,30 +103,27 @@ def two_stage(
     )
 
 
-def _outer_fold(
-    tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageConfig, work: str, out: str
-) -> None:
+def _outer_fold(tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageConfig, out: str) -> None:
     """One outer fold: nested first stage, cut, second stage."""
     spark = tagged.sparkSession
     inner = fold_table(outer.filter(F.col(OUTER) != sim), config.n_inner, MATCH_COL, INNER, config.seed + 1 + sim)
     train = tagged.filter((F.col(OUTER) != sim) & (F.col(PART) == STUDY)).drop(OUTER, PART)
-    train = train.join(inner, MATCH_COL, "left").fillna(-1, [INNER]).persist()
+    train = materialise(train.join(inner, MATCH_COL, "left").fillna(-1, [INNER]), "inner-folds").persist()
     try:
-        fit = inheritable_thread_target(lambda j: _fit(train.filter(F.col(INNER) != j), config))
+        fit = inheritable_thread_target(spark)(lambda j: _fit(train.filter(F.col(INNER) != j), config))
         with ThreadPool(min(config.parallelism, config.n_inner)) as pool:
             models = pool.map(fit, range(config.n_inner))
         # one pass: every training row with the score of every inner model
         scored, names = score_with_all(train, models)
         all_scores = F.array(*[F.col(n) for n in names])
-        write_results(scored.withColumn("_scores", all_scores).drop(*names), f"{work}/train")
+        scored = materialise(scored.withColumn("_scores", all_scores).drop(*names), "first-stage")
     finally:
         train.unpersist()
-    scored = spark.read.parquet(f"{work}/train")
     held_out = scored.filter(F.col(INNER) >= 0).withColumn(SCORE_COL, F.element_at("_scores", F.col(INNER) + 1))
 
-    tested = mean_score(tagged.filter(F.col(OUTER) == sim).drop(OUTER), models, SCORE_COL)
-    write_results(tested, f"{work}/test")
-    tested = spark.read.parquet(f"{work}/test")
+    tested = materialise(
+        mean_score(tagged.filter(F.col(OUTER) == sim).drop(OUTER), models, SCORE_COL), "first-stage-test"
+    )
 
     columns = [F.lit(sim).alias(OUTER), F.col("set"), ID_COL, MATCH_COL, LABEL_COL, SCORE_COL]
     first = union_all(

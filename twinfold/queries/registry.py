@@ -19,7 +19,7 @@ from twinfold.plans.cleaning import clean_cohort
 from twinfold.plans.cluster_flow import ClusterFlowConfig, cluster_then_classify
 from twinfold.plans.two_stage import TwoStageConfig, two_stage
 from twinfold.queries import sql
-from twinfold.session import scratch_path
+from twinfold.session import materialise, scratch_path
 from twinfold.sources import orders_cohort as oc
 from twinfold.sources.sinks import run_manifest, stage_counts, write_results
 from twinfold.sources.tables import (
@@ -793,7 +793,7 @@ def kmeans_assign(spark, folder):
 def stratified_cv(spark, folder):
     """Metrics of an elastic-net grid over five match-group folds."""
     rows = assemble(study(oc.cohort(spark, folder)), ALL_FEATURES)
-    tagged = folds.assign_folds(rows, 5, seed=SEED)
+    tagged = materialise(folds.assign_folds(rows, 5, seed=SEED), "cv-rows")
     lr = LogisticRegression(maxIter=100_000, standardization=True)
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).addGrid(lr.elasticNetParam, [0.0, 0.5]).build()
     validator = crossval.FoldCrossValidator(

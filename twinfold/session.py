@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for matched cohorts: match groups can be very uneven, so the skew-join
 # re-plan must be on, and AQE (not a fixed number) decides the final partition counts.
@@ -45,3 +45,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh path below the shared folder for one intermediate table."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/twinfold/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Cuts the lineage: later steps plan from a plain scan, and a lost executor re-reads the files.
+    """
+    path = scratch_path(df.sparkSession, name)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -21,6 +21,15 @@ def write_results(
     writer.save(path)
 
 
+def run_path(path: str, run: Mapping[str, object]) -> str:
+    """Folder of one loop step below a table's folder, such as ``predictions/fold=0/cluster=1``.
+
+    Each step writes its own folder, so steps may run at the same time; reading ``path`` gives the
+    run keys back as columns.
+    """
+    return "/".join([path.rstrip("/"), *(f"{k}={v}" for k, v in run.items())])
+
+
 def write_metrics(metrics: DataFrame, path: str, run: Mapping[str, object] | None = None, fmt: str = "parquet") -> None:
     """Append a metrics table, with the keys of the run (such as fold or cluster) as columns."""
     keyed = metrics.select(*[F.lit(v).alias(k) for k, v in (run or {}).items()], "*")
