@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import ID_COL, LABEL_COL, MATCH_COL, require_new_column
-from twinfold.operators.cohort import complement_rows, rows_of_cases, union_all
+from twinfold.operators.cohort import complement_rows, union_all
 from twinfold.operators.distance import (
     DIST_COL,
     nearest_overall_condition,
@@ -74,8 +74,9 @@ def similar_controls(
     id_col: str = ID_COL,
 ) -> DataFrame:
     """Controls of the given cases that are nearest to the centre of the cases' cluster."""
-    matched = rows_of_cases(controls, cases, match_col)
-    chosen = nearest_per_group(matched, columns, centre, share, match_col, id_col, dist_col="_similar_dist")
+    chosen = nearest_per_group(
+        controls, columns, centre, share, match_col, id_col, dist_col="_similar_dist", cases=cases
+    )
     return chosen.select(controls.columns)
 
 

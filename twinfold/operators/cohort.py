@@ -12,6 +12,9 @@ from twinfold.functions.columns import ID_COL, LABEL_COL, MATCH_COL, hash_fracti
 from twinfold.operators.ranking import top_n_per_group
 from twinfold.sources.tables import align_columns
 
+# Match ids up to this number are broadcast.
+BROADCAST_IDS = 500_000
+
 
 def require_unique(df: DataFrame, key: str = MATCH_COL) -> None:
     """Raise ``ValueError`` when a key occurs twice."""
@@ -24,6 +27,31 @@ def rows_of_cases(rows: DataFrame, cases: DataFrame, match_col: str = MATCH_COL)
     return rows.join(cases.select(match_col), match_col, "left_semi")
 
 
+def broadcast_ids(cases: DataFrame, match_col: str = MATCH_COL, most: int = BROADCAST_IDS) -> DataFrame | None:
+    """Distinct match ids marked for broadcasting, or None when there are more than ``most``."""
+    ids = cases.select(match_col).distinct()
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else None
+
+
+def top_rows_of_cases(
+    rows: DataFrame,
+    cases: DataFrame,
+    n: int,
+    match_col: str = MATCH_COL,
+    order_by: Sequence[str] = (ID_COL,),
+) -> DataFrame:
+    """First ``n`` rows of each of the given cases' match groups.
+
+    The rows of a group never meet in one task: few cases are broadcast, and with many the groups
+    are cut to ``n`` rows before the join. Both give the same rows, as a case keeps or drops whole
+    groups.
+    """
+    ids = broadcast_ids(cases, match_col)
+    if ids is not None:
+        return top_n_per_group(rows.join(ids, match_col, "left_semi"), n, match_col, order_by)
+    return rows_of_cases(top_n_per_group(rows, n, match_col, order_by), cases, match_col)
+
+
 def rows_per_case(rows: DataFrame, cases: DataFrame, match_col: str = MATCH_COL) -> DataFrame:
     """Plain inner join on the match id: a row comes out once per matching case row."""
     return rows.join(cases.select(match_col), match_col)
@@ -88,8 +116,8 @@ def undersample_cohort(
     cases = sample_rows(pos, ratio, id_col, seed, method)
     require_unique(cases, match_col)
     order = [label_col, id_col]
-    controls = top_n_per_group(rows_of_cases(neg, cases, match_col), neg_ratio, match_col, order)
-    scoring = top_n_per_group(rows_of_cases(ss, cases, match_col), ss_ratio, match_col, order)
+    controls = top_rows_of_cases(neg, cases, neg_ratio, match_col, order)
+    scoring = top_rows_of_cases(ss, cases, ss_ratio, match_col, order)
     return cases, align_columns(controls, neg), align_columns(scoring, ss)
 
 

@@ -15,6 +15,7 @@ from twinfold.functions.columns import (
     require_new_column,
     round_half_up,
 )
+from twinfold.operators.cohort import rows_of_cases, top_rows_of_cases
 from twinfold.operators.ranking import smallest_fraction, top_n_per_group
 
 DIST_COL = "dist"
@@ -85,14 +86,14 @@ def cluster_shares(clustered: DataFrame, cluster_col: str = "cluster_id") -> Dat
     return counts.withColumn("share", F.col("n_rows") / total)
 
 
-def rows_per_group(df: DataFrame, share: float, match_col: str = MATCH_COL) -> int:
-    """``round(rows / match groups * share)``, halves away from zero."""
-    counts = (
-        df.groupBy(match_col)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows"))
-        .first()
-    )
+def rows_per_group(
+    df: DataFrame, share: float, match_col: str = MATCH_COL, cases: DataFrame | None = None
+) -> int:
+    """``round(rows / match groups * share)``, halves away from zero; only over the cases' groups when given."""
+    groups = df.groupBy(match_col).agg(F.count(F.lit(1)).alias("n"))
+    if cases is not None:
+        groups = rows_of_cases(groups, cases, match_col)
+    counts = groups.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows")).first()
     return round_half_up(counts.rows / counts.groups * share) if counts.groups else 0
 
 
@@ -104,13 +105,19 @@ def nearest_per_group(
     match_col: str = MATCH_COL,
     id_col: str = ID_COL,
     dist_col: str = DIST_COL,
+    cases: DataFrame | None = None,
 ) -> DataFrame:
     """Rows nearest to ``centre`` in each match group, with their distance.
 
-    Every group keeps the same number: a ``share`` of the average group size.
+    Every group keeps the same number: a ``share`` of the average group size. With ``cases`` only
+    their match groups take part.
     """
-    n = rows_per_group(df, share, match_col)
-    return top_n_per_group(with_distance(df, columns, centre, dist_col), n, match_col, [dist_col, id_col])
+    n = rows_per_group(df, share, match_col, cases)
+    keyed = with_distance(df, columns, centre, dist_col)
+    order = [dist_col, id_col]
+    if cases is None:
+        return top_n_per_group(keyed, n, match_col, order)
+    return top_rows_of_cases(keyed, cases, n, match_col, order)
 
 
 def nearest_overall_condition(

@@ -60,7 +60,8 @@ def hash_rank(ids: DataFrame, id_col: str, seed: int, rank_col: str = "rank", pr
     inside = Window.partitionBy("_bucket").orderBy("_key", id_col)
     return (
         keyed.withColumn("_pos", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), "_bucket")  # at most 16**prefix rows
+        # at most 16**prefix rows; a left join adds no NULL filter, so both branches share one shuffle
+        .join(F.broadcast(offsets), "_bucket", "left")
         .withColumn(rank_col, F.col("_offset") + F.col("_pos"))
         .drop("_key", "_bucket", "_offset", "_pos")
     )
@@ -201,7 +202,7 @@ def running_totals(
     inside = Window.partitionBy(*by, "_bucket").orderBy(direction(order_col)).rowsBetween(*upto)
     return (
         bucketed.select("*", *[F.sum(c).over(inside).alias(f"_i_{c}") for c in sums])
-        .join(offsets, [*by, "_bucket"])
+        .join(offsets, [*by, "_bucket"], "left")  # left: both branches share one shuffle
         .withColumns({name: F.col(f"_i_{c}") + F.col(f"_o_{c}") for c, name in sums.items()})
         .drop("_bucket", *[f"_i_{c}" for c in sums], *[f"_o_{c}" for c in sums])
     )

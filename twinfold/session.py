@@ -7,12 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings that matter for matched cohorts: match groups can be very uneven, so the skew-join
-# re-plan must be on, and AQE (not a fixed number) decides the final partition counts.
+# Settings that matter for matched cohorts: match groups can be very uneven, so a join on the match
+# id must be split at run time even when a grouping on the same id follows it, and AQE (not a fixed
+# number) decides the final partition counts.
 SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -28,6 +30,13 @@ def build_session(app_name: str = "twinfold", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply :data:`SESSION_CONF` to a session that was built elsewhere."""
+    for key, value in SESSION_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder of the session for ``checkpoint()`` and written intermediate tables.
 
