@@ -26,6 +26,7 @@ from twinfold.sources.tables import (
     exclusion_names,
     normalise_ids,
     read_part_files,
+    rename_columns,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +55,16 @@ def study(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("population") == "pn")
 
 
+def cohort_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Case, control and scoring tables. Stored first: the order lines are aggregated once, not per table."""
+    return oc.split(materialise(oc.cohort(spark, folder), "cohort"))
+
+
+def stored_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Flag rows for operators that pass over their input several times."""
+    return materialise(oc.flag_rows(spark, folder), "flags")
+
+
 # --- sources, cleaning, projections -------------------------------------------------------------
 
 TOPCODED = (
@@ -134,11 +145,10 @@ def exclusion_name_pairs(spark, folder):
     ),
 )
 def cleaned(spark, folder):
-    raw = oc.cohort(spark, folder).withColumnsRenamed(
-        {"matched_positive_id": "matched_patient_id", "patid": "patient_id"}
-    )
+    names = {"matched_positive_id": "matched_patient_id", "patid": "patient_id"}
+    raw = [rename_columns(df, names) for df in cohort_tables(spark, folder)]
     excluded = ["URGENT_FLAG", "URGENT_AVG_RXDX", "DISC_FLAG", "DISC_AVG_RXDX"]
-    parts = clean_cohort(*oc.split(raw), excluded=excluded)
+    parts = clean_cohort(*raw, excluded=excluded)
     return co.union_all([df.withColumn("part", F.lit(p)) for p, df in zip(("pos", "neg", "ss"), parts)])
 
 
@@ -509,7 +519,7 @@ def cluster_share(spark, folder):
     ),
 )
 def nearest_per_group(spark, folder):
-    controls = study(oc.flag_rows(spark, folder)).filter(F.col("label") == 0)
+    controls = study(stored_flags(spark, folder)).filter(F.col("label") == 0)
     out = distance.nearest_per_group(controls, oc.FLAGS, oc.CENTRES[1], 0.4)
     return out.select("matched_positive_id", "patid", "dist")
 
@@ -524,7 +534,7 @@ def nearest_per_group(spark, folder):
     ),
 )
 def nearest_overall(spark, folder):
-    rows = oc.flag_rows(spark, folder)
+    rows = stored_flags(spark, folder)
     out = distance.nearest_overall(rows, oc.FLAGS, oc.CENTRES[2], 0.37)
     return out.select("matched_positive_id", "patid", "dist")
 
@@ -550,7 +560,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, matched_positiv
     ),
 )
 def similar_controls_per_cluster(spark, folder):
-    rows = study(oc.flag_rows(spark, folder))
+    rows = study(stored_flags(spark, folder))
     controls = rows.filter(F.col("label") == 0)
     cases = rows.filter(F.col("label") == 1).withColumn("cluster_id", distance.nearest_centre(oc.FLAGS, oc.CENTRES))
     shares = {r.cluster_id: r.share for r in distance.cluster_shares(cases).collect()}
@@ -572,7 +582,7 @@ def similar_controls_per_cluster(spark, folder):
     ),
 )
 def nearest_test_rows(spark, folder):
-    near, rest = split_test_rows(oc.flag_rows(spark, folder), oc.FLAGS, oc.CENTRES[0], 0.25)
+    near, rest = split_test_rows(stored_flags(spark, folder), oc.FLAGS, oc.CENTRES[0], 0.25)
     parts = [near.withColumn("part", F.lit("near")), rest.withColumn("part", F.lit("discarded"))]
     return co.union_all(parts).select(*oc.IDS, "part")
 
@@ -598,7 +608,7 @@ def score_curve(spark, folder):
     sql.query(sql.SCORED, sql.curve("scored", digits=None), select="SELECT score, tps, fps FROM curve"),
 )
 def score_curve_unrounded(spark, folder):
-    return curve.score_curve(oc.scored(spark, folder), digits=None)
+    return curve.score_curve(materialise(oc.scored(spark, folder), "scored"), digits=None)
 
 
 @register(
@@ -663,7 +673,7 @@ def metrics_by_scope(spark, folder):
     ),
 )
 def areas_by_model(spark, folder):
-    found = curve.areas(oc.scored_by_model(spark, folder), by=["model_id"])
+    found = curve.areas(materialise(oc.scored_by_model(spark, folder), "scored"), by=["model_id"])
     return found.select(
         "model_id", F.round("area_roc", 9).alias("area_roc"), F.round("area_pr", 9).alias("area_pr")
     )
@@ -684,7 +694,8 @@ def areas_by_model(spark, folder):
 )
 def evaluator_metrics(spark, folder):
     evaluator = PrecisionRecallEvaluator(rawPredictionCol="prob_1")
-    found = evaluator.evaluate_groups(oc.scored_by_model(spark, folder), ["model_id"])
+    stored = materialise(oc.scored_by_model(spark, folder), "scored")
+    found = evaluator.evaluate_groups(stored, ["model_id"])
     return found.select("model_id", "metric", F.round("value", 9).alias("value"))
 
 
@@ -717,7 +728,7 @@ def score_average(spark, folder):
     ),
 )
 def score_cut(spark, folder):
-    rows = oc.scored(spark, folder)
+    rows = materialise(oc.scored(spark, folder), "scored")
     cut = scores.positive_score_cut(rows)
     return rows.agg(F.round(F.lit(cut), 9).alias("cut"))
 
@@ -731,7 +742,7 @@ def score_cut(spark, folder):
     ),
 )
 def second_stage(spark, folder):
-    rows = oc.scored(spark, folder)
+    rows = materialise(oc.scored(spark, folder), "scored")
     kept = scores.second_stage_rows(rows, scores.positive_score_cut(rows))
     return kept.withColumn("logprob_1", F.round("logprob_1", 9))
 
@@ -784,7 +795,7 @@ def best_params(spark, folder):
 @register("kmeans_assign")
 def kmeans_assign(spark, folder):
     """Cases by K-means cluster over the flag columns, with the distance to their centre."""
-    cases = study(oc.flag_rows(spark, folder)).filter(F.col("label") == 1).drop("population")
+    cases = study(stored_flags(spark, folder)).filter(F.col("label") == 1).drop("population")
     _, clustered = cluster_rows(cases, oc.FLAGS, k=3, seed=SEED)
     return clustered.select("patid", "cluster_id", "dist")
 
@@ -815,11 +826,11 @@ def stratified_cv(spark, folder):
 def cluster_classify(spark, folder):
     """Predictions of the cluster-then-classify flow on a small parameter grid."""
     config = ClusterFlowConfig(n_clusters=2, n_eval_folds=2, n_cv_folds=2, lambdas=(0.01, 0.1), alphas=(0.5,))
-    return cluster_then_classify(*oc.split(oc.cohort(spark, folder)), config).predictions
+    return cluster_then_classify(*cohort_tables(spark, folder), config).predictions
 
 
 @register("two_stage_scores")
 def two_stage_scores(spark, folder):
     """Second-stage scores of the two-stage model."""
     config = TwoStageConfig(n_outer=2, n_inner=3)
-    return two_stage(*oc.split(oc.cohort(spark, folder)), config).second_stage
+    return two_stage(*cohort_tables(spark, folder), config).second_stage
