@@ -9,6 +9,7 @@ from pyspark.ml.linalg import Vectors
 
 from twinfold.operators import curve as C
 from twinfold.operators.evaluator import PrecisionRecallEvaluator
+from twinfold.operators.ranking import quantile_bounds
 
 SEVEN = [(0.1, 0.0), (0.1, 1.0), (0.4, 0.0), (0.6, 0.0), (0.6, 1.0), (0.6, 1.0), (0.8, 1.0)]
 
@@ -121,10 +122,16 @@ def test_curve_equals_brute_force(spark, seed):
 def test_unrounded_curve_with_buckets_equals_single_window(spark):
     rng = random.Random(7)
     rows = [(rng.random() ** 4, rng.random() < 0.3) for _ in range(3000)] + [(0.5, 1)] * 1500
-    counts = C.score_counts(scored(spark, rows), digits=None)
-    plain = {r.score: (r.tps, r.fps) for r in C.curve_from_counts(counts).collect()}
-    bucketed = {r.score: (r.tps, r.fps) for r in C.score_curve(scored(spark, rows), digits=None).collect()}
-    assert plain == bucketed and len(plain) > 2500
+    df = scored(spark, rows)
+    counts = C.score_counts(df, digits=None)
+    plain = {r.score: (r.tps, r.fps) for r in C.score_curve(df, digits=None).collect()}
+    bounds = quantile_bounds(df, "prob_1", one_task_rows=100)
+    assert len(bounds) > 100
+    bucketed = C.curve_from_counts(counts, bounds=bounds)
+    assert {r.score: (r.tps, r.fps) for r in bucketed.collect()} == plain and len(plain) > 2500
+    assert "ReusedExchange" in bucketed._jdf.queryExecution().executedPlan().toString()
+    want, got = C.areas(df).first(), C.areas_from_counts(counts, bounds=bounds).first()
+    assert got.area_pr == pytest.approx(want.area_pr) and got.area_roc == pytest.approx(want.area_roc)
 
 
 def test_ranks_are_dense_from_the_top(spark):

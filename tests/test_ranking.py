@@ -98,9 +98,9 @@ def test_small_limits_are_applied_before_the_shuffle(points):
 @pytest.mark.parametrize("descending", [True, False])
 def test_running_totals_in_buckets(spark, descending):
     rng = random.Random(2)
-    values = [(g, v, rng.randint(0, 9)) for g in "ab" for v in {round(rng.random() ** 3, 4) for _ in range(500)}]
+    values = [(g, v, rng.randint(0, 9)) for g in ("a", None) for v in {round(rng.random() ** 3, 4) for _ in range(500)}]
     df = spark.createDataFrame(values, "g string, v double, n int")
-    got = R.running_totals(df, "v", {"n": "t"}, ["g"], descending, bounds=R.quantile_bounds(df, "v", 16))
+    got = R.running_totals(df, "v", {"n": "t"}, ["g"], descending, bounds=R.quantile_bounds(df, "v", 16, 0))
     for row in got.collect():
         upto = [n for g, v, n in values if g == row.g and (v >= row.v if descending else v <= row.v)]
         assert row.t == sum(upto)
@@ -115,5 +115,6 @@ def test_both_ranking_branches_share_one_shuffle(spark):
 
 
 def test_quantile_bounds_are_bounded(points):
-    bounds = R.quantile_bounds(points[1], "dist", 8)
+    assert R.quantile_bounds(points[1], "dist", 8) == []
+    bounds = R.quantile_bounds(points[1], "dist", 8, one_task_rows=100)
     assert len(bounds) <= 7 and bounds == sorted(set(bounds)) and all(math.isfinite(b) for b in bounds)

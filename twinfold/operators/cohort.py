@@ -39,14 +39,15 @@ def top_rows_of_cases(
     n: int,
     match_col: str = MATCH_COL,
     order_by: Sequence[str] = (ID_COL,),
+    few_ids: DataFrame | None = None,
 ) -> DataFrame:
     """First ``n`` rows of each of the given cases' match groups.
 
     The rows of a group never meet in one task: few cases are broadcast, and with many the groups
     are cut to ``n`` rows before the join. Both give the same rows, as a case keeps or drops whole
-    groups.
+    groups. ``few_ids`` is the result of :func:`broadcast_ids` when the caller has it already.
     """
-    ids = broadcast_ids(cases, match_col)
+    ids = few_ids if few_ids is not None else broadcast_ids(cases, match_col)
     if ids is not None:
         return top_n_per_group(rows.join(ids, match_col, "left_semi"), n, match_col, order_by)
     return rows_of_cases(top_n_per_group(rows, n, match_col, order_by), cases, match_col)
@@ -115,9 +116,9 @@ def undersample_cohort(
     """
     cases = sample_rows(pos, ratio, id_col, seed, method)
     require_unique(cases, match_col)
-    order = [label_col, id_col]
-    controls = top_rows_of_cases(neg, cases, neg_ratio, match_col, order)
-    scoring = top_rows_of_cases(ss, cases, ss_ratio, match_col, order)
+    order, ids = [label_col, id_col], broadcast_ids(cases, match_col)
+    controls = top_rows_of_cases(neg, cases, neg_ratio, match_col, order, ids)
+    scoring = top_rows_of_cases(ss, cases, ss_ratio, match_col, order, ids)
     return cases, align_columns(controls, neg), align_columns(scoring, ss)
 
 

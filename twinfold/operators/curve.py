@@ -64,7 +64,7 @@ def score_curve(
 ) -> DataFrame:
     """Binary score curve of a scored table. ``digits=None`` keeps every distinct score as a threshold."""
     counts = score_counts(df, score_col, label_col, by, digits)
-    bounds = quantile_bounds(counts, "score") if digits is None else None
+    bounds = quantile_bounds(df, positive_score(df, score_col)) if digits is None else None
     return curve_from_counts(counts, by, with_rank, bounds)
 
 
@@ -151,7 +151,7 @@ def areas(
 ) -> DataFrame:
     """Areas under the ROC and PR curves on unrounded scores, per group."""
     counts = score_counts(df, score_col, label_col, by, digits=None)
-    return areas_from_counts(counts, by, quantile_bounds(counts, "score"))
+    return areas_from_counts(counts, by, quantile_bounds(df, positive_score(df, score_col)))
 
 
 def metric_name(metric: str, recall: float | None = None) -> str:

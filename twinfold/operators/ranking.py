@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -162,11 +164,16 @@ def smallest_fraction(df: DataFrame, keys: Sequence[str], fraction: float, n_row
     return _at_most(list(keys), kth_key(df, keys, k, n))
 
 
-def quantile_bounds(df: DataFrame, column: str, buckets: int = 512) -> list[float]:
-    """Ascending, distinct bucket bounds of a numeric column (at most ``buckets - 1`` numbers)."""
+def quantile_bounds(
+    df: DataFrame, column: str | Column, buckets: int = 256, one_task_rows: int = ONE_TASK_ROWS
+) -> list[float]:
+    """Ascending, distinct bucket bounds of a numeric column (at most ``buckets - 1`` numbers).
+
+    One pass over the rows, without a shuffle. Empty when the table is small enough to need no buckets.
+    """
     shares = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(column, shares, 10 * buckets).alias("q")).first()
-    return sorted(set(row.q or []))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(column, shares, 10 * buckets).alias("q")).first()
+    return sorted(set(row.q or [])) if row.n > one_task_rows else []
 
 
 def running_totals(
@@ -193,18 +200,24 @@ def running_totals(
         splits=[-math.inf, *bounds, math.inf], inputCol=order_col, outputCol="_bucket", handleInvalid="keep"
     )
     bucketed = bucketizer.transform(df)
-    before = Window.partitionBy(*by).orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*[F.col(c) for c in by]).orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, "_bucket"]
     offsets = (
-        bucketed.groupBy(*by, "_bucket")
+        bucketed.groupBy(*keys)
         .agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-        .select(*by, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
+        .select(
+            *[F.col(k).alias(f"_k_{k}") for k in keys],
+            *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
+        )
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy(direction(order_col)).rowsBetween(*upto)
+    inside = Window.partitionBy(*keys).orderBy(direction(order_col)).rowsBetween(*upto)
+    # null-safe keys: a NULL group finds its offsets, and no NULL filter keeps the branches from sharing a shuffle
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    totals = [(F.col(f"_i_{c}") + F.col(f"_o_{c}")).alias(name) for c, name in sums.items()]
     return (
         bucketed.select("*", *[F.sum(c).over(inside).alias(f"_i_{c}") for c in sums])
-        .join(offsets, [*by, "_bucket"], "left")  # left: both branches share one shuffle
-        .withColumns({name: F.col(f"_i_{c}") + F.col(f"_o_{c}") for c, name in sums.items()})
-        .drop("_bucket", *[f"_i_{c}" for c in sums], *[f"_o_{c}" for c in sums])
+        .join(offsets, same, "left")
+        .select(*df.columns, *totals)
     )
 
 
@@ -232,6 +245,6 @@ def exact_percentile(df: DataFrame, column: str, share: float, one_task_rows: in
 def _kth_value(values: DataFrame, k: int, one_task_rows: int) -> float:
     """Exact ``k``-th smallest of a column that may repeat values."""
     counts = values.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
-    bounds = quantile_bounds(counts, "_v") if counts.count() > one_task_rows else None
+    bounds = quantile_bounds(values, "_v", one_task_rows=one_task_rows)
     totals = running_totals(counts, "_v", {"_n": "_upto"}, descending=False, bounds=bounds)
     return totals.filter(F.col("_upto") >= k).agg(F.min("_v")).first()[0]

@@ -25,7 +25,7 @@ from twinfold.operators.scores import (
     second_stage_features,
 )
 from twinfold.session import materialise, scratch_path
-from twinfold.sources.sinks import write_metrics, write_results
+from twinfold.sources.sinks import run_path, write_results
 from twinfold.sources.tables import align_columns
 
 OUTER, INNER, PART = "sim", "_inner", "_part"
@@ -42,7 +42,9 @@ class TwoStageConfig:
     recalls: Sequence[float] = (0.025, 0.05, 0.075, 0.1, 0.125, 0.15, 0.175, 0.2, 0.225, 0.25)
     max_iter: int = 100
     seed: int = 42
+    # inner fits at a time within an outer fold, and outer folds at a time
     parallelism: int = 4
+    outer_threads: int = 2
 
 
 @dataclass(frozen=True)
@@ -87,12 +89,16 @@ def two_stage(
     outer = materialise(fold_table(pos, config.n_outer, MATCH_COL, OUTER, config.seed), "outer-folds")
     tagged = union_all(vectors).join(outer, MATCH_COL, "left").fillna(-1, [OUTER])
     tagged = materialise(tagged, "two-stage-rows", (OUTER,))
-    for sim in range(config.n_outer):
-        _outer_fold(tagged, outer, sim, config, out)
+
+    def step(sim: int) -> DataFrame:
+        return _outer_fold(tagged, outer, sim, config, out).withColumn(OUTER, F.lit(sim))
+
+    with ThreadPool(config.outer_threads) as pool:
+        nested = union_all(pool.map(inheritable_thread_target(spark)(step), range(config.n_outer), chunksize=1))
 
     second = spark.read.parquet(f"{out}/second_stage")
-    evaluated = second.filter(F.col("set") != "train")
-    precision = metrics_by_scope(evaluated, config.recalls, [(OUTER,), ()])
+    write_results(_stage_areas(nested, second), f"{out}/areas")
+    precision = metrics_by_scope(second.filter(F.col("set") != "train"), config.recalls, [(OUTER,), ()])
     write_results(precision, f"{out}/precision")
     return TwoStageResult(
         spark.read.parquet(f"{out}/first_stage"),
@@ -103,14 +109,36 @@ def two_stage(
     )
 
 
-def _outer_fold(tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageConfig, out: str) -> None:
-    """One outer fold: nested first stage, cut, second stage."""
-    spark = tagged.sparkSession
+def _held_out(nested: DataFrame) -> DataFrame:
+    """Training rows with the score of the inner model that did not see them."""
+    rows = nested.filter(F.col(INNER) >= 0)
+    return rows.withColumn(SCORE_COL, F.element_at("_scores", F.col(INNER) + 1)).drop("_scores")
+
+
+def _stage_areas(nested: DataFrame, second: DataFrame) -> DataFrame:
+    """Area under the PR curve per outer fold: first stage (mean over inner models) and second stage."""
+    # the inner models on their own training rows
+    fitted = nested.select(OUTER, LABEL_COL, INNER, F.posexplode("_scores").alias("_model", SCORE_COL)).filter(
+        F.col(INNER) != F.col("_model")
+    )
+    mean = F.avg("area_pr").alias("area_pr")
+    first = {
+        "train": areas(fitted, by=[OUTER, "_model"]).groupBy(OUTER).agg(mean),
+        "held_out": areas(_held_out(nested), by=[OUTER, INNER]).groupBy(OUTER).agg(mean),
+    }
+    tables = [df.select(OUTER, F.lit(1).alias("stage"), F.lit(n).alias("set"), "area_pr") for n, df in first.items()]
+    final = areas(second.filter(F.col("set") != REP), by=[OUTER, "set"])
+    return union_all([*tables, final.select(OUTER, F.lit(2).alias("stage"), "set", "area_pr")])
+
+
+def _outer_fold(tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageConfig, out: str) -> DataFrame:
+    """One outer fold: nested first stage, cut, second stage. Returns the training rows with all inner scores."""
+    key = {OUTER: sim}
     inner = fold_table(outer.filter(F.col(OUTER) != sim), config.n_inner, MATCH_COL, INNER, config.seed + 1 + sim)
     train = tagged.filter((F.col(OUTER) != sim) & (F.col(PART) == STUDY)).drop(OUTER, PART)
     train = materialise(train.join(inner, MATCH_COL, "left").fillna(-1, [INNER]), "inner-folds").persist()
     try:
-        fit = inheritable_thread_target(spark)(lambda j: _fit(train.filter(F.col(INNER) != j), config))
+        fit = inheritable_thread_target(tagged.sparkSession)(lambda j: _fit(train.filter(F.col(INNER) != j), config))
         with ThreadPool(min(config.parallelism, config.n_inner)) as pool:
             models = pool.map(fit, range(config.n_inner))
         # one pass: every training row with the score of every inner model
@@ -119,37 +147,25 @@ def _outer_fold(tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageC
         scored = materialise(scored.withColumn("_scores", all_scores).drop(*names), "first-stage")
     finally:
         train.unpersist()
-    held_out = scored.filter(F.col(INNER) >= 0).withColumn(SCORE_COL, F.element_at("_scores", F.col(INNER) + 1))
+    held_out = _held_out(scored)
 
     tested = materialise(
         mean_score(tagged.filter(F.col(OUTER) == sim).drop(OUTER), models, SCORE_COL), "first-stage-test"
     )
 
-    columns = [F.lit(sim).alias(OUTER), F.col("set"), ID_COL, MATCH_COL, LABEL_COL, SCORE_COL]
+    columns = ["set", ID_COL, MATCH_COL, LABEL_COL, SCORE_COL]
     first = union_all(
         [
             held_out.withColumn("set", F.lit("train")).select(*columns),
             tested.withColumn("set", F.col(PART)).select(*columns),
         ]
     )
-    write_results(first, f"{out}/first_stage", [OUTER, "set"], mode="append")
-
-    # mean area over the inner folds, on each model's training rows and on its held-out rows
-    fitted_rows = scored.select(LABEL_COL, INNER, F.posexplode("_scores").alias("_model", SCORE_COL)).filter(
-        F.col(INNER) != F.col("_model")
-    )
-    stage_areas = union_all(
-        [
-            areas(fitted_rows, by=["_model"]).agg(F.avg("area_pr").alias("area_pr")).withColumn("set", F.lit("train")),
-            areas(held_out, by=[INNER]).agg(F.avg("area_pr").alias("area_pr")).withColumn("set", F.lit("held_out")),
-        ]
-    )
-    write_metrics(stage_areas, f"{out}/areas", {OUTER: sim, "stage": 1})
+    write_results(first, run_path(f"{out}/first_stage", key), ["set"])
 
     cut = positive_score_cut(held_out, config.positive_share)
     if cut is None:
         raise ValueError(f"outer fold {sim} has no case among its training rows")
-    train2 = second_stage_features(held_out.drop("_scores", INNER), cut)
+    train2 = second_stage_features(held_out.drop(INNER), cut)
     test2 = second_stage_features(tested, cut, keep=(MATCH_COL, ID_COL, LABEL_COL, PART))
     model = _fit(train2, config)
     second = union_all(
@@ -158,6 +174,5 @@ def _outer_fold(tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageC
             score_with(test2, model).withColumn("set", F.col(PART)).select(*columns),
         ]
     )
-    write_results(second, f"{out}/second_stage", [OUTER, "set"], mode="append")
-    own = spark.read.parquet(f"{out}/second_stage").filter((F.col(OUTER) == sim) & (F.col("set") != REP))
-    write_metrics(areas(own, by=["set"]).select("area_pr", "set"), f"{out}/areas", {OUTER: sim, "stage": 2})
+    write_results(second, run_path(f"{out}/second_stage", key), ["set"])
+    return scored
