@@ -109,10 +109,15 @@ def two_stage(
     )
 
 
-def _held_out(nested: DataFrame) -> DataFrame:
-    """Training rows with the score of the inner model that did not see them."""
-    rows = nested.filter(F.col(INNER) >= 0)
-    return rows.withColumn(SCORE_COL, F.element_at("_scores", F.col(INNER) + 1)).drop("_scores")
+def inner_fold_table(outer: DataFrame, sim: int, n_inner: int, seed: int) -> DataFrame:
+    """Inner folds of the match ids that are not in outer fold ``sim``."""
+    return fold_table(outer.filter(F.col(OUTER) != sim), n_inner, MATCH_COL, INNER, seed + 1 + sim)
+
+
+def held_out_scores(nested: DataFrame, fold_col: str = INNER, scores_col: str = "_scores") -> DataFrame:
+    """Rows with the score of the one model, out of an array of all, that did not train on their fold."""
+    rows = nested.filter(F.col(fold_col) >= 0)
+    return rows.withColumn(SCORE_COL, F.element_at(scores_col, F.col(fold_col) + 1)).drop(scores_col)
 
 
 def _stage_areas(nested: DataFrame, second: DataFrame) -> DataFrame:
@@ -124,7 +129,7 @@ def _stage_areas(nested: DataFrame, second: DataFrame) -> DataFrame:
     mean = F.avg("area_pr").alias("area_pr")
     first = {
         "train": areas(fitted, by=[OUTER, "_model"]).groupBy(OUTER).agg(mean),
-        "held_out": areas(_held_out(nested), by=[OUTER, INNER]).groupBy(OUTER).agg(mean),
+        "held_out": areas(held_out_scores(nested), by=[OUTER, INNER]).groupBy(OUTER).agg(mean),
     }
     tables = [df.select(OUTER, F.lit(1).alias("stage"), F.lit(n).alias("set"), "area_pr") for n, df in first.items()]
     final = areas(second.filter(F.col("set") != REP), by=[OUTER, "set"])
@@ -134,7 +139,7 @@ def _stage_areas(nested: DataFrame, second: DataFrame) -> DataFrame:
 def _outer_fold(tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageConfig, out: str) -> DataFrame:
     """One outer fold: nested first stage, cut, second stage. Returns the training rows with all inner scores."""
     key = {OUTER: sim}
-    inner = fold_table(outer.filter(F.col(OUTER) != sim), config.n_inner, MATCH_COL, INNER, config.seed + 1 + sim)
+    inner = inner_fold_table(outer, sim, config.n_inner, config.seed)
     train = tagged.filter((F.col(OUTER) != sim) & (F.col(PART) == STUDY)).drop(OUTER, PART)
     train = materialise(train.join(inner, MATCH_COL, "left").fillna(-1, [INNER]), "inner-folds").persist()
     try:
@@ -147,7 +152,7 @@ def _outer_fold(tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageC
         scored = materialise(scored.withColumn("_scores", all_scores).drop(*names), "first-stage")
     finally:
         train.unpersist()
-    held_out = _held_out(scored)
+    held_out = held_out_scores(scored)
 
     tested = materialise(
         mean_score(tagged.filter(F.col(OUTER) == sim).drop(OUTER), models, SCORE_COL), "first-stage-test"

@@ -16,12 +16,12 @@ from twinfold.operators import crossval, curve, distance, folds, ranking, scores
 from twinfold.operators.clustering import assemble, cluster_rows, similar_controls, split_test_rows, with_discarded
 from twinfold.operators.evaluator import PrecisionRecallEvaluator
 from twinfold.plans.cleaning import clean_cohort
-from twinfold.plans.cluster_flow import ClusterFlowConfig, cluster_then_classify
-from twinfold.plans.two_stage import TwoStageConfig, two_stage
+from twinfold.plans.cluster_flow import ClusterFlowConfig, cluster_then_classify, flow_metrics, tag_eval_folds
+from twinfold.plans.two_stage import TwoStageConfig, held_out_scores, inner_fold_table, two_stage
 from twinfold.queries import sql
 from twinfold.session import materialise, scratch_path
 from twinfold.sources import orders_cohort as oc
-from twinfold.sources.sinks import run_manifest, stage_counts, write_results
+from twinfold.sources.sinks import run_manifest, stage_counts, write_metrics, write_results
 from twinfold.sources.tables import (
     exclusion_names,
     normalise_ids,
@@ -789,6 +789,103 @@ def best_params(spark, folder):
     return crossval.mark_best(table, "metric").withColumn("metric", F.round("metric", 9))
 
 
+# --- deterministic parts of the two flows -------------------------------------------------------
+
+
+@register(
+    "eval_fold_rows",
+    sql.query(
+        sql.COHORT,
+        sql.folds("(SELECT * FROM cohort WHERE population = 'pn')", column="eval_fold"),
+        select=f"""SELECT {IDS}, CASE WHEN population = 'ss' THEN 'ss' WHEN label = 1 THEN 'pos' ELSE 'neg' END AS part,
+  {', '.join(oc.FLAGS)}, eval_fold FROM cohort JOIN folds USING (matched_positive_id)""",
+    ),
+)
+def eval_fold_rows(spark, folder):
+    tables = oc.split(stored_flags(spark, folder))
+    return tag_eval_folds(*tables, 5, SEED).withColumnRenamed("_part", "part")
+
+
+@register(
+    "nested_folds",
+    sql.query(
+        sql.SCORED,
+        sql.folds("scored", column="sim"),
+        *[
+            sql.folds(f"(SELECT * FROM folds WHERE sim <> {i})", 5, SEED + 1 + i, f"inner{i}", "inner_fold")
+            for i in range(5)
+        ],
+        select=" UNION ALL ".join(f"SELECT {i} AS sim, * FROM inner{i}" for i in range(5)),
+    ),
+)
+def nested_folds(spark, folder):
+    outer = materialise(folds.fold_table(study(oc.members(spark, folder)), 5, fold_col="sim", seed=SEED), "outer")
+    parts = [inner_fold_table(outer, i, 5, SEED).withColumn("sim", F.lit(i)) for i in range(5)]
+    return co.union_all(parts).select("sim", "matched_positive_id", F.col("_inner").alias("inner_fold"))
+
+
+@register(
+    "held_out_scores",
+    sql.query(
+        sql.BY_MODEL,
+        sql.folds("members"),
+        select=f"""SELECT {IDS}, foldID, prob_1 FROM by_model JOIN folds USING (matched_positive_id)
+  WHERE model_id = foldID""",
+    ),
+)
+def held_out(spark, folder):
+    rows = study(oc.members(spark, folder))
+    by_model = F.array(*[oc.model_score(m) for m in oc.SCORE_FACTORS])
+    groups = folds.fold_table(oc.members(spark, folder), 5, seed=SEED)
+    tagged = folds.attach_folds(rows.select(*oc.IDS, by_model.alias("_scores")), groups)
+    return held_out_scores(tagged, "foldID").select(*oc.IDS, "foldID", "prob_1")
+
+
+def _flow_scope_sql(scope: str, source: str, by: str, fold: str, cluster: str) -> str:
+    ctes = [sql.curve(source, by), sql.pr(by), sql.at_recalls([0.05, 0.25], by)]
+    return f"""SELECT * FROM (WITH {', '.join(ctes)}
+  SELECT '{scope}' AS scope, {fold} AS fold, {cluster} AS cluster, recall, precision AS value FROM found)"""
+
+
+@register(
+    "flow_metrics_max",
+    sql.query(
+        sql.BY_MODEL,
+        sql.folds("members", column="fold"),
+        "data AS (SELECT *, model_id AS cluster FROM by_model JOIN folds USING (matched_positive_id))",
+        "best AS (SELECT fold, patid, label, max(prob_1) AS prob_1 FROM data GROUP BY fold, patid, label)",
+        select=" UNION ALL ".join(
+            [
+                _flow_scope_sql("fold+cluster", "data", "fold, cluster,", "fold", "cluster"),
+                _flow_scope_sql("fold", "best", "fold,", "fold", "CAST(NULL AS INTEGER)"),
+                _flow_scope_sql("all", "best", "", "CAST(NULL AS INTEGER)", "CAST(NULL AS INTEGER)"),
+            ]
+        ),
+    ),
+)
+def flow_metrics_max(spark, folder):
+    groups = folds.fold_table(oc.members(spark, folder), 5, fold_col="fold", seed=SEED)
+    tagged = folds.attach_folds(oc.scored_by_model(spark, folder), groups)
+    predictions = materialise(tagged.withColumnRenamed("model_id", "cluster"), "predictions")
+    return flow_metrics(predictions, ClusterFlowConfig(recalls=(0.05, 0.25), combine="max"))
+
+
+@register(
+    "metrics_sink",
+    sql.query(
+        sql.BY_MODEL,
+        sql.curve("by_model", "model_id,", None),
+        sql.areas("model_id,"),
+        select="SELECT 7 AS run, model_id, round(area_roc, 9) AS area_roc, round(area_pr, 9) AS area_pr FROM areas",
+    ),
+)
+def metrics_sink(spark, folder):
+    """Append a metrics table with its run key to a results folder and read the folder back."""
+    path = scratch_path(spark, "metrics")
+    write_metrics(areas_by_model(spark, folder), path, {"run": 7})
+    return spark.read.parquet(path)
+
+
 # --- fitted models: no SQL can repeat an iterative fit ------------------------------------------
 
 
