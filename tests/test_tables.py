@@ -56,12 +56,6 @@ def test_log_of_zero_is_null(spark):
 
 
 def test_id_layouts(spark):
-    assert tables.layout_for("pos_replace_extremes.csv") == "case_copy"
-    assert tables.layout_for("neg_replace_extremes.csv") == "control_rename"
-    assert tables.layout_for("all_features_pos.csv") == "patient_id"
-    assert tables.layout_for("for_orla_CNT_xform.csv") == "indexed_patient_id"
-    with pytest.raises(ValueError):
-        tables.layout_for("for_orla.csv")
     with pytest.raises(ValueError):
         tables.normalise_ids(spark.range(1), "other")
     cases = spark.createDataFrame([(5, 9, 1)], "patid int, nonipf_patid int, label int")
@@ -85,9 +79,9 @@ def write_text(path, lines):
 
 def test_cleaning_job_on_csv(spark, tmp_path):
     for name, label in (("pos", 1), ("neg", 0), ("score", 0)):
-        write_text(tmp_path / f"all_features_{name}.csv", [HEADER, f"7,3,{label},9,9,30,9,1,0,0.5,0.25"])
+        write_text(tmp_path / f"raw_{name}.csv", [HEADER, f"7,3,{label},9,9,30,9,1,0,0.5,0.25"])
     write_text(tmp_path / "vars.csv", ["variable,note", "B,old"])
-    paths = tuple(str(tmp_path / f"all_features_{n}.csv") for n in ("pos", "neg", "score"))
+    paths = tuple(str(tmp_path / f"raw_{n}.csv") for n in ("pos", "neg", "score"))
     run_cleaning(spark, paths, str(tmp_path / "vars.csv"), str(tmp_path / "clean"))
     for name, label in (("pos", 1), ("neg", 0), ("ss", 0)):
         row = tables.read_cohort(spark, str(tmp_path / "clean" / f"{name}.csv")).first().asDict()

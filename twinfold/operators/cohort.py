@@ -30,7 +30,7 @@ def rows_of_cases(rows: DataFrame, cases: DataFrame, match_col: str = MATCH_COL)
 def broadcast_ids(cases: DataFrame, match_col: str = MATCH_COL, most: int = BROADCAST_IDS) -> DataFrame | None:
     """Distinct match ids marked for broadcasting, or None when there are more than ``most``."""
     ids = cases.select(match_col).distinct()
-    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else None
+    return F.broadcast(ids) if ids.count() <= most else None
 
 
 def top_rows_of_cases(

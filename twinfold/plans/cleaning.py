@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinfold.functions.columns import COUNT_CAPS, drop_excluded, topcode
 from twinfold.sources.sinks import write_results
-from twinfold.sources.tables import align_columns, layout_for, normalise_ids, read_cohort, read_exclusion_list
+from twinfold.sources.tables import align_columns, normalise_ids, read_cohort, read_exclusion_list
 
 # Fixed value: one more column the cleaning job leaves out.
 ALSO_EXCLUDED = ("LVL3_GASTROSC_AVG_RXDX",)
@@ -38,15 +38,12 @@ def run_cleaning(
     paths: tuple[str, str, str],
     exclusion_path: str | None,
     out_dir: str,
+    layouts: tuple[str, str, str] = ("patient_id", "patient_id", "patient_id"),
     schema=None,
     fmt: str = "csv",
 ) -> None:
-    """Read, clean and write the case, control and scoring tables below ``out_dir``.
-
-    The id layout of each table follows from its file name.
-    """
+    """Read, clean and write the case, control and scoring tables below ``out_dir``."""
     tables = [read_cohort(spark, p, schema) for p in paths]
     excluded = read_exclusion_list(spark, exclusion_path) if exclusion_path else []
-    layouts = tuple(layout_for(p.rstrip("/").rsplit("/", 1)[-1]) for p in paths)
     for name, df in zip(("pos", "neg", "ss"), clean_cohort(*tables, layouts, excluded)):
         write_results(df, f"{out_dir.rstrip('/')}/{name}.{fmt}", fmt=fmt)

@@ -914,7 +914,7 @@ def stratified_cv(spark, folder):
             {"metricName": "precisionAtGivenRecall", "metricParams": {"recallValue": 0.05}},
             {"metricName": "precisionAtGivenRecall", "metricParams": {"recallValue": 0.1}},
         ],
-        parallelism=4,
+        parallelism=8,
     )
     return validator.fit(tagged).avgMetrics
 

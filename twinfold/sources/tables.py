@@ -27,17 +27,6 @@ ID_LAYOUTS: dict[str, dict] = {
 }
 
 
-def layout_for(file_name: str) -> str:
-    """Id layout implied by a source file name; unknown names are an error."""
-    if "replace_extremes" in file_name:
-        return "case_copy" if "pos" in file_name else "control_rename"
-    if "for_orla" not in file_name:
-        return "patient_id"
-    if "CNT_xform" in file_name:
-        return "indexed_patient_id"
-    raise ValueError(f"no id layout is known for file {file_name!r}")
-
-
 def normalise_ids(df: DataFrame, layout: str) -> DataFrame:
     """Bring the id columns to ``matched_positive_id`` and ``patid``."""
     if layout not in ID_LAYOUTS:
