@@ -260,14 +260,13 @@ def case_controls(spark, folder):
     sql.query(
         sql.MEMBERS,
         select="""SELECT s.matched_positive_id, s.label, s.patid FROM members s JOIN members c
-  ON s.matched_positive_id = c.matched_positive_id AND c.population = 'pn' AND c.priority = '1-URGENT'
-  WHERE s.population = 'ss'""",
+  ON s.matched_positive_id = c.matched_positive_id AND c.population = 'pn' AND c.label = 1
+     AND c.priority = '1-URGENT' WHERE s.population = 'ss'""",
     ),
 )
 def rows_per_case(spark, folder):
-    rows = oc.members(spark, folder)
-    urgent = study(rows).filter(F.col("priority") == "1-URGENT")
-    return co.rows_per_case(rows.filter(F.col("population") == "ss"), urgent).select(*oc.IDS)
+    pos, _, ss = oc.split(oc.members(spark, folder))
+    return co.rows_per_case(ss, pos.filter(F.col("priority") == "1-URGENT")).select(*oc.IDS)
 
 
 @register(
