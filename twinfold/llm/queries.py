@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import bpe
+from twinfold.llm import bpe, pii
 from twinfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,15 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode_ids(encoded, ranks).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+        for kind in pii.BASE_KINDS
+    ]
+    base = F.sha2(pii.spans_text("spans", pii.BASE_KINDS), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.spans_text("spans").alias("spans"))
