@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import bpe, pii
-from twinfold.llm.common import table
+from twinfold.llm import bpe, pii, quality
+from twinfold.llm.common import pick, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,8 +24,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text; digests of the ids and of the decoded bytes."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.decode_ids(encoded, ranks).select(
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
@@ -38,3 +38,64 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in pii.BASE_KINDS]
     base = F.sha2(pii.spans_text("spans", pii.BASE_KINDS), 256).alias("base_sha256")
     return found.select("doc_id", *counts, base, pii.spans_text("spans").alias("spans"))
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measure every whole text, certify the cutoffs on the labelled rows, judge all rows."""
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    rows = stored(quality.with_counts(docs).drop("text"), "quality")  # read twice: for the cutoffs and for the verdicts
+    verdicts = quality.judged(rows, quality.certified_cutoffs(rows, table(spark, sf_dir, "labels")))
+    counts = [F.col(f"_counts.{c}").alias(c) for c in quality.COUNTS[:5]]
+    return verdicts.select("doc_id", *counts, "base_failed", "kept")
+
+
+def _quality_sql(config: quality.RiskConfig = quality.RiskConfig()) -> str:
+    ratios = " UNION ALL ".join(
+        f"SELECT doc_id, stratum, '{rule}' AS rule, CASE WHEN {base} > 0 THEN {top}::DOUBLE / {base} ELSE 0 END AS ratio FROM measured"
+        for rule, (top, base) in quality.RULES.items()
+    )
+    grid = ", ".join(f"{c}::DOUBLE" for c in config.grid)
+    stratum = " + ".join(f"(n_words >= {edge})::INT" for edge in config.bands)
+    share, chance = config.share_per_rule, config.chance_per_test
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM texts),
+windows AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+under AS (SELECT doc_id, count(DISTINCT i + d.d) AS n FROM twice, (VALUES (0), (1), (2)) AS d(d) GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+         len(lines)::BIGINT AS n_lines, len(regexp_extract_all(text, '\p{{Lu}}'))::BIGINT AS n_upper,
+         len(regexp_extract_all(text, '[!?]'))::BIGINT AS n_marks
+  FROM split LEFT JOIN under USING (doc_id)),
+measured AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {stratum} AS stratum FROM counted),
+ratios AS ({ratios}),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+held AS (SELECT * FROM ratios WHERE doc_id IN (SELECT doc_id FROM good)
+         AND doc_id IN (SELECT doc_id FROM measured WHERE NOT base_failed)),
+tests AS (
+  SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (WHERE ratio > cut) AS k
+  FROM held, (SELECT unnest([{grid}]) AS cut) GROUP BY ALL),
+certified AS (
+  SELECT stratum, rule, min(cut) AS cut
+  FROM tests WHERE k <= {share} * n AND {chance} >= (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))
+    FROM (SELECT unnest(range(0, k + 1)) AS i))
+  GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT EXISTS (
+         SELECT 1 FROM ratios r JOIN certified c USING (stratum, rule) WHERE r.doc_id = m.doc_id AND ratio > cut) AS kept
+FROM measured m
+"""
+
+
+ORACLES["op3_quality_rules"] = _quality_sql()
