@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from twinfold.llm.common import map_slices, pick
 
-PART_CACHE = 250_000
-PAIR_CACHE = 500_000
+PART_CACHE = 120_000
+PAIR_CACHE = 250_000
 CACHED_PART_CHARS = 64
 ENCODED_SCHEMA = "doc_id bigint, n_tokens bigint, ids binary"
 DECODED_SCHEMA = "doc_id bigint, n_tokens bigint, ids binary, decoded binary"
@@ -208,35 +208,42 @@ def read_ranks(path: str) -> bytes:
         return file.read()
 
 
-def encode_texts(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(
+    df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
     """Token ids of every whole text: ``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit integers).
 
     Each match of ``pattern`` is encoded by itself; there are no special tokens. A null text counts as empty and gives no
     ids. Rows are independent: repeated rows and null doc_ids are kept as they are, an empty table gives an empty table.
-    Only the two named columns are read.
+    Only the two named columns are read. With ``decoded`` the ids are decoded again in the same pass, as
+    :func:`decode_ids` does.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encode = coder(ranks, pattern).encode
         ids = [encode(text or "") for text in batch.column("text").to_pylist()]
-        counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
+        columns["ids"] = pa.array(ids, pa.binary())
+        if decoded:
+            columns["decoded"] = pa.array([decode(x, vocabulary(ranks)) for x in ids], pa.binary())
+        return pa.RecordBatch.from_pydict(columns)
 
-    return map_slices(_keyed(df, id_col, text=text_col), run, ENCODED_SCHEMA, "text")
+    rows = pick(df, doc_id=id_col, text=text_col)
+    rows = rows.withColumn("doc_id", rows["doc_id"].cast("bigint"))
+    return map_slices(rows, run, DECODED_SCHEMA if decoded else ENCODED_SCHEMA, "text")
+
+
+def decode(ids: bytes | None, tokens: list[bytes]) -> bytes:
+    """Bytes of packed ids; null counts as none."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", dtype="<u4").tolist()))
 
 
 def decode_ids(df: DataFrame, ranks: bytes) -> DataFrame:
-    """Bytes of the ids of :func:`encode_texts` in a further column ``decoded``. Null ids count as none."""
+    """The rows of :func:`encode_texts` with the bytes of their ids in a further column ``decoded``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens = vocabulary(ranks)
-        parts = [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in batch.column("ids").to_pylist()]
-        arrays = [batch.column(c) for c in ("doc_id", "n_tokens", "ids")] + [pa.array(parts, pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids", "decoded"])
+        columns = {c: batch.column(c) for c in ("doc_id", "n_tokens", "ids")}
+        parts = [decode(x, vocabulary(ranks)) for x in columns["ids"].to_pylist()]
+        return pa.RecordBatch.from_pydict(columns | {"decoded": pa.array(parts, pa.binary())})
 
     return map_slices(df.select("doc_id", "n_tokens", "ids"), run, DECODED_SCHEMA, "ids")
-
-
-def _keyed(df: DataFrame, id_col: str, **columns: str) -> DataFrame:
-    rows = pick(df, doc_id=id_col, **columns)
-    return rows.withColumn("doc_id", rows["doc_id"].cast("bigint"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def quoted(name: str) -> str:
@@ -35,7 +35,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """Array of the words of a text: longest runs without ASCII white space. Null text: no words."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(GAP_CHARS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, WORD_GAP))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
