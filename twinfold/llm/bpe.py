@@ -99,7 +99,8 @@ class ByteBpe:
                     self._halves[i] = (left, right)
                     self._joined[left * len(self.tokens) + right] = i
                     break
-        self._fits.clear()
+            if len(token) > 1 and self._halves[i] == (i, i):
+                raise ValueError(f"token {i} is no merge of two earlier tokens")
 
     def _neighbours(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves ``left`` and ``right`` side by side, unmerged across the border.
