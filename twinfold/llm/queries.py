@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import bpe, pii, quality
-from twinfold.llm.common import pick, stored, table
+from twinfold.llm import bpe, matrices, packing, pii, quality, tokens
+from twinfold.llm.common import pick, shared_path, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,7 +58,7 @@ def _quality_sql(config: quality.RiskConfig = quality.RiskConfig()) -> str:
     grid = ", ".join(f"{c}::DOUBLE" for c in config.grid)
     stratum = " + ".join(f"(n_words >= {edge})::INT" for edge in config.bands)
     share, chance = config.share_per_rule, config.chance_per_test
-    return f"""
+    return rf"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 split AS (
   SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
@@ -99,3 +99,22 @@ FROM measured m
 
 
 ORACLES["op3_quality_rules"] = _quality_sql()
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into windows of 4096 tokens."""
+    vocabulary = tokens.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query
+def op8_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the packed id matrices of all documents, then digest the files row by row."""
+    vocabulary = tokens.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    path = shared_path(spark, "matrices")
+    matrices.write_matrices(matrices.token_matrices(table(spark, sf_dir, "documents"), vocabulary), path)
+    return spark.read.schema(matrices.MATRIX_SCHEMA).parquet(path).select(
+        "sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens",
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"),
+    )
