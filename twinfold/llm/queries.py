@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import bpe, matrices, packing, pii, quality, tokens
+from twinfold.llm import bpe, matrices, packing, pii, quality, tokens, toxicity
 from twinfold.llm.common import pick, shared_path, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,13 @@ def op8_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"),
     )
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from the labelled rows that are not held out, score every whole text."""
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_texts(docs, machine)
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score", predicted)
