@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import bpe, jaccard, matrices, packing, pii, quality, tokens, toxicity
+from twinfold.llm import bpe, jaccard, matrices, packing, pii, quality, sharding, tokens, toxicity, urls
 from twinfold.llm.common import pick, shared_path, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,58 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y F
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
 """
+
+
+@query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id")
+    return sharding.place_on_shards(docs, "doc_id", sharding.shard_names(sharding.SHARDS))
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every url by the rules, else by the reputation of its host."""
+    return urls.judged_urls(table(spark, sf_dir, "pages"))
+
+
+def _urls_sql(config: urls.RankConfig = urls.RankConfig()) -> str:
+    rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}', '{r.text}')" for r in urls.RULES)
+    d, walks = config.damping, []
+    for i in range(config.rounds):
+        walks.append(f"""
+ranks{i + 1} AS (
+  SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
+    SELECT * FROM ranks0
+    UNION ALL SELECT dst, {d} * trust * share_out, 0 FROM links JOIN ranks{i} ON src = host
+    UNION ALL SELECT src, 0, {d} * distrust * share_in FROM links JOIN ranks{i} ON dst = host)
+  GROUP BY host),""")
+    return rf"""
+WITH rules(by_rule, rule_host, rule_path, rule) AS (VALUES {rules}),
+rest AS (
+  SELECT row_number() OVER () AS row, page_id, html,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT row, page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+fits AS (
+  SELECT row, rule, by_rule FROM parts JOIN rules
+  ON (host = rule_host OR host LIKE '%.' || rule_host) AND starts_with(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(rule) DESC) = 1),
+ruled AS (SELECT parts.*, rule, by_rule FROM parts LEFT JOIN fits USING (row)),
+edges AS (
+  SELECT src, dst, count(*) AS w FROM (
+    SELECT host AS src, translate(unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '{urls.LINK.replace("'", "''")}', 1))), '{urls.UPPER}', '{urls.LOWER}') AS dst
+    FROM parts WHERE host <> '')
+  WHERE src <> dst GROUP BY ALL),
+links AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share_out, w / sum(w) OVER (PARTITION BY dst) AS share_in FROM edges),
+ranks0 AS (
+  SELECT host, {1 - d} * count(*) FILTER (WHERE by_rule = 'allow') AS trust, {1 - d} * count(*) FILTER (WHERE by_rule = 'block') AS distrust
+  FROM ruled WHERE host <> '' AND rule IS NOT NULL GROUP BY host),{"".join(walks)}
+bad AS (SELECT host FROM ranks{config.rounds} WHERE round(distrust / (trust + distrust), {urls.DIGITS}) >= {config.block_share})
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled
+"""
+
+
+ORACLES["op9_url_filter"] = _urls_sql()
