@@ -31,7 +31,7 @@ def fixture_texts(seed):
     rng = random.Random(seed)
     passage = [f"p{i}" for i in range(30)]
     texts = ["", " \n", "one", "ONE", "a b c d", "a b c d e", "É x", "é x"]
-    for _ in range(14):
+    for _ in range(30):
         base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((5, 8, 9, 13, 30, 70, 150)))]
         if rng.random() < 0.5:
             base = passage[: rng.randint(10, 30)] + base
@@ -44,7 +44,7 @@ def fixture_texts(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1])
 def test_components_equal_all_pairs(spark, seed):
     texts = fixture_texts(seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
@@ -78,9 +78,9 @@ def test_boundary_follows_the_cost():
 
 
 def test_components_of_long_chains(spark):
-    edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1002), (1000, 1002), (7, 7)]
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1001), (1001, 1002), (1000, 1002), (7, 7)]
     out = dict(jaccard.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
-    assert {out[i] for i in range(201)} == {0} and {out[i] for i in (1000, 1001, 1002)} == {1000}
+    assert {out[i] for i in range(61)} == {0} and {out[i] for i in (1000, 1001, 1002)} == {1000}
 
 
 def test_edge_rows(spark):

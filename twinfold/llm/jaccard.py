@@ -7,7 +7,7 @@ so are small sets that are large enough to link with a large one. The size at wh
 cost of both ways on the data at hand.
 
 Links are never emitted for all pairs of a list. Sets with the same shingles are one node. In every list each node first
-meets one hub; nodes that prove linked are merged; only nodes of one list that are still in different groups are compared
+meets one hub, the least; nodes that prove linked are merged; only nodes of one list that are still in different groups are compared
 one by one. So a list of near copies costs one comparison per node, and every link between different groups is found.
 """
 
@@ -227,13 +227,42 @@ def may_link(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def proven(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a, b`` whose whole sets link. The sets of ``a`` travel to those of ``b``."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    union = F.size("of_a") + F.size("of_b") - shared
-    return both.filter(100 * shared >= percent * union).select("a", "b")
+def of_pairs(pairs: DataFrame) -> DataFrame:
+    """Ids of the nodes in the pairs ``a, b``, marked for broadcast if they are counted to be few."""
+    both = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    return bounded(both.distinct())
+
+
+def both_sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` with a struct of the columns of ``rows``, which has a ``node``, for each: ``of_a, of_b``."""
+    for side in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("node").alias(side), F.struct(*[c for c in rows.columns if c != "node"]).alias(f"of_{side}")), side)
+    return pairs
+
+
+def promising(pairs: DataFrame, keyed: DataFrame, boundary: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that may link by their entries alone.
+
+    Of the shared shingles at most as many as lie behind the first ones of one of the two sets are missing among the first
+    ones of both, so ``n - spare - 1`` and the entries in common bound what two sets share. Two small sets stay.
+    """
+    few = keyed.join(of_pairs(pairs), "doc_id", "semi").select(F.col("doc_id").alias("node"), "n", "keys")
+    both = both_sides(pairs, few)
+    n, m = F.col("of_a.n"), F.col("of_b.n")
+    in_common = F.size(F.array_intersect("of_a.keys", "of_b.keys"))
+    behind = F.ceil(percent * F.greatest(n, m) / 100) - 1
+    enough = (100 + percent) * (in_common + behind) >= percent * (n + m)
+    kept = both.filter(may_link(n, m, percent) & (enough | (F.greatest(n, m) <= boundary)))
+    return kept.select("a", "b").distinct()
+
+
+def proven(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b`` whose whole sets link. Only the texts of these nodes are read again."""
+    sets = whole_sets(docs.join(of_pairs(pairs), "doc_id", "semi"))
+    both = both_sides(pairs, sets)
+    shared = F.size(F.array_intersect("of_a.shingles", "of_b.shingles"))
+    union = F.size("of_a.shingles") + F.size("of_b.shingles") - shared
+    return both.filter(100 * shared >= percent * union).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -296,27 +325,16 @@ def class_links(
     met = entry.join(lists.filter("in_list > 1"), "key")
     met = stored(met.select("key", "node", "n", "hub"), "lists")
 
-    wanted = bounded(met.select(F.col("node").alias("doc_id")).distinct())
-    sets = stored(whole_sets(docs.join(wanted, "doc_id", "semi")).dropDuplicates(["node", "shingles"]), "sets")
+    # every node and the hubs that it meets
     sizes = keyed.select(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"))
-
-    # first every node and the hub that it meets in most lists, then the other hubs of different groups
-    stars = met.filter("node <> hub").groupBy("node", "n", "hub").count().join(sizes, "hub")
-    stars = stored(stars.filter(may_link(F.col("n"), F.col("hub_n"), percent)), "stars")
-    best = stars.groupBy("node").agg(F.max_by("hub", "count").alias("hub"))
-    links = stored(proven(best.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets, percent), "proven")
-    for candidates in (lambda of: other_hubs(stars, of), lambda of: cross_pairs(met, of, percent)):
-        of = stored(components(links), "groups")
-        links = links.union(stored(proven(candidates(of), sets, percent), "proven"))
-    return links
-
-
-def other_hubs(stars: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of a node and a hub that are in different groups so far."""
-    of_hub = groups.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    both = stars.select("node", "hub").join(groups, "node", "left").join(of_hub, "hub", "left")
-    apart = F.coalesce("label", "node") != F.coalesce("hub_label", "hub")
-    return both.filter(apart).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = met.filter("node <> hub").select("node", "n", "hub").distinct().join(sizes, "hub")
+    stars = stars.filter(may_link(F.col("n"), F.col("hub_n"), percent)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    stars = stored(promising(stored(stars, "stars"), keyed, boundary, percent), "promising")
+    links = stored(proven(stars, docs, percent), "proven")
+    # nodes of one list that are still in different groups
+    apart = stored(cross_pairs(met, stored(components(links), "groups"), percent), "apart")
+    apart = stored(promising(apart, keyed, boundary, percent), "promising")
+    return links.union(stored(proven(apart, docs, percent), "proven"))
 
 
 def cross_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:

@@ -122,7 +122,7 @@ def judged_urls(
     kinds = [F.count_if(F.col("by_rule") == v).cast("double") for v in ("allow", "block")]
     seeds = ruled.filter("host <> '' and rule is not null").groupBy("host").agg(kinds[0].alias("allowed"), kinds[1].alias("blocked"))
     ranks = reputations(seeds, host_links(pages), config)
-    share = F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), DIGITS)
+    share = F.round(F.try_divide(F.col("distrust"), F.col("trust") + F.col("distrust")), DIGITS)
     bad = ranks.filter(share >= config.block_share).select("host", F.lit(True).alias("bad"))
     out = ruled.select("page_id", "host", "path", "rule", "by_rule").join(bad, "host", "left")
     verdict = F.coalesce("by_rule", F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow")))
