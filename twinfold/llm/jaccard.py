@@ -345,3 +345,12 @@ def cross_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     other = mixed_lists.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
     pairs = mixed_lists.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")))
     return pairs.filter(may_link(F.col("n"), F.col("m"), percent)).select(F.col("node").alias("a"), "b").distinct()
+
+
+def one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is the least of their group, with all their columns.
+
+    Rows with a null id stay: they are no known document's copy. So do all rows that carry the least id.
+    """
+    groups = linked_groups(docs, percent=percent).filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(bounded(stored(groups, "copies")), "doc_id", "left_anti").select(*docs.columns)

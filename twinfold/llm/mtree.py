@@ -218,7 +218,8 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
                 away = distances(points, np.append(query, 0.0))
                 open_ = [c for c in np.flatnonzero(radii >= 0).tolist() if space.best_score(query, away[c] - radii[c]) >= floor]
                 open_ = [c for c in open_ if c != first_cell(query)]
-                yield pd.DataFrame({"qkey": qkey, "v": [v] * len(open_), "cell": open_, "floor": floor})
+                if open_:
+                    yield pd.DataFrame({"qkey": qkey, "v": [v] * len(open_), "cell": open_, "floor": floor})
 
     routed_schema = "qkey string, v array<bigint>, cell int, floor double"
     first = searched(wanted.mapInPandas(route_first, routed_schema), trees, trees_of, space, k + 1)
