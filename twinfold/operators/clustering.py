@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinfold.functions.columns import ID_COL, LABEL_COL, MATCH_COL, require_new_column
-from twinfold.operators.cohort import complement_rows, union_all
+from twinfold.functions.columns import ID_COL, LABEL_COL, MATCH_COL, euclidean_to, require_new_column, round_half_up
+from twinfold.operators.cohort import BROADCAST_IDS, complement_rows, union_all
 from twinfold.operators.distance import (
     DIST_COL,
     nearest_overall_condition,
@@ -18,6 +19,7 @@ from twinfold.operators.distance import (
     with_distance,
     with_in_cluster_distance,
 )
+from twinfold.operators.ranking import top_n_per_group
 
 CLUSTER_COL = "cluster_id"
 CLUSTER_FEATURES = "cluster_features"
@@ -41,11 +43,6 @@ def centres_of(model: KMeansModel) -> dict[int, list[float]]:
     return {i: [float(x) for x in c] for i, c in enumerate(model.clusterCenters())}
 
 
-def centre_table(model: KMeansModel, spark) -> DataFrame:
-    """Centres as a table ``(cluster_id, centre)``."""
-    return spark.createDataFrame(list(centres_of(model).items()), f"{CLUSTER_COL} int, centre array<double>")
-
-
 def cluster_rows(
     df: DataFrame,
     columns: Sequence[str],
@@ -80,17 +77,78 @@ def similar_controls(
     return chosen.select(controls.columns)
 
 
+def similar_controls_by_cluster(
+    controls: DataFrame,
+    clustered: DataFrame,
+    columns: Sequence[str],
+    centres: Mapping[int, Sequence[float]],
+    shares: Mapping[int, float],
+    match_col: str = MATCH_COL,
+    id_col: str = ID_COL,
+    cluster_col: str = CLUSTER_COL,
+) -> DataFrame:
+    """The controls that :func:`similar_controls` takes for every cluster, with the cluster, in one pass over them.
+
+    ``clustered`` holds the cases with their cluster; a match id has one case. Each control gets its case's cluster and its
+    distance to that centre. The number to keep per match group is counted for all clusters at once.
+    """
+    require_new_column(controls, cluster_col, "_similar_dist")
+    of_match = clustered.select(match_col, cluster_col).distinct()
+    if of_match.count() <= BROADCAST_IDS:
+        of_match = F.broadcast(of_match)
+    rows = controls.join(of_match, match_col)
+    dist = reduce(
+        lambda rest, item: F.when(F.col(cluster_col) == item[0], euclidean_to(columns, item[1])).otherwise(rest),
+        centres.items(),
+        F.lit(None).cast("double"),
+    )
+    sizes = rows.groupBy(cluster_col, match_col).agg(F.count(F.lit(1)).alias("n")).groupBy(cluster_col)
+    found = sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups")).collect()
+    keep = {r[cluster_col]: round_half_up(r["rows"] / r["groups"] * shares[r[cluster_col]]) for r in found}
+    if not any(keep.values()):
+        return rows.select(*controls.columns, cluster_col).limit(0)
+    keyed = rows.withColumn("_similar_dist", dist)
+    # first the most that any cluster keeps, which cuts large groups in the map tasks, then each cluster's own number
+    order = Window.partitionBy(match_col).orderBy("_similar_dist", id_col)
+    wanted = reduce(lambda rest, item: F.when(F.col(cluster_col) == item[0], item[1]).otherwise(rest), keep.items(), F.lit(0))
+    most = top_n_per_group(keyed, max(keep.values()), match_col, ["_similar_dist", id_col])
+    chosen = most.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= wanted)
+    return chosen.select(*controls.columns, cluster_col)
+
+
+def mark_near(
+    test: DataFrame,
+    columns: Sequence[str],
+    centre: Sequence[float],
+    share: float,
+    id_col: str = ID_COL,
+    near_col: str = "near",
+    n_rows: int | None = None,
+) -> DataFrame:
+    """Test rows with a boolean column: whether they are among the given share nearest to the centre.
+
+    Every row has a value; rows without a distance come last and are rarely near.
+    """
+    dist = "_near_dist"
+    require_new_column(test, dist, near_col)
+    condition = nearest_overall_condition(test, columns, centre, share, id_col, dist, n_rows)
+    return with_distance(test, columns, centre, dist).withColumn(near_col, condition).drop(dist)
+
+
 def split_test_rows(
     test: DataFrame, columns: Sequence[str], centre: Sequence[float], share: float, id_col: str = ID_COL
 ) -> tuple[DataFrame, DataFrame]:
-    """Test rows near a cluster's centre, and all the others."""
-    dist = "_near_dist"
-    condition = nearest_overall_condition(test, columns, centre, share, id_col, dist)
-    keyed = with_distance(test, columns, centre, dist)
-    return keyed.filter(condition).drop(dist), keyed.filter(~condition).drop(dist)
+    """Test rows near a cluster's centre, and all the others: together every row once."""
+    marked = mark_near(test, columns, centre, share, id_col, "_near")
+    return marked.filter("_near").drop("_near"), marked.filter("not _near").drop("_near")
+
+
+def zero_far(scored: DataFrame, near_col: str = "near", score_col: str = "prob_1") -> DataFrame:
+    """Scores of the near rows; every other row counts as negative, with score 0. One pass, no join."""
+    return scored.withColumn(score_col, F.when(F.col(near_col), F.col(score_col)).otherwise(0.0))
 
 
 def with_discarded(predictions: DataFrame, entire: DataFrame, id_col: str = ID_COL, score_col: str = "prob_1") -> DataFrame:
-    """Predictions of the near rows plus every other test row with score 0."""
+    """Predictions of the near rows plus every other test row with score 0, when only the near rows were scored."""
     rest = complement_rows(entire, predictions, id_col).withColumn(score_col, F.lit(0.0))
     return union_all([predictions, rest.select(predictions.columns)])

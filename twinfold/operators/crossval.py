@@ -57,6 +57,15 @@ def param_table(spark, param_maps: Sequence[Mapping[Param, Any]]) -> DataFrame:
     return spark.createDataFrame(rows, T.StructType(fields))
 
 
+def _columns_read(estimator: Estimator, dataset: DataFrame) -> list[str]:
+    """Columns that the estimator's params name, such as features, label and weight; all columns when it has no
+    features and label column of its own, as a pipeline."""
+    if not (hasattr(estimator, "getFeaturesCol") and hasattr(estimator, "getLabelCol")):
+        return dataset.columns
+    named = {estimator.getOrDefault(p) for p in estimator.params if p.name.endswith("Col") and estimator.isDefined(p)}
+    return [c for c in dataset.columns if c in named]
+
+
 def _stack_scores(rows: DataFrame, models: Mapping[int, Model], label: str, prediction: str) -> DataFrame:
     """Every row once per model with that model's positive score, in one pass over the rows."""
     scored, names, kind = rows, rows.columns, None
@@ -81,6 +90,10 @@ class FoldCrossValidatorModel(CrossValidatorModel):
         self.foldMetrics = foldMetrics
         self.bestIndex = bestIndex
 
+    def write(self):
+        """Refused: the parent's writer holds neither the tables of metrics nor the fold column."""
+        raise NotImplementedError("save bestModel and write avgMetrics as a table instead")
+
     def copy(self, extra: Mapping | None = None) -> FoldCrossValidatorModel:
         """Copy with a copied best model; the metric tables are shared."""
         return FoldCrossValidatorModel(
@@ -157,10 +170,7 @@ class FoldCrossValidator(CrossValidator):
         fold_col = self.getOrDefault(self.stratifyCol)
         n_folds = validate_folds(dataset, fold_col)
         estimator, param_maps, evaluator = self.getEstimator(), self.getEstimatorParamMaps(), self.getEvaluator()
-        if hasattr(estimator, "getFeaturesCol") and hasattr(estimator, "getLabelCol"):
-            data = dataset.select(estimator.getFeaturesCol(), estimator.getLabelCol(), fold_col)
-        else:
-            data = dataset
+        data = dataset.select(*{**dict.fromkeys(_columns_read(estimator, dataset)), fold_col: None})
         cached = not dataset.is_cached
         if cached:
             data = data.persist(StorageLevel.MEMORY_AND_DISK)
@@ -241,6 +251,10 @@ class FoldCrossValidator(CrossValidator):
             for name, s in wanted
         ]
 
+    def write(self):
+        """Refused: the parent's reader cannot restore the fold column."""
+        raise NotImplementedError("build the validator anew; its parts can be saved")
+
     def getBestModelParams(self) -> dict[str, Any] | str:
         """Parameters chosen by the last ``fit``."""
         if self.bestIndex is None:

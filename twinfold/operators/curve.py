@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import LABEL_COL, positive_score, quantised
@@ -47,13 +49,30 @@ def curve_from_counts(
     ``tps`` counts the positives with a score of at least the threshold. ``with_rank`` adds the
     zero-based rank of the score, highest first.
     """
-    totals = running_totals(counts, "score", {"n_pos": "tps", "n_rows": "_seen"}, by, bounds=bounds)
+    sums = {"n_pos": "tps", "n_rows": "_seen"}
+    if with_rank:
+        counts, sums = counts.withColumn("_one", F.lit(1).cast("bigint")), {**sums, "_one": "_place"}
+    totals = running_totals(counts, "score", sums, by, bounds=bounds)
     columns = [*by, "score", "tps", (F.col("_seen") - F.col("tps")).alias("fps")]
     if with_rank:
-        columns.append((F.dense_rank().over(Window.partitionBy(*by).orderBy(F.desc("score"))) - 1).alias("rank"))
+        columns.append((F.col("_place") - 1).cast("int").alias("rank"))
     return totals.select(*columns)
 
 
+def _with_totals(df: DataFrame, by: Sequence[str], **totals: Column) -> DataFrame:
+    """``df`` with aggregates over each ``by`` group as further columns.
+
+    The aggregates combine map-side and are joined back, so a group of any number of rows never meets in one task, as it
+    would in a window.
+    """
+    if not by:
+        return df.withColumns({name: df.agg(total).scalar() for name, total in totals.items()})
+    found = df.groupBy(*by).agg(*[t.alias(name) for name, t in totals.items()])
+    found = found.withColumnsRenamed({c: f"_k_{c}" for c in by})
+    same = reduce(and_, [df[c].eqNullSafe(found[f"_k_{c}"]) for c in by])
+    return df.join(found, same, "left").drop(*[f"_k_{c}" for c in by])
+
+
 def score_curve(
     df: DataFrame,
     score_col: str = "prob_1",
@@ -73,14 +92,14 @@ def pr_from_curve(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     Without positives every recall but the added one is NULL.
     """
-    everything = Window.partitionBy(*by)
     tps, fps = F.col("tps"), F.col("fps")
-    totals = curve.select(
+    whole = _with_totals(curve, by, _all=F.max("tps"), _least=F.min(tps + fps))
+    totals = whole.select(
         *by,
         (tps / (tps + fps + F.lit(PRECISION_GUARD))).alias("precision"),
-        F.try_divide(tps, F.max("tps").over(everything)).alias("recall"),
+        F.try_divide(tps, F.col("_all")).alias("recall"),
         # the threshold that selects the fewest rows carries the added point
-        ((tps + fps) == F.min(tps + fps).over(everything)).alias("_first"),
+        ((tps + fps) == F.col("_least")).alias("_first"),
     )
     added = F.struct(F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     own = F.struct("precision", "recall")
@@ -109,15 +128,16 @@ def precision_at_recalls(curve: DataFrame, recalls: Sequence[float], by: Sequenc
     diffs = curve.select(*by, "precision", F.col("recall").alias("_reached"), wanted).withColumn(
         "_diff", F.abs(F.col("_reached") - F.col("_wanted"))
     )
-    per_recall = Window.partitionBy(*by, "_wanted")
-    choice = per_recall.orderBy("_reached", F.desc("precision"))
-    nearest = diffs.withColumn("_least", F.min("_diff").over(per_recall)).filter(
-        F.abs(F.col("_diff") - F.col("_least")) < RECALL_TIE
-    )
-    return (
-        nearest.withColumn("_pick", F.row_number().over(choice))
-        .filter(F.col("_pick") == 1)
-        .select(*by, F.col("_wanted").alias("recall"), F.col("_reached").alias("reached_recall"), "precision")
+    per_recall = [*by, "_wanted"]
+    near = _with_totals(diffs, per_recall, _least=F.min("_diff")).filter(F.abs(F.col("_diff") - F.col("_least")) < RECALL_TIE)
+    # the smallest recall, then the largest precision, among the equally near
+    order = F.struct(F.col("_reached"), (-F.col("precision")).alias("_less"))
+    picked = near.groupBy(*per_recall).agg(F.min(order).alias("_pick"))
+    return picked.select(
+        *by,
+        F.col("_wanted").alias("recall"),
+        F.col("_pick._reached").alias("reached_recall"),
+        (-F.col("_pick._less")).alias("precision"),
     )
 
 

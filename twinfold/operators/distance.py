@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,13 +63,9 @@ def nearest_centre(columns: Sequence[str], centres: Mapping[int, Sequence[float]
 
 def array_centres(df: DataFrame, array_col: str, cluster_col: str, centre_col: str = "centre") -> DataFrame:
     """Mean point of every cluster of array rows: ``(cluster, centre)``, one row per cluster."""
-    means = (
-        df.select(cluster_col, F.posexplode(array_col).alias("_i", "_x"))
-        .groupBy(cluster_col, "_i")
-        .agg(F.avg("_x").alias("_m"))
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("_i", "_m")))
-    return means.groupBy(cluster_col).agg(F.transform(ordered, lambda s: s["_m"]).alias(centre_col))
+    vectors = df.select(cluster_col, array_to_vector(F.col(array_col).cast("array<double>")).alias("_v"))
+    means = vectors.groupBy(cluster_col).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+    return means.select(cluster_col, vector_to_array("_m").alias(centre_col))
 
 
 def array_in_cluster_distance(

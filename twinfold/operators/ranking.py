@@ -95,12 +95,16 @@ def with_row_index(df: DataFrame, order_by: Sequence[Column | str], index_col: s
     )
 
 
-def _at_most(keys: Sequence[str], bound: Sequence) -> Column:
-    """``(keys) <= (bound)`` in lexicographic order, as plain comparisons."""
-    result = F.lit(True)
+def _below(keys: Sequence[str], bound: Sequence, or_equal: bool) -> Column:
+    """Whether the keys come before ``bound`` (or equal it): NULL after everything, NaN after all numbers. Never NULL."""
+    result = F.lit(or_equal)
     for name, value in reversed(list(zip(keys, bound))):
         c = F.col(name)
-        result = (c < F.lit(value)) | ((c == F.lit(value)) & result)
+        if value is None:
+            before, same = c.isNotNull(), c.isNull()
+        else:
+            before, same = F.coalesce(c < F.lit(value), F.lit(False)), c.eqNullSafe(F.lit(value))
+        result = before | (same & result)
     return result
 
 
@@ -112,20 +116,22 @@ def kth_key(
     one_task_rows: int = ONE_TASK_ROWS,
     seed: int = 1,
 ) -> tuple:
-    """Exact ``k``-th smallest (1-based) key tuple. Keys must be unique and not NULL.
+    """Exact ``k``-th smallest (1-based) key tuple. NaN comes after all numbers and NULL last; keys may repeat.
 
     The range that holds the answer is narrowed with sampled bounds and exact counts until it is
-    small enough to sort in one task. Only counts and a few sampled keys reach the driver, and no
-    full row is shuffled. The result does not depend on the sample.
+    small enough to sort in one task, or one of the bounds is found to be the answer. Only counts and
+    a few sampled keys reach the driver, and no full row is shuffled. The result depends neither on
+    the sample nor on the size at which narrowing begins.
     """
     keys = list(keys)
+    order = [F.asc_nulls_last(c) for c in keys]
     rows = df.select(*keys)
     n, below, inside = rows.count() if n_rows is None else n_rows, 0, F.lit(True)
     if not 1 <= k <= n:
         raise ValueError(f"k must be between 1 and the {n} rows, not {k}")
     sample_size, halve = 4000, False
     while n > one_task_rows:
-        sample = rows.filter(inside).sample(False, min(1.0, sample_size / n), seed).orderBy(*keys).collect()
+        sample = rows.filter(inside).sample(False, min(1.0, sample_size / n), seed).orderBy(*order).collect()
         seed += 1
         at = (k - below) / n * len(sample)
         margin = 3 * math.sqrt(len(sample)) + 1
@@ -135,45 +141,51 @@ def kth_key(
         if halve or not places:
             places = [(len(sample) - 1) // 2]
         bounds = [tuple(sample[i]) for i in places]
-        flags = [_at_most(keys, b) for b in bounds]
-        counts = (
-            rows.filter(inside)
-            .agg(*[F.sum(flag.cast("bigint")).alias(f"n{i}") for i, flag in enumerate(flags)])
-            .first()
-        )
+        flags = [_below(keys, b, or_equal) for b in bounds for or_equal in (False, True)]
+        counts = rows.filter(inside).agg(*[F.count_if(flag).alias(f"n{i}") for i, flag in enumerate(flags)]).first()
         edges = [0, *counts, n]
         step = next(i for i in range(len(edges) - 1) if edges[i] < k - below <= edges[i + 1])
+        if step % 2:  # among the rows that equal a bound
+            return bounds[step // 2]
         if step > 0:
             inside = inside & ~flags[step - 1]
         if step < len(flags):
             inside = inside & flags[step]
-        halve = edges[step + 1] - edges[step] == n  # the bounds cut nothing off
+        halve = edges[step + 1] - edges[step] > n // 2  # the bounds cut off little
         below, n = below + edges[step], edges[step + 1] - edges[step]
-    nearest = rows.filter(inside).orderBy(*keys).limit(k - below)
-    return tuple(nearest.agg(F.max(F.struct(*keys)).alias("key")).first().key)
+    return tuple(rows.filter(inside).orderBy(*order).offset(k - below - 1).limit(1).first())
 
 
 def smallest_fraction(df: DataFrame, keys: Sequence[str], fraction: float, n_rows: int | None = None) -> Column:
-    """Condition that holds for the ``round(rows * fraction)`` rows with the smallest keys."""
+    """Condition that holds for the ``round(rows * fraction)`` rows with the smallest keys; never NULL.
+
+    NULL keys come last. Rows with equal keys stay together: where keys repeat across the border, all
+    rows of the border key are in.
+    """
     n = df.count() if n_rows is None else n_rows
     k = round_half_up(n * fraction)
     if k <= 0:
         return F.lit(False)
     if k >= n:
         return F.lit(True)
-    return _at_most(list(keys), kth_key(df, keys, k, n))
+    return _below(list(keys), kth_key(df, keys, k, n), True)
 
 
 def quantile_bounds(
     df: DataFrame, column: str | Column, buckets: int = 256, one_task_rows: int = ONE_TASK_ROWS
 ) -> list[float]:
-    """Ascending, distinct bucket bounds of a numeric column (at most ``buckets - 1`` numbers).
+    """Ascending, distinct bucket bounds of a numeric column, without NaN.
 
-    One pass over the rows, without a shuffle. Empty when the table is small enough to need no buckets.
+    Their number grows with the table, from ``buckets`` to 16 times as many, so that a bucket stays a
+    task's work. Empty when the table is small enough to need no buckets. No shuffle.
     """
+    n = df.count()
+    if n <= one_task_rows:
+        return []
+    buckets = min(16 * buckets, max(buckets, 4 * n // one_task_rows))
     shares = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(column, shares, 10 * buckets).alias("q")).first()
-    return sorted(set(row.q or [])) if row.n > one_task_rows else []
+    found = df.agg(F.percentile_approx(column, shares, 10 * buckets)).first()[0]
+    return sorted({x for x in found or [] if not math.isnan(x)})
 
 
 def running_totals(
@@ -235,16 +247,8 @@ def exact_percentile(df: DataFrame, column: str, share: float, one_task_rows: in
         return values.agg(F.percentile("_v", share)).first()[0]
     at = (n - 1) * share
     low = math.floor(at)
-    first = _kth_value(values, low + 1, one_task_rows)
+    first = kth_key(values, ["_v"], low + 1, n, one_task_rows)[0]
     if at == low:
         return first
-    second = _kth_value(values, low + 2, one_task_rows)
+    second = kth_key(values, ["_v"], low + 2, n, one_task_rows)[0]
     return first + (second - first) * (at - low)
-
-
-def _kth_value(values: DataFrame, k: int, one_task_rows: int) -> float:
-    """Exact ``k``-th smallest of a column that may repeat values."""
-    counts = values.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
-    bounds = quantile_bounds(values, "_v", one_task_rows=one_task_rows)
-    totals = running_totals(counts, "_v", {"_n": "_upto"}, descending=False, bounds=bounds)
-    return totals.filter(F.col("_upto") >= k).agg(F.min("_v")).first()[0]

@@ -13,11 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import ID_COL, LABEL_COL, MATCH_COL, flag_columns, label_as_double, predictor_columns
-from twinfold.operators.clustering import CLUSTER_COL, assemble, centres_of, cluster_rows, similar_controls
+from twinfold.operators.clustering import (
+    CLUSTER_COL,
+    assemble,
+    centres_of,
+    cluster_rows,
+    mark_near,
+    similar_controls_by_cluster,
+    zero_far,
+)
 from twinfold.operators.cohort import union_all
 from twinfold.operators.crossval import CV_METRIC, FoldCrossValidator, mark_best
 from twinfold.operators.curve import metrics_by_scope
-from twinfold.operators.distance import DIST_COL, cluster_shares, nearest_overall_condition, with_distance
+from twinfold.operators.distance import DIST_COL, cluster_shares
 from twinfold.operators.evaluator import AT_RECALL, PrecisionRecallEvaluator
 from twinfold.operators.folds import assign_folds, attach_folds, fold_table
 from twinfold.operators.scores import SCORE_COL, score_with
@@ -107,6 +115,9 @@ def cluster_then_classify(
     manifest = run_manifest({"n_rows_pos": pos, "n_rows_neg": neg, "n_rows_ss": ss}, asdict(config))
     write_results(manifest, f"{out}/manifest", fmt="json")
 
+    bad = pos.filter(~F.col(LABEL_COL).eqNullSafe(1.0)).limit(1).count()
+    if bad:
+        raise ValueError("every row of the case table must have label 1")
     tagged = materialise(
         tag_eval_folds(pos, neg, ss, config.n_eval_folds, config.seed), "eval-folds", (EVAL_FOLD,)
     )
@@ -122,10 +133,15 @@ def cluster_then_classify(
         clustered, centres = materialise(clustered, "clustered-cases"), centres_of(model)
         shares = {r[CLUSTER_COL]: r for r in cluster_shares(clustered).collect()}
 
+        ratios = {c: r["share"] for c, r in shares.items()}
+        chosen = similar_controls_by_cluster(controls, clustered, flags, centres, ratios)
+        chosen = materialise(chosen, "similar-controls", (CLUSTER_COL,))
+
         def step(cluster: int) -> None:
-            own = clustered.filter(F.col(CLUSTER_COL) == cluster).drop(CLUSTER_COL, DIST_COL)
+            here = F.col(CLUSTER_COL) == cluster
+            own, near = clustered.filter(here).drop(CLUSTER_COL, DIST_COL), chosen.filter(here).drop(CLUSTER_COL)
             n_test, row = test_sizes.get(fold, 0), shares[cluster]
-            _one_cluster(own, controls, test, n_test, centres[cluster], row, fold, predictors, flags, config, out)
+            _one_cluster(own, near, test, n_test, centres[cluster], row, fold, predictors, flags, config, out)
 
         with ThreadPool(config.cluster_threads) as pool:
             pool.map(inheritable_thread_target(spark)(step), sorted(shares), chunksize=1)
@@ -159,8 +175,7 @@ def _one_cluster(
     """Train the classifier of one cluster and write its predictions, grid metrics and row counts."""
     cluster, share = share_row[CLUSTER_COL], share_row["share"]
     key = {"fold": fold, "cluster": cluster}
-    chosen = similar_controls(controls, own, flags, centre, share)
-    train = assemble(union_all([own, align_columns(chosen, own)]), predictors)
+    train = assemble(union_all([own, align_columns(controls, own)]), predictors)
     train = materialise(assign_folds(train, config.n_cv_folds, fold_col=CV_FOLD, seed=config.seed), "train")
     n_train = train.count()
     classifier = LogisticRegression(
@@ -182,17 +197,10 @@ def _one_cluster(
     write_results(mark_best(fitted.avgMetrics, CV_METRIC + AT_RECALL), run_path(f"{out}/cv_metrics", key))
 
     # rows far from the centre count as negative: score 0
-    near = nearest_overall_condition(test, flags, centre, share, ID_COL, "_near_dist", n_test)
-    rows = with_distance(test, flags, centre, "_near_dist").withColumn("_near", near)
-    vectors = assemble(rows, predictors, keep=(MATCH_COL, LABEL_COL, ID_COL, "_near"))
-    scored = score_with(vectors, fitted.bestModel)
-    predictions = scored.select(
-        ID_COL,
-        MATCH_COL,
-        LABEL_COL,
-        F.col("_near").alias("near"),
-        F.when(F.col("_near"), F.col(SCORE_COL)).otherwise(0.0).alias(SCORE_COL),
-    )
+    rows = mark_near(test, flags, centre, share, n_rows=n_test)
+    vectors = assemble(rows, predictors, keep=(MATCH_COL, LABEL_COL, ID_COL, "near"))
+    scored = zero_far(score_with(vectors, fitted.bestModel))
+    predictions = scored.select(ID_COL, MATCH_COL, LABEL_COL, "near", SCORE_COL)
     write_results(predictions, run_path(f"{out}/predictions", key))
 
     counts = own.sparkSession.createDataFrame(

@@ -141,17 +141,15 @@ def _outer_fold(tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageC
     key = {OUTER: sim}
     inner = inner_fold_table(outer, sim, config.n_inner, config.seed)
     train = tagged.filter((F.col(OUTER) != sim) & (F.col(PART) == STUDY)).drop(OUTER, PART)
-    train = materialise(train.join(inner, MATCH_COL, "left").fillna(-1, [INNER]), "inner-folds").persist()
-    try:
-        fit = inheritable_thread_target(tagged.sparkSession)(lambda j: _fit(train.filter(F.col(INNER) != j), config))
-        with ThreadPool(min(config.parallelism, config.n_inner)) as pool:
-            models = pool.map(fit, range(config.n_inner))
-        # one pass: every training row with the score of every inner model
-        scored, names = score_with_all(train, models)
-        all_scores = F.array(*[F.col(n) for n in names])
-        scored = materialise(scored.withColumn("_scores", all_scores).drop(*names), "first-stage")
-    finally:
-        train.unpersist()
+    # the fits read the stored rows and keep their own blocks: no further copy in memory
+    train = materialise(train.join(inner, MATCH_COL, "left").fillna(-1, [INNER]), "inner-folds")
+    fit = inheritable_thread_target(tagged.sparkSession)(lambda j: _fit(train.filter(F.col(INNER) != j), config))
+    with ThreadPool(min(config.parallelism, config.n_inner)) as pool:
+        models = pool.map(fit, range(config.n_inner))
+    # one pass: every training row with the score of every inner model
+    scored, names = score_with_all(train, models)
+    all_scores = F.array(*[F.col(n) for n in names])
+    scored = materialise(scored.withColumn("_scores", all_scores).drop(*names), "first-stage")
     held_out = held_out_scores(scored)
 
     tested = materialise(

@@ -13,7 +13,13 @@ from pyspark.sql import types as T
 from twinfold.functions import columns as fx
 from twinfold.operators import cohort as co
 from twinfold.operators import crossval, curve, distance, folds, ranking, scores
-from twinfold.operators.clustering import assemble, cluster_rows, similar_controls, split_test_rows, with_discarded
+from twinfold.operators.clustering import (
+    assemble,
+    cluster_rows,
+    similar_controls_by_cluster,
+    split_test_rows,
+    with_discarded,
+)
 from twinfold.operators.evaluator import PrecisionRecallEvaluator
 from twinfold.plans.cleaning import clean_cohort
 from twinfold.plans.cluster_flow import ClusterFlowConfig, cluster_then_classify, flow_metrics, tag_eval_folds
@@ -563,12 +569,8 @@ def similar_controls_per_cluster(spark, folder):
     controls = rows.filter(F.col("label") == 0)
     cases = rows.filter(F.col("label") == 1).withColumn("cluster_id", distance.nearest_centre(oc.FLAGS, oc.CENTRES))
     shares = {r.cluster_id: r.share for r in distance.cluster_shares(cases).collect()}
-    parts = []
-    for cluster, share in sorted(shares.items()):
-        own = cases.filter(F.col("cluster_id") == cluster)
-        chosen = similar_controls(controls, own, oc.FLAGS, oc.CENTRES[cluster], share)
-        parts.append(chosen.select(F.lit(cluster).alias("cluster_id"), "matched_positive_id", "patid"))
-    return co.union_all(parts)
+    chosen = similar_controls_by_cluster(controls, cases, oc.FLAGS, oc.CENTRES, shares)
+    return chosen.select("cluster_id", "matched_positive_id", "patid")
 
 
 @register(
@@ -902,7 +904,7 @@ def stratified_cv(spark, folder):
     rows = assemble(study(oc.cohort(spark, folder)), ALL_FEATURES)
     tagged = materialise(folds.assign_folds(rows, 5, seed=SEED), "cv-rows")
     lr = LogisticRegression(maxIter=100_000, standardization=True)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).addGrid(lr.elasticNetParam, [0.0, 0.5]).build()
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1, 1.0, 10.0]).addGrid(lr.elasticNetParam, [0.0, 0.5, 1.0]).build()
     validator = crossval.FoldCrossValidator(
         estimator=lr,
         estimatorParamMaps=grid,
@@ -928,5 +930,4 @@ def cluster_classify(spark, folder):
 @register("two_stage_scores")
 def two_stage_scores(spark, folder):
     """Second-stage scores of the two-stage model."""
-    config = TwoStageConfig(n_outer=2, n_inner=3)
-    return two_stage(*cohort_tables(spark, folder), config).second_stage
+    return two_stage(*cohort_tables(spark, folder)).second_stage

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,14 +41,17 @@ def configure(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder of the session for ``checkpoint()`` and written intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; a temporary folder is used only when the session
-    names none, which is the case in single-machine tests.
+    A cluster names it in ``spark.checkpoint.dir``, and it is an error not to: a folder of the driver's
+    machine would lose what executors write. A local session, where all run on one machine, gets its own.
     """
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    active = spark.sparkContext.getCheckpointDir()
+    active = context.getCheckpointDir()
     if active is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="twinfold-"))
-        active = spark.sparkContext.getCheckpointDir()
+        if not named and not re.match(r"local(\[[^,]*\])?$", context.master):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="twinfold-"))
+        active = context.getCheckpointDir()
     return named or active
 
 

@@ -55,8 +55,9 @@ def cohort(spark: SparkSession, folder: str) -> DataFrame:
     line = table(spark, folder, "lineitem")
     per_order = line.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("SYMP_CNT"),
-        F.countDistinct("l_partkey").alias("COMOR_CNT"),
-        F.countDistinct("l_suppkey").alias("NRCOMOR_CNT"),
+        # an order has few lines: sets in the buffer cost less than the copies of all rows that countDistinct makes
+        F.size(F.collect_set("l_partkey")).cast("bigint").alias("COMOR_CNT"),
+        F.size(F.collect_set("l_suppkey")).cast("bigint").alias("NRCOMOR_CNT"),
         F.sum(F.col("l_linenumber").cast("bigint")).alias("PROC_CNT"),
         F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("RETURN_FLAG"),
         F.max(F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("OPEN_FLAG"),
