@@ -58,7 +58,7 @@ class TwoStageResult:
     out_dir: str
 
 
-def _fit(rows: DataFrame, config: TwoStageConfig) -> LogisticRegressionModel:
+def fit_unpenalised(rows: DataFrame, config: TwoStageConfig) -> LogisticRegressionModel:
     """Unpenalised logistic regression with intercept."""
     return LogisticRegression(
         regParam=0.0, maxIter=config.max_iter, featuresCol="features", labelCol=LABEL_COL
@@ -143,7 +143,7 @@ def _outer_fold(tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageC
     train = tagged.filter((F.col(OUTER) != sim) & (F.col(PART) == STUDY)).drop(OUTER, PART)
     # the fits read the stored rows and keep their own blocks: no further copy in memory
     train = materialise(train.join(inner, MATCH_COL, "left").fillna(-1, [INNER]), "inner-folds")
-    fit = inheritable_thread_target(tagged.sparkSession)(lambda j: _fit(train.filter(F.col(INNER) != j), config))
+    fit = inheritable_thread_target(tagged.sparkSession)(lambda j: fit_unpenalised(train.filter(F.col(INNER) != j), config))
     with ThreadPool(min(config.parallelism, config.n_inner)) as pool:
         models = pool.map(fit, range(config.n_inner))
     # one pass: every training row with the score of every inner model
@@ -170,7 +170,7 @@ def _outer_fold(tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageC
         raise ValueError(f"outer fold {sim} has no case among its training rows")
     train2 = second_stage_features(held_out.drop(INNER), cut)
     test2 = second_stage_features(tested, cut, keep=(MATCH_COL, ID_COL, LABEL_COL, PART))
-    model = _fit(train2, config)
+    model = fit_unpenalised(train2, config)
     second = union_all(
         [
             score_with(train2, model).withColumn("set", F.lit("train")).select(*columns),
