@@ -31,6 +31,7 @@ PERCENT = 80
 COMMON_SHINGLES = 200_000
 COUNTED_TOGETHER = 2_000_000
 BROADCAST_ROWS = 1_000_000
+HUB_ROUNDS = 3
 WORD_CACHE = 300_000
 CACHED_WORD_BYTES = 64
 BOUNDARIES = (0, 8, 12, 16, 24, 32, 48, 64)
@@ -90,16 +91,16 @@ def ordered(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.n
 
 
 def entries(first: np.ndarray, n: int, boundary: int, percent: int = PERCENT) -> np.ndarray:
-    """Keys under which a set is entered, from its shingles in order."""
+    """Keys under which a set is entered, from its shingles in order: even for a pair of shingles, odd for one."""
     spare = n - least_shared(n, percent)
     keys = []
     with np.errstate(over="ignore"):
         if n <= boundary:
             some = first[: spare + 2]
             i, j = np.triu_indices(len(some), 1)
-            keys.append(mixed(some[i] * _MULTIPLIER + some[j]))
+            keys.append(mixed(some[i] * _MULTIPLIER + some[j]) & ~np.uint64(1))
         if n > boundary or 100 * n >= percent * (boundary + 1):
-            keys.append(mixed(first[: spare + 1] + _SHORT))
+            keys.append(mixed(first[: spare + 1] + _SHORT) | np.uint64(1))
     return np.unique(np.concatenate(keys))
 
 
@@ -240,31 +241,45 @@ def both_sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs
 
 
-def promising(pairs: DataFrame, keyed: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that may link by their entries alone.
+def may_reach(n: Column, m: Column, singles: Column, pairs: Column, boundary: int, percent: int) -> Column:
+    """Whether two sets may link by their sizes and the numbers of keys that they have in common.
 
-    Of the shared shingles at most as many as lie behind the first ones of one of the two sets are missing among the first
-    ones of both, so ``n - spare - 1`` and the entries in common bound what two sets share. Two small sets stay.
+    What two sets share is at most what the first shingles of both have in common and what lies behind the first ones of
+    the larger set. Small sets that have ``s`` first shingles in common meet under ``s (s - 1) / 2`` pairs.
     """
+    both_small = F.greatest(n, m) <= boundary
+    of_pairs_ = F.floor((1 + F.sqrt(1 + 8 * pairs)) / 2)
+    behind = F.ceil(percent * F.greatest(n, m) / 100)
+    most = behind + F.when(both_small, of_pairs_ - 2).otherwise(singles - 1)
+    return may_link(n, m, percent) & ((100 + percent) * most >= percent * (n + m))
+
+
+def odd(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(1)) == 1
+
+
+def promising(pairs: DataFrame, keyed: DataFrame, boundary: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that may link by their entries."""
     few = keyed.join(of_pairs(pairs), "doc_id", "semi").select(F.col("doc_id").alias("node"), "n", "keys")
-    both = both_sides(pairs, few)
-    n, m = F.col("of_a.n"), F.col("of_b.n")
-    in_common = F.size(F.array_intersect("of_a.keys", "of_b.keys"))
-    behind = F.ceil(percent * F.greatest(n, m) / 100) - 1
-    enough = (100 + percent) * (in_common + behind) >= percent * (n + m)
-    kept = both.filter(may_link(n, m, percent) & (enough | (F.greatest(n, m) <= boundary)))
-    return kept.select("a", "b").distinct()
-
-
-def proven(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a, b`` whose whole sets link. Only the texts of these nodes are read again."""
-    sets = whole_sets(docs.join(of_pairs(pairs), "doc_id", "semi"))
-    both = both_sides(pairs, sets)
+    both = both_sides(pairs, few).withColumn("_common", F.array_intersect("of_a.keys", "of_b.keys"))
+    singles = F.size(F.filter("_common", odd))
+    reach = may_reach(F.col("of_a.n"), F.col("of_b.n"), singles, F.size("_common") - singles, boundary, percent)
+    return both.filter(reach).select("a", "b").distinct()
+
+
+def proven(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b`` whose whole sets link."""
+    both = both_sides(pairs, sets.join(of_pairs(pairs).withColumnRenamed("doc_id", "node"), "node", "semi"))
     shared = F.size(F.array_intersect("of_a.shingles", "of_b.shingles"))
     union = F.size("of_a.shingles") + F.size("of_b.shingles") - shared
     return both.filter(100 * shared >= percent * union).select("a", "b").distinct()
 
 
+def sets_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Whole sets of the nodes in the pairs, from their texts read again."""
+    return whole_sets(docs.join(of_pairs(pairs), "doc_id", "semi"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` of every node of the undirected links ``a, b``: the least node that can be reached.
 
@@ -330,21 +345,44 @@ def class_links(
     stars = met.filter("node <> hub").select("node", "n", "hub").distinct().join(sizes, "hub")
     stars = stars.filter(may_link(F.col("n"), F.col("hub_n"), percent)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     stars = stored(promising(stored(stars, "stars"), keyed, boundary, percent), "promising")
-    links = stored(proven(stars, docs, percent), "proven")
-    # nodes of one list that are still in different groups
-    apart = stored(cross_pairs(met, stored(components(links), "groups"), percent), "apart")
-    apart = stored(promising(apart, keyed, boundary, percent), "promising")
-    return links.union(stored(proven(apart, docs, percent), "proven"))
-
-
-def cross_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes that share a list, are in different groups so far, and may link by their sizes."""
+    sets = stored(sets_of(stars, docs), "sets")
+    links = stored(proven(stars, sets, percent), "proven")
+    # near copies that do not link with the least one meet further hubs, another in each round
+    for turn in range(1, HUB_ROUNDS):
+        pairs = other_hubs(met, stored(components(links), "groups"), sets.select("node"), turn, percent)
+        pairs = stored(promising(stored(pairs, "stars"), keyed, boundary, percent), "promising")
+        links = links.union(stored(proven(pairs, sets, percent), "proven"))
+    # all nodes of one list that are still in different groups
+    apart = stored(cross_pairs(met, stored(components(links), "groups"), boundary, percent), "apart")
+    return links.union(stored(proven(apart, stored(sets_of(apart, docs), "sets"), percent), "proven"))
+
+
+def with_groups(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """The entries of lists whose nodes are in different groups, with the group of each as ``label``."""
     known = met.join(groups, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
     split = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    mixed_lists = stored(known.join(split.select("key"), "key", "semi"), "mixed")
+    return stored(known.join(split.select("key"), "key", "semi"), "mixed")
+
+
+def other_hubs(met: DataFrame, groups: DataFrame, nodes: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of a node and its list's hub of this turn, if they are in different groups; among ``nodes`` only, the others
+    are left to :func:`cross_pairs`."""
+    mixed_lists = with_groups(met.join(nodes.distinct(), "node", "semi"), groups)
+    place = F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), F.col("node").alias("hub"), F.col("n").alias("m"), F.col("label").alias("of_hub"))
+    hubs = mixed_lists.groupBy("key").agg(F.min(place).alias("_hub")).select("key", "_hub.hub", "_hub.m", "_hub.of_hub")
+    pairs = mixed_lists.join(hubs, "key").filter(F.col("label") != F.col("of_hub"))
+    return pairs.filter(may_link(F.col("n"), F.col("m"), percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+def cross_pairs(met: DataFrame, groups: DataFrame, boundary: int, percent: int) -> DataFrame:
+    """Pairs of nodes that share lists, are in different groups so far, and may link by sizes and shared lists."""
+    mixed_lists = with_groups(met, groups)
     other = mixed_lists.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
-    pairs = mixed_lists.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")))
-    return pairs.filter(may_link(F.col("n"), F.col("m"), percent)).select(F.col("node").alias("a"), "b").distinct()
+    both = mixed_lists.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")))
+    met_in = both.filter(may_link(F.col("n"), F.col("m"), percent)).groupBy(F.col("node").alias("a"), "b", "n", "m")
+    counts = met_in.agg(F.count_if(odd(F.col("key"))).alias("singles"), F.count(F.lit(1)).alias("all"))
+    reach = may_reach(F.col("n"), F.col("m"), F.col("singles"), F.col("all") - F.col("singles"), boundary, percent)
+    return counts.filter(reach).select("a", "b")
 
 
 def one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
