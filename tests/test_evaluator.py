@@ -11,6 +11,7 @@ from twinfold.operators import curve as C
 from twinfold.operators.evaluator import PrecisionRecallEvaluator
 from twinfold.operators.ranking import quantile_bounds
 
+# The seven scored rows by which evaluators of this kind are commonly shown.
 SEVEN = [(0.1, 0.0), (0.1, 1.0), (0.4, 0.0), (0.6, 0.0), (0.6, 1.0), (0.6, 1.0), (0.8, 1.0)]
 
 
@@ -194,3 +195,11 @@ def test_grouped_metrics_equal_single_ones(spark):
         for entry in ev.evaluateWithSeveralMetrics(df.filter(f"g = {g}")):
             (name, value), = entry.items()
             assert got[g, name] == pytest.approx(value) and not math.isnan(value)
+
+
+def test_unrounded_curves_gather_no_group_in_one_task(spark):
+    df = scored(spark, [(i / 997, i % 3 == 0) for i in range(900)])
+    curve = C.precision_at_recalls(C.pr_from_curve(C.curve_from_counts(C.score_counts(df, digits=None))), [0.1, 0.5])
+    plan = C.pr_from_curve(spark.range(5).selectExpr("id AS tps", "id AS fps", "id / 7 AS score"))
+    assert "Window" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert curve.count() == 2

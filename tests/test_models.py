@@ -118,26 +118,6 @@ def test_second_stage(spark):
     assert got == {i: [float(i), pytest.approx(math.log10(i / 10))] for i in (7, 8, 9)}
 
 
-def test_cross_validation_example(spark):
-    """Five points in five folds: the folds have one class each, so no model separates them."""
-    data = spark.createDataFrame(
-        [(Vectors.dense([x]), y, f) for x, y, f in [(0.0, 0.0, 0), (0.4, 1.0, 1), (0.5, 0.0, 2), (0.6, 1.0, 3), (1.0, 1.0, 4)]] * 10,
-        ["features", "label", "foldID"],
-    )
-    lr = LogisticRegression()
-    grid = ParamGridBuilder().addGrid(lr.maxIter, [0, 1]).build()
-    cv = V.FoldCrossValidator(
-        estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), stratifyCol="foldID", parallelism=4
-    )
-    assert isinstance(cv.getBestModelParams(), str)
-    model = cv.fit(data)
-    rows = model.avgMetrics.collect()
-    assert model.avgMetrics.columns == ["paramSetID", "maxIter", "metric for CV areaUnderROC"]
-    assert [r.paramSetID for r in rows] == [0, 1] and dict(model.avgMetrics.dtypes)["paramSetID"] == "int"
-    assert model.transform(data).count() == 50
-    assert cv.getBestModelParams()["maxIter"] in (0, 1) and model.copy().bestIndex == cv.bestIndex
-
-
 def manual_cv(data, est, grid, evaluator, folds):
     """Mean metric per parameter set, by plain loops."""
     table = []
@@ -279,3 +259,27 @@ def test_two_stage_flow(cohort, tmp_path):
             assert {r.patid for r in second if (r.sim, r.set) == (sim, part)} == want
     assert {(r.stage, r.set) for r in result.areas.collect()} >= {(1, "train"), (1, "held_out"), (2, "train")}
     assert result.precision.filter("scope = 'all'").count() == 1
+
+
+def test_validator_keeps_weights_and_refuses_to_be_saved(spark, tmp_path):
+    rng = random.Random(21)
+    rows = []
+    for i in range(240):
+        x, z = rng.gauss(0, 1), rng.gauss(0, 1)
+        rows.append((Vectors.dense([x, z]), float(x + rng.gauss(0, 1) > 0.4), i % 3, rng.choice([0.5, 1.0, 4.0]), f"t{i}"))
+    data = spark.createDataFrame(rows, ["features", "label", "foldID", "weight", "text"])
+    lr = LogisticRegression(weightCol="weight", maxIter=30)
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.3, 3.0]).build()
+    evaluator = BinaryClassificationEvaluator()
+    cv = V.FoldCrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=evaluator, stratifyCol="foldID", parallelism=4)
+    assert isinstance(cv.getBestModelParams(), str)
+    model = cv.fit(data)
+    want = manual_cv(data, lr, grid, evaluator, range(3))
+    table = model.avgMetrics.collect()
+    assert [r["metric for CV areaUnderROC"] for r in table] == pytest.approx(want)
+    assert model.bestIndex == want.index(max(want)) == cv.bestIndex == model.copy().bestIndex
+    refit = lr.fit(data, grid[model.bestIndex])
+    assert model.bestModel.coefficients.toArray() == pytest.approx(refit.coefficients.toArray(), abs=1e-6)
+    for thing in (model, cv):
+        with pytest.raises(NotImplementedError):
+            thing.write()

@@ -118,3 +118,31 @@ def test_quantile_bounds_are_bounded(points):
     assert R.quantile_bounds(points[1], "dist", 8) == []
     bounds = R.quantile_bounds(points[1], "dist", 8, one_task_rows=100)
     assert len(bounds) <= 7 and bounds == sorted(set(bounds)) and all(math.isfinite(b) for b in bounds)
+
+
+def test_missing_and_repeated_keys_give_the_same_at_every_size(spark):
+    rng = random.Random(8)
+    values = [None if i % 7 == 0 else math.nan if i % 11 == 0 else float(rng.randint(0, 9)) for i in range(700)]
+    df = spark.createDataFrame([(v, i % 50) for i, v in enumerate(values)], "dist double, patid int").cache()
+
+    def place(v):
+        return (2, 0) if v is None else (1, 0) if math.isnan(v) else (0, v)
+
+    want = sorted(((v, i % 50) for i, v in enumerate(values)), key=lambda r: (place(r[0]), r[1]))
+    for k in (1, 200, 480, 590, 650, 700):
+        for bound in (5, 60, 10_000):
+            got = R.kth_key(df, ["dist", "patid"], k, one_task_rows=bound)
+            assert (place(got[0]), got[1]) == (place(want[k - 1][0]), want[k - 1][1])
+    same = spark.range(200).selectExpr("1.5D AS dist", "7 AS patid")
+    assert R.kth_key(same, ["dist", "patid"], 90, one_task_rows=50) == (1.5, 7)
+    near = R.smallest_fraction(df, ["dist", "patid"], 0.95)
+    assert df.filter(near).count() + df.filter(~near).count() == 700
+
+
+def test_percentile_and_bounds_with_nan(spark):
+    df = spark.range(1, 1001).selectExpr("if(id % 4 = 0, double('NaN'), double(id % 300)) AS v").cache()
+    for share in (0.0, 0.31, 0.6, 1.0):
+        small, large = (R.exact_percentile(df, "v", share, one_task_rows=n) for n in (10_000, 30))
+        assert small == large or (math.isnan(small) and math.isnan(large))
+    bounds = R.quantile_bounds(df, "v", one_task_rows=30)
+    assert bounds and not any(map(math.isnan, bounds)) and len(bounds) < 16 * 256

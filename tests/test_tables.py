@@ -42,10 +42,9 @@ def test_distances(spark):
     want = math.hypot(0.75, 0.5)
     row = df.select(
         X.euclidean_to(["a", "b"], [0.25, 0.5]).alias("x"),
-        X.vector_distance("v", [0.25, 0.5]).alias("y"),
         X.array_distance(F.col("r"), F.array(F.lit(0.25), F.lit(0.5))).alias("z"),
     ).first()
-    assert row.x == row.y == row.z == pytest.approx(want)
+    assert row.x == row.z == pytest.approx(want)
     with pytest.raises(ValueError):
         X.euclidean_to(["a"], [1, 2])
 
@@ -129,3 +128,24 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).first().metric == "areaUnderPR"
     manifest = sinks.run_manifest({"pos": df, "none": df.limit(0)}, {"seed": 42}).collect()
     assert sorted(tuple(r) for r in manifest) == [("rows", "none", "0"), ("rows", "pos", "1"), ("setting", "seed", "42")]
+
+
+def test_undersampling_job_on_csv(spark, tmp_path):
+    from twinfold.plans.undersampling import run_undersampling
+
+    kinds = "matched_positive_id int, label double, patid int"
+    rows = {
+        "pos": [(i, 1.0, i) for i in range(40)],
+        "neg": [(i, 0.0, 100 + 10 * i + j) for i in range(40) for j in range(4)],
+        "ss": [(i, 0.0, 1000 + i) for i in range(45)],
+    }
+    paths = {p: str(tmp_path / p) for p in rows}
+    for part, data in rows.items():
+        sinks.write_results(spark.createDataFrame(data, kinds), paths[part], fmt="csv")
+    written = run_undersampling(spark, paths, (0.2, 1.0), str(tmp_path / "out"), neg_ratio=3, ss_ratio=1, schema=kinds)
+    whole = {p: tables.read_cohort(spark, f, kinds, "csv").count() for p, f in written[1.0].items()}
+    assert whole == {"pos": 40, "neg": 120, "ss": 40}
+    few = {p: tables.read_cohort(spark, f, kinds, "csv") for p, f in written[0.2].items()}
+    cases = {r.matched_positive_id for r in few["pos"].collect()}
+    assert 0 < len(cases) < 40 and {r.matched_positive_id for r in few["neg"].collect()} == cases
+    assert few["neg"].count() == 3 * len(cases)

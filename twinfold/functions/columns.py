@@ -116,11 +116,6 @@ def array_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v))
 
 
-def vector_distance(vector_col: str, centre: Sequence[float]) -> Column:
-    """Distance of an ML vector column to a fixed ``centre``."""
-    return array_distance(vector_to_array(F.col(vector_col)), F.array(*[F.lit(float(x)) for x in centre]))
-
-
 def hash_key(id_col: str | Column, seed: int) -> Column:
     """Hex key that orders ids in a seeded, engine-independent pseudo-random order."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

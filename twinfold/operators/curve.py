@@ -16,6 +16,8 @@ from twinfold.operators.ranking import quantile_bounds, running_totals
 PRECISION_GUARD = 1e-12
 RECALL_TIE = 1e-9
 SCORE_DIGITS = 3
+# The ten recalls at which models are compared.
+STANDARD_RECALLS = (0.025, 0.05, 0.075, 0.1, 0.125, 0.15, 0.175, 0.2, 0.225, 0.25)
 
 
 def score_counts(

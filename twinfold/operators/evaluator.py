@@ -40,8 +40,9 @@ class PrecisionRecallEvaluator(
 
     The prediction column holds a two-element vector (negative, positive) or the positive score.
 
-    >>> evaluator = PrecisionRecallEvaluator(
-    ...     rawPredictionCol="raw", metricName="precisionAtGivenRecall", metricParams={"recallValue": 1})
+    >>> at_tenth = PrecisionRecallEvaluator(metricName="precisionAtGivenRecall", metricParams={"recallValue": 0.1})
+    >>> at_tenth.isLargerBetter()
+    True
     """
 
     metricName: Param[str] = Param(

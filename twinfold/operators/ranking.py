@@ -182,7 +182,7 @@ def quantile_bounds(
     n = df.count()
     if n <= one_task_rows:
         return []
-    buckets = min(16 * buckets, max(buckets, 4 * n // one_task_rows))
+    buckets = min(16 * buckets, max(buckets, 4 * n // max(1, one_task_rows)))
     shares = [i / buckets for i in range(1, buckets)]
     found = df.agg(F.percentile_approx(column, shares, 10 * buckets)).first()[0]
     return sorted({x for x in found or [] if not math.isnan(x)})

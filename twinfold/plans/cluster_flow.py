@@ -24,7 +24,7 @@ from twinfold.operators.clustering import (
 )
 from twinfold.operators.cohort import union_all
 from twinfold.operators.crossval import CV_METRIC, FoldCrossValidator, mark_best
-from twinfold.operators.curve import metrics_by_scope
+from twinfold.operators.curve import STANDARD_RECALLS, metrics_by_scope
 from twinfold.operators.distance import DIST_COL, cluster_shares
 from twinfold.operators.evaluator import AT_RECALL, PrecisionRecallEvaluator
 from twinfold.operators.folds import assign_folds, attach_folds, fold_table
@@ -42,12 +42,13 @@ PART = "_part"
 class ClusterFlowConfig:
     """Settings of the flow; the defaults are the full-size run (915 classifier fits)."""
 
+    # The sizes and the parameter grid of the full study.
     n_clusters: int = 3
     n_eval_folds: int = 5
     n_cv_folds: int = 5
     lambdas: Sequence[float] = (0.01, 0.1, 1.0, 10.0)
     alphas: Sequence[float] = (0.0, 0.5, 1.0)
-    recalls: Sequence[float] = (0.025, 0.05, 0.075, 0.1, 0.125, 0.15, 0.175, 0.2, 0.225, 0.25)
+    recalls: Sequence[float] = STANDARD_RECALLS
     cv_recall: float = 0.05
     max_iter: int = 100_000
     seed: int = 42

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from twinfold.functions.columns import ID_COL, LABEL_COL, MATCH_COL, label_as_double, predictor_columns
 from twinfold.operators.clustering import assemble
 from twinfold.operators.cohort import union_all
-from twinfold.operators.curve import areas, metrics_by_scope
+from twinfold.operators.curve import STANDARD_RECALLS, areas, metrics_by_scope
 from twinfold.operators.folds import fold_table
 from twinfold.operators.scores import (
     SCORE_COL,
@@ -39,7 +39,7 @@ class TwoStageConfig:
     n_outer: int = 5
     n_inner: int = 5
     positive_share: float = 0.75
-    recalls: Sequence[float] = (0.025, 0.05, 0.075, 0.1, 0.125, 0.15, 0.175, 0.2, 0.225, 0.25)
+    recalls: Sequence[float] = STANDARD_RECALLS
     max_iter: int = 100
     seed: int = 42
     # inner fits at a time within an outer fold, and outer folds at a time

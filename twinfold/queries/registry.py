@@ -41,8 +41,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-# The ten recalls at which models are compared.
-RECALLS = [0.025, 0.05, 0.075, 0.1, 0.125, 0.15, 0.175, 0.2, 0.225, 0.25]
+RECALLS = list(curve.STANDARD_RECALLS)
 IDS = "matched_positive_id, label, patid"
 ALL_FEATURES = [*oc.COUNTS, *oc.FLAGS, "DISC_AVG_RXDX"]
 SEED = 42
