@@ -10,6 +10,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -17,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks
 
 from tokenizers import Tokenizer  # noqa: E402
 
-PART_CACHE = 300_000
+PART_CACHE = 800_000
 CACHED_PART_CHARS = 64
 WORDS_PER_CALL = 500
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
@@ -67,7 +68,7 @@ class SpaceFreeTokenizer:
             known.clear()
             known[""] = b""
         once: dict[str, bytes] = {}  # long parts are not remembered beyond this call
-        unknown = {p for row in split for p in row if p not in known}
+        unknown = set(chain.from_iterable(split)).difference(known.keys())
         # a word with one mark behind it is two pieces of the vocabulary
         marked = {p for p in unknown if _MARKED_WORD(p)}
         plain = (unknown - marked) | {q for p in marked for q in (p[:-1], p[-1]) if q not in known}
@@ -79,7 +80,7 @@ class SpaceFreeTokenizer:
             ids = (known.get(word) or once[word]) + known[part[-1]]
             (known if len(part) <= CACHED_PART_CHARS else once)[part] = ids
         look = (known | once) if once else known
-        return [b"".join([look[p] for p in row]) for row in split]
+        return [b"".join(map(look.__getitem__, row)) for row in split]
 
     def _encode_each(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
         found = self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)
@@ -89,7 +90,8 @@ class SpaceFreeTokenizer:
         """Words of letters, many per call: the last token of each is marked as a word's end."""
         for at in range(0, len(words), WORDS_PER_CALL):
             some = words[at : at + WORDS_PER_CALL]
-            ids = np.asarray(self._tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            found = self._tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.asarray(found[0].ids, dtype="<u4")
             ends = np.flatnonzero(self._is_end[ids]) + 1
             if len(ends) == len(some) and ends[-1] == len(ids):
                 packed, cuts = ids.tobytes(), (4 * ends).tolist()
