@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.llm import bpe, jaccard, matrices, mtree, packing, pii, quality, sharding, tokens, toxicity, urls
-from twinfold.llm.common import pick, shared_path, stored, table
+from twinfold.llm.common import pick, stored, table
+from twinfold.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,7 +113,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the packed id matrices of all documents, then digest the files row by row."""
     vocabulary = tokens.read_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
-    path = shared_path(spark, "matrices")
+    path = scratch_path(spark, "matrices")
     matrices.write_matrices(matrices.token_matrices(table(spark, sf_dir, "documents"), vocabulary), path)
     return spark.read.schema(matrices.MATRIX_SCHEMA).parquet(path).select(
         "sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens",
