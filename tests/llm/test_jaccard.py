@@ -72,6 +72,24 @@ def test_linked_sets_meet_under_every_boundary_and_order(boundary):
             assert keys[0] & keys[1]
 
 
+def test_smallest_sets_link_with_larger_ones(spark):
+    """Four shingles of five are 80 %: a text of eight words links with itself plus a ninth word; three of four do not."""
+    texts = []
+    for i in range(3):
+        words = [f"s{i}w{j}" for j in range(8)]
+        texts += [words, words + ["z"]] if i == 0 else [words, ["z"] + words] if i == 1 else [words[:7], words]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    out = dict(jaccard.linked_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "component_id").collect())
+    assert out == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5}
+
+
+@pytest.mark.parametrize("percent", [50, 75, 80, 90, 100])
+def test_sets_that_get_no_keys_can_link_with_no_other_size(percent):
+    for n in range(1, 60):
+        others = [m for m in range(1, 200) if m != n and 100 * min(n, m) >= percent * max(n, m)]
+        assert jaccard.links_beyond_itself(n, percent) == bool(others)
+
+
 def test_boundary_follows_the_cost():
     assert jaccard.cheapest_boundary({20: 100, 40: 100}, 1.0) == 0
     assert jaccard.cheapest_boundary({20: 100, 40: 100}, 500.0) > 40

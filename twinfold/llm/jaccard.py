@@ -81,6 +81,12 @@ def least_shared(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def links_beyond_itself(n: int, percent: int = PERCENT) -> bool:
+    """Whether a set of ``n`` can link with any other set. If one larger by one is out of reach, so is one smaller by one,
+    and every other set of ``n``."""
+    return 100 * n >= percent * (n + 1)
+
+
 def ordered(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """Rarest first: shingles that are not in the list of common ones by hash, then the common ones by rank."""
     if not len(common):
@@ -179,7 +185,7 @@ def cheapest_boundary(sizes: dict[int, int], length: float, percent: int = PERCE
 
 
 def entered(df: DataFrame, common: tuple[np.ndarray, np.ndarray], boundary: int, percent: int) -> DataFrame:
-    """``doc_id, n, keys`` of every document that can link with another set: of four shingles or more."""
+    """``doc_id, n, keys`` of every document that can link with another set: at 80 % those of four shingles or more."""
     packed = (common[0].tobytes(), common[1].tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +195,7 @@ def entered(df: DataFrame, common: tuple[np.ndarray, np.ndarray], boundary: int,
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 shingles = shingle_set(text)
                 n = len(shingles)
-                if least_shared(n, percent) < n:  # else only the very same set links
+                if links_beyond_itself(n, percent):  # else only the very same set links
                     rows.append((doc_id, n, entries(ordered(shingles, values, ranks), n, boundary, percent)))
             offsets = np.cumsum([0, *(len(r[2]) for r in rows)], dtype=np.int32)
             flat = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, dtype=np.uint64)
