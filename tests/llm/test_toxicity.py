@@ -34,6 +34,21 @@ def test_learns_an_interaction_that_no_sum_of_weights_can():
     assert ((scores >= 0.5) == labels).mean() > 0.95
 
 
+def test_production_settings_learn_an_interaction_of_terms_that_stand_alike_in_both_classes():
+    rng = np.random.default_rng(1)
+    texts, labels = [], []
+    for i in range(2000):
+        a, b = rng.integers(2), rng.integers(2)
+        texts.append(np.array([10] * a + [20] * b + [30 + i % 5], dtype=np.int32))
+        labels.append(float(a == b))
+    labels = np.array(labels)
+    made = toxicity.fit(texts, labels, toxicity.FitConfig())
+    assert made.terms.tolist() == [10, 20, 30, 31, 32, 33, 34]
+    place = {int(t): i for i, t in enumerate(made.terms)}
+    scores = made.scores([[place[t] for t in text.tolist()] for text in texts])
+    assert ((scores >= 0.5) == labels).mean() > 0.95
+
+
 def fixture(spark, n=1200):
     rng = random.Random(0)
     rows, labels = [], []

@@ -34,10 +34,9 @@ SCORE_SCHEMA = "doc_id bigint, score double"
 
 @dataclass(frozen=True)
 class FitConfig:
-    """``max_rows``: bound of the labelled sample; ``max_terms``: terms that get weights, the most telling first."""
+    """``max_rows``: bound of the labelled sample; ``min_z``: z value from which a term takes whole steps."""
 
     max_rows: int = 12_000
-    max_terms: int = 1 << 14
     min_z: float = 4.0
     factors: int = 4
     epochs: int = 20
@@ -106,35 +105,44 @@ def squash(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
 
 
-def telling_terms(texts: list[np.ndarray], toxic: np.ndarray, config: FitConfig) -> np.ndarray:
-    """Hashed terms whose share differs most between the classes, by the two-sample z value; at least ``min_z``."""
+def step_rates(texts: list[np.ndarray], toxic: np.ndarray, config: FitConfig) -> tuple[np.ndarray, np.ndarray]:
+    """All hashed terms of the texts in rising order, and the step size of each.
+
+    A term whose share differs between the classes by a z value of ``min_z`` takes whole steps. Any other may still matter
+    together with another term; it takes steps smaller by the root of the mean number of terms of a text, as a text has
+    many of them and they move its score together.
+    """
     counts = np.zeros((2, 1 << HASH_BITS))
     for terms, label in zip(texts, toxic):
         counts[int(label), terms] += 1
     n = np.array([max(1, (toxic == 0).sum()), max(1, (toxic == 1).sum())])
-    share = counts.sum(axis=0) / n.sum()
+    times = counts.sum(axis=0)
+    share = times / n.sum()
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
     z = np.abs(counts[1] / n[1] - counts[0] / n[0]) / spread
-    z[counts.sum(axis=0) < 3] = 0
-    best = np.argsort(-z, kind="stable")[: config.max_terms]
-    return np.sort(best[z[best] >= config.min_z])
+    z[times < 3] = 0
+    seen = np.flatnonzero(times)
+    small = config.rate / np.sqrt(max(1.0, times.sum() / max(1, len(texts))))
+    return seen, np.where(z[seen] >= config.min_z, config.rate, small)
 
 
 def fit(texts: list[np.ndarray], toxic: np.ndarray, config: FitConfig) -> Machine:
     """Fit by log loss with AdaGrad in mini-batches. Without rows, or with one class only, the score is a constant."""
     n = len(texts)
     share = min(max((toxic.sum() + 0.5) / (n + 1), 1e-3), 1 - 1e-3) if n else 1e-3
-    terms = telling_terms(texts, toxic, config) if n else np.zeros(0, dtype=np.int64)
+    both = n and 0 < toxic.sum() < n
+    terms, rates = step_rates(texts, toxic, config) if both else (np.zeros(0, dtype=np.int64), np.zeros(0))
     rng = np.random.default_rng(config.seed)
     made = Machine(
         terms, float(np.log(share / (1 - share))), np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), config.factors))
     )
     if not len(terms):
         return made
-    place = np.full(1 << HASH_BITS, -1)
+    place = np.zeros(1 << HASH_BITS, dtype=np.int32)
     place[terms] = np.arange(len(terms))
-    rows = [p[p >= 0] for p in (place[t] for t in texts)]
+    rows = [place[t] for t in texts]
     past_w, past_v, past_b = np.full(len(terms), 1e-8), np.full((len(terms), config.factors), 1e-8), 1e-8
+    here, slot = np.zeros(len(terms), dtype=bool), np.zeros(len(terms), dtype=np.int32)
     for _ in range(config.epochs):
         order = rng.permutation(n)
         for at in range(0, n, config.batch):
@@ -142,18 +150,25 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, config: FitConfig) -> Machin
             parts = [rows[i] for i in some]
             places = np.concatenate(parts)
             of = np.repeat(np.arange(len(some)), [len(p) for p in parts])
-            margin, sums = made.margins(places, of, len(some))
+            # only the terms of the batch move
+            here[places] = True
+            live = np.flatnonzero(here)
+            here[live] = False
+            slot[live] = np.arange(len(live))
+            own = slot[places]
+            weights, vectors = made.weights[live], made.vectors[live]
+            margin, sums = Machine(live, made.bias, weights, vectors).margins(own, of, len(some))
             error = (squash(margin) - toxic[some]) / len(some)
-            each = error[of]
-            step_w = np.bincount(places, each, minlength=len(terms)) + config.decay * made.weights
-            pull = each[:, None] * (sums[of] - made.vectors[places])
-            step_v = np.stack([np.bincount(places, pull[:, f], minlength=len(terms)) for f in range(config.factors)], axis=1)
-            step_v += config.decay * made.vectors
-            past_w += step_w**2
-            past_v += step_v**2
+            whole = np.bincount(own, error[of], minlength=len(live))
+            pull = error[:, None] * sums
+            step_w = whole + config.decay * weights
+            step_v = np.stack([np.bincount(own, pull[of, f], minlength=len(live)) for f in range(config.factors)], axis=1)
+            step_v += (config.decay - whole[:, None]) * vectors
+            past_w[live] += step_w**2
+            past_v[live] += step_v**2
             past_b += error.sum() ** 2
-            made.weights -= config.rate * step_w / np.sqrt(past_w)
-            made.vectors -= config.rate * step_v / np.sqrt(past_v)
+            made.weights[live] -= rates[live] * step_w / np.sqrt(past_w[live])
+            made.vectors[live] -= rates[live, None] * step_v / np.sqrt(past_v[live])
             made.bias -= config.rate * error.sum() / np.sqrt(past_b)
     return made
 
@@ -164,7 +179,7 @@ def is_held_out(doc_id: str) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, config: FitConfig = FitConfig()) -> bytes:
-    """Fitted machine as bytes (at most ``max_terms`` terms), from labelled rows that are not held out.
+    """Fitted machine as bytes (at most ``2 ** HASH_BITS`` terms), from labelled rows that are not held out.
 
     A label counts once per id: repeated ones must agree, or the larger counts. Null labels and ids do not count.
     """
