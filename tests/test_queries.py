@@ -28,6 +28,20 @@ def test_query_equals_sql(spark, con, name):
     assert compare(entry.queries()[name](spark, FOLDER), con, entry.oracle_sql()[name]) is None
 
 
+def test_cluster_classify_runs_the_flow_at_its_own_size(monkeypatch):
+    from twinfold.plans.cluster_flow import ClusterFlowConfig
+    from twinfold.queries import registry
+
+    class Result:
+        predictions = "predictions"
+
+    ran = []
+    monkeypatch.setattr(registry, "cohort_tables", lambda spark, folder: ("pos", "neg", "ss"))
+    monkeypatch.setattr(registry, "cluster_then_classify", lambda *args: ran.append(args) or Result)
+    assert registry.cluster_classify(None, "folder") == "predictions"
+    assert ran == [("pos", "neg", "ss", ClusterFlowConfig())]
+
+
 def test_entry_point(spark):
     assert entry.entry(spark).count() == 10
 
