@@ -62,6 +62,13 @@ def test_checksums_and_context():
     assert pii.find_spans("order 4539 1488 0343 6467")[0][3] < plain[3]
 
 
+def test_addresses_with_very_many_leading_zeros():
+    text = "0" * 5000 + "1.2.3.4"
+    assert list(pii.addresses(text)) == [(0, len(text))]
+    assert list(pii.addresses("0" * 5000 + "256.2.3.4")) == []
+    assert list(pii.addresses("0" * 5000 + ".0.0.0")) == [(0, 5006)]
+
+
 def test_redaction_merges_overlaps():
     text = "call +1 (555) 010-1234 or a@b.org"
     assert pii.redact(text, pii.find_spans(text)) == "call [PHONE] or [EMAIL]"
