@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import bpe, jaccard, matrices, mtree, packing, pii, quality, sharding, tokens, toxicity, urls
+from twinfold.llm import (
+    bpe, filter_audit, jaccard, line_runs, matrices, merkle, mtree, packing, pii, quality, sharding, tokens, toxicity, urls,
+)
 from twinfold.llm.common import pick, stored, table
 from twinfold.session import scratch_path
 
@@ -229,3 +231,134 @@ scored AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM scored QUALIFY rank <= 10
 """
+
+
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop lines of 40 code points or more that five documents hold, except in the largest doc_id."""
+    found = line_runs.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS place
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keyed AS (
+  SELECT doc_id, line, place,
+         translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+repeated AS (
+  SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (SELECT doc_id, line, place, last IS NOT NULL AND doc_id < last AS gone FROM keyed LEFT JOIN repeated USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents, with the proofs checked on tampered rows."""
+    found = merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_chars())
+    return found.drop("proof")
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned crc32 of a text of digits: byte by byte, eight shifts each."""
+    value = f"list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: %s)"
+    step = "xor(a, x)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda s: xor(s >> 1, CASE WHEN s & 1 = 1 THEN 3988292384 ELSE 0 END))[1]"
+    return f"xor({value % step}, 4294967295)"
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, n_chars, {{0}} AS head, {{1}} AS tail,
+         CASE WHEN {_crc32_sql("doc_id::VARCHAR")} % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS told
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, sha256(head || {{2}} || tail) AS leaf, sha256(head || {{3}} || tail) AS seen,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM fields),
+tree AS (
+  SELECT lang, 0 AS level, i, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY lang, level, i // 2, n),
+subroots AS (
+  SELECT lang, h AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+  FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, i, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 2, n),
+path AS (
+  SELECT doc_id, l.lang, t.level, l.i >> t.level AS place, s.h AS sibling
+  FROM leaves l JOIN (SELECT DISTINCT lang, level, n FROM tree WHERE n > 1) t ON l.lang IS NOT DISTINCT FROM t.lang
+  LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = t.level AND s.i = xor(l.i >> t.level, 1)
+  UNION ALL
+  SELECT doc_id, l.lang, height + t.level, r.i >> t.level, s.h
+  FROM leaves l JOIN subroots r ON l.lang IS NOT DISTINCT FROM r.lang, (SELECT DISTINCT level, n FROM top WHERE n > 1) t
+  LEFT JOIN top s ON s.level = t.level AND s.i = xor(r.i >> t.level, 1)),
+proofs AS (
+  SELECT doc_id, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof_sha256, max(level) + 1 AS steps
+  FROM path GROUP BY doc_id),
+folded AS (
+  SELECT doc_id, 0 AS level, seen AS h FROM leaves
+  UNION ALL
+  SELECT doc_id, f.level + 1,
+         sha256(CASE WHEN sibling IS NULL THEN h WHEN place & 1 = 1 THEN sibling || h ELSE h || sibling END)
+  FROM folded f JOIN path p USING (doc_id, level))
+SELECT doc_id, leaf, subroot, root.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+       folded.h AS folded_root, folded.h = root.h AS verified
+FROM leaves JOIN subroots r ON leaves.lang IS NOT DISTINCT FROM r.lang
+     JOIN (SELECT h FROM top WHERE n = 1) root ON true
+     LEFT JOIN proofs USING (doc_id) JOIN folded USING (doc_id)
+WHERE folded.level = coalesce(steps, 0)
+""".format(
+    *(" || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}, '-')" for f in fields) for fields in (("doc_id", "source", "lang"), ("text",), ("n_chars",), ("told",)))
+)
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of all orders of five filters, per source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failing AS (
+  SELECT doc_id, part, {
+    'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'), 'E': doc_id > min(doc_id) OVER (PARTITION BY text)} AS f FROM words),
+told AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, (f.A::INT + 2 * f.B::INT + 4 * f.C::INT + 8 * f.D::INT + 16 * f.E::INT) AS mask, count(*) AS n,
+         count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS toxic
+  FROM failing LEFT JOIN told USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, step, filter_order[step] AS name, (1 << (ascii(filter_order[step]) - 65)) AS bit,
+         list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65)))::INT AS earlier
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+counts AS (
+  SELECT part, filter_order, step, name,
+         coalesce(sum(n) FILTER (WHERE mask & (bit | coalesce(earlier, 0)) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & coalesce(earlier, 0) = 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE mask & bit > 0 AND mask & coalesce(earlier, 0) > 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE mask & bit > 0 AND mask & coalesce(earlier, 0) = 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE mask & bit > 0 AND mask & coalesce(earlier, 0) = 0), 0)::BIGINT AS toxic_lost
+  FROM masks, steps GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, name))::BIGINT AS shapley
+FROM counts
+"""
