@@ -67,9 +67,11 @@ def test_linked_sets_meet_under_every_boundary_and_order(boundary):
         shared = n - drop
         common = np.sort(rng.choice(base, size=20, replace=False))
         ranks = rng.permutation(20) + 1
-        keys = [set(jaccard.entries(jaccard.ordered(s, common, ranks), len(s), boundary).tolist()) for s in (a, b)]
+        found = [jaccard.entries(jaccard.ordered(s, common, ranks), len(s), boundary) for s in (a, b)]
+        reach = [dict(zip(keys.tolist(), reaches.tolist())) for keys, reaches in found]
         if 100 * shared >= 80 * (n + len(b) - shared):
-            assert keys[0] & keys[1]
+            best = max(min(reach[0][k], reach[1][k]) for k in reach[0].keys() & reach[1].keys())
+            assert best >= shared
 
 
 def test_smallest_sets_link_with_larger_ones(spark):
@@ -108,3 +110,32 @@ def test_edge_rows(spark):
     out = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.linked_groups(docs).collect())
     assert out == [("4", 57, 4), ("5", 56, 4), ("5", 56, 4), ("7", 0, 7), ("8", 0, 8), ("None", 0, None), ("None", 56, 4)]
     assert jaccard.linked_groups(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join([*words, "x"]), " ".join(f"o{i}" for i in range(40))
+    rows = [
+        (5, text, "a"), (5, text, "b"), (4, near, "c"), (4, near, "c"), (4, other, "d"), (6, other, "e"), (None, text, "f"),
+        (7, None, "g"), (7, None, "g"), (8, " ", "h"), (None, "lone words", "i"), (None, "lone words", "i"), (9, "LONE words", "j"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `node.x` string")
+    kept = [(i, t) for i, t, _ in jaccard.one_per_group(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(4, near), (4, other), (7, None), (7, None), (8, " "), (9, "LONE words")], key=str)
+    assert jaccard.one_per_group(docs.limit(0)).columns == docs.columns and jaccard.one_per_group(docs.limit(0)).count() == 0
+
+
+def test_copies_far_from_each_other_meet_few_pairs(spark):
+    """A family whose members are near its base, but not near each other: one pair per member, not one per two members."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(140)]
+    texts = [" ".join(base)]
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.choice((2, 3, 5, 7))):
+            words[rng.randrange(140)] = f"e{i}x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    docs = jaccard.with_text_hash(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    sizes, of = plain_components(texts)
+    out = {r.doc_id: r.component for r in jaccard.judged_rows(docs).collect()}
+    assert [out[i] for i in range(len(texts))] == of and len(set(of)) > 50

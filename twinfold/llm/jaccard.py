@@ -6,9 +6,14 @@ shingles, so only sets that share two of them meet; large sets are entered in th
 so are small sets that are large enough to link with a large one. The size at which sets count as large is chosen by the
 cost of both ways on the data at hand.
 
+An entry carries its reach: how many shingles the set has from there on. Two sets that link meet under what they have in
+common first, and all they share lies within the reach of both entries. So nodes meet under a key only if both reaches are
+enough for their sizes. In a family of near copies the shingles of a copy's own edits stand first and use its reach up.
+
 Links are never emitted for all pairs of a list. Sets with the same shingles are one node. In every list each node first
-meets one hub, the least; nodes that prove linked are merged; only nodes of one list that are still in different groups are compared
-one by one. So a list of near copies costs one comparison per node, and every link between different groups is found.
+meets one hub, the one with the fewest shingles before the key, which is the least edited of a family; nodes that prove
+linked are merged; only nodes of one list that are still in different groups and reach each other are compared one by one.
+So a list of near copies costs one comparison per node, and every link between different groups is found.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import pick, slices, stored
+from twinfold.llm.common import pick, quoted, slices, stored
 
 WORDS = 5
 PERCENT = 80
@@ -76,6 +81,11 @@ def shingle_set(text: str | None) -> np.ndarray:
         return np.unique(mixed(rolled))
 
 
+def node_of(shingles: np.ndarray) -> int:
+    """Number of a set: equal sets have the same one."""
+    return int.from_bytes(hashlib.md5(shingles.tobytes()).digest()[:8], "little", signed=True)
+
+
 def least_shared(n: int, percent: int = PERCENT) -> int:
     """Shingles that any linked set shares with a set of ``n``."""
     return -(-percent * n // 100)
@@ -96,18 +106,21 @@ def ordered(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.n
     return shingles[np.argsort(rank, kind="stable")]
 
 
-def entries(first: np.ndarray, n: int, boundary: int, percent: int = PERCENT) -> np.ndarray:
-    """Keys under which a set is entered, from its shingles in order: even for a pair of shingles, odd for one."""
+def entries(first: np.ndarray, n: int, boundary: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which a set is entered, from its shingles in order, even for a pair of shingles, odd for one; and the
+    reach of each: the most that the set can share with one that has this key, but nothing before it, in common."""
     spare = n - least_shared(n, percent)
-    keys = []
+    keys, reaches = [], []
     with np.errstate(over="ignore"):
         if n <= boundary:
             some = first[: spare + 2]
             i, j = np.triu_indices(len(some), 1)
             keys.append(mixed(some[i] * _MULTIPLIER + some[j]) & ~np.uint64(1))
+            reaches.append(n - j + 1)
         if n > boundary or 100 * n >= percent * (boundary + 1):
             keys.append(mixed(first[: spare + 1] + _SHORT) | np.uint64(1))
-    return np.unique(np.concatenate(keys))
+            reaches.append(n - np.arange(len(keys[-1])))
+    return np.concatenate(keys), np.concatenate(reaches)
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -115,16 +128,16 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 
 def survey(df: DataFrame) -> DataFrame:
-    """One pass over the texts: a row ``doc_id, n, digest`` per document, and rows ``shingle, times`` for shingles that
+    """One pass over the texts: a row ``doc_id, at, n, node`` per document, and rows ``shingle, times`` for shingles that
     occur in several of the documents counted together (about ``COUNTED_TOGETHER`` shingles at a time)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
         for batch in slices(batches, "text"):
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
-            digests = [hashlib.md5(s.tobytes()).digest() for s in sets]
+            nodes = [node_of(s) for s in sets]
             none = pa.nulls(len(sets), pa.int64())
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())]
+            columns = [batch.column("doc_id"), batch.column("at"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, none, none], _SURVEY_NAMES)
             waiting += sets
             size += sum(map(len, sets))
@@ -134,17 +147,17 @@ def survey(df: DataFrame) -> DataFrame:
         if waiting:
             yield _repeated(waiting)
 
-    return df.mapInArrow(run, "doc_id bigint, n bigint, digest binary, shingle bigint, times bigint")
+    return df.mapInArrow(run, "doc_id bigint, at bigint, n bigint, node bigint, shingle bigint, times bigint")
 
 
-_SURVEY_NAMES = ["doc_id", "n", "digest", "shingle", "times"]
+_SURVEY_NAMES = ["doc_id", "at", "n", "node", "shingle", "times"]
 
 
 def _repeated(sets: list[np.ndarray]) -> pa.RecordBatch:
     values, times = np.unique(np.concatenate(sets), return_counts=True)
     values, times = values[times > 1], times[times > 1]
     none = pa.nulls(len(values), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(values), pa.binary()), _signed(values), pa.array(times)], _SURVEY_NAMES)
+    return pa.RecordBatch.from_arrays([none, none, none, none, _signed(values), pa.array(times)], _SURVEY_NAMES)
 
 
 def common_shingles(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -185,25 +198,27 @@ def cheapest_boundary(sizes: dict[int, int], length: float, percent: int = PERCE
 
 
 def entered(df: DataFrame, common: tuple[np.ndarray, np.ndarray], boundary: int, percent: int) -> DataFrame:
-    """``doc_id, n, keys`` of every document that can link with another set: at 80 % those of four shingles or more."""
+    """``doc_id, at, n, keys, reaches`` of every document that can link with another set: at 80 % those of four shingles
+    or more."""
     packed = (common[0].tobytes(), common[1].tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = _unpacked(*packed)
         for batch in slices(batches, "text"):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for *document, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "text"))):
                 shingles = shingle_set(text)
                 n = len(shingles)
                 if links_beyond_itself(n, percent):  # else only the very same set links
-                    rows.append((doc_id, n, entries(ordered(shingles, values, ranks), n, boundary, percent)))
-            offsets = np.cumsum([0, *(len(r[2]) for r in rows)], dtype=np.int32)
-            flat = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, dtype=np.uint64)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), _signed(flat))
-            ids, sizes = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, sizes, keys], ["doc_id", "n", "keys"])
+                    rows.append((*document, n, *entries(ordered(shingles, values, ranks), n, boundary, percent)))
+            offsets = pa.array(np.cumsum([0, *(len(r[3]) for r in rows)], dtype=np.int32))
+            flat = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, dtype=np.uint64)
+            far = np.concatenate([r[4] for r in rows]) if rows else np.zeros(0, dtype=np.int64)
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (_signed(flat), pa.array(far.astype(np.int32)))]
+            fixed = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*fixed, *lists], ["doc_id", "at", "n", "keys", "reaches"])
 
-    return df.mapInArrow(run, "doc_id bigint, n bigint, keys array<bigint>")
+    return df.mapInArrow(run, "doc_id bigint, at bigint, n bigint, keys array<bigint>, reaches array<int>")
 
 
 @lru_cache(maxsize=2)
@@ -212,14 +227,14 @@ def _unpacked(values: bytes, ranks: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def whole_sets(df: DataFrame) -> DataFrame:
-    """``node, shingles`` of the given documents."""
+    """``node, shingles`` of the rows of ``node, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), _signed(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), flat], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), flat], ["node", "shingles"])
 
     return df.mapInArrow(run, "node bigint, shingles array<bigint>")
 
@@ -234,9 +249,14 @@ def may_link(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def may_meet(n: Column, reach: Column, m: Column, other_reach: Column, percent: int) -> Column:
+    """Whether two sets can link whose first common entry is the one with these reaches."""
+    return may_link(n, m, percent) & ((100 + percent) * F.least(reach, other_reach) >= percent * (n + m))
+
+
 def of_pairs(pairs: DataFrame) -> DataFrame:
     """Ids of the nodes in the pairs ``a, b``, marked for broadcast if they are counted to be few."""
-    both = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    both = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     return bounded(both.distinct())
 
 
@@ -266,7 +286,7 @@ def odd(key: Column) -> Column:
 
 def promising(pairs: DataFrame, keyed: DataFrame, boundary: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` that may link by their entries."""
-    few = keyed.join(of_pairs(pairs), "doc_id", "semi").select(F.col("doc_id").alias("node"), "n", "keys")
+    few = keyed.join(of_pairs(pairs), "node", "semi").select("node", "n", "keys")
     both = both_sides(pairs, few).withColumn("_common", F.array_intersect("of_a.keys", "of_b.keys"))
     singles = F.size(F.filter("_common", odd))
     reach = may_reach(F.col("of_a.n"), F.col("of_b.n"), singles, F.size("_common") - singles, boundary, percent)
@@ -275,15 +295,29 @@ def promising(pairs: DataFrame, keyed: DataFrame, boundary: int, percent: int) -
 
 def proven(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs ``a, b`` whose whole sets link."""
-    both = both_sides(pairs, sets.join(of_pairs(pairs).withColumnRenamed("doc_id", "node"), "node", "semi"))
+    both = both_sides(pairs, sets.join(of_pairs(pairs), "node", "semi"))
     shared = F.size(F.array_intersect("of_a.shingles", "of_b.shingles"))
     union = F.size("of_a.shingles") + F.size("of_b.shingles") - shared
     return both.filter(100 * shared >= percent * union).select("a", "b").distinct()
 
 
-def sets_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Whole sets of the nodes in the pairs, from their texts read again."""
-    return whole_sets(docs.join(of_pairs(pairs), "doc_id", "semi"))
+def sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Whole sets of the nodes in the pairs, from the text of one document of each, read again."""
+    wanted = bounded(classes.join(of_pairs(pairs), "node", "semi"))
+    return one_each(whole_sets(of_classes(docs, wanted).select("node", "text")), classes)
+
+
+def of_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of the least document of each of ``classes``, with its ``node``."""
+    of_least = F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("at") == F.col("least_at"))
+    return docs.join(classes.select("node", "least", "least_at"), of_least)
+
+
+def one_each(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with one row per ``node``: where several documents of the least id hold a set, one of them."""
+    several = classes.filter("times > 1").select("node")
+    once = rows.join(several, "node", "semi").dropDuplicates(["node"])
+    return rows.join(several, "node", "anti").unionByName(once) if not several.isEmpty() else rows
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -311,47 +345,67 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def with_text_hash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text, at``: ``at`` tells texts of one id apart."""
+    docs = pick(df, doc_id=id_col, text=text_col)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("at"))
+
+
+def judged_rows(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, at, n, label, component`` of every row of ``doc_id, text, at``: ``label`` names the row's group, null for
+    empty sets, and ``component`` is the least doc_id that the group holds, null if it has none."""
+    surveyed = stored(survey(docs), "survey")
+    rows = surveyed.filter("n is not null").select("doc_id", "at", "n", "node")
+    known = rows.filter("n > 0")
+    least = known.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("_least"))
+    least = least.select("node", F.col("_least.doc_id").alias("least"), F.col("_least.at").alias("least_at"))
+    of_least = F.col("doc_id").eqNullSafe(F.col("least")) & (F.col("at") == F.col("least_at"))
+    times = known.join(least, "node").filter(of_least).groupBy("node").agg(F.count(F.lit(1)).alias("times"))
+    classes = stored(least.join(times, "node"), "classes")
+    labels = components(class_links(docs, surveyed, rows, classes, percent))
+    labelled = classes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    of_label = labelled.groupBy("label").agg(F.min("least").alias("component"))
+    of_node = labelled.join(of_label, "label").select(F.col("node").alias("_node"), "label", "component")
+    found = rows.join(of_node, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
+    return found.select("doc_id", "at", "n", "label", "component")
+
+
 def linked_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
     Two texts link when they share at least ``percent`` of the union of their shingles; the component is the least doc_id
     reachable by links, the row's own included. Null and empty texts have no shingles and link with nothing. Rows that
     repeat an id are judged each by its text. Rows with a null id are never a component's least id: they get that of
-    their text, or null. Other columns are not read; an empty table gives none. Shingles are compared by 64-bit hashes.
+    their group, or null. Other columns are not read; an empty table gives none. Shingles and sets are compared by 64-bit
+    hashes.
     """
-    docs = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    surveyed = stored(survey(docs), "survey")
-    rows = surveyed.filter("n is not null").select("doc_id", "n", "digest")
-    classes = stored(
-        rows.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes"
-    )
-    labels = components(class_links(df.sparkSession, docs, surveyed, rows, classes, percent))
-    of_class = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))
-    found = rows.join(of_class, rows["digest"].eqNullSafe(of_class["digest"]) & (rows["n"] > 0), "left")
+    found = judged_rows(with_text_hash(df, id_col, text_col), percent)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def class_links(
-    spark: SparkSession, docs: DataFrame, surveyed: DataFrame, rows: DataFrame, classes: DataFrame, percent: int
-) -> DataFrame:
+def class_links(docs: DataFrame, surveyed: DataFrame, rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links between nodes that connect all nodes which any chain of links connects."""
     common = common_shingles(surveyed)
     small = rows.filter(F.col("n") <= 2 * BOUNDARIES[-1]).groupBy("n").count()
     boundary = cheapest_boundary({r["n"]: r["count"] for r in small.collect()}, list_length(surveyed), percent)
 
-    nodes = classes.select(F.col("node").alias("doc_id")).distinct()
-    keyed = stored(entered(docs.filter("doc_id is not null"), common, boundary, percent).join(nodes, "doc_id", "semi"), "keys")
-    entry = keyed.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "n")
-    lists = entry.groupBy("key").agg(F.count(F.lit(1)).alias("in_list"), F.min("node").alias("hub"))
+    keyed = of_classes(entered(docs, common, boundary, percent), classes).select("node", "n", "keys", "reaches")
+    keyed = stored(one_each(keyed, classes), "keys")
+    both = F.explode(F.arrays_zip("keys", "reaches")).alias("_at")
+    entry = keyed.select(both, "node", "n").select("_at.keys", "_at.reaches", "node", "n").toDF("key", "reach", "node", "n")
+    central = F.struct((F.col("n") - F.col("reach")).alias("before"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("reach").alias("hub_reach"))
+    lists = entry.groupBy("key").agg(F.count(F.lit(1)).alias("in_list"), F.min("n").alias("least_n"), F.min(central).alias("_hub"))
     met = entry.join(lists.filter("in_list > 1"), "key")
-    met = stored(met.select("key", "node", "n", "hub"), "lists")
+    # no set of the list is smaller than its least, and no smaller one than percent of the set itself can link
+    smallest = F.greatest(F.col("least_n"), F.ceil(percent * F.col("n") / 100))
+    met = met.filter((100 + percent) * F.col("reach") >= percent * (F.col("n") + smallest))
+    met = stored(met.select("key", "node", "n", "reach", "_hub.hub", "_hub.hub_n", "_hub.hub_reach"), "lists")
 
     # every node and the hubs that it meets
-    sizes = keyed.select(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"))
-    stars = met.filter("node <> hub").select("node", "n", "hub").distinct().join(sizes, "hub")
-    stars = stars.filter(may_link(F.col("n"), F.col("hub_n"), percent)).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    stars = met.filter(may_meet(F.col("n"), F.col("reach"), F.col("hub_n"), F.col("hub_reach"), percent)).filter("node <> hub")
+    stars = stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     stars = stored(promising(stored(stars, "stars"), keyed, boundary, percent), "promising")
-    sets = stored(sets_of(stars, docs), "sets")
+    sets = stored(sets_of(stars, docs, classes), "sets")
     links = stored(proven(stars, sets, percent), "proven")
     # near copies that do not link with the least one meet further hubs, another in each round
     for turn in range(1, HUB_ROUNDS):
@@ -359,13 +413,14 @@ def class_links(
         pairs = stored(promising(stored(pairs, "stars"), keyed, boundary, percent), "promising")
         links = links.union(stored(proven(pairs, sets, percent), "proven"))
     # all nodes of one list that are still in different groups
-    apart = stored(cross_pairs(met, stored(components(links), "groups"), boundary, percent), "apart")
-    return links.union(stored(proven(apart, stored(sets_of(apart, docs), "sets"), percent), "proven"))
+    apart = stored(cross_pairs(met, stored(components(links), "groups"), percent), "apart")
+    apart = stored(promising(apart, keyed, boundary, percent), "promising")
+    return links.union(stored(proven(apart, stored(sets_of(apart, docs, classes), "sets"), percent), "proven"))
 
 
 def with_groups(met: DataFrame, groups: DataFrame) -> DataFrame:
     """The entries of lists whose nodes are in different groups, with the group of each as ``label``."""
-    known = met.join(groups, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    known = met.join(groups, "node", "left").select("key", "node", "n", "reach", F.coalesce("label", "node").alias("label"))
     split = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     return stored(known.join(split.select("key"), "key", "semi"), "mixed")
 
@@ -374,27 +429,47 @@ def other_hubs(met: DataFrame, groups: DataFrame, nodes: DataFrame, turn: int, p
     """Pairs of a node and its list's hub of this turn, if they are in different groups; among ``nodes`` only, the others
     are left to :func:`cross_pairs`."""
     mixed_lists = with_groups(met.join(nodes.distinct(), "node", "semi"), groups)
-    place = F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), F.col("node").alias("hub"), F.col("n").alias("m"), F.col("label").alias("of_hub"))
-    hubs = mixed_lists.groupBy("key").agg(F.min(place).alias("_hub")).select("key", "_hub.hub", "_hub.m", "_hub.of_hub")
+    place = F.struct(
+        F.xxhash64("node", F.lit(turn)).alias("at"), F.col("node").alias("hub"), F.col("n").alias("m"),
+        F.col("reach").alias("hub_reach"), F.col("label").alias("of_hub"),
+    )
+    hubs = mixed_lists.groupBy("key").agg(F.min(place).alias("_hub")).select("key", "_hub.*")
     pairs = mixed_lists.join(hubs, "key").filter(F.col("label") != F.col("of_hub"))
-    return pairs.filter(may_link(F.col("n"), F.col("m"), percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    near = may_meet(F.col("n"), F.col("reach"), F.col("m"), F.col("hub_reach"), percent)
+    return pairs.filter(near).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def cross_pairs(met: DataFrame, groups: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """Pairs of nodes that share lists, are in different groups so far, and may link by sizes and shared lists."""
+def cross_pairs(met: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes that share a list, are in different groups so far, and may link by sizes and reaches."""
     mixed_lists = with_groups(met, groups)
-    other = mixed_lists.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
-    both = mixed_lists.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")))
-    met_in = both.filter(may_link(F.col("n"), F.col("m"), percent)).groupBy(F.col("node").alias("a"), "b", "n", "m")
-    counts = met_in.agg(F.count_if(odd(F.col("key"))).alias("singles"), F.count(F.lit(1)).alias("all"))
-    reach = may_reach(F.col("n"), F.col("m"), F.col("singles"), F.col("all") - F.col("singles"), boundary, percent)
-    return counts.filter(reach).select("a", "b")
+    other = mixed_lists.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("reach").alias("reach_b"), F.col("label").alias("label_b"))
+    near = may_meet(F.col("n"), F.col("reach"), F.col("m"), F.col("reach_b"), percent)
+    both = mixed_lists.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & near)
+    return both.select(F.col("node").alias("a"), "b").distinct()
 
 
 def one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the least of their group, with all their columns.
+    """One row of each group of linked texts, with all its columns: that with the least ``doc_id``.
 
-    Rows with a null id stay: they are no known document's copy. So do all rows that carry the least id.
+    Rows are judged by id and text together, so an id that stands on two texts stays with each of them that is the least
+    of its group. Null ids come last. Of several rows with the same id and text the one with the least hash of its columns
+    stays. Rows without words are nobody's copies and all stay.
     """
-    groups = linked_groups(docs, percent=percent).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(bounded(stored(groups, "copies")), "doc_id", "left_anti").select(*docs.columns)
+    judged = stored(judged_rows(with_text_hash(docs), percent).filter("n > 0"), "judged")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "at")
+    groups = judged.groupBy("label").agg(F.min(rank).alias("_first"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    told = judged.join(groups, "label").select("doc_id", "at", (rank == F.col("_first")).alias("_stays"))
+    told = stored(told.groupBy("doc_id", "at", "_stays").agg(F.count(F.lit(1)).alias("_times")), "copies")
+
+    def matching(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = bounded(keys.select(F.col("doc_id").alias("_id"), F.col("at").alias("_of")))
+        return rows.join(keys, F.col(quoted("doc_id")).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_of")), how)
+
+    rows = docs.withColumn("_at", F.xxhash64(quoted("text")))
+    repeated = told.filter("_stays and _times > 1")
+    kept = matching(rows, told.filter("not _stays or _times > 1"), "left_anti").select(*map(quoted, docs.columns))
+    if repeated.isEmpty():
+        return kept
+    whole = F.struct(*map(quoted, docs.columns))
+    one = matching(rows, repeated, "left_semi").groupBy(quoted("doc_id"), "_at").agg(F.min_by(whole, F.xxhash64(whole)).alias("_row"))
+    return kept.unionByName(one.select("_row.*"))
