@@ -17,9 +17,7 @@ def vocabulary():
 
 
 def library():
-    made = Tokenizer.from_file(PATH)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(PATH)
 
 
 def expected_ids(texts):
@@ -31,7 +29,7 @@ def test_ids_equal_library(vocabulary):
     rng, theirs, ours = random.Random(4), library(), tokens.tokenizer(vocabulary)
     alphabets = ("abc XYZ .,'s't'll 12", "ÀÉßñé ’'", "ΣΑς ΣÁé   \x1c\x85x", "日本 İİ.", "<|endoftext|> . ", "!?.,a \t\n\x0b")
     texts = ["".join(rng.choice(a + rng.choice(alphabets)) for _ in range(rng.randint(0, 40))) for a in alphabets for _ in range(300)]
-    texts += ["", "x" * 5000, "word " * 3000]
+    texts += ["", "x" * 5000, "word " * 3000, "a<|endoftext|>B<|ENDOFTEXT|><|startoftext|><|startoftext|>é<|endoftext| >", "<|endoftext|>"]
     for text, ids in zip(texts, ours.encode_all(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, repr(text)
 
@@ -124,3 +122,13 @@ def test_matrix_query(spark, folder):
     texts = dict(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect())
     assert sum(r.n_tokens for r in rows) == sum(map(len, expected_ids(texts.values())))
     assert {d for r in rows for d in r.doc_ids} == set(texts)
+
+
+def test_few_long_texts_and_equal_rows_are_dealt_out(spark, vocabulary):
+    rows = [(None, None)] * 3000 + [(1, "w " * 60_000), (2, "v " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = packing.pieces(docs, vocabulary, window=64)
+    sizes = packing.dealt(found, docs, per_group=300).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(sizes) >= 10 and sum(sizes) == found.count() and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    packed = packing.pack(docs, vocabulary, window=64, per_group=300).collect()
+    assert len(packed) == found.count() and sum(r.length for r in packed) == 3000 + 110_002

@@ -103,3 +103,33 @@ def test_query_digest(spark, folder):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for *_, x in base) for k in BASE)
         assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_many_spans_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        text = " ".join(f"SSN 123-45-{i % 9000 + 1000:04d} mail a{i}@b.com" for i in range(n))
+        start = time.perf_counter()
+        assert len(pii.find_spans(text)) >= n
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(16_000) < 16 * max(seconds(2000), 0.02)
+
+
+def test_later_spans_never_overlap():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        first = [(a, a + rng.randint(1, 12)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 6)))]
+        taken, plain = pii.Taken(first), list(first)
+        for _ in range(15):
+            start = rng.randrange(60)
+            end = start + rng.randint(1, 8)
+            free = not any(start < b and a < end for a, b in plain)
+            assert taken.free(start, end) == free
+            if free:
+                taken.add(start, end)
+                plain.append((start, end))

@@ -51,10 +51,10 @@ def test_counts_equal_plain_loops(spark):
 
 
 def test_allowed_rejections_are_exact_binomial_bounds(spark):
-    config = quality.RiskConfig(max_false_share=0.5, delta=0.5, grid=(0.5,), bands=())
+    config = quality.RiskConfig(max_false_share=0.1, delta=0.5, grid=(0.5,), bands=())
     df = spark.createDataFrame([(n,) for n in (0, 1, 5, 17, 60, 250)], "n bigint")
     for n, k in df.select("n", quality.allowed_rejections(F.col("n"), config)).collect():
-        assert k == plain_allowed(n, config.share_per_rule, config.chance_per_test)
+        assert k == plain_allowed(n, config.max_false_share, config.chance_per_test)
 
 
 def junk_fixture(spark, n=1500):
@@ -107,3 +107,43 @@ def test_no_python_in_the_plan(spark, folder):
     plan = QUERIES["op3_quality_rules"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert pick(spark.range(1), a="id").columns == ["a"]
+
+
+def test_steps_stop_where_good_rows_are_rejected(spark):
+    """Good texts have many capitals, junk has symbols: the rule for capitals ends early, that for symbols does not."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(900):
+        words = [f"w{rng.randrange(5000)}" for _ in range(90)]
+        good = i % 4 > 0
+        words = [w.upper() if rng.random() < 0.3 else w for w in words] if good else [w + "##" for w in words]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    measured = quality.with_counts(docs).drop("text").cache()
+    cut = quality.certified_cutoffs(measured, marks).first()
+    assert cut.cut_symbols == 0.005 and 0.05 < cut.cut_upper < 0.5
+    kept = {r.doc_id: r.kept for r in quality.judged(measured, quality.certified_cutoffs(measured, marks)).collect()}
+    assert not any(kept[i] for i in range(0, 900, 4)) and sum(kept.values()) >= 0.98 * 675
+
+
+def test_guarantee_holds_on_simulated_labels(spark):
+    """Rules that reject just over the allowed share of good texts are certified in few of many trials."""
+    config = quality.RiskConfig(max_false_share=0.05, delta=0.1, grid=(0.5,), bands=())
+    rng, wrong = random.Random(9), 0
+    limits = dict(spark.range(200, 400).select("id", quality.allowed_rejections(F.col("id"), config)).collect())
+    for _ in range(2000):
+        n = rng.randrange(200, 400)
+        wrong += sum(rng.random() < 0.051 for _ in range(n)) <= limits[n]
+    assert wrong / 2000 <= 0.12
+
+
+def test_documents_are_rejected_beyond_the_base_rules(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    some = docs.join(labels.select("doc_id"), "doc_id", "semi")
+    rows = quality.with_counts(some.select("doc_id", "text")).drop("text").cache()
+    out = quality.judged(rows, quality.certified_cutoffs(rows, labels)).join(labels, "doc_id").filter("not base_failed")
+    counts = {(r.quality, r.kept): r["count"] for r in out.groupBy("quality", "kept").count().collect()}
+    assert counts[0, False] > 100 and counts.get((1, False), 0) <= 0.02 * counts[1, True]

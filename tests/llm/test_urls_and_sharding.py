@@ -55,7 +55,7 @@ def test_walks_equal_a_plain_loop(spark):
     seeds = {"a": (3.0, 0.0), "c": (0.0, 2.0)}
     base = {h: (0.15 * x, 0.15 * y) for h, (x, y) in seeds.items()}
     now = dict(base)
-    for _ in range(10):
+    for _ in range(200):
         new = {h: list(v) for h, v in base.items()}
         for s, t, po, pi in edges:
             new.setdefault(t, [0, 0])[0] += 0.85 * now.get(s, (0, 0))[0] * po
@@ -64,7 +64,14 @@ def test_walks_equal_a_plain_loop(spark):
     df = spark.createDataFrame([(h, *v) for h, v in seeds.items()], "host string, allowed double, blocked double")
     graph = spark.createDataFrame(edges, "src string, dst string, share_out double, share_in double")
     for r in urls.reputations(df, graph).collect():
-        assert (r.trust, r.distrust) == pytest.approx(now[r.host])
+        assert (r.trust, r.distrust) == pytest.approx(now[r.host], rel=1e-4)
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    pages = [(0, "http://h0.com/de/x", "")] + [(i, f"http://h{i}.net/p", f'<a href="http://h{i - 1}.{"com" if i == 1 else "net"}/">') for i in range(1, 15)]
+    pages.append((99, "http://clean.net/p", '<a href="http://h3.org/">'))
+    out = urls.judged_urls(spark.createDataFrame(pages, "page_id bigint, url string, html string"))
+    assert {r.page_id for r in out.collect() if r.verdict == "block"} == set(range(15))
 
 
 def plain_table(names, slots):

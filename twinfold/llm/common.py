@@ -61,6 +61,21 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(run, schema)
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def cached_by(owner: str, clear: Callable[[], None]) -> None:
+    """Name how a module forgets what its worker process remembers."""
+    _CACHES[owner] = clear
+
+
+def claim_memory(owner: str) -> None:
+    """Workers are used again by later stages: whoever begins a task lets the other modules' memories go."""
+    for name, clear in _CACHES.items():
+        if name != owner:
+            clear()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage; lost executors re-read files."""
     path = scratch_path(df.sparkSession, name)

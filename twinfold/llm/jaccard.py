@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import pick, quoted, slices, stored
+from twinfold.llm.common import cached_by, claim_memory, pick, quoted, slices, stored
 
 WORDS = 5
 PERCENT = 80
@@ -55,6 +55,7 @@ class _WordHashes(dict):
 
 
 _word_hashes = _WordHashes()
+cached_by("jaccard", lambda: (_word_hashes.clear(), _unpacked.cache_clear()))
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -132,6 +133,7 @@ def survey(df: DataFrame) -> DataFrame:
     occur in several of the documents counted together (about ``COUNTED_TOGETHER`` shingles at a time)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("jaccard")
         waiting, size = [], 0
         for batch in slices(batches, "text"):
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]

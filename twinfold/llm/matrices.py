@@ -8,7 +8,6 @@ documents are split without loss: the pieces of a document, by their start, are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,32 +25,40 @@ MATRIX_SCHEMA = (
 
 
 def matrix_rows(table: pa.Table, window: int, pad_id: int, dtype: str) -> Iterator[pa.RecordBatch]:
-    """One row per window from the placed pieces of a group."""
-    sequences = np.asarray(table.column("sequence_id"))
-    begins = np.flatnonzero(np.r_[True, sequences[1:] != sequences[:-1]]) if len(sequences) else []
-    spans = list(zip(begins, [*begins[1:], len(sequences)]))
-    for at in range(0, len(spans), ROWS_PER_BATCH):
-        rows = []
-        for a, b in spans[at : at + ROWS_PER_BATCH]:
-            part = table.slice(a, b - a)
-            lengths = part.column("length").to_pylist()
-            ends = [0, *accumulate(lengths)]
-            ids = np.full(window, pad_id, dtype=dtype)
-            ids[: ends[-1]] = np.concatenate([np.frombuffer(x, dtype="<u4") for x in part.column("ids").to_pylist()])
-            positions = np.zeros(window, dtype="<u2" if window <= 1 << 16 else "<u4")
-            positions[: ends[-1]] = np.concatenate([np.arange(n) for n in lengths])
-            rows.append(
-                {
-                    "sequence_id": int(sequences[a]),
-                    "n_tokens": ends[-1],
-                    "doc_ids": part.column("doc_id").to_pylist(),
-                    "starts": part.column("start").to_pylist(),
-                    "cu_seqlens": ends,
-                    "ids": ids.tobytes(),
-                    "position_ids": positions.tobytes(),
-                }
-            )
-        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_SCHEMA)
+    """One row per window from the placed pieces of a group, whose ids are of ``dtype``."""
+    sequences, lengths, offsets = (np.asarray(table.column(c)) for c in ("sequence_id", "length", "offset"))
+    begins = np.flatnonzero(np.r_[True, sequences[1:] != sequences[:-1]]) if len(sequences) else np.zeros(0, dtype=np.int64)
+    ends = np.r_[begins[1:], len(sequences)]
+    place = np.dtype("<u2" if window <= 1 << 16 else "<u4")
+    for at in range(0, len(begins), ROWS_PER_BATCH):
+        a, b = begins[at : at + ROWS_PER_BATCH], ends[at : at + ROWS_PER_BATCH]
+        rows, some = len(a), slice(a[0], b[-1])
+        size = lengths[some]
+        flat = np.frombuffer(b"".join(table.column("ids").slice(a[0], b[-1] - a[0]).to_pylist()), dtype=dtype)
+        row = np.repeat(np.arange(rows), b - a)
+        within = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        spot = np.repeat(row * window + offsets[some], size) + within
+        ids = np.full(rows * window, pad_id, dtype=dtype)
+        ids[spot] = flat
+        positions = np.zeros(rows * window, dtype=place)
+        positions[spot] = within
+        bounds = pa.array(np.r_[0, b - a[0]].astype(np.int32))
+        of_piece = [pa.ListArray.from_arrays(bounds, table.column(c).slice(a[0], b[-1] - a[0]).combine_chunks()) for c in ("doc_id", "start")]
+        last = offsets[b - 1] + lengths[b - 1]
+        # per window the offsets of its pieces, then its number of tokens
+        cuts = np.insert(offsets[some], b - a[0], last).astype(np.int32)
+        cut_bounds = pa.array((np.r_[0, b - a[0]] + np.arange(rows + 1)).astype(np.int32))
+        arrays = [
+            pa.array(sequences[a]), pa.array(last.astype(np.int32)), *of_piece, pa.ListArray.from_arrays(cut_bounds, pa.array(cuts)),
+            _rows_of_bytes(ids, rows), _rows_of_bytes(positions, rows),
+        ]
+        yield pa.RecordBatch.from_arrays(arrays, schema=_ARROW_SCHEMA)
+
+
+def _rows_of_bytes(flat: np.ndarray, rows: int) -> pa.Array:
+    """The bytes of a flat array as ``rows`` values of equal size."""
+    ends = np.arange(rows + 1, dtype=np.int32) * (flat.nbytes // max(1, rows))
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
 
 
 _ARROW_SCHEMA = pa.schema(
@@ -83,8 +90,8 @@ def token_matrices(
         if rows:
             yield from matrix_rows(place(pa.Table.from_batches(rows), window), window, pad_id, dtype)
 
-    found = pieces(df, vocabulary, window, with_ids=True, **columns)
-    return dealt(found, df.count(), per_group).mapInArrow(run, MATRIX_SCHEMA)
+    found = pieces(df, vocabulary, window, ids_as=dtype, **columns)
+    return dealt(found, df, per_group, columns.get("text_col", "text")).mapInArrow(run, MATRIX_SCHEMA)
 
 
 def write_matrices(df: DataFrame, path: str) -> None:

@@ -5,7 +5,11 @@ a query are the smallest distances to it, so a metric tree finds them. The root
 the radius that covers each cell; below it, every cell is cut into trees of bounded size. Inner nodes of a tree hold
 pivots, covering radii and distances to the parent's pivot; leaves hold vectors and their distances to the parent's
 pivot. A search takes the nodes in the order of their best possible score and leaves out, by the triangle inequality on
-stored distances, nodes and vectors whose distance to the query need not be computed at all.
+stored distances, nodes and vectors whose distance to the query need not be computed at all. Queries are searched in
+blocks: a page is read once for all queries that it may still hold a hit for, as one matrix product.
+
+Scores are exact: in floating point where no sum can pass 2**53, else in 64-bit integers, which hold every score that the
+result's type can hold.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ SCALE = 1024
 MOST_PIVOTS = 256
 ROWS_PER_PIVOT = 2000
 ROWS_PER_TREE = 20_000
+TREE_BYTES = 64 << 20
 QUERIES_PER_TASK = 4096
-PAGE = 64
+QUERIES_PER_BLOCK = 512
+PAGE = 256
 FANOUT = 12
 SLACK = 1e-6
 HIT_SCHEMA = "qkey string, score bigint, vec_id bigint"
@@ -59,26 +65,39 @@ def vector_key():
 class Space:
     """Rows brought to one dimension and one length; queries get 0 there."""
 
-    def __init__(self, dim: int, top: float):
+    def __init__(self, dim: int, top: float, largest: float = 0.0):
         self.dim, self.top = dim, top
+        self.exact = max(1, dim) * max(largest, math.sqrt(top)) ** 2 < 2**53  # no sum of products can pass it
 
-    def matrix(self, vectors) -> np.ndarray:
-        out = np.zeros((len(vectors), self.dim))
+    def whole(self, vectors) -> np.ndarray:
+        out = np.zeros((len(vectors), self.dim), dtype=np.int64)
         for i, v in enumerate(vectors):
             out[i, : len(v)] = v
         return out
 
+    def matrix(self, vectors) -> np.ndarray:
+        return self.whole(vectors).astype(np.float64)
+
     def lifted(self, rows: np.ndarray) -> np.ndarray:
         return np.hstack([rows, np.sqrt(np.maximum(self.top - (rows**2).sum(axis=1, keepdims=True), 0))])
 
-    def reach(self, query: np.ndarray, score: float) -> float:
-        """Distance at which a row has this score."""
-        return math.sqrt(max(query @ query + self.top - 2 * score, 0)) * (1 + SLACK) + SLACK
+    def blur(self, norms: np.ndarray) -> np.ndarray:
+        """More than the error of a distance that is computed from lengths and a product."""
+        return 1e-6 * np.sqrt(norms + self.top) + SLACK
+
+    def reach(self, norms: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """Distance within which rows of at least these scores are."""
+        return np.sqrt(np.maximum(norms + self.top - 2 * scores, 0)) * (1 + SLACK) + 2 * self.blur(norms)
 
-    def best_score(self, query: np.ndarray, distance: float) -> float:
+    def best_score(self, norms: np.ndarray, distance: np.ndarray) -> np.ndarray:
         """Highest score of a row at this distance or further."""
-        near = max(distance * (1 - SLACK) - SLACK, 0)
-        return (query @ query + self.top - near * near) / 2 + SLACK * (1 + self.top)
+        near = np.maximum(distance * (1 - SLACK) - 2 * self.blur(norms), 0)
+        return (norms + self.top - near * near) / 2 + SLACK * (1 + self.top)
+
+    def away(self, points: np.ndarray, norms: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+        """Distances of lifted queries to lifted pivots, one row per query."""
+        of_pivots = (pivots**2).sum(axis=1)
+        return np.sqrt(np.maximum(norms[:, None] + of_pivots[None, :] - 2 * (points @ pivots.T), 0))
 
 
 def distances(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
@@ -110,67 +129,102 @@ class Tree:
     """One tree over different vectors, each with its ids in rising order."""
 
     def __init__(self, space: Space, vectors, ids: list[list[int]], pivot: np.ndarray):
-        self.space, self.ids, self.pivot = space, ids, pivot
-        self.rows = space.matrix(vectors)
-        self.points = space.lifted(self.rows)
-        self.root = build(self.points, np.arange(len(self.rows)), pivot)
+        self.space, self.pivot = space, pivot
+        self.whole = None if space.exact else space.whole(vectors)
+        self.points = space.lifted(space.matrix(vectors))
+        self.starts = np.cumsum([0, *map(len, ids)])
+        self.ids = np.array([i for some in ids for i in some], dtype=np.int64)
+        self.root = build(self.points, np.arange(len(self.points)), pivot)
         self.computed = 0
 
+    def scores(self, queries: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """Inner products of whole-number queries with members, one row per query."""
+        if self.whole is None:
+            return (queries.astype(np.float64) @ self.points[members, :-1].T).astype(np.int64)
+        return queries @ self.whole[members].T
+
     def search(self, query: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-        """The best ``k`` (score, id) by falling score, then rising id, of scores from ``floor`` on."""
-        space, point = self.space, np.append(query, 0.0)
-        best: list[tuple[int, int]] = []  # as (score, -id): the heap's first is the worst
-        limit = floor
-        reach = space.reach(query, limit) if limit > -math.inf else math.inf
-        queue = [(-math.inf, 0, self.root, float(distances(self.pivot[None], point)[0]))]
+        """The best ``k`` (score, id) of one query."""
+        return self.search_all(np.asarray(query, dtype=np.int64)[None], k, np.array([floor]))[0]
+
+    def search_all(self, queries: np.ndarray, k: int, floors: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each query the best ``k`` (score, id) by falling score, then rising id, of scores from its floor on."""
+        found: list[list[tuple[int, int]]] = []
+        for at in range(0, len(queries), QUERIES_PER_BLOCK):
+            found += self._search_block(queries[at : at + QUERIES_PER_BLOCK], k, floors[at : at + QUERIES_PER_BLOCK])
+        return found
+
+    def _search_block(self, queries: np.ndarray, k: int, floors: np.ndarray) -> list[list[tuple[int, int]]]:
+        space, m = self.space, len(queries)
+        points = np.hstack([queries.astype(np.float64), np.zeros((m, 1))])
+        norms = (points**2).sum(axis=1)
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * m
+        limits = floors.astype(np.float64).copy()
+        reach = np.where(np.isfinite(limits), space.reach(norms, np.where(np.isfinite(limits), limits, 0)), math.inf)
+        to_root = space.away(points, norms, self.pivot[None])[:, 0]
+        # (best score of any query, number, page, queries that may find something there, their distances and bounds)
+        queue = [(-math.inf, 0, self.root, np.arange(m), to_root, np.full(m, math.inf))]
         count = 0
         while queue:
-            bound, _, page, to_pivot = heapq.heappop(queue)
-            if -bound < limit:
-                break
-            gap = np.abs(to_pivot - page["to_parent"])
+            _, _, page, live, to_pivot, bounds = heapq.heappop(queue)
+            open_ = bounds >= limits[live]
+            live, to_pivot = live[open_], to_pivot[open_]
+            if not len(live):
+                continue
+            gap = np.abs(to_pivot[:, None] - page["to_parent"][None, :])
             if "leaf" in page:
-                members = page["leaf"][gap <= reach]
-                self.computed += len(members)
-                for i, score in zip(members.tolist(), (self.rows[members] @ query).tolist()):
-                    if score < limit:
-                        continue
-                    for vec_id in self.ids[i]:
-                        item = (int(score), -vec_id)
-                        if len(best) < k:
-                            heapq.heappush(best, item)
-                        elif item > best[0]:
-                            heapq.heapreplace(best, item)
-                        else:
-                            break  # further ids of this vector are larger
-                    if len(best) == k and best[0][0] > limit:
-                        limit = best[0][0]
-                        reach = space.reach(query, limit)
+                near = (gap <= reach[live][:, None]).any(axis=0)
+                members = page["leaf"][near]
+                if len(members):
+                    self.computed += len(members) * len(live)
+                    self._take(queries, live, members, k, best, limits, norms, reach)
                 continue
-            open_ = np.flatnonzero(gap - page["radii"] <= reach)
-            self.computed += len(open_)
-            away = distances(self.points[page["pivots"][open_]], point)
-            for e, d in zip(open_.tolist(), away.tolist()):
-                score = space.best_score(query, d - page["radii"][e])
-                if score >= limit:
+            near = gap - page["radii"][None, :] <= reach[live][:, None]
+            for e in np.flatnonzero(near.any(axis=0)).tolist():
+                some = live[near[:, e]]
+                away = space.away(points[some], norms[some], self.points[page["pivots"][e]][None])[:, 0]
+                self.computed += len(some)
+                reachable = space.best_score(norms[some], away - page["radii"][e])
+                worth = reachable >= limits[some]
+                if worth.any():
                     count += 1
-                    heapq.heappush(queue, (-score, count, page["children"][e], d))
-        return [(s, -i) for s, i in sorted(best, key=lambda x: (-x[0], -x[1]))]
+                    item = (-float(reachable[worth].max()), count, page["children"][e], some[worth], away[worth], reachable[worth])
+                    heapq.heappush(queue, item)
+        return [[(int(s), int(i)) for s, i in zip(*row)] for row in best]
+
+    def _take(self, queries, live, members, k, best, limits, norms, reach) -> None:
+        """Merge the members' scores into what the live queries have."""
+        scores = self.scores(queries[live], members)
+        passing = scores >= limits[live][:, None]
+        for at in np.flatnonzero(passing.any(axis=1)).tolist():
+            q, cols = live[at], np.flatnonzero(passing[at])
+            rows = members[cols]
+            sizes = self.starts[rows + 1] - self.starts[rows]
+            spots = np.repeat(self.starts[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            all_scores = np.concatenate([best[q][0], np.repeat(scores[at][cols], sizes)])
+            all_ids = np.concatenate([best[q][1], self.ids[spots]])
+            order = np.lexsort((all_ids, -all_scores))[:k]
+            best[q] = all_scores[order], all_ids[order]
+            if len(order) == k and all_scores[order[-1]] > limits[q]:
+                limits[q] = all_scores[order[-1]]
+                reach[q] = self.space.reach(norms[q], limits[q])
 
 
 def top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose id is divisible by ``every``, the ``k`` other rows with the
     largest inner product, ties to the smaller id; fewer if there are fewer.
 
+    Components are whole numbers of 64 bits after scaling, and scores must fit into 64 bits, as the result's type does.
     Shorter vectors count as filled up with zeros. A row that repeats its id and vector is one row; a row is never its own
     neighbour, nor is another row with its id. An empty table gives no rows.
     """
     rows = scaled(df, id_col, vector_col).distinct()
     classes = stored(alike(rows, k + 1), "vectors")
     asked = stored(rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v").withColumn("qkey", vector_key()), "asked")
-    norm = F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)
+    norm = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
     n, dim, top = classes.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(norm)).first()
     space = Space(dim or 0, top or 0.0)
+    per_tree = max(1, min(ROWS_PER_TREE, TREE_BYTES // (8 * (space.dim + 1))))
 
     # the root page: different vectors with the smallest digests, at most MOST_PIVOTS
     pivots = min(MOST_PIVOTS, max(1, math.ceil(n / ROWS_PER_PIVOT)))
@@ -186,7 +240,7 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
 
     cells = stored(classes.mapInPandas(assign, "v array<bigint>, ids array<bigint>, qkey string, cell int, away double"), "cells")
     sizes = {r["cell"]: (r["n"], r["radius"]) for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}
-    trees_of = {c: math.ceil(n / ROWS_PER_TREE) for c, (n, _) in sizes.items()}
+    trees_of = {c: math.ceil(n / per_tree) for c, (n, _) in sizes.items()}
     if not sizes:
         return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     salts = F.create_map(*[F.lit(x) for pair in trees_of.items() for x in pair])
@@ -201,25 +255,29 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
     wanted = asked.select("qkey", "v").distinct()
     radii = np.array([sizes.get(c, (0, -1.0))[1] for c in range(len(points))])
 
-    def first_cell(query: np.ndarray) -> int:
-        away = distances(points, np.append(query, 0.0)) - radii
-        away[radii < 0] = math.inf
-        return int(away.argmin())
+    used = np.flatnonzero(radii >= 0)
+
+    def seen(vectors) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of queries and their distances to the cells' pivots."""
+        queries = np.hstack([space.matrix(vectors), np.zeros((len(vectors), 1))])
+        norms = (queries**2).sum(axis=1)
+        return norms, space.away(queries, norms, points[used])
 
     def route_first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                yield frame.assign(cell=[first_cell(q) for q in space.matrix(frame["v"])], floor=-math.inf)
+                _, away = seen(frame["v"])
+                yield frame.assign(cell=used[(away - radii[used]).argmin(axis=1)].astype("int32"), floor=-math.inf)
 
     def route_rest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for qkey, v, floor in frame.itertuples(index=False):
-                query = space.matrix([v])[0]
-                away = distances(points, np.append(query, 0.0))
-                open_ = [c for c in np.flatnonzero(radii >= 0).tolist() if space.best_score(query, away[c] - radii[c]) >= floor]
-                open_ = [c for c in open_ if c != first_cell(query)]
-                if open_:
-                    yield pd.DataFrame({"qkey": qkey, "v": [v] * len(open_), "cell": open_, "floor": floor})
+            if len(frame):
+                norms, away = seen(frame["v"])
+                bounds = space.best_score(norms[:, None], away - radii[used][None, :])
+                open_ = bounds >= frame["floor"].to_numpy()[:, None]
+                open_[np.arange(len(frame)), (away - radii[used]).argmin(axis=1)] = False
+                rows, cells_ = np.nonzero(open_)
+                yield frame.iloc[rows].assign(cell=used[cells_].astype("int32"))[["qkey", "v", "cell", "floor"]]
 
     routed_schema = "qkey string, v array<bigint>, cell int, floor double"
     first = searched(wanted.mapInPandas(route_first, routed_schema), trees, trees_of, space, k + 1)
@@ -257,8 +315,8 @@ def searched(routed: DataFrame, trees: DataFrame, trees_of: dict[int, int], spac
         out = []
         if len(grown):
             tree: Tree = pickle.loads(grown["tree"].iloc[0])
-            for qkey, query, floor in zip(asked["qkey"], space.matrix(asked["v"]), asked["floor"]):
-                out += [(qkey, score, vec_id) for score, vec_id in tree.search(query, k, floor)]
+            found = tree.search_all(space.whole(asked["v"]), k, asked["floor"].to_numpy())
+            out = [(qkey, *hit) for qkey, hits in zip(asked["qkey"], found) for hit in hits]
         return pd.DataFrame(out, columns=["qkey", "score", "vec_id"])
 
     keys = ("cell", "part", "block")

@@ -1,8 +1,8 @@
 """Packing documents into windows of a fixed number of tokens by best fit, longest piece first.
 
 A document is its token ids and an end id. Documents of a window or more are first cut into full windows; what is left
-of each document is one piece. Pieces are dealt into groups by a hash, so that a group has a bounded number of documents,
-and every group is packed by itself: the longest piece first, each into the open window with the least room that still
+of each document is one piece. Pieces are dealt into groups by a hash, as many groups as the rows and their bytes ask for, and
+every group is packed by itself: the longest piece first, each into the open window with the least room that still
 holds it. A segment tree over the amounts of room finds that window.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ from twinfold.llm.tokens import tokenizer
 WINDOW = 4096
 END_ID = 2
 DOCS_PER_GROUP = 50_000
+BYTES_PER_DOC = 4096  # a group has no more text than its number of rows with so many bytes each
 GROUP_SPAN = 1 << 32
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 PLACED_SCHEMA = PIECE_SCHEMA + ", sequence_id bigint, offset bigint"
@@ -92,9 +94,10 @@ def cut(ids: bytes, window: int) -> list[tuple[int, int]]:
 
 def pieces(
     df: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
-    with_ids: bool = False,
+    ids_as: str | None = None,
 ) -> DataFrame:
-    """Pieces of every document: ``doc_id, start, length, ids_crc32, doc_tokens``, with ``with_ids`` also their ``ids``.
+    """Pieces of every document: ``doc_id, start, length, ids_crc32, doc_tokens, turn``, with ``ids_as`` (a number type
+    that holds every id) also their ``ids``. ``turn`` counts equal pieces of neighbouring rows.
 
     A null text counts as empty: its only id is the end id. Repeated rows give repeated pieces, null ids are kept, an
     empty table gives none. Only the two named columns are read.
@@ -103,27 +106,34 @@ def pieces(
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        rows: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
+        rows: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "turn", "ids")}
+        seen: Counter = Counter()
         for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer(vocabulary).encode_all(texts)):
             ids += end
             for start, length in cut(ids, window):
                 part = ids[4 * start : 4 * (start + length)]
-                values = (doc_id, start, length, zlib.crc32(part), len(ids) // 4, part if with_ids else None)
-                for column, value in zip(rows.values(), values):
+                check = zlib.crc32(part)
+                if ids_as:
+                    part = np.frombuffer(part, "<u4").astype(ids_as).tobytes()
+                turn = seen[doc_id, start, check]
+                seen[doc_id, start, check] += 1
+                for column, value in zip(rows.values(), (doc_id, start, length, check, len(ids) // 4, turn, part)):
                     column.append(value)
         arrays = {c: pa.array(v, pa.int64()) for c, v in rows.items() if c != "ids"}
-        if with_ids:
+        if ids_as:
             arrays["ids"] = pa.array(rows["ids"], pa.binary())
         return pa.RecordBatch.from_pydict(arrays)
 
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return map_slices(rows, run, PIECE_SCHEMA + (", ids binary" if with_ids else ""), "text")
+    return map_slices(rows, run, PIECE_SCHEMA + ", turn bigint" + (", ids binary" if ids_as else ""), "text")
 
 
-def dealt(df: DataFrame, documents: int, per_group: int) -> DataFrame:
-    """Pieces dealt into groups, one per partition, of about ``per_group`` documents, by a hash of the whole piece."""
-    groups = max(1, math.ceil(documents / per_group))
-    return df.repartition(groups, F.xxhash64("doc_id", "start", "length", "ids_crc32"))
+def dealt(df: DataFrame, docs: DataFrame, per_group: int, text_col: str = "text") -> DataFrame:
+    """Pieces dealt into groups, one per partition, of about ``per_group`` documents of ``docs`` and no more than
+    ``BYTES_PER_DOC`` times as many bytes of text, by a hash of the whole piece and its turn among equal ones."""
+    sizes = pick(docs, text=text_col).agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    groups = max(1, math.ceil(sizes[0] / per_group), math.ceil((sizes[1] or 0) / (per_group * BYTES_PER_DOC)))
+    return df.repartition(groups, F.xxhash64("doc_id", "start", "length", "ids_crc32", "turn")).drop("turn")
 
 
 def place(table: pa.Table, window: int) -> pa.Table:
@@ -150,4 +160,4 @@ def pack(df: DataFrame, vocabulary: str, window: int = WINDOW, per_group: int =
             yield from place(pa.Table.from_batches(rows), window).to_batches()
 
     found = pieces(df, vocabulary, window, **columns)
-    return dealt(found, df.count(), per_group).mapInArrow(run, PLACED_SCHEMA)
+    return dealt(found, df, per_group, columns.get("text_col", "text")).mapInArrow(run, PLACED_SCHEMA)

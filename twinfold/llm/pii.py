@@ -6,7 +6,9 @@ All patterns are scanned in one pass each without re-reading: a text of any leng
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,6 +141,26 @@ def span_score(text: str, kind: str, start: int, end: int) -> float:
     return round(min(1.0, max(0.0, START_SCORE[kind] + step)), 3)
 
 
+class Taken:
+    """Spans that are taken: the first ones may overlap each other, those added later overlap none."""
+
+    def __init__(self, first: Iterable[tuple[int, int]]):
+        spans = sorted(first)
+        self._starts = [s for s, _ in spans]
+        self._reach = list(accumulate((e for _, e in spans), max))  # the furthest end of the spans so far
+        self._later: list[tuple[int, int]] = []
+
+    def free(self, start: int, end: int) -> bool:
+        before = bisect_left(self._starts, end)
+        if before and self._reach[before - 1] > start:
+            return False
+        at = bisect_left(self._later, (end,))
+        return not at or self._later[at - 1][1] <= start
+
+    def add(self, start: int, end: int) -> None:
+        insort(self._later, (start, end))
+
+
 def find_spans(text: str) -> list[tuple[int, int, str, float]]:
     """Spans as (start, end, kind, score) by start, then kind.
 
@@ -149,12 +171,12 @@ def find_spans(text: str) -> list[tuple[int, int, str, float]]:
     if _ANY_DIGIT.search(text):
         for kind in BASE_KINDS[1:]:
             found += [(s, e, kind) for s, e in FINDERS[kind](text)]
-        taken = sorted((s, e) for s, e, _ in found)
+        taken = Taken((s, e) for s, e, _ in found)
         for kind in KINDS[len(BASE_KINDS) :]:
             for s, e in FINDERS[kind](text):
-                if span_score(text, kind, s, e) >= KEEP_SCORE and not any(s < b and a < e for a, b in taken):
+                if span_score(text, kind, s, e) >= KEEP_SCORE and taken.free(s, e):
                     found.append((s, e, kind))
-                    taken.append((s, e))
+                    taken.add(s, e)
     return sorted(
         ((s, e, kind, span_score(text, kind, s, e)) for s, e, kind in found), key=lambda x: (x[0], KINDS.index(x[2]))
     )

@@ -1,11 +1,15 @@
 """Quality rules whose cutoffs carry a guarantee, in DataFrame functions only.
 
-Each rule rejects a document when one ratio of its text is above a cutoff. Cutoffs come from a fixed grid. Labelled rows
-tell how many good documents each cutoff would reject in each stratum (band of text length); a cutoff is certified when
-seeing so few would have a probability of at most ``delta / tests`` if the true share of rejected good documents were
-above its allowance. The allowance of a stratum is divided among the rules, so all rules together wrongly reject at most
-``max_false_share`` of its good documents, with confidence ``1 - delta`` for all strata, rules and grid points at once.
-The lowest certified cutoff is used; a rule without one rejects nothing in that stratum.
+Each rule rejects a document when one ratio of its text is above a cutoff. Cutoffs come from a fixed grid, and are chosen
+per stratum (band of text length) by fixed-sequence testing on labelled rows.
+
+A quarter of the good labelled rows, by a hash of the id, only shapes the sequence: no rule goes below the lowest grid
+point that rejects none of them. The sequence starts at the highest cutoff and lowers all rules together, point by point,
+each down to its own end. The other labelled rows test it: a step is certified when seeing so few of them rejected by any
+rule would have a probability of at most ``delta / strata`` if the rules together rejected more than ``max_false_share``
+of the good documents. Testing stops at the first step that is not certified, so the steps of one sequence need no
+correction among them, and the strata are corrected for by dividing ``delta``. With confidence ``1 - delta`` the chosen
+cutoffs wrongly reject at most ``max_false_share`` of the good documents of every stratum, all rules together.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ RULES = {
 }
 MIN_WORDS = 50
 FEW_HASHES = 32
+LEARNING = "0123"  # first digits of the hash of the ids that shape the sequence
 
 
 @dataclass(frozen=True)
@@ -42,13 +47,9 @@ class RiskConfig:
     )
     bands: tuple[int, ...] = (200, 800)
 
-    @property
-    def share_per_rule(self) -> float:
-        return self.max_false_share / len(RULES)
-
     @property
     def chance_per_test(self) -> float:
-        return self.delta / (len(RULES) * len(self.grid) * (len(self.bands) + 1))
+        return self.delta / (len(self.bands) + 1)
 
 
 def repeated_words(words: Column) -> Column:
@@ -163,9 +164,9 @@ def ratio(counts: str, rule: str) -> Column:
 def allowed_rejections(n: Column, config: RiskConfig) -> Column:
     """Largest count of false rejections among ``n`` good rows that still certifies a cutoff; -1 if none does.
 
-    Sums the exact binomial probabilities for the share ``share_per_rule`` until they pass ``chance_per_test``.
+    Sums the exact binomial probabilities for the share ``max_false_share`` until they pass ``chance_per_test``.
     """
-    share = config.share_per_rule
+    share = config.max_false_share
     start = F.struct(
         (n * math.log1p(-share)).cast("double").alias("log_p"), F.lit(0.0).alias("sum"), F.lit(-1).cast("bigint").alias("best")
     )
@@ -181,11 +182,11 @@ def allowed_rejections(n: Column, config: RiskConfig) -> Column:
 
 
 def certified_cutoffs(rows: DataFrame, labels: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
-    """One row per stratum: the lowest certified cutoff of each rule, null where there is none.
+    """One row per stratum with labelled rows to test: the certified cutoff of each rule, null where there is none.
 
     ``rows`` has ``doc_id`` and ``_counts``; ``labels`` has ``doc_id, quality``. Only rows that pass the base rules and
-    whose labels all say 1 count as good. Repeated labels count once, null labels not at all. The grids are counted as
-    levels first, so the table that the windows read has at most strata x rules x (grid + 1) rows.
+    whose labels all say 1 count as good. Repeated labels count once, null labels not at all. Rows are counted by level
+    first, the number of grid points that a ratio is above, so no table here has more than strata x (grid + 1) rows.
     """
     good = pick(labels, doc_id="doc_id", quality="quality").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     good = good.filter("quality = 1 and doc_id is not null").select("doc_id")
@@ -194,34 +195,33 @@ def certified_cutoffs(rows: DataFrame, labels: DataFrame, config: RiskConfig = R
     def level(rule: str) -> Column:
         return sum((ratio("_counts", rule) > cut).cast("int") for cut in config.grid) + F.lit(0)
 
-    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in RULES])
-    counted = (
-        held.select(stratum("_counts", config).alias("stratum"), F.explode(pairs).alias("at"))
-        .groupBy("stratum", "at.rule", "at.level")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # every grid point, with the good rows above it: those of a higher level
-    per_rule = counted.groupBy("stratum", "rule").agg(
-        F.sum("n").alias("good"), F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("at")
+    shaping = F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1).isin(*LEARNING)
+    levels = held.select(shaping.alias("shaping"), stratum("_counts", config).alias("stratum"), *[level(r).alias(r) for r in RULES])
+    counted = levels.groupBy("shaping", "stratum", *RULES).agg(F.count(F.lit(1)).alias("n"))
+    # the grid point at which a rule's sequence ends; there are as many rows as strata
+    ends = counted.filter("shaping").groupBy("stratum").agg(*[F.max(r).alias(f"end_{r}") for r in RULES])
+    tested = counted.filter("not shaping").join(F.broadcast(ends), "stratum", "left")
+    end = {r: F.coalesce(f"end_{r}", F.lit(0)) for r in RULES}
+    # the steps below this one reject the row: that of the highest level which a rule's sequence reaches
+    before = F.greatest(*[F.when(F.col(r) > end[r], F.col(r)).otherwise(0) for r in RULES])
+    by_step = tested.select("stratum", *[end[r].alias(f"end_{r}") for r in RULES], before.alias("before"), "n")
+    by_step = by_step.groupBy("stratum", *[f"end_{r}" for r in RULES], "before").agg(F.sum("n").alias("n"))
+    per_stratum = by_step.groupBy("stratum", *[f"end_{r}" for r in RULES]).agg(
+        F.sum("n").alias("good"), F.map_from_entries(F.collect_list(F.struct("before", "n"))).alias("at")
     )
-    points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("cut")) for i, c in enumerate(config.grid)])
-    top = len(config.grid)
+    steps = len(config.grid)
 
-    def above(i: Column) -> Column:
-        return F.aggregate(
-            F.sequence(i + 1, F.lit(top)),
-            F.lit(0).cast("bigint"),
-            lambda total, k: total + F.coalesce(F.try_element_at("at", k), F.lit(0)),
-        )
+    def rejected(step: Column) -> Column:
+        more = F.sequence(step + 1, F.lit(steps))
+        return F.aggregate(more, F.lit(0).cast("bigint"), lambda total, k: total + F.coalesce(F.try_element_at("at", k), F.lit(0)))
 
-    def lowest(allowed: Column) -> Column:
-        passing = F.filter(points, lambda p: above(p["i"]) <= allowed)
-        return F.get(passing, F.lit(0))["cut"]
+    def lowest(allowed: Column) -> Column:  # what a step rejects, all steps below reject, too
+        return F.get(F.filter(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: rejected(i) <= allowed), F.lit(0))
 
-    cut = let(allowed_rejections(F.col("good"), config), lowest)
-    chosen = per_rule.select("stratum", "rule", cut.alias("cut"))
-    picked = [F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES]
-    return chosen.groupBy("stratum").agg(*picked)
+    chosen = per_stratum.withColumn("step", let(allowed_rejections(F.col("good"), config), lowest))
+    grid = F.array(*[F.lit(c) for c in config.grid])
+    cuts = [F.when(F.col("step").isNotNull(), F.get(grid, F.greatest("step", f"end_{r}"))).alias(f"cut_{r}") for r in RULES]
+    return chosen.select("stratum", *cuts)
 
 
 def judged(rows: DataFrame, cutoffs: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:

@@ -60,7 +60,8 @@ def _quality_sql(config: quality.RiskConfig = quality.RiskConfig()) -> str:
     )
     grid = ", ".join(f"{c}::DOUBLE" for c in config.grid)
     stratum = " + ".join(f"(n_words >= {edge})::INT" for edge in config.bands)
-    share, chance = config.share_per_rule, config.chance_per_test
+    share, chance = config.max_false_share, config.chance_per_test
+    learning = ", ".join(f"'{x}'" for x in quality.LEARNING)
     return rf"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 split AS (
@@ -82,21 +83,27 @@ counted AS (
 measured AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {stratum} AS stratum FROM counted),
 ratios AS ({ratios}),
+levels AS (SELECT doc_id, stratum, rule, len(list_filter([{grid}], lambda c: ratio > c)) AS level FROM ratios),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
-held AS (SELECT * FROM ratios WHERE doc_id IN (SELECT doc_id FROM good)
-         AND doc_id IN (SELECT doc_id FROM measured WHERE NOT base_failed)),
+held AS (SELECT *, substr(md5(doc_id::VARCHAR), 1, 1) IN ({learning}) AS learning FROM levels
+         WHERE doc_id IN (SELECT doc_id FROM good) AND doc_id IN (SELECT doc_id FROM measured WHERE NOT base_failed)),
+learned AS (SELECT stratum, rule, max(level) AS least FROM held WHERE learning GROUP BY ALL),
+tested AS (
+  SELECT doc_id, stratum, max(CASE WHEN level > coalesce(least, 0) THEN level ELSE 0 END) AS level
+  FROM held LEFT JOIN learned USING (stratum, rule) WHERE NOT learning GROUP BY ALL),
 tests AS (
-  SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (WHERE ratio > cut) AS k
-  FROM held, (SELECT unnest([{grid}]) AS cut) GROUP BY ALL),
+  SELECT stratum, step, count(*) AS n, count(*) FILTER (WHERE level > step) AS k
+  FROM tested, (SELECT unnest(range(0, {len(config.grid)})) AS step) GROUP BY ALL),
 certified AS (
-  SELECT stratum, rule, min(cut) AS cut
+  SELECT stratum, min(step) AS step
   FROM tests WHERE k <= {share} * n AND {chance} >= (
     SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})))
     FROM (SELECT unnest(range(0, k + 1)) AS i))
   GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (
-         SELECT 1 FROM ratios r JOIN certified c USING (stratum, rule) WHERE r.doc_id = m.doc_id AND ratio > cut) AS kept
+         SELECT 1 FROM levels l JOIN certified USING (stratum) LEFT JOIN learned USING (stratum, rule)
+         WHERE l.doc_id = m.doc_id AND level > greatest(step, coalesce(least, 0))) AS kept
 FROM measured m
 """
 
@@ -174,17 +181,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _urls_sql(config: urls.RankConfig = urls.RankConfig()) -> str:
     rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}', '{r.text}')" for r in urls.RULES)
-    d, walks = config.damping, []
-    for i in range(config.rounds):
-        walks.append(f"""
-ranks{i + 1} AS (
-  SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
-    SELECT * FROM ranks0
-    UNION ALL SELECT dst, {d} * trust * share_out, 0 FROM links JOIN ranks{i} ON src = host
-    UNION ALL SELECT src, 0, {d} * distrust * share_in FROM links JOIN ranks{i} ON dst = host)
-  GROUP BY host),""")
+    d = config.damping
     return rf"""
-WITH rules(by_rule, rule_host, rule_path, rule) AS (VALUES {rules}),
+WITH RECURSIVE rules(by_rule, rule_host, rule_path, rule) AS (VALUES {rules}),
 rest AS (
   SELECT row_number() OVER () AS row, page_id, html,
          CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -204,8 +203,17 @@ edges AS (
 links AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share_out, w / sum(w) OVER (PARTITION BY dst) AS share_in FROM edges),
 ranks0 AS (
   SELECT host, {1 - d} * count(*) FILTER (WHERE by_rule = 'allow') AS trust, {1 - d} * count(*) FILTER (WHERE by_rule = 'block') AS distrust
-  FROM ruled WHERE host <> '' AND rule IS NOT NULL GROUP BY host),{"".join(walks)}
-bad AS (SELECT host FROM ranks{config.rounds} WHERE round(distrust / (trust + distrust), {urls.DIGITS}) >= {config.block_share})
+  FROM ruled WHERE host <> '' AND rule IS NOT NULL GROUP BY host),
+walk AS (
+  SELECT host, 0 AS round, trust, distrust FROM ranks0
+  UNION ALL
+  SELECT CASE WHEN host = src THEN dst ELSE src END, round + 1,
+         sum(CASE WHEN host = src THEN {d} * trust * share_out ELSE 0 END),
+         sum(CASE WHEN host = dst THEN {d} * distrust * share_in ELSE 0 END)
+  FROM walk JOIN links ON host = src OR host = dst
+  WHERE trust + distrust > 1e-18 AND round < 300 GROUP BY ALL),
+ranks AS (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM walk GROUP BY host),
+bad AS (SELECT host FROM ranks WHERE round(distrust / (trust + distrust), {urls.DIGITS}) >= {config.block_share})
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled
 """

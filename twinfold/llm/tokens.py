@@ -18,7 +18,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks
 
 from tokenizers import Tokenizer  # noqa: E402
 
-PART_CACHE = 800_000
+from twinfold.llm.common import cached_by, claim_memory  # noqa: E402
+
+PART_CACHE = 600_000
 CACHED_PART_CHARS = 64
 WORDS_PER_CALL = 500
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
@@ -32,21 +34,41 @@ def read_vocabulary(path: str) -> str:
 
 
 class SpaceFreeTokenizer:
-    """Ids as little-endian unsigned 32-bit integers, without special tokens."""
+    """Ids as little-endian unsigned 32-bit integers; no special tokens are added.
+
+    Literals of special tokens in a text get their ids, as the library gives them: they are matched in the text as it is,
+    before it is lower-cased, and cut it like white space.
+    """
 
     def __init__(self, content: str):
         self._tokenizer = Tokenizer.from_str(content)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = True  # parts hold no literal as it stands in the text
+        added = self._tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("this vocabulary has added tokens that are not plain literals")
+        self._special = {t.content: ("special", i) for i, t in added.items()}
+        names = sorted(self._special, key=len, reverse=True)
+        self._literal = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        self._ids_of_special = {key: np.array([key[1]], dtype="<u4").tobytes() for key in self._special.values()}
         if self._tokenizer.encode("a \n b", add_special_tokens=False).ids != self._pair_ids():
             raise ValueError("this vocabulary keeps white space")
         vocabulary = self._tokenizer.get_vocab()
         self._is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._known: dict[str, bytes] = {"": b""}
+        self._known: dict = {"": b"", **self._ids_of_special}
 
     def _pair_ids(self) -> list[int]:
         return [i for part in "ab" for i in self._tokenizer.encode(part, add_special_tokens=False).ids]
 
+    def split(self, text: str) -> list:
+        """Parts of a text in order; a special token's literal is the key of its id."""
+        if self._literal is None or not self._literal.search(text):
+            return self.parts(text)
+        found: list = []
+        for i, piece in enumerate(self._literal.split(text)):
+            found += [self._special[piece]] if i % 2 else self.parts(piece)
+        return found
+
     @staticmethod
     def parts(text: str) -> list[str]:
         """Parts between ASCII white space. Latin-1 texts are lower-cased first, as the vocabulary does by itself: in
@@ -62,11 +84,11 @@ class SpaceFreeTokenizer:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. Parts that are not yet known are encoded together."""
-        split = [self.parts(t) for t in texts]
+        split = [self.split(t) for t in texts]
         known = self._known
         if len(known) > PART_CACHE:
             known.clear()
-            known[""] = b""
+            known.update({"": b"", **self._ids_of_special})
         once: dict[str, bytes] = {}  # long parts are not remembered beyond this call
         unknown = set(chain.from_iterable(split)).difference(known.keys())
         # a word with one mark behind it is two pieces of the vocabulary
@@ -101,6 +123,14 @@ class SpaceFreeTokenizer:
 
 
 @lru_cache(maxsize=2)
+def _tokenizer(content: str) -> SpaceFreeTokenizer:
+    return SpaceFreeTokenizer(content)
+
+
+cached_by("tokens", _tokenizer.cache_clear)
+
+
 def tokenizer(content: str) -> SpaceFreeTokenizer:
     """One tokenizer per worker process and vocabulary."""
-    return SpaceFreeTokenizer(content)
+    claim_memory("tokens")
+    return _tokenizer(content)

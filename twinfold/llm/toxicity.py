@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import map_slices, pick, slices
+from twinfold.llm.common import cached_by, claim_memory, map_slices, pick, slices
 
 HASH_BITS = 20
 GRAM = 5
 MARKS = ".,;:!?\"'()[]"
-WORD_CACHE = 200_000
+WORD_CACHE = 150_000
 CACHED_WORD_CHARS = 64
 SCORE_SCHEMA = "doc_id bigint, score double"
 
@@ -58,16 +58,16 @@ def word_terms(word: str) -> tuple[int, ...]:
 
 
 class _Terms(dict):
-    """Remembered terms of words, cut down to those that a model knows."""
+    """Remembered terms of words, cut down to those that a model knows: ``places`` has -1 for the others."""
 
-    def __init__(self, places: dict[int, int] | None):
+    def __init__(self, places: np.ndarray | None):
         super().__init__()
         self._places = places
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         terms = word_terms(word)
         if self._places is not None:
-            terms = tuple(self._places[t] for t in terms if t in self._places)
+            terms = tuple(p for p in self._places[list(terms)].tolist() if p >= 0)
         if len(word) <= CACHED_WORD_CHARS:
             if len(self) >= WORD_CACHE:
                 self.clear()
@@ -75,9 +75,13 @@ class _Terms(dict):
         return terms
 
 
-def text_terms(text: str | None, known: _Terms) -> list[int]:
+def text_terms(text: str | None, known: _Terms) -> np.ndarray:
     """The distinct terms of a whole text in rising order; none for null."""
-    return sorted({t for word in set((text or "").lower().split()) for t in known[word]})
+    words = set((text or "").lower().split())
+    terms = set().union(*map(known.__getitem__, words))
+    found = np.fromiter(terms, dtype=np.int32, count=len(terms))
+    found.sort()
+    return found
 
 
 class Machine:
@@ -85,6 +89,7 @@ class Machine:
 
     def __init__(self, terms: np.ndarray, bias: float, weights: np.ndarray, vectors: np.ndarray):
         self.terms, self.bias, self.weights, self.vectors = terms, bias, weights, vectors
+        self._rows = None
 
     def margins(self, places: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Score before squashing for ``n`` texts whose term places are listed with their rows; also the vector sums."""
@@ -94,11 +99,17 @@ class Machine:
         pairs = 0.5 * ((sums**2).sum(axis=1) - squares)
         return self.bias + np.bincount(rows, self.weights[places], minlength=n) + pairs, sums
 
-    def scores(self, texts: list[list[int]]) -> np.ndarray:
+    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """Scores of texts given by places of their terms in this machine."""
-        sizes = [len(t) for t in texts]
-        places = np.fromiter((p for t in texts for p in t), dtype=np.int64, count=sum(sizes))
-        return squash(self.margins(places, np.repeat(np.arange(len(texts)), sizes), len(texts))[0])
+        if self._rows is None:  # weight, vector and half its squared length of a term side by side
+            half = 0.5 * (self.vectors**2).sum(axis=1, keepdims=True)
+            self._rows = np.hstack([self.weights[:, None] - half, self.vectors]).astype(np.float32)
+        found = np.full(len(texts), self.bias)
+        for i, places in enumerate(texts):
+            if len(places):
+                sums = self._rows[places].sum(axis=0, dtype=np.float64)
+                found[i] += sums[0] + 0.5 * (sums[1:] @ sums[1:])
+        return squash(found)
 
 
 def squash(margin: np.ndarray) -> np.ndarray:
@@ -197,16 +208,20 @@ def learn(docs: DataFrame, labels: DataFrame, config: FitConfig = FitConfig()) -
         rows.sort(key=lambda r: r[0])
         texts = [np.frombuffer(r[2], dtype="<i4") for r in rows]
         made = fit(texts, np.array([r[1] for r in rows], dtype=np.float64), config)
-        yield pa.RecordBatch.from_pydict({"machine": pa.array([pickle.dumps(made.__dict__)], pa.binary())})
+        state = {"terms": made.terms.astype("<i4"), "bias": made.bias}
+        state |= {"weights": made.weights.astype(np.float32), "vectors": made.vectors.astype(np.float32)}
+        yield pa.RecordBatch.from_pydict({"machine": pa.array([pickle.dumps(state)], pa.binary())})
 
     return bytes(once.coalesce(1).mapInArrow(run, "machine binary").first()["machine"])
 
 
 _all_terms = _Terms(None)
+cached_by("toxicity", lambda: (_all_terms.clear(), loaded.cache_clear()))
 
 
 def _hash_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    packed = [np.array(text_terms(t, _all_terms), dtype="<i4").tobytes() for t in batch.column("text").to_pylist()]
+    claim_memory("toxicity")
+    packed = [text_terms(t, _all_terms).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
     columns = {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic").cast(pa.int32())}
     return pa.RecordBatch.from_pydict(columns | {"terms": pa.array(packed, pa.binary())})
 
@@ -214,10 +229,13 @@ def _hash_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
 @lru_cache(maxsize=2)
 def loaded(machine: bytes) -> tuple[Machine, _Terms]:
     made = Machine(**pickle.loads(machine))
-    return made, _Terms({int(t): i for i, t in enumerate(made.terms)})
+    places = np.full(1 << HASH_BITS, -1, dtype=np.int32)
+    places[made.terms] = np.arange(len(made.terms))
+    return made, _Terms(places)
 
 
 def text_scores(texts: list[str | None], machine: bytes) -> np.ndarray:
+    claim_memory("toxicity")
     made, known = loaded(machine)
     return made.scores([text_terms(t, known) for t in texts])
 

@@ -2,7 +2,9 @@
 
 Trust walks along the links from hosts with allowed pages, distrust walks against them from hosts with blocked pages: who
 links to a blocked host is suspect, who is linked from a trusted one is not. Both are personalised PageRanks whose seeds
-are the numbers of pages that the rules allow or block. A host is blocked when distrust holds most of the two.
+are the numbers of pages that the rules allow or block. A host is blocked when distrust holds most of the two. The walks
+go on until they reach no new host and add less than a tolerance to what each host has, so a host's verdict does not
+depend on how far it is from the seeds.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from twinfold.llm.common import pick, stored
 
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/"'?#\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DIGITS = 9
+DIGITS = 3
 
 
 @dataclass(frozen=True)
@@ -43,10 +45,11 @@ RULES = (
 
 @dataclass(frozen=True)
 class RankConfig:
-    """``damping`` and ``rounds`` of the walks; a host is blocked at ``block_share`` of distrust or more."""
+    """``damping`` of the walks; they end when no host gains more than ``tolerance`` of its trust or its distrust. A host is
+    blocked at ``block_share`` of distrust or more, rounded to ``DIGITS``."""
 
     damping: float = 0.85
-    rounds: int = 10
+    tolerance: float = 1e-5
     block_share: float = 0.75
 
 
@@ -95,15 +98,19 @@ def reputations(seeds: DataFrame, links: DataFrame, config: RankConfig = RankCon
     links = stored(links, "hostlinks")
     if links.isEmpty():  # nothing to walk on
         return base
-    now, none = base, F.lit(0.0)
-    for _ in range(config.rounds):
-        along = links.join(now, links["src"] == now["host"])
+    # what arrives in a round starts the next one; the ranks are the sums of all rounds
+    ranks, moving, none = base, base, F.lit(0.0)
+    while True:
+        along = links.join(moving.filter("trust > 0"), links["src"] == moving["host"])
         along = along.select(F.col("dst").alias("host"), (config.damping * F.col("trust") * F.col("share_out")).alias("trust"), none.alias("distrust"))
-        against = links.join(now, links["dst"] == now["host"])
+        against = links.join(moving.filter("distrust > 0"), links["dst"] == moving["host"])
         against = against.select(F.col("src").alias("host"), none.alias("trust"), (config.damping * F.col("distrust") * F.col("share_in")).alias("distrust"))
-        both = base.unionByName(along).unionByName(against)
-        now = stored(both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "ranks")
-    return now
+        sums = [F.sum(c).alias(c) for c in ("trust", "distrust")]
+        moving = stored(along.unionByName(against).groupBy("host").agg(*sums), "moving")
+        ranks = stored(ranks.unionByName(moving).groupBy("host").agg(*sums), "ranks")
+        gained = moving.select("host", F.col("trust").alias("more"), F.col("distrust").alias("less")).join(ranks, "host")
+        if gained.filter((F.col("more") > config.tolerance * F.col("trust")) | (F.col("less") > config.tolerance * F.col("distrust"))).isEmpty():
+            return ranks
 
 
 def judged_urls(
