@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from twinfold.llm import jaccard
 
@@ -56,7 +57,10 @@ def test_components_equal_all_pairs(spark, seed):
 
 
 @pytest.mark.parametrize("boundary", [0, 12, 32, 64])
-def test_linked_sets_meet_under_every_boundary_and_order(boundary):
+def test_linked_sets_meet_within_reach_under_every_boundary_and_order(spark, boundary):
+    places = spark.range(1, 130).select("id", F.explode(F.sequence(F.lit(0), F.lit(700))).alias("place"))
+    reach = jaccard.reach_at(F.col("place"), F.col("id"), boundary, 80).alias("reach")
+    reach_of = {(r.id, r.place): r.reach for r in places.select("id", "place", reach).collect()}
     rng = np.random.default_rng(boundary)
     for _ in range(400):
         n = int(rng.integers(4, 90))
@@ -67,11 +71,12 @@ def test_linked_sets_meet_under_every_boundary_and_order(boundary):
         shared = n - drop
         common = np.sort(rng.choice(base, size=20, replace=False))
         ranks = rng.permutation(20) + 1
-        found = [jaccard.entries(jaccard.ordered(s, common, ranks), len(s), boundary) for s in (a, b)]
-        reach = [dict(zip(keys.tolist(), reaches.tolist())) for keys, reaches in found]
+        reach = []
+        for s in (a, b):
+            found = jaccard.entries(jaccard.ordered(s, common, ranks), len(s), boundary).tolist()
+            reach.append({key: reach_of[len(s), place] for place, key in enumerate(found)})
         if 100 * shared >= 80 * (n + len(b) - shared):
-            best = max(min(reach[0][k], reach[1][k]) for k in reach[0].keys() & reach[1].keys())
-            assert best >= shared
+            assert max(min(reach[0][k], reach[1][k]) for k in reach[0].keys() & reach[1].keys()) >= shared
 
 
 def test_smallest_sets_link_with_larger_ones(spark):

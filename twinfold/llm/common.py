@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -70,7 +71,9 @@ def cached_by(owner: str, clear: Callable[[], None]) -> None:
 
 
 def claim_memory(owner: str) -> None:
-    """Workers are used again by later stages: whoever begins a task lets the other modules' memories go."""
+    """Workers are used again by later stages: whoever begins a task lets the other modules' memories go. Batches make
+    many objects and no cycles, so the search for cycles need not run after every few hundred."""
+    gc.set_threshold(200_000, 50, 50)
     for name, clear in _CACHES.items():
         if name != owner:
             clear()

@@ -107,21 +107,28 @@ def ordered(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.n
     return shingles[np.argsort(rank, kind="stable")]
 
 
-def entries(first: np.ndarray, n: int, boundary: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Keys under which a set is entered, from its shingles in order, even for a pair of shingles, odd for one; and the
-    reach of each: the most that the set can share with one that has this key, but nothing before it, in common."""
+def entries(first: np.ndarray, n: int, boundary: int, percent: int = PERCENT) -> np.ndarray:
+    """Keys under which a set is entered, from its shingles in order: first even ones for pairs of shingles, by the later
+    of both, then odd ones for single shingles. :func:`reach_at` tells the reach of a key from its place."""
     spare = n - least_shared(n, percent)
-    keys, reaches = [], []
+    keys = []
     with np.errstate(over="ignore"):
         if n <= boundary:
             some = first[: spare + 2]
-            i, j = np.triu_indices(len(some), 1)
-            keys.append(mixed(some[i] * _MULTIPLIER + some[j]) & ~np.uint64(1))
-            reaches.append(n - j + 1)
+            later, earlier = np.tril_indices(len(some), -1)
+            keys.append(mixed(some[earlier] * _MULTIPLIER + some[later]) & ~np.uint64(1))
         if n > boundary or 100 * n >= percent * (boundary + 1):
             keys.append(mixed(first[: spare + 1] + _SHORT) | np.uint64(1))
-            reaches.append(n - np.arange(len(keys[-1])))
-    return np.concatenate(keys), np.concatenate(reaches)
+    return np.concatenate(keys)
+
+
+def reach_at(place: Column, n: Column, boundary: int, percent: int) -> Column:
+    """Reach of the entry at a place: the most that the set can share with one that has this key, but nothing before it,
+    in common."""
+    some = F.least(n, n - F.ceil(percent * n / 100) + 2)
+    pairs = F.when(n <= boundary, some * (some - 1) / 2).otherwise(F.lit(0)).cast("bigint")
+    later = F.floor((1 + F.sqrt(1 + 8 * place)) / 2)
+    return F.when(place < pairs, n - later + 1).otherwise(n - (place - pairs)).cast("int")
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -200,11 +207,11 @@ def cheapest_boundary(sizes: dict[int, int], length: float, percent: int = PERCE
 
 
 def entered(df: DataFrame, common: tuple[np.ndarray, np.ndarray], boundary: int, percent: int) -> DataFrame:
-    """``doc_id, at, n, keys, reaches`` of every document that can link with another set: at 80 % those of four shingles
-    or more."""
+    """``doc_id, at, n, keys`` of every document that can link with another set: at 80 % those of four shingles or more."""
     packed = (common[0].tobytes(), common[1].tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("jaccard")
         values, ranks = _unpacked(*packed)
         for batch in slices(batches, "text"):
             rows = []
@@ -212,15 +219,13 @@ def entered(df: DataFrame, common: tuple[np.ndarray, np.ndarray], boundary: int,
                 shingles = shingle_set(text)
                 n = len(shingles)
                 if links_beyond_itself(n, percent):  # else only the very same set links
-                    rows.append((*document, n, *entries(ordered(shingles, values, ranks), n, boundary, percent)))
+                    rows.append((*document, n, entries(ordered(shingles, values, ranks), n, boundary, percent)))
             offsets = pa.array(np.cumsum([0, *(len(r[3]) for r in rows)], dtype=np.int32))
             flat = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, dtype=np.uint64)
-            far = np.concatenate([r[4] for r in rows]) if rows else np.zeros(0, dtype=np.int64)
-            lists = [pa.ListArray.from_arrays(offsets, x) for x in (_signed(flat), pa.array(far.astype(np.int32)))]
             fixed = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*fixed, *lists], ["doc_id", "at", "n", "keys", "reaches"])
+            yield pa.RecordBatch.from_arrays([*fixed, pa.ListArray.from_arrays(offsets, _signed(flat))], ["doc_id", "at", "n", "keys"])
 
-    return df.mapInArrow(run, "doc_id bigint, at bigint, n bigint, keys array<bigint>, reaches array<int>")
+    return df.mapInArrow(run, "doc_id bigint, at bigint, n bigint, keys array<bigint>")
 
 
 @lru_cache(maxsize=2)
@@ -232,6 +237,7 @@ def whole_sets(df: DataFrame) -> DataFrame:
     """``node, shingles`` of the rows of ``node, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_memory("jaccard")
         for batch in slices(batches, "text"):
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
@@ -391,20 +397,24 @@ def class_links(docs: DataFrame, surveyed: DataFrame, rows: DataFrame, classes:
     small = rows.filter(F.col("n") <= 2 * BOUNDARIES[-1]).groupBy("n").count()
     boundary = cheapest_boundary({r["n"]: r["count"] for r in small.collect()}, list_length(surveyed), percent)
 
-    keyed = of_classes(entered(docs, common, boundary, percent), classes).select("node", "n", "keys", "reaches")
+    keyed = of_classes(entered(docs, common, boundary, percent), classes).select("node", F.col("n").cast("int").alias("n"), "keys")
     keyed = stored(one_each(keyed, classes), "keys")
-    both = F.explode(F.arrays_zip("keys", "reaches")).alias("_at")
-    entry = keyed.select(both, "node", "n").select("_at.keys", "_at.reaches", "node", "n").toDF("key", "reach", "node", "n")
-    central = F.struct((F.col("n") - F.col("reach")).alias("before"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("reach").alias("hub_reach"))
-    lists = entry.groupBy("key").agg(F.count(F.lit(1)).alias("in_list"), F.min("n").alias("least_n"), F.min(central).alias("_hub"))
-    met = entry.join(lists.filter("in_list > 1"), "key")
+    entry = keyed.select("node", "n", F.posexplode("keys").alias("place", "key"))
+    entry = entry.select("key", "node", "n", reach_at(F.col("place"), F.col("n"), boundary, percent).alias("reach"))
+    before = F.col("n") - F.col("reach")
+    lists = entry.groupBy("key").agg(
+        F.count(F.lit(1)).alias("in_list"), F.min("n").alias("least_n"), F.min(before).alias("hub_before"), F.min_by("node", before).alias("hub")
+    )
+    met = entry.join(lists.filter("in_list > 1").drop("in_list"), "key")
     # no set of the list is smaller than its least, and no smaller one than percent of the set itself can link
     smallest = F.greatest(F.col("least_n"), F.ceil(percent * F.col("n") / 100))
     met = met.filter((100 + percent) * F.col("reach") >= percent * (F.col("n") + smallest))
-    met = stored(met.select("key", "node", "n", "reach", "_hub.hub", "_hub.hub_n", "_hub.hub_reach"), "lists")
+    met = stored(met.select("key", "node", "n", "reach", "hub", "hub_before"), "lists")
 
     # every node and the hubs that it meets
-    stars = met.filter(may_meet(F.col("n"), F.col("reach"), F.col("hub_n"), F.col("hub_reach"), percent)).filter("node <> hub")
+    sizes = keyed.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+    stars = met.filter("node <> hub").join(sizes, "hub")
+    stars = stars.filter(may_meet(F.col("n"), F.col("reach"), F.col("hub_n"), F.col("hub_n") - F.col("hub_before"), percent))
     stars = stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     stars = stored(promising(stored(stars, "stars"), keyed, boundary, percent), "promising")
     sets = stored(sets_of(stars, docs, classes), "sets")
