@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from multiprocessing.pool import ThreadPool
+from threading import Lock
 from typing import Any
 
 from pyspark import StorageLevel, inheritable_thread_target, keyword_only
@@ -18,6 +19,15 @@ from pyspark.sql import types as T
 from twinfold.functions.columns import positive_score_of
 from twinfold.operators.cohort import union_all
 from twinfold.operators.evaluator import DEFAULT_METRICS, PrecisionRecallEvaluator, metric_key
+from twinfold.operators.fits import (
+    WEIGHT_COL,
+    block_bytes,
+    compressed,
+    feature_count,
+    fit_budget,
+    fitting_partitions,
+    weighted_penalty,
+)
 from twinfold.operators.folds import validate_folds
 
 CV_METRIC = "metric for CV "
@@ -101,6 +111,51 @@ class FoldCrossValidatorModel(CrossValidatorModel):
         )
 
 
+class _Rows:
+    """Different rows of features, label and fold with their numbers, and fits on them that equal fits on the rows one by
+    one: the penalties are turned into those of weighted rows."""
+
+    def __init__(self, data: DataFrame, estimator: Estimator, fold_col: str):
+        if not (hasattr(estimator, "weightCol") and hasattr(estimator, "elasticNetParam")) or estimator.isDefined(estimator.weightCol):
+            raise TypeError("compressRows needs a linear estimator without weights of its own")
+        self._estimator, self._fold_col = estimator, fold_col
+        self._keys = [estimator.getFeaturesCol(), estimator.getLabelCol()]
+        self.rows = compressed(data, [*self._keys, fold_col])
+        sums = self.rows.groupBy(fold_col).agg(F.sum(WEIGHT_COL).alias("w"), F.sum(F.col(WEIGHT_COL) ** 2).alias("s")).collect()
+        self._sums = {r[fold_col]: (r["w"], r["s"]) for r in sums}
+
+    def one_by_one(self, part: DataFrame) -> DataFrame:
+        """The rows themselves, as many as there were; an array of their number per row unfolds in the same task."""
+        return part.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(WEIGHT_COL).cast("int")))).drop("_copy", WEIGHT_COL)
+
+    def fit(self, part: DataFrame, params: Mapping[Param, Any], left_out: int | None = None) -> Model:
+        """Fit with the penalty that the rows one by one would have; the fold ``left_out`` is not in ``part``."""
+        used = [v for k, v in self._sums.items() if k != left_out]
+        weights, squares = sum(w for w, _ in used), sum(s for _, s in used)
+        mine = self._estimator.copy({**params})
+        mine = mine.copy({mine.weightCol: WEIGHT_COL})
+        if mine.getOrDefault(mine.standardization):
+            reg, alpha = weighted_penalty(mine.getRegParam(), mine.getElasticNetParam(), weights, squares)
+            mine = mine.copy({mine.regParam: reg, mine.elasticNetParam: alpha})
+        return mine.fit(part)
+
+    def fits(self, fold: int, part: DataFrame, param_maps: Sequence[Mapping[Param, Any]]):
+        """As ``fitMultiple``: an iterator of (index, model) that several threads may ask."""
+        return _SharedFits(lambda i: self.fit(part, param_maps[i], fold), len(param_maps))
+
+
+class _SharedFits:
+    """Hands out indices under a lock and fits outside of it."""
+
+    def __init__(self, fit_one, n: int):
+        self._fit_one, self._left, self._lock = fit_one, iter(range(n)), Lock()
+
+    def __next__(self) -> tuple[int, Model]:
+        with self._lock:
+            index = next(self._left)
+        return index, self._fit_one(index)
+
+
 class FoldCrossValidator(CrossValidator):
     """Cross-validator whose folds are given by a column of zero-based consecutive ids.
 
@@ -117,6 +172,9 @@ class FoldCrossValidator(CrossValidator):
         Params._dummy(), "evaluateOtherMetrics", "whether to report further metrics"
     )
     otherMetrics: Param[list] = Param(Params._dummy(), "otherMetrics", "further metrics to report")
+    compressRows: Param[bool] = Param(
+        Params._dummy(), "compressRows", "whether to fit on different rows with their numbers as weights"
+    )
 
     @keyword_only
     def __init__(
@@ -128,6 +186,7 @@ class FoldCrossValidator(CrossValidator):
         stratifyCol: str | None = None,
         evaluateOtherMetrics: bool = False,
         otherMetrics: list | None = None,
+        compressRows: bool = False,
         parallelism: int = 1,
     ):
         values = self._input_kwargs
@@ -135,7 +194,7 @@ class FoldCrossValidator(CrossValidator):
         if stratifyCol is None:
             raise ValueError("stratifyCol must be specified")
         self.bestIndex: int | None = None
-        self._setDefault(evaluateOtherMetrics=False, otherMetrics=None)
+        self._setDefault(evaluateOtherMetrics=False, otherMetrics=None, compressRows=False)
         self._apply(values)
 
     @keyword_only
@@ -148,6 +207,7 @@ class FoldCrossValidator(CrossValidator):
         stratifyCol: str | None = None,
         evaluateOtherMetrics: bool = False,
         otherMetrics: list | None = None,
+        compressRows: bool = False,
         parallelism: int = 1,
     ) -> FoldCrossValidator:
         """Set several params at once."""
@@ -171,14 +231,30 @@ class FoldCrossValidator(CrossValidator):
         n_folds = validate_folds(dataset, fold_col)
         estimator, param_maps, evaluator = self.getEstimator(), self.getEstimatorParamMaps(), self.getEvaluator()
         data = dataset.select(*{**dict.fromkeys(_columns_read(estimator, dataset)), fold_col: None})
-        cached = not dataset.is_cached
+        spark = dataset.sparkSession
+        whole = _Rows(data, estimator, fold_col) if self.getOrDefault(self.compressRows) else None
+        if whole:
+            data = whole.rows
+        n_rows, width = data.count(), self._width(data)
+        if width:
+            data = fitting_partitions(data, n_rows, width)
+        cached = not dataset.is_cached or bool(whole)
         if cached:
             data = data.persist(StorageLevel.MEMORY_AND_DISK)
-        spark = dataset.sparkSession
         train = [data.filter(F.col(fold_col) != i).drop(fold_col) for i in range(n_folds)]
         validation = [data.filter(F.col(fold_col) == i).drop(fold_col) for i in range(n_folds)]
-        fitted = [estimator.fitMultiple(part, param_maps) for part in train]
-        fit_next = inheritable_thread_target(spark)(lambda fold: (fold, *next(fitted[fold])))
+        if whole:
+            validation = [whole.one_by_one(part) for part in validation]
+            fitted = [whole.fits(i, part, param_maps) for i, part in enumerate(train)]
+        else:
+            fitted = [estimator.fitMultiple(part, param_maps) for part in train]
+        budget, size = fit_budget(spark), block_bytes(n_rows, width)
+
+        def fit_within(fold: int):
+            with budget.block(size):  # shared with the validators of all other threads
+                return fold, *next(fitted[fold])
+
+        fit_next = inheritable_thread_target(spark)(fit_within)
         try:
             # all folds and parameter sets wait in one queue, so a small grid keeps every thread busy too
             with ThreadPool(min(self.getParallelism(), n_folds * len(param_maps))) as pool:
@@ -198,10 +274,22 @@ class FoldCrossValidator(CrossValidator):
         marked = mark_best(table, main, evaluator.isLargerBetter())
         best = marked.filter("is_best").select("paramSetID").first()
         self.bestIndex = best.paramSetID if best else 0
-        best_model = estimator.fit(dataset, param_maps[self.bestIndex])
+        with budget.block(size):
+            if whole:
+                best_model = whole.fit(data.drop(fold_col), param_maps[self.bestIndex])
+            else:
+                best_model = estimator.fit(fitting_partitions(dataset, n_rows, width) if width else dataset, param_maps[self.bestIndex])
         model = FoldCrossValidatorModel(best_model, table.orderBy("paramSetID"), fold_metrics, self.bestIndex)
         return self._copyValues(model)
 
+    def _width(self, data: DataFrame) -> int:
+        """Length of the feature vectors, 0 if the estimator has no features column of vectors."""
+        estimator = self.getEstimator()
+        name = estimator.getFeaturesCol() if hasattr(estimator, "getFeaturesCol") else None
+        if name not in data.columns or data.schema[name].dataType.typeName() != "vectorudt":
+            return 0
+        return feature_count(data, name)
+
     def _single_metrics(
         self, models: Mapping[tuple[int, int], Model], validation: Sequence[DataFrame], pool: ThreadPool
     ) -> list[tuple[int, int, str, float]]:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import LABEL_COL, positive_score, quantised
@@ -38,11 +38,6 @@ def score_counts(
     )
 
 
-def roll_up(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Score counts of coarser groups from those of finer ones."""
-    return counts.groupBy(*by, "score").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_rows").alias("n_rows"))
-
-
 def curve_from_counts(
     counts: DataFrame, by: Sequence[str] = (), with_rank: bool = False, bounds: Sequence[float] | None = None
 ) -> DataFrame:
@@ -89,13 +84,19 @@ def score_curve(
     return curve_from_counts(counts, by, with_rank, bounds)
 
 
-def pr_from_curve(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def pr_from_curve(curve: DataFrame, by: Sequence[str] = (), rounded: bool = False) -> DataFrame:
     """``(by..., precision, recall)``, with the point (1, 0) added to each group.
 
-    Without positives every recall but the added one is NULL.
+    Without positives every recall but the added one is NULL. With ``rounded`` a group has a bounded number of points, so
+    its totals come from a window over the curve's own partitioning instead of a join.
     """
     tps, fps = F.col("tps"), F.col("fps")
-    whole = _with_totals(curve, by, _all=F.max("tps"), _least=F.min(tps + fps))
+    totals = {"_all": F.max("tps"), "_least": F.min(tps + fps)}
+    if rounded and by:
+        group = Window.partitionBy(*by)
+        whole = curve.withColumns({name: total.over(group) for name, total in totals.items()})
+    else:
+        whole = _with_totals(curve, by, **totals)
     totals = whole.select(
         *by,
         (tps / (tps + fps + F.lit(PRECISION_GUARD))).alias("precision"),
@@ -114,10 +115,10 @@ def pr_curve(
     score_col: str = "prob_1",
     label_col: str = LABEL_COL,
     by: Sequence[str] = (),
-    digits: int = SCORE_DIGITS,
+    digits: int | None = SCORE_DIGITS,
 ) -> DataFrame:
-    """Precision-recall curve of a scored table on rounded scores."""
-    return pr_from_curve(score_curve(df, score_col, label_col, by, digits), by)
+    """Precision-recall curve of a scored table, on rounded scores or, with ``digits=None``, on every distinct one."""
+    return pr_from_curve(score_curve(df, score_col, label_col, by, digits), by, rounded=digits is not None)
 
 
 def precision_at_recalls(curve: DataFrame, recalls: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -126,21 +127,24 @@ def precision_at_recalls(curve: DataFrame, recalls: Sequence[float], by: Sequenc
     Takes the curve point with the nearest recall; among equally near ones the smallest recall,
     then the largest precision.
     """
-    wanted = F.explode(F.array(*[F.lit(float(r)) for r in recalls])).alias("_wanted")
-    diffs = curve.select(*by, "precision", F.col("recall").alias("_reached"), wanted).withColumn(
-        "_diff", F.abs(F.col("_reached") - F.col("_wanted"))
-    )
-    per_recall = [*by, "_wanted"]
-    near = _with_totals(diffs, per_recall, _least=F.min("_diff")).filter(F.abs(F.col("_diff") - F.col("_least")) < RECALL_TIE)
-    # the smallest recall, then the largest precision, among the equally near
-    order = F.struct(F.col("_reached"), (-F.col("precision")).alias("_less"))
-    picked = near.groupBy(*per_recall).agg(F.min(order).alias("_pick"))
-    return picked.select(
-        *by,
-        F.col("_wanted").alias("recall"),
-        F.col("_pick._reached").alias("reached_recall"),
-        (-F.col("_pick._less")).alias("precision"),
-    )
+    # of the points that do not reach the recall, and of those beyond it, only the nearest can win
+    reached, aggregates = F.col("recall"), []
+    for i, r in enumerate(recalls):
+        below = F.struct(reached.alias("at"), F.col("precision").alias("precision"))
+        beyond = F.struct(reached.alias("at"), (-F.col("precision")).alias("less"))
+        aggregates += [
+            F.max(F.when(reached <= float(r), below)).alias(f"_below_{i}"),
+            F.min(F.when(reached > float(r), beyond)).alias(f"_beyond_{i}"),
+        ]
+    found = []
+    for i, r in enumerate(recalls):
+        wanted, below, beyond = F.lit(float(r)), F.col(f"_below_{i}"), F.col(f"_beyond_{i}")
+        lower = beyond.isNull() | (wanted - below["at"] < beyond["at"] - wanted + RECALL_TIE)
+        nearest = F.when(below.isNotNull() & lower, below["at"]).otherwise(beyond["at"])
+        precision = F.when(below.isNotNull() & lower, below["precision"]).otherwise(-beyond["less"])
+        found.append(F.struct(wanted.alias("recall"), nearest.alias("reached_recall"), precision.alias("precision")))
+    picked = curve.groupBy(*by).agg(*aggregates).select(*by, F.explode(F.array(*found)).alias("_p"))
+    return picked.select(*by, "_p.recall", "_p.reached_recall", "_p.precision").filter("reached_recall is not null")
 
 
 def areas_from_counts(
@@ -199,18 +203,19 @@ def metrics_by_scope(
     for scope in scopes:
         keys += [c for c in scope if c not in keys]
     finest = score_counts(df, score_col, label_col, keys, digits)
-    kinds = {c: finest.schema[c].dataType for c in keys}
-    tables = []
-    for scope in scopes:
-        counts = finest if list(scope) == keys else roll_up(finest, scope)
-        found = precision_at_recalls(pr_from_curve(curve_from_counts(counts, scope), scope), recalls, scope)
-        level = [F.col(c) if c in scope else F.lit(None).cast(kinds[c]).alias(c) for c in keys]
-        tables.append(
-            found.select(
-                F.lit("+".join(scope) or "all").alias("scope"), *level, "recall", F.col("precision").alias("value")
-            )
-        )
-    result = tables[0]
-    for table in tables[1:]:
-        result = result.unionByName(table)
-    return result
+    # all levels at once: grouping sets over the counts, and one pass of the curve for every group of every level
+    names = {_set_number(scope, keys): "+".join(scope) or "all" for scope in scopes}
+    sets = [[*[F.col(c) for c in scope], F.col("score")] for scope in scopes]
+    rolled = finest.groupingSets(sets, *keys, "score").agg(
+        F.sum("n_pos").alias("n_pos"), F.sum("n_rows").alias("n_rows"), F.grouping_id(*keys, "score").alias("_set")
+    )
+    by = ["_set", *keys]
+    points = pr_from_curve(curve_from_counts(rolled, by), by, rounded=True)
+    found = precision_at_recalls(points, recalls, by)
+    scope = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("_set")]
+    return found.select(scope.alias("scope"), *keys, "recall", F.col("precision").alias("value"))
+
+
+def _set_number(scope: Sequence[str], keys: Sequence[str]) -> int:
+    """Number by which Spark tells a grouping set: a bit for each key that it leaves out, the score's the lowest."""
+    return sum(1 << (len(keys) - i) for i, c in enumerate(keys) if c not in scope)

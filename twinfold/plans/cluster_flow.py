@@ -9,7 +9,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import ID_COL, LABEL_COL, MATCH_COL, flag_columns, label_as_double, predictor_columns
@@ -29,7 +29,7 @@ from twinfold.operators.distance import DIST_COL, cluster_shares
 from twinfold.operators.evaluator import AT_RECALL, PrecisionRecallEvaluator
 from twinfold.operators.folds import assign_folds, attach_folds, fold_table
 from twinfold.operators.scores import SCORE_COL, score_with
-from twinfold.session import materialise, scratch_path
+from twinfold.session import is_written, materialise, scratch_path, written_once
 from twinfold.sources.sinks import run_manifest, run_path, write_results
 from twinfold.sources.tables import align_columns
 
@@ -57,6 +57,10 @@ class ClusterFlowConfig:
     cluster_threads: int = 3
     # "union" keeps a test row once per cluster in the fold and overall metrics, "max" its best score
     combine: str = "union"
+    # fit on different rows with their numbers as weights; the models are the same
+    compress: bool = False
+    # format of the result tables: parquet or csv
+    result_format: str = "parquet"
 
 
 @dataclass(frozen=True)
@@ -107,6 +111,10 @@ def cluster_then_classify(
     The fold-tagged rows are written once, split by fold, so every later step reads only the folds
     it needs. Predictions go to one table split by fold and cluster, and all metrics are computed
     from that table at the end.
+
+    A run that ended early goes on when it is called again with the same folder, tables and settings: what fold and
+    cluster have written is kept, the rest is computed. Other settings in a folder with results are refused. Results are
+    written in ``config.result_format``.
     """
     spark = pos.sparkSession
     out = (out_dir or scratch_path(spark, "cluster-flow")).rstrip("/")
@@ -114,13 +122,17 @@ def cluster_then_classify(
     predictors = predictor_columns(pos.columns)
     flags = flag_columns(predictors)
     manifest = run_manifest({"n_rows_pos": pos, "n_rows_neg": neg, "n_rows_ss": ss}, asdict(config))
-    write_results(manifest, f"{out}/manifest", fmt="json")
+    if is_written(spark, f"{out}/manifest"):
+        if not manifest.exceptAll(spark.read.schema(manifest.schema).json(f"{out}/manifest")).isEmpty():
+            raise ValueError(f"{out} holds results of other tables or settings")
+    else:
+        write_results(manifest, f"{out}/manifest", fmt="json", mode="overwrite")
 
     bad = pos.filter(~F.col(LABEL_COL).eqNullSafe(1.0)).limit(1).count()
     if bad:
         raise ValueError("every row of the case table must have label 1")
-    tagged = materialise(
-        tag_eval_folds(pos, neg, ss, config.n_eval_folds, config.seed), "eval-folds", (EVAL_FOLD,)
+    tagged = written_once(
+        tag_eval_folds(pos, neg, ss, config.n_eval_folds, config.seed), f"{out}/state/eval-folds", (EVAL_FOLD,)
     )
     test_sizes = {r[EVAL_FOLD]: r["count"] for r in tagged.groupBy(EVAL_FOLD).count().collect()}
 
@@ -130,10 +142,19 @@ def cluster_then_classify(
         test = tagged.filter(here).drop(EVAL_FOLD, PART)
         cases = train.filter((F.col(LABEL_COL) == 1) & (F.col(PART) == "pos")).drop(PART)
         controls = train.filter(F.col(PART) == "neg").drop(PART)
-        model, clustered = cluster_rows(cases, flags, config.n_clusters, config.seed)
-        clustered, centres = materialise(clustered, "clustered-cases"), centres_of(model)
+        state = run_path(f"{out}/state/clusters", {"fold": fold})
+        if not is_written(spark, f"{state}/centres"):  # written last
+            model, clustered = cluster_rows(cases, flags, config.n_clusters, config.seed)
+            written_once(clustered, f"{state}/cases")
+            found = spark.createDataFrame(sorted(centres_of(model).items()), "cluster int, centre array<double>")
+            write_results(found, f"{state}/centres", mode="overwrite")
+        clustered = spark.read.parquet(f"{state}/cases")
+        centres = {r["cluster"]: r["centre"] for r in spark.read.parquet(f"{state}/centres").collect()}
         shares = {r[CLUSTER_COL]: r for r in cluster_shares(clustered).collect()}
 
+        left = [c for c in sorted(shares) if not is_written(spark, run_path(f"{out}/loops", {"fold": fold, "cluster": c}))]
+        if not left:
+            continue
         ratios = {c: r["share"] for c, r in shares.items()}
         chosen = similar_controls_by_cluster(controls, clustered, flags, centres, ratios)
         chosen = materialise(chosen, "similar-controls", (CLUSTER_COL,))
@@ -145,19 +166,18 @@ def cluster_then_classify(
             _one_cluster(own, near, test, n_test, centres[cluster], row, fold, predictors, flags, config, out)
 
         with ThreadPool(config.cluster_threads) as pool:
-            pool.map(inheritable_thread_target(spark)(step), sorted(shares), chunksize=1)
-
-    predictions = spark.read.parquet(f"{out}/predictions")
-    metrics = flow_metrics(predictions, config)
-    write_results(metrics, f"{out}/metrics")
-    return ClusterFlowResult(
-        predictions,
-        spark.read.parquet(f"{out}/metrics"),
-        spark.read.parquet(f"{out}/cv_metrics"),
-        spark.read.parquet(f"{out}/loops"),
-        manifest,
-        out,
-    )
+            pool.map(inheritable_thread_target(spark)(step), left, chunksize=1)
+
+    predictions = _results(spark, out, "predictions", config)
+    write_results(flow_metrics(predictions, config), f"{out}/metrics", fmt=config.result_format, mode="overwrite")
+    return ClusterFlowResult(predictions, *(_results(spark, out, t, config) for t in ("metrics", "cv_metrics", "loops")), manifest, out)
+
+
+def _results(spark: SparkSession, out: str, name: str, config: ClusterFlowConfig) -> DataFrame:
+    """A table of results in the format of the run."""
+    if config.result_format == "parquet":
+        return spark.read.parquet(f"{out}/{name}")
+    return spark.read.format(config.result_format).option("header", True).option("inferSchema", True).load(f"{out}/{name}")
 
 
 def _one_cluster(
@@ -193,21 +213,23 @@ def _one_cluster(
         ),
         stratifyCol=CV_FOLD,
         parallelism=config.parallelism,
+        compressRows=config.compress,
     )
     fitted = validator.fit(train)
-    write_results(mark_best(fitted.avgMetrics, CV_METRIC + AT_RECALL), run_path(f"{out}/cv_metrics", key))
+    how = {"fmt": config.result_format, "mode": "overwrite"}  # what a lost run left of this part goes
+    write_results(mark_best(fitted.avgMetrics, CV_METRIC + AT_RECALL), run_path(f"{out}/cv_metrics", key), **how)
 
     # rows far from the centre count as negative: score 0
     rows = mark_near(test, flags, centre, share, n_rows=n_test)
     vectors = assemble(rows, predictors, keep=(MATCH_COL, LABEL_COL, ID_COL, "near"))
     scored = zero_far(score_with(vectors, fitted.bestModel))
     predictions = scored.select(ID_COL, MATCH_COL, LABEL_COL, "near", SCORE_COL)
-    write_results(predictions, run_path(f"{out}/predictions", key))
+    write_results(predictions, run_path(f"{out}/predictions", key), **how)
 
     counts = own.sparkSession.createDataFrame(
         [(share_row["n_rows"], share, n_train, n_test)], "n_cases bigint, share double, n_train bigint, n_test bigint"
     )
-    write_results(counts, run_path(f"{out}/loops", key))
+    write_results(counts, run_path(f"{out}/loops", key), **how)  # last: the part is done
 
 
 def flow_metrics(predictions: DataFrame, config: ClusterFlowConfig) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 
 from twinfold.functions import columns as fx
 from twinfold.operators import cohort as co
-from twinfold.operators import crossval, curve, distance, folds, ranking, scores
+from twinfold.operators import crossval, curve, distance, fits, folds, ranking, scores
 from twinfold.operators.clustering import (
     assemble,
+    centres_of,
     cluster_rows,
     similar_controls_by_cluster,
     split_test_rows,
@@ -679,6 +680,14 @@ def pr_points(spark, folder):
     return curve.pr_curve(oc.scored(spark, folder))
 
 
+@register(
+    "pr_unrounded", sql.query(sql.SCORED, sql.curve("scored", digits=None), sql.pr(), select="SELECT precision, recall FROM pr")
+)
+def pr_unrounded(spark, folder):
+    """The precision-recall curve on every distinct score."""
+    return curve.pr_curve(materialise(oc.scored(spark, folder), "scored"), digits=None)
+
+
 @register(
     "precision_at_recalls",
     sql.query(
@@ -987,6 +996,47 @@ def cell_logit(spark, folder):
     return scored.groupBy("cell").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("prob_1"), 3).alias("prob"))
 
 
+NET_COLUMNS = [*oc.COUNTS, *oc.FLAGS]
+NET_GRID = [(reg, alpha) for reg in (0.01, 0.1, 1.0) for alpha in (0.0, 0.5, 1.0)]
+
+
+@register(
+    "elastic_net_optimal",
+    sql.query(
+        sql.COHORT,
+        select=" UNION ALL ".join(
+            f"SELECT p AS paramSetID, '{c}' AS feature, {deviation} AS deviation, TRUE AS optimal FROM (SELECT unnest(range({len(NET_GRID)}))::INTEGER AS p)"
+            + (f", (SELECT round(stddev_samp({c}), 6) AS d FROM cohort WHERE population = 'pn')" if c else "")
+            for c, deviation in [("", "CAST(NULL AS DOUBLE)"), *[(c, "d") for c in NET_COLUMNS]]
+        ),
+    ),
+)
+def elastic_net_optimal(spark, folder):
+    """Every fit of an elastic-net grid is optimal: the slope of the loss meets the penalty at each coefficient."""
+    rows = materialise(study(oc.cohort(spark, folder)).select("label", "matched_positive_id", "patid", *NET_COLUMNS), "net-rows")
+    models = fits.fit_grid(rows, NET_COLUMNS, NET_GRID, maxIter=100_000, tol=1e-10, standardization=True)
+    found = fits.elastic_net_certificate(rows, NET_COLUMNS, models)
+    return found.select("paramSetID", "feature", F.round("deviation", 6).alias("deviation"), "optimal")
+
+
+@register(
+    "kmeans_fixed_point",
+    sql.query(
+        sql.COHORT,
+        select="""SELECT count(*) AS n_rows, count(*) AS nearest, CAST(1 AS DOUBLE) AS share, TRUE AS fixed
+  FROM cohort WHERE population = 'pn' AND label = 1""",
+    ),
+)
+def kmeans_fixed_point(spark, folder):
+    """K-means of the cases with three clusters ends at a fixed point, and the shares add up."""
+    cases = study(stored_flags(spark, folder)).filter(F.col("label") == 1).drop("population")
+    model, clustered = cluster_rows(cases, oc.FLAGS, k=3, seed=SEED)
+    found = fits.kmeans_certificate(clustered, oc.FLAGS, centres_of(model), "cluster_id")
+    return found.agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("nearest").alias("nearest"), F.round(F.sum("share"), 9).alias("share"), F.every("fixed").alias("fixed")
+    )
+
+
 # --- fitted models: no SQL can repeat an iterative fit ------------------------------------------
 
 
