@@ -15,6 +15,7 @@ from twinfold.functions.columns import ID_COL, LABEL_COL, MATCH_COL, label_as_do
 from twinfold.operators.clustering import assemble
 from twinfold.operators.cohort import union_all
 from twinfold.operators.curve import STANDARD_RECALLS, areas, metrics_by_scope
+from twinfold.operators.fits import block_bytes, feature_count, fit_budget, fitting_partitions
 from twinfold.operators.folds import fold_table
 from twinfold.operators.scores import (
     SCORE_COL,
@@ -143,7 +144,14 @@ def _outer_fold(tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageC
     train = tagged.filter((F.col(OUTER) != sim) & (F.col(PART) == STUDY)).drop(OUTER, PART)
     # the fits read the stored rows and keep their own blocks: no further copy in memory
     train = materialise(train.join(inner, MATCH_COL, "left").fillna(-1, [INNER]), "inner-folds")
-    fit = inheritable_thread_target(tagged.sparkSession)(lambda j: fit_unpenalised(train.filter(F.col(INNER) != j), config))
+    n_rows, width = train.count(), feature_count(train, "features")
+    budget, sized = fit_budget(tagged.sparkSession), fitting_partitions(train, n_rows, width)
+
+    def fit_one(j: int) -> LogisticRegressionModel:
+        with budget.block(block_bytes(n_rows, width)):  # shared by the outer folds that run at the same time
+            return fit_unpenalised(sized.filter(F.col(INNER) != j), config)
+
+    fit = inheritable_thread_target(tagged.sparkSession)(fit_one)
     with ThreadPool(min(config.parallelism, config.n_inner)) as pool:
         models = pool.map(fit, range(config.n_inner))
     # one pass: every training row with the score of every inner model
@@ -170,7 +178,9 @@ def _outer_fold(tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageC
         raise ValueError(f"outer fold {sim} has no case among its training rows")
     train2 = second_stage_features(held_out.drop(INNER), cut)
     test2 = second_stage_features(tested, cut, keep=(MATCH_COL, ID_COL, LABEL_COL, PART))
-    model = fit_unpenalised(train2, config)
+    n_second = train2.count()
+    with budget.block(block_bytes(n_second, width + 1)):
+        model = fit_unpenalised(fitting_partitions(train2, n_second, width + 1), config)
     second = union_all(
         [
             score_with(train2, model).withColumn("set", F.lit("train")).select(*columns),

@@ -363,6 +363,28 @@ def bernoulli_sampled(spark, folder):
     return co.sample_rows(oc.members(spark, folder).select(*oc.IDS), 0.1, method="bernoulli")
 
 
+@register(
+    "bernoulli_sample_rows",
+    sql.query(sql.MEMBERS, select="SELECT count(*) AS n_rows, TRUE AS subset, TRUE AS once, TRUE AS within FROM members"),
+)
+def bernoulli_sample_rows(spark, folder):
+    """Spark's own sample holds rows of the table, each as often as the table, and as many as its share allows.
+
+    The number of rows may be 6 standard deviations off, which a right sample exceeds once in about 10**9 runs.
+    """
+    keys = [F.col(c) for c in oc.IDS]
+    rows = oc.members(spark, folder).select(*oc.IDS)
+    drawn = co.sample_rows(rows, 0.1, method="bernoulli").groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
+    held = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("held"))
+    both = held.join(drawn, list(oc.IDS), "full")
+    sums = both.agg(
+        F.sum("held").alias("n_rows"), F.every(F.col("held").isNotNull()).alias("subset"),
+        F.every(F.coalesce("times", F.lit(0)) <= F.coalesce("held", F.lit(0))).alias("once"), F.coalesce(F.sum("times"), F.lit(0)).alias("_drawn"),
+    )
+    off = F.abs(F.col("_drawn") - 0.1 * F.col("n_rows"))
+    return sums.select("n_rows", "subset", "once", (off <= 6 * F.sqrt(0.09 * F.col("n_rows"))).alias("within"))
+
+
 @register(
     "matched_undersample",
     sql.query(
@@ -1037,6 +1059,45 @@ def kmeans_fixed_point(spark, folder):
     )
 
 
+CELLS = [f"C{i}" for i in range(8)]
+CELL = "RETURN_FLAG + 2 * OPEN_FLAG + 4 * URGENT_FLAG"
+
+
+@register(
+    "two_stage_cells",
+    sql.query(
+        sql.COHORT,
+        f"cells AS (SELECT patid, matched_positive_id, label, {CELL} AS cell FROM cohort WHERE population = 'pn')",
+        sql.folds("cells", column="sim"),
+        *[
+            sql.folds(f"(SELECT * FROM folds WHERE sim <> {i})", 5, SEED + 1 + i, f"inner{i}", "inner_fold")
+            for i in range(5)
+        ],
+        f"nested AS ({' UNION ALL '.join(f'SELECT {i} AS sim, * FROM inner{i}' for i in range(5))})",
+        """own AS (SELECT sim, inner_fold, cell, count(*) AS n, sum(label) AS p
+          FROM cells JOIN nested USING (matched_positive_id) GROUP BY ALL)""",
+        "whole AS (SELECT sim, cell, sum(n) AS n, sum(p) AS p FROM own GROUP BY ALL)",
+        """models AS (SELECT w.sim, m AS inner_fold, w.cell, (w.p - coalesce(o.p, 0)) / (w.n - coalesce(o.n, 0)) AS prob
+          FROM whole w CROSS JOIN (SELECT unnest(range(5)) AS m)
+          LEFT JOIN own o ON o.sim = w.sim AND o.cell = w.cell AND o.inner_fold = m)""",
+        select="""SELECT sim, 'train' AS "set", patid, round(0.7320508 * prob, 2) AS scaled
+  FROM cells JOIN nested USING (matched_positive_id) JOIN models USING (sim, inner_fold, cell)
+  UNION ALL
+  SELECT f.sim, 'test', patid, round(0.7320508 * avg(prob), 2)
+  FROM cells JOIN folds f USING (matched_positive_id) JOIN models m ON m.sim = f.sim AND m.cell = cells.cell GROUP BY f.sim, patid""",
+    ),
+)
+def two_stage_cells(spark, folder):
+    """The whole two-stage flow with one column per cell of the flags: its first-stage scores are shares of cases.
+
+    Scores are scaled before they are rounded, as shares of few rows lie on the rounding's own borders.
+    """
+    cell = F.expr(CELL)
+    tables = [df.withColumns({c: (cell == i).cast("double") for i, c in enumerate(CELLS)}) for df in cohort_tables(spark, folder)]
+    first = two_stage(*tables, TwoStageConfig(max_iter=500), predictors=CELLS).first_stage
+    return first.filter(F.col("set") != "rep").select("sim", "set", "patid", F.round(0.7320508 * F.col("prob_1"), 2).alias("scaled"))
+
+
 # --- fitted models: no SQL can repeat an iterative fit ------------------------------------------
 
 
