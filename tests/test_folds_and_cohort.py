@@ -123,7 +123,7 @@ def first_rows(rows, cases, n):
 @pytest.mark.parametrize("most", [0, 500_000])
 def test_undersampling(tables, monkeypatch, most):
     """The same rows come out whether the sampled match ids are broadcast or joined."""
-    monkeypatch.setattr(C.broadcast_ids, "__defaults__", ("matched_positive_id", most))
+    monkeypatch.setattr(C, "BROADCAST_IDS", most)
     dfs, (_, neg, ss) = tables
     cases, controls, scoring = C.undersample_cohort(*dfs, ratio=0.4, neg_ratio=5, ss_ratio=10, seed=1)
     ids = {r.matched_positive_id for r in cases.collect()}

@@ -76,6 +76,86 @@ def test_row_index_equals_a_global_sort(points):
     assert {r.patid: r["index"] for r in indexed.collect()} == want
 
 
+def jobs_of(spark, name, action):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return action(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("bound", [7, 60, 10_000])
+def test_many_ranks_of_several_keys(points, bound):
+    rows, df = points
+    df = df.withColumn("far", 3 - F.col("dist")).withColumn("flat", F.lit(0.25))
+    lists = {
+        "dist": sorted((d, p) for p, d, _ in rows),
+        "far": sorted((3 - d, p) for p, d, _ in rows),
+        "flat": sorted((0.25, p) for p, _, _ in rows),
+    }
+    wanted = [(c, k) for c in lists for k in (1, 300, 301, 450, 900)]
+    got = R.kth_keys(df, [([c, "patid"], k) for c, k in wanted], one_task_rows=bound)
+    assert got == [lists[c][k - 1] for c, k in wanted]
+    assert R.kth_keys(df, []) == []
+    with pytest.raises(ValueError):
+        R.kth_keys(df, [(["dist", "patid"], 1), (["name", "patid"], 1)])
+
+
+def test_passes_do_not_grow_with_the_number_of_ranks(spark, monkeypatch):
+    df = spark.range(60_000).selectExpr("id AS patid", "double(id * 7919 % 60013) AS a", "double(id * 104729 % 60013) AS b")
+    df = df.repartition(8).cache()
+    df.count()
+    rounds = []
+    tagged = R._tagged_keys
+    monkeypatch.setattr(R, "_tagged_keys", lambda rows, picks: rounds.append(len(picks)) or tagged(rows, picks))
+    one, jobs_of_one = jobs_of(spark, "one-rank", lambda: R.kth_keys(df, [(["a", "patid"], 30_000)], 60_000, 9000))
+    of_one = len(rounds)
+    rounds.clear()
+    wanted = [([c, "patid"], k) for c in ("a", "b") for k in (20_000, 30_000, 40_000)]
+    many, jobs_of_many = jobs_of(spark, "six-ranks", lambda: R.kth_keys(df, wanted, 60_000, 9000))
+    assert many[1] == one[0] and rounds[0] == len(wanted)
+    assert len(rounds) <= of_one + 1 and jobs_of_many / len(rounds) <= jobs_of_one / of_one + 1
+
+
+def test_both_neighbours_of_a_percentile_come_from_one_search(points, monkeypatch):
+    calls = []
+    search = R.kth_keys
+    monkeypatch.setattr(R, "kth_keys", lambda df, wanted, *args: calls.append(len(wanted)) or search(df, wanted, *args))
+    R.exact_percentile(points[1], "dist", 0.7531, one_task_rows=40)
+    assert calls == [2]
+
+
+def test_smallest_fractions(points):
+    rows, df = points
+    df = df.withColumn("far", 3 - F.col("dist"))
+    wanted = [(["dist", "patid"], 0.3), (["far", "patid"], 0.41), (["far", "patid"], 0.0), (["dist", "patid"], 1.0)]
+    sizes = [df.filter(c).count() for c in R.smallest_fractions(df, wanted)]
+    assert sizes == [270, 369, 0, 900]
+
+
+def test_row_index_by_key_sorts_and_stores_keys_only(spark, points, monkeypatch):
+    rows, df = points
+    stored = []
+    keep = R.materialise
+    monkeypatch.setattr(R, "materialise", lambda df, name: stored.append(df) or keep(df, name))
+    indexed = R.with_row_index(df, [F.desc("dist"), "patid"], row_key=["patid"])
+    assert indexed.columns == R.with_row_index(df, [F.desc("dist"), "patid"]).columns
+    want = {p: (i, n) for i, (_, p, n) in enumerate(sorted((-d, p, n) for p, d, n in rows))}
+    assert {r.patid: (r["index"], r["name"]) for r in indexed.collect()} == want
+    assert stored[0].columns == ["_k0", "_mid"] and "name" in stored[1].columns
+    sorts = [line for line in stored[0]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Sort" in line]
+    assert sorts and not any("name" in line for line in sorts)
+
+
+def test_row_index_by_key_keeps_null_keys_and_refuses_repeats(spark):
+    df = spark.createDataFrame([(None, 3.0), (1, 2.0), (2, None), (4, 2.0)], "a int, v double")
+    got = R.with_row_index(df, [F.asc_nulls_last("v"), "a"], row_key=["a"])
+    assert {r.a: r["index"] for r in got.collect()} == {1: 0, 4: 1, None: 2, 2: 3}
+    assert R.with_row_index(df.limit(0), ["v"], row_key=["a"]).count() == 0
+    with pytest.raises(ValueError):
+        R.with_row_index(df.unionByName(df.limit(1)), ["v"], row_key=["a"])
+
+
 @pytest.mark.parametrize("n", [1, 3, 1200])
 def test_top_n_per_group_with_a_hot_group(spark, n):
     rng = random.Random(4)

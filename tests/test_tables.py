@@ -96,6 +96,23 @@ def test_cleaning_job_on_csv(spark, tmp_path):
         }
 
 
+def test_cleaning_job_reads_the_format_it_is_told(spark, tmp_path):
+    paths = []
+    for name in ("pos", "neg", "score"):
+        paths.append(str(tmp_path / name))
+        write_text(tmp_path / name / "part-0.csv", [HEADER, "7,3,1,9,9,30,9,1,0,0.5,0.25"])
+    run_cleaning(spark, tuple(paths), None, str(tmp_path / "clean"))
+    assert tables.read_cohort(spark, str(tmp_path / "clean/pos.csv")).first()["SYMP_CNT2"] == 7
+    cleaned = tuple(f"{tmp_path}/clean/{n}.csv" for n in ("pos", "neg", "ss"))
+    raw = [tables.read_cohort(spark, p).withColumnsRenamed({"patid": "patient_id", "matched_positive_id": "matched_patient_id"}) for p in cleaned]
+    raw = [df.withColumnsRenamed({f"{c}2": c for c in ("SYMP_CNT", "COMOR_CNT", "NRCOMOR_CNT", "PROC_CNT")}) for df in raw]
+    for name, df in zip(("pos", "neg", "score"), raw):
+        df.write.parquet(str(tmp_path / f"p-{name}"))
+    stored = tuple(f"{tmp_path}/p-{n}" for n in ("pos", "neg", "score"))
+    run_cleaning(spark, stored, None, str(tmp_path / "again"), fmt="csv", source_fmt="parquet")
+    assert tables.read_cohort(spark, str(tmp_path / "again/pos.csv")).first()["PROC_CNT2"] == 5
+
+
 def test_part_files_skip_other_files(spark, tmp_path):
     write_text(tmp_path / "part-0.csv", ["a,b", "1,x"])
     write_text(tmp_path / "part-1.csv", ["a,b", "2,y"])

@@ -5,7 +5,7 @@ from twinfold.operators.evaluator import PrecisionRecallEvaluator
 from twinfold.operators.folds import assign_folds
 from twinfold.plans.cleaning import clean_cohort, run_cleaning
 from twinfold.plans.cluster_flow import ClusterFlowConfig, cluster_then_classify
-from twinfold.plans.two_stage import TwoStageConfig, two_stage
+from twinfold.plans.two_stage import TwoStageConfig, run_two_stage, two_stage
 from twinfold.session import build_session, configure
 
 __all__ = [
@@ -20,5 +20,6 @@ __all__ = [
     "cluster_then_classify",
     "configure",
     "run_cleaning",
+    "run_two_stage",
     "two_stage",
 ]

@@ -14,7 +14,7 @@ from twinfold.functions.columns import ID_COL, LABEL_COL, MATCH_COL, euclidean_t
 from twinfold.operators.cohort import BROADCAST_IDS, complement_rows, union_all
 from twinfold.operators.distance import (
     DIST_COL,
-    nearest_overall_condition,
+    nearest_overall_conditions,
     nearest_per_group,
     with_distance,
     with_in_cluster_distance,
@@ -116,6 +116,29 @@ def similar_controls_by_cluster(
     return chosen.select(*controls.columns, cluster_col)
 
 
+def mark_near_by_cluster(
+    test: DataFrame,
+    columns: Sequence[str],
+    centres: Mapping[int, Sequence[float]],
+    shares: Mapping[int, float],
+    id_col: str = ID_COL,
+    near_col: str = "near",
+    n_rows: int | None = None,
+) -> dict[int, DataFrame]:
+    """For every cluster in ``shares`` the test rows as :func:`mark_near` gives them.
+
+    The cut-offs of all clusters are found in the same passes over the rows.
+    """
+    dist = "_near_dist"
+    require_new_column(test, dist, near_col)
+    targets = [(centres[c], share, f"{dist}_{c}") for c, share in shares.items()]
+    conditions = nearest_overall_conditions(test, columns, targets, id_col, n_rows)
+    return {
+        cluster: with_distance(test, columns, centre, name).withColumn(near_col, condition).drop(name)
+        for cluster, (centre, _, name), condition in zip(shares, targets, conditions)
+    }
+
+
 def mark_near(
     test: DataFrame,
     columns: Sequence[str],
@@ -129,10 +152,7 @@ def mark_near(
 
     Every row has a value; rows without a distance come last and are rarely near.
     """
-    dist = "_near_dist"
-    require_new_column(test, dist, near_col)
-    condition = nearest_overall_condition(test, columns, centre, share, id_col, dist, n_rows)
-    return with_distance(test, columns, centre, dist).withColumn(near_col, condition).drop(dist)
+    return mark_near_by_cluster(test, columns, {0: centre}, {0: share}, id_col, near_col, n_rows)[0]
 
 
 def split_test_rows(

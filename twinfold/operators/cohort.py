@@ -50,6 +50,13 @@ def top_rows_of_cases(
     ids = few_ids if few_ids is not None else broadcast_ids(cases, match_col)
     if ids is not None:
         return top_n_per_group(rows.join(ids, match_col, "left_semi"), n, match_col, order_by)
+    return _top_rows_before_join(rows, cases, n, match_col, order_by)
+
+
+def _top_rows_before_join(
+    rows: DataFrame, cases: DataFrame, n: int, match_col: str, order_by: Sequence[str]
+) -> DataFrame:
+    """First ``n`` rows of each group, then the groups of the cases."""
     return rows_of_cases(top_n_per_group(rows, n, match_col, order_by), cases, match_col)
 
 
@@ -115,10 +122,18 @@ def undersample_cohort(
     Raises ``ValueError`` when the sampled cases repeat a match id.
     """
     cases = sample_rows(pos, ratio, id_col, seed, method)
-    require_unique(cases, match_col)
-    order, ids = [label_col, id_col], broadcast_ids(cases, match_col)
-    controls = top_rows_of_cases(neg, cases, neg_ratio, match_col, order, ids)
-    scoring = top_rows_of_cases(ss, cases, ss_ratio, match_col, order, ids)
+    order = [label_col, id_col]
+    # one pass over the cases tells both whether an id repeats and how many there are
+    counted = cases.groupBy(match_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.count("n").alias("ids")).first()
+    if counted.ids and counted.most > 1:
+        raise ValueError(f"column {match_col!r} holds duplicated values")
+    if counted.ids <= BROADCAST_IDS:
+        ids = F.broadcast(cases.select(match_col))
+        controls = top_rows_of_cases(neg, cases, neg_ratio, match_col, order, ids)
+        scoring = top_rows_of_cases(ss, cases, ss_ratio, match_col, order, ids)
+    else:
+        controls = _top_rows_before_join(neg, cases, neg_ratio, match_col, order)
+        scoring = _top_rows_before_join(ss, cases, ss_ratio, match_col, order)
     return cases, align_columns(controls, neg), align_columns(scoring, ss)
 
 

@@ -18,7 +18,7 @@ from twinfold.functions.columns import (
     round_half_up,
 )
 from twinfold.operators.cohort import rows_of_cases, top_rows_of_cases
-from twinfold.operators.ranking import smallest_fraction, top_n_per_group
+from twinfold.operators.ranking import smallest_fractions, top_n_per_group
 
 DIST_COL = "dist"
 
@@ -118,6 +118,21 @@ def nearest_per_group(
     return top_rows_of_cases(keyed, cases, n, match_col, order)
 
 
+def nearest_overall_conditions(
+    df: DataFrame,
+    columns: Sequence[str],
+    targets: Sequence[tuple[Sequence[float], float, str]],
+    id_col: str = ID_COL,
+    n_rows: int | None = None,
+) -> list[Column]:
+    """For each ``(centre, share, distance column)`` the condition on ``(distance, id)`` that holds for the given share
+    of rows nearest to that centre. The cut-offs of all centres are found in the same passes."""
+    require_new_column(df, *[name for _, _, name in targets])
+    distances = [euclidean_to(columns, centre).alias(name) for centre, _, name in targets]
+    keyed = df.select(id_col, *distances)
+    return smallest_fractions(keyed, [([name, id_col], share) for _, share, name in targets], n_rows)
+
+
 def nearest_overall_condition(
     df: DataFrame,
     columns: Sequence[str],
@@ -128,8 +143,7 @@ def nearest_overall_condition(
     n_rows: int | None = None,
 ) -> Column:
     """Condition on ``(dist, id)`` that holds for the given share of rows nearest to ``centre``."""
-    keyed = with_distance(df.select(id_col, *columns), columns, centre, dist_col)
-    return smallest_fraction(keyed, [dist_col, id_col], share, n_rows)
+    return nearest_overall_conditions(df, columns, [(centre, share, dist_col)], id_col, n_rows)[0]
 
 
 def nearest_overall(

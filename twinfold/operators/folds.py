@@ -55,11 +55,14 @@ def attach_folds(data: DataFrame, folds: DataFrame, match_col: str = MATCH_COL)
 
 
 def round_robin_folds(
-    data: DataFrame, n_folds: int, order_by: Sequence[str], fold_col: str = "foldID"
+    data: DataFrame, n_folds: int, order_by: Sequence[str], fold_col: str = "foldID", row_key: Sequence[str] | None = None
 ) -> DataFrame:
-    """Fold id of a row is its place in sort order modulo ``n_folds``; match groups are not kept together."""
+    """Fold id of a row is its place in sort order modulo ``n_folds``; match groups are not kept together.
+
+    With ``row_key``, columns that tell the rows apart, only keys are sorted (see :func:`with_row_index`).
+    """
     require_new_column(data, fold_col)
-    indexed = with_row_index(data, order_by, "_row_index")
+    indexed = with_row_index(data, order_by, "_row_index", row_key)
     return indexed.withColumn(fold_col, F.pmod("_row_index", F.lit(n_folds)).cast("int")).drop("_row_index")
 
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import ID_COL, MATCH_COL, hash_key, require_new_column, round_half_up
-from twinfold.session import ensure_checkpoint_dir
+from twinfold.session import materialise
 
 # A window filter of at most this many rows per group is applied by Spark before the shuffle
 # (default of spark.sql.optimizer.windowGroupLimitThreshold).
@@ -69,16 +70,28 @@ def hash_rank(ids: DataFrame, id_col: str, seed: int, rank_col: str = "rank", pr
     )
 
 
-def with_row_index(df: DataFrame, order_by: Sequence[Column | str], index_col: str = "index") -> DataFrame:
+def with_row_index(
+    df: DataFrame, order_by: Sequence[Column | str], index_col: str = "index", row_key: Sequence[str] | None = None
+) -> DataFrame:
     """Zero-based global index of the rows in sort order.
 
-    One range-partitioned sort; each row's place inside its partition comes with it, and the
-    partition offsets are a prefix sum over one count per partition. The sorted table is
-    checkpointed, so both uses see the same partitions even when executors are lost.
+    One range-partitioned sort; each row's place inside its partition is stored with it, and the
+    partition offsets are a prefix sum over one count per partition.
+
+    ``row_key`` names columns that tell every row apart (NULL is a value; ``ValueError`` when they repeat). Then only
+    these and the sort keys are sorted and stored, and the index is joined back to the rows. Without it whole
+    rows are sorted and stored.
     """
     require_new_column(df, index_col, "_mid", "_part")
-    ensure_checkpoint_dir(df.sparkSession)
-    placed = df.orderBy(*order_by).withColumn("_mid", F.monotonically_increasing_id()).checkpoint()
+    keys = None if row_key is None else list(row_key)
+    rows = df
+    if keys is not None:
+        order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+        rows = df.orderBy(*order).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)])
+    else:
+        rows = df.orderBy(*order_by)
+    # stored with the number, so every use sees the same places even when executors are lost
+    placed = materialise(rows.withColumn("_mid", F.monotonically_increasing_id()), "row-index")
     # the id holds the partition number above bit 33 and the row's place in the partition below it
     placed = placed.withColumn("_part", F.shiftright("_mid", 33))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,11 +101,18 @@ def with_row_index(df: DataFrame, order_by: Sequence[Column | str], index_col: s
         .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
     place = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
+    indexed = (
         placed.join(F.broadcast(offsets), "_part")  # one row per partition
         .withColumn(index_col, F.col("_offset") + place)
         .drop("_mid", "_part", "_offset")
     )
+    if keys is None:
+        return indexed
+    stored = [f"_k{i}" for i in range(len(keys))]
+    if not placed.groupBy(*stored).count().filter("count > 1").isEmpty():
+        raise ValueError(f"columns {keys} do not tell the rows apart")
+    same = reduce(and_, [df[c].eqNullSafe(indexed[k]) for c, k in zip(keys, stored)])
+    return df.join(indexed, same, "left").drop(*stored)
 
 
 def _below(keys: Sequence[str], bound: Sequence, or_equal: bool) -> Column:
@@ -108,6 +128,108 @@ def _below(keys: Sequence[str], bound: Sequence, or_equal: bool) -> Column:
     return result
 
 
+@dataclass
+class _Search:
+    """One wanted rank: the rows that may still hold it, their number, and how many come before them."""
+
+    keys: list[str]
+    k: int
+    n: int
+    below: int = 0
+    inside: Column | None = None
+    halve: bool = False
+    found: tuple | None = None
+
+    def bounds(self, sample: Sequence[tuple]) -> list[tuple]:
+        """Sampled keys around the wanted place; the middle one when the last bounds cut off little."""
+        at = (self.k - self.below) / self.n * len(sample)
+        margin = 3 * math.sqrt(len(sample)) + 1
+        places = sorted({int(at - margin), int(at + margin)} & set(range(len(sample))))
+        if self.halve or not places:
+            places = [(len(sample) - 1) // 2]
+        return [tuple(sample[i]) for i in places]
+
+    def narrow(self, bounds: list[tuple], flags: list[Column], counts: Sequence[int]) -> None:
+        """Keep the step between two bounds that holds the answer; a step of rows equal to a bound is the answer."""
+        edges = [0, *counts, self.n]
+        step = next(i for i in range(len(edges) - 1) if edges[i] < self.k - self.below <= edges[i + 1])
+        if step % 2:
+            self.found = bounds[step // 2]
+            return
+        if step > 0:
+            self.inside = self.inside & ~flags[step - 1]
+        if step < len(flags):
+            self.inside = self.inside & flags[step]
+        left = edges[step + 1] - edges[step]
+        self.halve = left > self.n // 2
+        self.below, self.n = self.below + edges[step], left
+
+
+def _tagged_keys(rows: DataFrame, picks: Sequence[tuple[list[str], Column]]) -> DataFrame:
+    """``(tag, k0, k1, ...)``: the keys of every row, once for each pick whose condition holds for it."""
+    options = [
+        F.when(chosen, F.struct(F.lit(tag).alias("tag"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)]))
+        for tag, (keys, chosen) in enumerate(picks)
+    ]
+    return rows.select(F.array_compact(F.array(*options)).alias("_picked")).select(F.inline("_picked"))
+
+
+def kth_keys(
+    df: DataFrame,
+    wanted: Sequence[tuple[Sequence[str], int]],
+    n_rows: int | None = None,
+    one_task_rows: int = ONE_TASK_ROWS,
+    seed: int = 1,
+) -> list[tuple]:
+    """Exact ``k``-th smallest (1-based) key tuple of each ``(keys, k)``, all found in the same passes.
+
+    The ranks may be of one list of keys or of several of equal types, such as distances to different centres. NaN
+    comes after all numbers and NULL last; keys may repeat.
+
+    The range that holds an answer is narrowed with sampled bounds and exact counts until it is small enough to sort in
+    one task, or one of the bounds is found to be the answer. Every round samples for all ranks in one pass and counts
+    for all in another, so the number of passes does not grow with the number of ranks. Only counts and a few sampled
+    keys reach the driver, and no full row is shuffled. The results depend neither on the sample nor on the size at
+    which narrowing begins.
+    """
+    searches = [_Search(list(keys), k, 0, inside=F.lit(True)) for keys, k in wanted]
+    if not searches:
+        return []
+    rows = df.select(*dict.fromkeys(c for s in searches for c in s.keys))
+    if len({tuple(rows.schema[c].dataType for c in s.keys) for s in searches}) > 1:
+        raise ValueError("all keys must have the same types")
+    order = [F.asc_nulls_last(f"k{i}") for i in range(len(searches[0].keys))]
+    n = rows.count() if n_rows is None else n_rows
+    for s in searches:
+        s.n = n
+        if not 1 <= s.k <= n:
+            raise ValueError(f"k must be between 1 and the {n} rows, not {s.k}")
+    sample_size = 4000
+    while wide := [s for s in searches if s.found is None and s.n > one_task_rows]:
+        picks = [(s.keys, s.inside & (F.rand(seed + i) < min(1.0, sample_size / s.n))) for i, s in enumerate(wide)]
+        seed += len(wide)
+        samples: dict[int, list[tuple]] = {}
+        for row in _tagged_keys(rows, picks).repartition(1).sortWithinPartitions("tag", *order).collect():
+            samples.setdefault(row[0], []).append(tuple(row)[1:])
+        tried = [(wide[tag], wide[tag].bounds(sample)) for tag, sample in samples.items()]
+        flags = [[_below(s.keys, b, or_equal) for b in bounds for or_equal in (False, True)] for s, bounds in tried]
+        if not tried:
+            continue
+        near = rows.filter(reduce(or_, [s.inside for s, _ in tried]))
+        counts = iter(near.agg(*[F.count_if(s.inside & f) for (s, _), fs in zip(tried, flags) for f in fs]).first())
+        for (s, bounds), fs in zip(tried, flags):
+            s.narrow(bounds, fs, [next(counts) for _ in fs])
+    left = [s for s in searches if s.found is None]
+    if left:
+        near = rows.filter(reduce(or_, [s.inside for s in left]))
+        place = F.row_number().over(Window.partitionBy("tag").orderBy(*order))
+        at = F.element_at(F.array(*[F.lit(s.k - s.below).cast("bigint") for s in left]), F.col("tag") + 1)
+        found = _tagged_keys(near, [(s.keys, s.inside) for s in left]).withColumn("_place", place).filter(F.col("_place") == at)
+        for row in found.drop("_place").collect():
+            left[row[0]].found = tuple(row)[1:]
+    return [s.found for s in searches]
+
+
 def kth_key(
     df: DataFrame,
     keys: Sequence[str],
@@ -116,44 +238,19 @@ def kth_key(
     one_task_rows: int = ONE_TASK_ROWS,
     seed: int = 1,
 ) -> tuple:
-    """Exact ``k``-th smallest (1-based) key tuple. NaN comes after all numbers and NULL last; keys may repeat.
+    """Exact ``k``-th smallest (1-based) key tuple, as :func:`kth_keys` finds it."""
+    return kth_keys(df, [(keys, k)], n_rows, one_task_rows, seed)[0]
 
-    The range that holds the answer is narrowed with sampled bounds and exact counts until it is
-    small enough to sort in one task, or one of the bounds is found to be the answer. Only counts and
-    a few sampled keys reach the driver, and no full row is shuffled. The result depends neither on
-    the sample nor on the size at which narrowing begins.
-    """
-    keys = list(keys)
-    order = [F.asc_nulls_last(c) for c in keys]
-    rows = df.select(*keys)
-    n, below, inside = rows.count() if n_rows is None else n_rows, 0, F.lit(True)
-    if not 1 <= k <= n:
-        raise ValueError(f"k must be between 1 and the {n} rows, not {k}")
-    sample_size, halve = 4000, False
-    while n > one_task_rows:
-        sample = rows.filter(inside).sample(False, min(1.0, sample_size / n), seed).orderBy(*order).collect()
-        seed += 1
-        at = (k - below) / n * len(sample)
-        margin = 3 * math.sqrt(len(sample)) + 1
-        if not sample:
-            continue
-        places = sorted({int(at - margin), int(at + margin)} & set(range(len(sample))))
-        if halve or not places:
-            places = [(len(sample) - 1) // 2]
-        bounds = [tuple(sample[i]) for i in places]
-        flags = [_below(keys, b, or_equal) for b in bounds for or_equal in (False, True)]
-        counts = rows.filter(inside).agg(*[F.count_if(flag).alias(f"n{i}") for i, flag in enumerate(flags)]).first()
-        edges = [0, *counts, n]
-        step = next(i for i in range(len(edges) - 1) if edges[i] < k - below <= edges[i + 1])
-        if step % 2:  # among the rows that equal a bound
-            return bounds[step // 2]
-        if step > 0:
-            inside = inside & ~flags[step - 1]
-        if step < len(flags):
-            inside = inside & flags[step]
-        halve = edges[step + 1] - edges[step] > n // 2  # the bounds cut off little
-        below, n = below + edges[step], edges[step + 1] - edges[step]
-    return tuple(rows.filter(inside).orderBy(*order).offset(k - below - 1).limit(1).first())
+
+def smallest_fractions(
+    df: DataFrame, wanted: Sequence[tuple[Sequence[str], float]], n_rows: int | None = None
+) -> list[Column]:
+    """For each ``(keys, fraction)`` the condition of :func:`smallest_fraction`, all found in the same passes."""
+    n = df.count() if n_rows is None else n_rows
+    ranks = [round_half_up(n * fraction) for _, fraction in wanted]
+    inner = [(list(keys), k) for (keys, _), k in zip(wanted, ranks) if 0 < k < n]
+    cuts = iter(kth_keys(df, inner, n))
+    return [_below(list(keys), next(cuts), True) if 0 < k < n else F.lit(k > 0) for (keys, _), k in zip(wanted, ranks)]
 
 
 def smallest_fraction(df: DataFrame, keys: Sequence[str], fraction: float, n_rows: int | None = None) -> Column:
@@ -162,13 +259,7 @@ def smallest_fraction(df: DataFrame, keys: Sequence[str], fraction: float, n_row
     NULL keys come last. Rows with equal keys stay together: where keys repeat across the border, all
     rows of the border key are in.
     """
-    n = df.count() if n_rows is None else n_rows
-    k = round_half_up(n * fraction)
-    if k <= 0:
-        return F.lit(False)
-    if k >= n:
-        return F.lit(True)
-    return _below(list(keys), kth_key(df, keys, k, n), True)
+    return smallest_fractions(df, [(keys, fraction)], n_rows)[0]
 
 
 def quantile_bounds(
@@ -247,8 +338,6 @@ def exact_percentile(df: DataFrame, column: str, share: float, one_task_rows: in
         return values.agg(F.percentile("_v", share)).first()[0]
     at = (n - 1) * share
     low = math.floor(at)
-    first = kth_key(values, ["_v"], low + 1, n, one_task_rows)[0]
-    if at == low:
-        return first
-    second = kth_key(values, ["_v"], low + 2, n, one_task_rows)[0]
-    return first + (second - first) * (at - low)
+    places = [low + 1] if at == low else [low + 1, low + 2]
+    near = [key[0] for key in kth_keys(values, [(["_v"], place) for place in places], n, one_task_rows)]
+    return near[0] + (near[-1] - near[0]) * (at - low)

@@ -41,9 +41,13 @@ def run_cleaning(
     layouts: tuple[str, str, str] = ("patient_id", "patient_id", "patient_id"),
     schema=None,
     fmt: str = "csv",
+    source_fmt: str | None = None,
 ) -> None:
-    """Read, clean and write the case, control and scoring tables below ``out_dir``."""
-    tables = [read_cohort(spark, p, schema) for p in paths]
+    """Read, clean and write the case, control and scoring tables below ``out_dir``.
+
+    ``fmt`` is the format of both ends unless ``source_fmt`` names another one for the inputs.
+    """
+    tables = [read_cohort(spark, p, schema, source_fmt or fmt) for p in paths]
     excluded = read_exclusion_list(spark, exclusion_path) if exclusion_path else []
     for name, df in zip(("pos", "neg", "ss"), clean_cohort(*tables, layouts, excluded)):
         write_results(df, f"{out_dir.rstrip('/')}/{name}.{fmt}", fmt=fmt)

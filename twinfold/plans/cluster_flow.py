@@ -9,7 +9,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.functions.columns import ID_COL, LABEL_COL, MATCH_COL, flag_columns, label_as_double, predictor_columns
@@ -18,7 +18,7 @@ from twinfold.operators.clustering import (
     assemble,
     centres_of,
     cluster_rows,
-    mark_near,
+    mark_near_by_cluster,
     similar_controls_by_cluster,
     zero_far,
 )
@@ -30,7 +30,7 @@ from twinfold.operators.evaluator import AT_RECALL, PrecisionRecallEvaluator
 from twinfold.operators.folds import assign_folds, attach_folds, fold_table
 from twinfold.operators.scores import SCORE_COL, score_with
 from twinfold.session import is_written, materialise, scratch_path, written_once
-from twinfold.sources.sinks import run_manifest, run_path, write_results
+from twinfold.sources.sinks import read_results, run_manifest, run_path, write_results
 from twinfold.sources.tables import align_columns
 
 EVAL_FOLD = "eval_fold"
@@ -158,26 +158,21 @@ def cluster_then_classify(
         ratios = {c: r["share"] for c, r in shares.items()}
         chosen = similar_controls_by_cluster(controls, clustered, flags, centres, ratios)
         chosen = materialise(chosen, "similar-controls", (CLUSTER_COL,))
+        # the cut-offs of all clusters come from the same passes over the fold's test rows
+        marked = mark_near_by_cluster(test, flags, centres, {c: ratios[c] for c in left}, n_rows=test_sizes.get(fold, 0))
 
         def step(cluster: int) -> None:
             here = F.col(CLUSTER_COL) == cluster
             own, near = clustered.filter(here).drop(CLUSTER_COL, DIST_COL), chosen.filter(here).drop(CLUSTER_COL)
-            n_test, row = test_sizes.get(fold, 0), shares[cluster]
-            _one_cluster(own, near, test, n_test, centres[cluster], row, fold, predictors, flags, config, out)
+            _one_cluster(own, near, marked[cluster], test_sizes.get(fold, 0), shares[cluster], fold, predictors, config, out)
 
         with ThreadPool(config.cluster_threads) as pool:
             pool.map(inheritable_thread_target(spark)(step), left, chunksize=1)
 
-    predictions = _results(spark, out, "predictions", config)
+    predictions = read_results(spark, f"{out}/predictions", config.result_format)
     write_results(flow_metrics(predictions, config), f"{out}/metrics", fmt=config.result_format, mode="overwrite")
-    return ClusterFlowResult(predictions, *(_results(spark, out, t, config) for t in ("metrics", "cv_metrics", "loops")), manifest, out)
-
-
-def _results(spark: SparkSession, out: str, name: str, config: ClusterFlowConfig) -> DataFrame:
-    """A table of results in the format of the run."""
-    if config.result_format == "parquet":
-        return spark.read.parquet(f"{out}/{name}")
-    return spark.read.format(config.result_format).option("header", True).option("inferSchema", True).load(f"{out}/{name}")
+    tables = [read_results(spark, f"{out}/{t}", config.result_format) for t in ("metrics", "cv_metrics", "loops")]
+    return ClusterFlowResult(predictions, *tables, manifest, out)
 
 
 def _one_cluster(
@@ -185,15 +180,16 @@ def _one_cluster(
     controls: DataFrame,
     test: DataFrame,
     n_test: int,
-    centre: Sequence[float],
     share_row,
     fold: int,
     predictors: Sequence[str],
-    flags: Sequence[str],
     config: ClusterFlowConfig,
     out: str,
 ) -> None:
-    """Train the classifier of one cluster and write its predictions, grid metrics and row counts."""
+    """Train the classifier of one cluster and write its predictions, grid metrics and row counts.
+
+    ``test`` marks in its column ``near`` the rows that the classifier scores.
+    """
     cluster, share = share_row[CLUSTER_COL], share_row["share"]
     key = {"fold": fold, "cluster": cluster}
     train = assemble(union_all([own, align_columns(controls, own)]), predictors)
@@ -220,8 +216,7 @@ def _one_cluster(
     write_results(mark_best(fitted.avgMetrics, CV_METRIC + AT_RECALL), run_path(f"{out}/cv_metrics", key), **how)
 
     # rows far from the centre count as negative: score 0
-    rows = mark_near(test, flags, centre, share, n_rows=n_test)
-    vectors = assemble(rows, predictors, keep=(MATCH_COL, LABEL_COL, ID_COL, "near"))
+    vectors = assemble(test, predictors, keep=(MATCH_COL, LABEL_COL, ID_COL, "near"))
     scored = zero_far(score_with(vectors, fitted.bestModel))
     predictions = scored.select(ID_COL, MATCH_COL, LABEL_COL, "near", SCORE_COL)
     write_results(predictions, run_path(f"{out}/predictions", key), **how)

@@ -8,8 +8,9 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinfold.functions.columns import ID_COL, LABEL_COL, MATCH_COL, label_as_double, predictor_columns
 from twinfold.operators.clustering import assemble
@@ -25,9 +26,10 @@ from twinfold.operators.scores import (
     score_with_all,
     second_stage_features,
 )
+from twinfold.plans.cleaning import clean_cohort
 from twinfold.session import materialise, scratch_path
-from twinfold.sources.sinks import run_path, write_results
-from twinfold.sources.tables import align_columns
+from twinfold.sources.sinks import read_results, run_path, write_results
+from twinfold.sources.tables import align_columns, read_cohort, read_exclusion_list
 
 OUTER, INNER, PART = "sim", "_inner", "_part"
 STUDY, REP = "test", "rep"
@@ -46,6 +48,8 @@ class TwoStageConfig:
     # inner fits at a time within an outer fold, and outer folds at a time
     parallelism: int = 4
     outer_threads: int = 2
+    # format of the result tables: parquet or csv
+    result_format: str = "parquet"
 
 
 @dataclass(frozen=True)
@@ -97,17 +101,38 @@ def two_stage(
     with ThreadPool(config.outer_threads) as pool:
         nested = union_all(pool.map(inheritable_thread_target(spark)(step), range(config.n_outer), chunksize=1))
 
-    second = spark.read.parquet(f"{out}/second_stage")
-    write_results(_stage_areas(nested, second), f"{out}/areas")
+    fmt = config.result_format
+    second = read_results(spark, f"{out}/second_stage", fmt)
+    write_results(_stage_areas(nested, second), f"{out}/areas", fmt=fmt)
     precision = metrics_by_scope(second.filter(F.col("set") != "train"), config.recalls, [(OUTER,), ()])
-    write_results(precision, f"{out}/precision")
-    return TwoStageResult(
-        spark.read.parquet(f"{out}/first_stage"),
-        second,
-        spark.read.parquet(f"{out}/areas"),
-        spark.read.parquet(f"{out}/precision"),
-        out,
-    )
+    write_results(precision, f"{out}/precision", fmt=fmt)
+    first, found, precision = (read_results(spark, f"{out}/{t}", fmt) for t in ("first_stage", "areas", "precision"))
+    return TwoStageResult(first, second, found, precision, out)
+
+
+def run_two_stage(
+    spark: SparkSession,
+    paths: tuple[str, str, str],
+    exclusion_path: str | None,
+    out_dir: str,
+    layouts: tuple[str, str, str] = ("patient_id", "patient_id", "patient_id"),
+    schema: T.StructType | str | None = None,
+    fmt: str = "csv",
+    config: TwoStageConfig | None = None,
+    source_fmt: str | None = None,
+) -> TwoStageResult:
+    """The whole job from files to files: read the case, control and scoring tables, top-code their counts, bring the ids
+    to one layout, leave the excluded columns out, and run both stages on the remaining predictors.
+
+    The cleaned tables are written once to the shared folder, as Parquet, so that no fold reads the raw files again. Results are written below
+    ``out_dir`` in the format of ``config``; without a ``config``, in ``fmt``.
+    """
+    config = config or TwoStageConfig(result_format=fmt)
+    raw = [read_cohort(spark, p, schema, source_fmt or fmt) for p in paths]
+    excluded = read_exclusion_list(spark, exclusion_path) if exclusion_path else []
+    cleaned = clean_cohort(*raw, layouts, excluded)
+    stored = [materialise(df, f"cleaned-{part}") for part, df in zip(("pos", "neg", "ss"), cleaned)]
+    return two_stage(*stored, config, out_dir)
 
 
 def inner_fold_table(outer: DataFrame, sim: int, n_inner: int, seed: int) -> DataFrame:
@@ -171,7 +196,7 @@ def _outer_fold(tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageC
             tested.withColumn("set", F.col(PART)).select(*columns),
         ]
     )
-    write_results(first, run_path(f"{out}/first_stage", key), ["set"])
+    write_results(first, run_path(f"{out}/first_stage", key), ["set"], config.result_format)
 
     cut = positive_score_cut(held_out, config.positive_share)
     if cut is None:
@@ -187,5 +212,5 @@ def _outer_fold(tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageC
             score_with(test2, model).withColumn("set", F.col(PART)).select(*columns),
         ]
     )
-    write_results(second, run_path(f"{out}/second_stage", key), ["set"])
+    write_results(second, run_path(f"{out}/second_stage", key), ["set"], config.result_format)
     return scored

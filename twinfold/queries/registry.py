@@ -17,6 +17,7 @@ from twinfold.operators.clustering import (
     assemble,
     centres_of,
     cluster_rows,
+    mark_near_by_cluster,
     similar_controls_by_cluster,
     split_test_rows,
     with_discarded,
@@ -24,7 +25,14 @@ from twinfold.operators.clustering import (
 from twinfold.operators.evaluator import PrecisionRecallEvaluator
 from twinfold.plans.cleaning import clean_cohort
 from twinfold.plans.cluster_flow import ClusterFlowConfig, cluster_then_classify, flow_metrics, tag_eval_folds
-from twinfold.plans.two_stage import TwoStageConfig, fit_unpenalised, held_out_scores, inner_fold_table, two_stage
+from twinfold.plans.two_stage import (
+    TwoStageConfig,
+    fit_unpenalised,
+    held_out_scores,
+    inner_fold_table,
+    run_two_stage,
+    two_stage,
+)
 from twinfold.plans.undersampling import run_undersampling
 from twinfold.queries import sql
 from twinfold.session import materialise, scratch_path
@@ -509,7 +517,7 @@ def fold_validation(spark, folder):
 )
 def round_robin(spark, folder):
     rows = study(oc.members(spark, folder)).select(*oc.IDS)
-    return folds.round_robin_folds(rows, 3, ["matched_positive_id", "patid"])
+    return folds.round_robin_folds(rows, 3, ["matched_positive_id", "patid"], row_key=["patid"])
 
 
 @register(
@@ -520,7 +528,7 @@ def round_robin(spark, folder):
     ),
 )
 def row_index(spark, folder):
-    return ranking.with_row_index(oc.scored(spark, folder), [F.desc("prob_1"), "patid"])
+    return ranking.with_row_index(oc.scored(spark, folder), [F.desc("prob_1"), "patid"], row_key=["patid"])
 
 
 # --- distances and clusters ---------------------------------------------------------------------
@@ -653,6 +661,27 @@ def nearest_test_rows(spark, folder):
     return co.union_all(parts).select(*oc.IDS, "part")
 
 
+NEAR_SHARES = {0: 0.2, 1: 0.5, 2: 0.3}
+
+
+@register(
+    "nearest_by_cluster",
+    sql.query(
+        sql.CLUSTERED,
+        select=" UNION ALL ".join(
+            f"""SELECT CAST({c} AS INTEGER) AS cluster_id, patid, row_number() OVER (ORDER BY d{c}, patid)
+  <= (SELECT round(count(*) * CAST({share} AS DOUBLE)) FROM clustered) AS near FROM clustered"""
+            for c, share in NEAR_SHARES.items()
+        ),
+    ),
+)
+def nearest_by_cluster(spark, folder):
+    """Test rows near each of three centres; the three cut-offs come from the same passes."""
+    marked = mark_near_by_cluster(stored_flags(spark, folder), oc.FLAGS, oc.CENTRES, NEAR_SHARES)
+    parts = [df.select(F.lit(cluster).alias("cluster_id"), "patid", "near") for cluster, df in marked.items()]
+    return co.union_all(parts)
+
+
 @register(
     "nearest_with_missing",
     sql.query(
@@ -1098,6 +1127,32 @@ def two_stage_cells(spark, folder):
     return first.filter(F.col("set") != "rep").select("sim", "set", "patid", F.round(0.7320508 * F.col("prob_1"), 2).alias("scaled"))
 
 
+@register("two_stage_job", ORACLES["two_stage_cells"])
+def two_stage_job(spark, folder):
+    """The job from raw CSV files to CSV results, on the same cells.
+
+    Half of the cells are told apart by counts that only top-coding makes equal, the others by flags. A flag that holds
+    the label is on the exclusion list.
+    """
+    cell = F.expr(CELL)
+    source = scratch_path(spark, "raw-csv")
+    counts = [
+        F.when(cell == i, F.lit(cap) + F.col("patid") % 5).otherwise(0).alias(c) for i, (c, cap) in enumerate(fx.COUNT_CAPS.items())
+    ]
+    flags = [(cell == i).cast("int").alias(f"C{i}_FLAG") for i in range(len(counts), len(CELLS))]
+    ids = [F.col("patid").alias("patient_id"), F.col("matched_positive_id").alias("matched_patient_id"), "label"]
+    paths = []
+    for part, df in zip(("pos", "neg", "ss"), cohort_tables(spark, folder)):
+        paths.append(f"{source}/{part}")
+        write_results(df.select(*ids, *counts, *flags, F.col("label").cast("int").alias("KNOWN_FLAG")), paths[-1], fmt="csv")
+    write_results(spark.createDataFrame([("KNOWN",)], "variable string"), f"{source}/excluded", fmt="csv")
+    config = TwoStageConfig(max_iter=500, result_format="csv")
+    out = scratch_path(spark, "two-stage-job")
+    first = run_two_stage(spark, tuple(paths), f"{source}/excluded", out, config=config).first_stage
+    scaled = F.round(0.7320508 * F.col("prob_1"), 2).alias("scaled")
+    return first.filter(F.col("set") != "rep").select("sim", "set", F.col("patid").cast("bigint"), scaled)
+
+
 # --- fitted models: no SQL can repeat an iterative fit ------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,14 @@ def write_results(
     writer.save(path)
 
 
+def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A table that :func:`write_results` wrote, with the keys of its folders as columns. CSV columns get inferred types."""
+    reader = spark.read.format(fmt)
+    if fmt == "csv":
+        reader = reader.option("header", True).option("inferSchema", True)
+    return reader.load(path)
+
+
 def run_path(path: str, run: Mapping[str, object]) -> str:
     """Folder of one loop step below a table's folder, such as ``predictions/fold=0/cluster=1``.
 
