@@ -10,7 +10,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 
@@ -24,8 +24,8 @@ PART_CACHE = 800_000
 CACHED_PART_CHARS = 64
 WORDS_PER_CALL = 500
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-# letters, then ASCII marks but no apostrophe: two pieces of the vocabulary
-_MARKED_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+# letters, then ASCII marks but no apostrophe, are two pieces of the vocabulary
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def read_vocabulary(path: str) -> str:
@@ -90,18 +90,29 @@ class SpaceFreeTokenizer:
         if len(known) > PART_CACHE:
             known.clear()
             known.update({"": b"", **self._ids_of_special})
-        once: dict[str, bytes] = {}  # long parts are not remembered beyond this call
-        unknown = set(chain.from_iterable(split)).difference(known.keys())
-        marked = {p: found.groups() for p in unknown if (found := _MARKED_WORD(p))}
-        plain = unknown.difference(marked) | {q for both in marked.values() for q in both if q not in known}
-        words = [p for p in plain if _WORD(p)]
-        for part, ids in [*self._encode_words(words), *self._encode_each(list(plain.difference(words)))]:
-            (known if len(part) <= CACHED_PART_CHARS else once)[part] = ids
-        for part, both in marked.items():
-            ids = b"".join(known.get(q) or once[q] for q in both)
-            (known if len(part) <= CACHED_PART_CHARS else once)[part] = ids
-        look = (known | once) if once else known
-        return [b"".join(map(look.__getitem__, row)) for row in split]
+        parts = list(chain.from_iterable(split))
+        ids_of = list(map(known.get, parts))  # one look at the large table per part
+        missing = [i for i, ids in enumerate(ids_of) if ids is None]
+        unknown = {parts[i] for i in missing}
+        words = {p for p in unknown if _WORD(p)}
+        rest, marked = unknown.difference(words), []
+        for part in rest:
+            word = part.rstrip(_MARKS)
+            if len(word) < len(part) and _WORD(word):
+                marked.append((part, word, part[len(word) :]))
+        rest.difference_update([part for part, _, _ in marked])
+        words.update([word for _, word, _ in marked if word not in known])
+        rest.update([marks for _, _, marks in marked if marks not in known])
+        fresh = dict(self._encode_words(list(words)))
+        fresh.update(self._encode_each(list(rest)))
+        for part, word, marks in marked:
+            fresh[part] = (fresh.get(word) or known[word]) + (fresh.get(marks) or known[marks])
+        for i in missing:
+            ids_of[i] = fresh[parts[i]]
+        # long parts are not remembered beyond this call
+        known.update((p, ids) for p, ids in fresh.items() if len(p) <= CACHED_PART_CHARS)
+        ends = list(accumulate(map(len, split)))
+        return [b"".join(ids_of[a:b]) for a, b in zip([0, *ends], ends)]
 
     def _encode_each(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
         found = self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)
