@@ -10,9 +10,10 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side already
 
@@ -61,19 +62,10 @@ class SpaceFreeTokenizer:
     def _pair_ids(self) -> list[int]:
         return [i for part in "ab" for i in self._tokenizer.encode(part, add_special_tokens=False).ids]
 
-    def split(self, text: str) -> list:
-        """Parts of a text in order; a special token's literal is the key of its id."""
-        if not any(name in text for name in self._special):
-            return self.parts(text)
-        found: list = []
-        for i, piece in enumerate(self._literal.split(text)):
-            found += [self._special[piece]] if i % 2 else self.parts(piece)
-        return found
-
     @staticmethod
-    def parts(text: str) -> list[str]:
-        """Parts between ASCII white space. Latin-1 texts are lower-cased first, as the vocabulary does by itself: in
-        them no letter's case depends on its neighbours and nothing can be composed."""
+    def spaced(text: str) -> str:
+        """The text with spaces for ASCII white space. Latin-1 texts are lower-cased first, as the vocabulary does by
+        itself: in them no letter's case depends on its neighbours and nothing can be composed."""
         try:
             text.encode("latin-1")
             text = text.lower()
@@ -81,19 +73,43 @@ class SpaceFreeTokenizer:
             pass
         for gap in "\n\t\r\x0b\x0c":
             text = text.replace(gap, " ")
-        return text.split(" ")
+        return text
+
+    def split(self, text: str) -> list:
+        """Parts of a text in order; a special token's literal is the key of its id."""
+        found: list = []
+        for i, piece in enumerate(self._literal.split(text)):
+            found += [self._special[piece]] if i % 2 else self.spaced(piece).split(" ")
+        return found
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Parts that are not yet known are encoded together."""
-        split = [self.split(t) for t in texts]
+        """Ids of each text. Different parts are looked up once per call; those not yet known are encoded together."""
         known = self._known
         if len(known) > PART_CACHE:
             known.clear()
             known.update({"": b"", **self._ids_of_special})
-        parts = list(chain.from_iterable(split))
-        ids_of = list(map(known.get, parts))  # one look at the large table per part
-        missing = [i for i, ids in enumerate(ids_of) if ids is None]
-        unknown = {parts[i] for i in missing}
+        literal = {i: self.split(t) for i, t in enumerate(texts) if any(name in t for name in self._special)}
+        spaced = pa.array(["" if i in literal else self.spaced(t) for i, t in enumerate(texts)], pa.large_string())
+        split = pc.split_pattern(spaced, " ")
+        coded = split.flatten().dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        ids_of = list(map(known.get, different))
+        unknown = {p for p, ids in zip(different, ids_of) if ids is None}
+        unknown.update(p for row in literal.values() for p in row if p not in known)
+        fresh = self._encode_unknown(unknown)
+        ids_of = [fresh[p] if ids is None else ids for p, ids in zip(different, ids_of)]
+        flat, ends = _joined(ids_of, np.asarray(coded.indices))
+        cuts = ends[np.asarray(split.offsets)].tolist()
+        result = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i, row in literal.items():
+            result[i] = b"".join([fresh[p] if p in fresh else known[p] for p in row])
+        # long parts are not remembered beyond this call
+        known.update((p, ids) for p, ids in fresh.items() if len(p) <= CACHED_PART_CHARS)
+        return result
+
+    def _encode_unknown(self, unknown: set[str]) -> dict[str, bytes]:
+        """Ids of parts that are not known, and of the pieces of those that are a word and marks."""
+        known = self._known
         words = {p for p in unknown if _WORD(p)}
         rest, marked = unknown.difference(words), []
         for part in rest:
@@ -107,12 +123,7 @@ class SpaceFreeTokenizer:
         fresh.update(self._encode_each(list(rest)))
         for part, word, marks in marked:
             fresh[part] = (fresh.get(word) or known[word]) + (fresh.get(marks) or known[marks])
-        for i in missing:
-            ids_of[i] = fresh[parts[i]]
-        # long parts are not remembered beyond this call
-        known.update((p, ids) for p, ids in fresh.items() if len(p) <= CACHED_PART_CHARS)
-        ends = list(accumulate(map(len, split)))
-        return [b"".join(ids_of[a:b]) for a, b in zip([0, *ends], ends)]
+        return fresh
 
     def _encode_each(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
         found = self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)
@@ -132,6 +143,16 @@ class SpaceFreeTokenizer:
                 yield from self._encode_each(some)
 
 
+def _joined(values: list[bytes], order: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The values in the given order as one string, and where each begins, with the end of the last."""
+    sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+    # as lists of 4-byte ids: their bytes are gathered in one pass
+    bounds = pa.array(np.r_[0, np.cumsum(sizes // 4)])
+    ids = pa.array(np.frombuffer(b"".join(values), dtype="<u4"))
+    gathered = pa.LargeListArray.from_arrays(bounds, ids).take(pa.array(order))
+    return np.asarray(gathered.flatten()).tobytes(), np.r_[0, np.cumsum(sizes[order])]
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(content: str) -> SpaceFreeTokenizer:
     return SpaceFreeTokenizer(content)
