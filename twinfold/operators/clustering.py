@@ -20,6 +20,7 @@ from twinfold.operators.distance import (
     with_in_cluster_distance,
 )
 from twinfold.operators.ranking import top_n_per_group
+from twinfold.sources.grouped import SLICE_COL, GroupLayout
 
 CLUSTER_COL = "cluster_id"
 CLUSTER_FEATURES = "cluster_features"
@@ -86,17 +87,25 @@ def similar_controls_by_cluster(
     match_col: str = MATCH_COL,
     id_col: str = ID_COL,
     cluster_col: str = CLUSTER_COL,
+    carry: Sequence[str] = (),
+    layout: GroupLayout | None = None,
 ) -> DataFrame:
     """The controls that :func:`similar_controls` takes for every cluster, with the cluster, in one pass over them.
 
     ``clustered`` holds the cases with their cluster; a match id has one case. Each control gets its case's cluster and its
     distance to that centre. The number to keep per match group is counted for all clusters at once.
+
+    ``carry`` names further columns of ``clustered`` that are the same for a match id and cluster; controls get them too.
+    With the ``layout`` that ``controls`` are stored in, they are joined and ranked where they lie: only narrow rows and
+    those of hot groups, cut in the map tasks, are shuffled.
     """
-    require_new_column(controls, cluster_col, "_similar_dist")
-    of_match = clustered.select(match_col, cluster_col).distinct()
+    require_new_column(controls, cluster_col, "_similar_dist", *carry)
+    of_match = clustered.select(match_col, cluster_col, *carry).distinct()
     if of_match.count() <= BROADCAST_IDS:
-        of_match = F.broadcast(of_match)
-    rows = controls.join(of_match, match_col)
+        rows = controls.join(F.broadcast(of_match), match_col)
+    else:
+        rows = layout.attach(controls, of_match) if layout else controls.join(of_match, match_col)
+    kept = [*[c for c in controls.columns if layout is None or c != SLICE_COL], cluster_col, *carry]
     dist = reduce(
         lambda rest, item: F.when(F.col(cluster_col) == item[0], euclidean_to(columns, item[1])).otherwise(rest),
         centres.items(),
@@ -106,14 +115,24 @@ def similar_controls_by_cluster(
     found = sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups")).collect()
     keep = {r[cluster_col]: round_half_up(r["rows"] / r["groups"] * shares[r[cluster_col]]) for r in found}
     if not any(keep.values()):
-        return rows.select(*controls.columns, cluster_col).limit(0)
+        return rows.select(*kept).limit(0)
     keyed = rows.withColumn("_similar_dist", dist)
-    # first the most that any cluster keeps, which cuts large groups in the map tasks, then each cluster's own number
-    order = Window.partitionBy(match_col).orderBy("_similar_dist", id_col)
     wanted = reduce(lambda rest, item: F.when(F.col(cluster_col) == item[0], item[1]).otherwise(rest), keep.items(), F.lit(0))
-    most = top_n_per_group(keyed, max(keep.values()), match_col, ["_similar_dist", id_col])
-    chosen = most.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= wanted)
-    return chosen.select(*controls.columns, cluster_col)
+    order = ["_similar_dist", id_col]
+
+    def nearest(part: DataFrame, *group: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        return part.withColumn("_place", place).filter(F.col("_place") <= wanted).select(*kept)
+
+    def cut(part: DataFrame) -> DataFrame:
+        # first the most that any cluster keeps, which cuts large groups in the map tasks, then each cluster's own number
+        return nearest(top_n_per_group(part, max(keep.values()), match_col, order), match_col)
+
+    if layout is None:
+        return cut(keyed)
+    hot, other = layout.hot_and_other(keyed)
+    placed = nearest(other, match_col, SLICE_COL)  # a group that is not hot lies in one bucket
+    return placed if hot is None else union_all([placed, cut(hot)])
 
 
 def mark_near_by_cluster(

@@ -27,9 +27,10 @@ from twinfold.operators.crossval import CV_METRIC, FoldCrossValidator, mark_best
 from twinfold.operators.curve import STANDARD_RECALLS, metrics_by_scope
 from twinfold.operators.distance import DIST_COL, cluster_shares
 from twinfold.operators.evaluator import AT_RECALL, PrecisionRecallEvaluator
-from twinfold.operators.folds import assign_folds, attach_folds, fold_table
+from twinfold.operators.folds import attach_folds, fold_table
 from twinfold.operators.scores import SCORE_COL, score_with
-from twinfold.session import is_written, materialise, scratch_path, written_once
+from twinfold.session import is_written, materialise, scratch_path
+from twinfold.sources.grouped import SLICE_COL, GroupLayout, group_layout
 from twinfold.sources.sinks import read_results, run_manifest, run_path, write_results
 from twinfold.sources.tables import align_columns
 
@@ -75,20 +76,38 @@ class ClusterFlowResult:
     out_dir: str
 
 
-def tag_eval_folds(pos: DataFrame, neg: DataFrame, ss: DataFrame, n_folds: int, seed: int) -> DataFrame:
+def study_rows(pos: DataFrame, neg: DataFrame, ss: DataFrame) -> DataFrame:
+    """All three tables in one, each row with its part."""
+    parts = {"pos": pos, "neg": neg, "ss": ss}
+    return union_all([align_columns(df, pos).withColumn(PART, F.lit(p)) for p, df in parts.items()])
+
+
+def tag_eval_folds(
+    pos: DataFrame, neg: DataFrame, ss: DataFrame, n_folds: int, seed: int, layout: GroupLayout | None = None
+) -> DataFrame:
     """All three tables with the evaluation fold of their match group, in one table.
 
-    Scoring rows only count when their match group has a case.
+    Scoring rows only count when their match group has a case. With a ``layout`` the rows come out placed in it.
     """
-    parts = {"pos": pos, "neg": neg, "ss": ss}
-    rows = union_all([align_columns(df, pos).withColumn(PART, F.lit(p)) for p, df in parts.items()])
+    rows = study_rows(pos, neg, ss)
     study = rows.filter(F.col(PART) != "ss")
     with_case = study.groupBy(MATCH_COL).agg((F.max(LABEL_COL) == 1).alias("_has_case"))
     groups = fold_table(with_case, n_folds, MATCH_COL, EVAL_FOLD, seed).join(with_case, MATCH_COL)
-    tagged = attach_folds(rows, groups)
+    tagged = layout.attach(layout.place(rows), groups) if layout else attach_folds(rows, groups)
     return tagged.filter((F.col(PART) != "ss") | F.col("_has_case")).drop("_has_case")
 
 
+def cv_fold_table(clustered: DataFrame, clusters: Sequence[int], n_folds: int, seed: int) -> DataFrame:
+    """Match id, cluster and cross-validation fold; the match ids of every cluster's cases are divided on their own.
+
+    The controls of a cluster belong to the match groups of its cases, so these are all groups that it trains on.
+    """
+    own = {c: clustered.filter(F.col(CLUSTER_COL) == c) for c in clusters}
+    return union_all(
+        [fold_table(rows, n_folds, MATCH_COL, CV_FOLD, seed).withColumn(CLUSTER_COL, F.lit(c)) for c, rows in own.items()]
+    )
+
+
 def parameter_grid(classifier: LogisticRegression, config: ClusterFlowConfig) -> list:
     """Elastic-net grid: every lambda with every alpha."""
     return (
@@ -108,8 +127,8 @@ def cluster_then_classify(
 ) -> ClusterFlowResult:
     """Run the flow on case, control and scoring tables of one layout.
 
-    The fold-tagged rows are written once, split by fold, so every later step reads only the folds
-    it needs. Predictions go to one table split by fold and cluster, and all metrics are computed
+    The fold-tagged rows are written once, split by fold and bucketed by match group, so every later step reads only the
+    folds it needs and no join or grouping on the match id moves them again. Predictions go to one table split by fold and cluster, and all metrics are computed
     from that table at the end.
 
     A run that ended early goes on when it is called again with the same folder, tables and settings: what fold and
@@ -131,24 +150,47 @@ def cluster_then_classify(
     bad = pos.filter(~F.col(LABEL_COL).eqNullSafe(1.0)).limit(1).count()
     if bad:
         raise ValueError("every row of the case table must have label 1")
-    tagged = written_once(
-        tag_eval_folds(pos, neg, ss, config.n_eval_folds, config.seed), f"{out}/state/eval-folds", (EVAL_FOLD,)
-    )
+    layout = group_layout(study_rows(pos, neg, ss), f"{out}/state/layout")
+    try:
+        _all_folds(pos, neg, ss, layout, predictors, flags, config, out)
+    finally:
+        layout.forget()
+
+    predictions = read_results(spark, f"{out}/predictions", config.result_format)
+    write_results(flow_metrics(predictions, config), f"{out}/metrics", fmt=config.result_format, mode="overwrite")
+    tables = [read_results(spark, f"{out}/{t}", config.result_format) for t in ("metrics", "cv_metrics", "loops")]
+    return ClusterFlowResult(predictions, *tables, manifest, out)
+
+
+def _all_folds(
+    pos: DataFrame,
+    neg: DataFrame,
+    ss: DataFrame,
+    layout: GroupLayout,
+    predictors: Sequence[str],
+    flags: Sequence[str],
+    config: ClusterFlowConfig,
+    out: str,
+) -> None:
+    """All evaluation folds with their clusters, apart from those that an earlier run has written."""
+    spark = pos.sparkSession
+    tagged = tag_eval_folds(pos, neg, ss, config.n_eval_folds, config.seed, layout)
+    tagged = layout.store_once(tagged, f"{out}/state/eval-folds", (EVAL_FOLD,))
     test_sizes = {r[EVAL_FOLD]: r["count"] for r in tagged.groupBy(EVAL_FOLD).count().collect()}
 
     for fold in range(config.n_eval_folds):
         here = F.col(EVAL_FOLD) == fold
         train = tagged.filter(~here & (F.col(PART) != "ss")).drop(EVAL_FOLD)
-        test = tagged.filter(here).drop(EVAL_FOLD, PART)
+        test = tagged.filter(here).drop(EVAL_FOLD, PART, SLICE_COL)
         cases = train.filter((F.col(LABEL_COL) == 1) & (F.col(PART) == "pos")).drop(PART)
         controls = train.filter(F.col(PART) == "neg").drop(PART)
         state = run_path(f"{out}/state/clusters", {"fold": fold})
         if not is_written(spark, f"{state}/centres"):  # written last
             model, clustered = cluster_rows(cases, flags, config.n_clusters, config.seed)
-            written_once(clustered, f"{state}/cases")
+            layout.store(clustered, f"{state}/cases")
             found = spark.createDataFrame(sorted(centres_of(model).items()), "cluster int, centre array<double>")
             write_results(found, f"{state}/centres", mode="overwrite")
-        clustered = spark.read.parquet(f"{state}/cases")
+        clustered = layout.reopen(spark, f"{state}/cases")
         centres = {r["cluster"]: r["centre"] for r in spark.read.parquet(f"{state}/centres").collect()}
         shares = {r[CLUSTER_COL]: r for r in cluster_shares(clustered).collect()}
 
@@ -156,24 +198,24 @@ def cluster_then_classify(
         if not left:
             continue
         ratios = {c: r["share"] for c, r in shares.items()}
-        chosen = similar_controls_by_cluster(controls, clustered, flags, centres, ratios)
+        # cases and controls get their cross-validation fold in the join that they need anyway
+        of_match = materialise(cv_fold_table(clustered, sorted(shares), config.n_cv_folds, config.seed), "cv-folds")
+        chosen = similar_controls_by_cluster(
+            controls, of_match, flags, centres, ratios, carry=(CV_FOLD,), layout=layout
+        )
         chosen = materialise(chosen, "similar-controls", (CLUSTER_COL,))
         # the cut-offs of all clusters come from the same passes over the fold's test rows
         marked = mark_near_by_cluster(test, flags, centres, {c: ratios[c] for c in left}, n_rows=test_sizes.get(fold, 0))
 
         def step(cluster: int) -> None:
             here = F.col(CLUSTER_COL) == cluster
-            own, near = clustered.filter(here).drop(CLUSTER_COL, DIST_COL), chosen.filter(here).drop(CLUSTER_COL)
+            own = layout.attach(clustered.filter(here).drop(CLUSTER_COL, DIST_COL), of_match.filter(here).drop(CLUSTER_COL))
+            own, near = own.drop(SLICE_COL), chosen.filter(here).drop(CLUSTER_COL)
             _one_cluster(own, near, marked[cluster], test_sizes.get(fold, 0), shares[cluster], fold, predictors, config, out)
 
         with ThreadPool(config.cluster_threads) as pool:
             pool.map(inheritable_thread_target(spark)(step), left, chunksize=1)
 
-    predictions = read_results(spark, f"{out}/predictions", config.result_format)
-    write_results(flow_metrics(predictions, config), f"{out}/metrics", fmt=config.result_format, mode="overwrite")
-    tables = [read_results(spark, f"{out}/{t}", config.result_format) for t in ("metrics", "cv_metrics", "loops")]
-    return ClusterFlowResult(predictions, *tables, manifest, out)
-
 
 def _one_cluster(
     own: DataFrame,
@@ -188,12 +230,13 @@ def _one_cluster(
 ) -> None:
     """Train the classifier of one cluster and write its predictions, grid metrics and row counts.
 
-    ``test`` marks in its column ``near`` the rows that the classifier scores.
+    ``own`` and ``controls`` have their cross-validation fold; ``test`` marks in its column ``near`` the rows that the
+    classifier scores.
     """
     cluster, share = share_row[CLUSTER_COL], share_row["share"]
     key = {"fold": fold, "cluster": cluster}
-    train = assemble(union_all([own, align_columns(controls, own)]), predictors)
-    train = materialise(assign_folds(train, config.n_cv_folds, fold_col=CV_FOLD, seed=config.seed), "train")
+    train = union_all([own, align_columns(controls, own)])
+    train = materialise(assemble(train, predictors, keep=(MATCH_COL, LABEL_COL, ID_COL, CV_FOLD)), "train")
     n_train = train.count()
     classifier = LogisticRegression(
         maxIter=config.max_iter, featuresCol="features", labelCol=LABEL_COL, standardization=True

@@ -28,6 +28,7 @@ from twinfold.operators.scores import (
 )
 from twinfold.plans.cleaning import clean_cohort
 from twinfold.session import materialise, scratch_path
+from twinfold.sources.grouped import SLICE_COL, GroupLayout, group_layout
 from twinfold.sources.sinks import read_results, run_path, write_results
 from twinfold.sources.tables import align_columns, read_cohort, read_exclusion_list
 
@@ -92,14 +93,20 @@ def two_stage(
         for p, df in tables.items()
     ]
     outer = materialise(fold_table(pos, config.n_outer, MATCH_COL, OUTER, config.seed), "outer-folds")
-    tagged = union_all(vectors).join(outer, MATCH_COL, "left").fillna(-1, [OUTER])
-    tagged = materialise(tagged, "two-stage-rows", (OUTER,))
+    rows, place = union_all(vectors), scratch_path(spark, "two-stage-rows")
+    layout = group_layout(rows, f"{place}/layout")
+    tagged = layout.attach(layout.place(rows), outer, "left").fillna(-1, [OUTER])
+    # by match group: the inner folds of every outer fold are attached without moving the rows again
+    tagged = layout.store(tagged, f"{place}/rows", (OUTER,))
 
     def step(sim: int) -> DataFrame:
-        return _outer_fold(tagged, outer, sim, config, out).withColumn(OUTER, F.lit(sim))
+        return _outer_fold(tagged, outer, layout, sim, config, out).withColumn(OUTER, F.lit(sim))
 
-    with ThreadPool(config.outer_threads) as pool:
-        nested = union_all(pool.map(inheritable_thread_target(spark)(step), range(config.n_outer), chunksize=1))
+    try:
+        with ThreadPool(config.outer_threads) as pool:
+            nested = union_all(pool.map(inheritable_thread_target(spark)(step), range(config.n_outer), chunksize=1))
+    finally:
+        layout.forget()
 
     fmt = config.result_format
     second = read_results(spark, f"{out}/second_stage", fmt)
@@ -162,13 +169,20 @@ def _stage_areas(nested: DataFrame, second: DataFrame) -> DataFrame:
     return union_all([*tables, final.select(OUTER, F.lit(2).alias("stage"), "set", "area_pr")])
 
 
-def _outer_fold(tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageConfig, out: str) -> DataFrame:
+def inner_fold_rows(tagged: DataFrame, inner: DataFrame, layout: GroupLayout, sim: int) -> DataFrame:
+    """Training rows of an outer fold with their inner fold, -1 without one; ``tagged`` is stored in ``layout``."""
+    train = tagged.filter((F.col(OUTER) != sim) & (F.col(PART) == STUDY)).drop(OUTER, PART)
+    return layout.attach(train, inner, "left").fillna(-1, [INNER]).drop(SLICE_COL)
+
+
+def _outer_fold(
+    tagged: DataFrame, outer: DataFrame, layout: GroupLayout, sim: int, config: TwoStageConfig, out: str
+) -> DataFrame:
     """One outer fold: nested first stage, cut, second stage. Returns the training rows with all inner scores."""
     key = {OUTER: sim}
     inner = inner_fold_table(outer, sim, config.n_inner, config.seed)
-    train = tagged.filter((F.col(OUTER) != sim) & (F.col(PART) == STUDY)).drop(OUTER, PART)
     # the fits read the stored rows and keep their own blocks: no further copy in memory
-    train = materialise(train.join(inner, MATCH_COL, "left").fillna(-1, [INNER]), "inner-folds")
+    train = materialise(inner_fold_rows(tagged, inner, layout, sim), "inner-folds")
     n_rows, width = train.count(), feature_count(train, "features")
     budget, sized = fit_budget(tagged.sparkSession), fitting_partitions(train, n_rows, width)
 
@@ -186,7 +200,7 @@ def _outer_fold(tagged: DataFrame, outer: DataFrame, sim: int, config: TwoStageC
     held_out = held_out_scores(scored)
 
     tested = materialise(
-        mean_score(tagged.filter(F.col(OUTER) == sim).drop(OUTER), models, SCORE_COL), "first-stage-test"
+        mean_score(tagged.filter(F.col(OUTER) == sim).drop(OUTER, SLICE_COL), models, SCORE_COL), "first-stage-test"
     )
 
     columns = ["set", ID_COL, MATCH_COL, LABEL_COL, SCORE_COL]

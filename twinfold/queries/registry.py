@@ -37,6 +37,7 @@ from twinfold.plans.undersampling import run_undersampling
 from twinfold.queries import sql
 from twinfold.session import materialise, scratch_path
 from twinfold.sources import orders_cohort as oc
+from twinfold.sources.grouped import SLICE_COL, group_layout
 from twinfold.sources.sinks import run_manifest, stage_counts, write_metrics, write_results
 from twinfold.sources.tables import (
     exclusion_names,
@@ -927,6 +928,49 @@ def eval_fold_rows(spark, folder):
     return tag_eval_folds(*tables, 5, SEED).withColumnRenamed("_part", "part")
 
 
+GROUP_BUCKETS = 1000
+
+
+@register(
+    "group_slices",
+    sql.query(
+        sql.MEMBERS,
+        "sizes AS (SELECT matched_positive_id, count(*) AS n FROM members GROUP BY matched_positive_id)",
+        f"""shares AS (SELECT *, ceil((SELECT count(*) FROM members) / CAST({GROUP_BUCKETS} AS DOUBLE)) AS share FROM sizes),
+sliced AS (SELECT matched_positive_id, CASE WHEN n > share THEN 1 ELSE 0 END AS low,
+  CASE WHEN n > share THEN CAST(ceil(n / share) AS INTEGER) ELSE 0 END AS high FROM shares)""",
+        select="""SELECT matched_positive_id, CAST(unnest(generate_series(low, high)) AS INTEGER) AS slice FROM sliced""",
+    ),
+)
+def group_slices(spark, folder):
+    rows = oc.members(spark, folder)
+    layout = group_layout(rows, scratch_path(spark, "layout"), n_buckets=GROUP_BUCKETS)
+    ids = rows.select("matched_positive_id").distinct()
+    return layout.by_slice(ids).withColumnRenamed(SLICE_COL, "slice")
+
+
+@register(
+    "grouped_inner_folds",
+    sql.query(
+        sql.MEMBERS,
+        "study AS (SELECT * FROM members WHERE population = 'pn')",
+        sql.folds("study", column="eval_fold"),
+        sql.folds("(SELECT * FROM folds WHERE eval_fold <> 0)", 5, SEED + 1, "inner_folds", "inner_fold"),
+        select=f"""SELECT {IDS}, eval_fold, inner_fold FROM study JOIN folds USING (matched_positive_id)
+  JOIN inner_folds USING (matched_positive_id)""",
+    ),
+)
+def grouped_inner_folds(spark, folder):
+    rows = study(oc.members(spark, folder)).select(*oc.IDS)
+    path = scratch_path(spark, "by-group")
+    layout = group_layout(rows, f"{path}/layout")
+    outer = folds.fold_table(rows, 5, fold_col="eval_fold", seed=SEED)
+    tagged = layout.store(layout.attach(layout.place(rows), outer), f"{path}/rows", ("eval_fold",))
+    train = tagged.filter(F.col("eval_fold") != 0)
+    inner = folds.fold_table(train, 5, fold_col="inner_fold", seed=SEED + 1)
+    return layout.attach(train, inner).select(*oc.IDS, "eval_fold", "inner_fold")
+
+
 @register(
     "nested_folds",
     sql.query(

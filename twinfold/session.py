@@ -66,14 +66,6 @@ def is_written(spark: SparkSession, path: str) -> bool:
     return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
-def written_once(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write a table to ``path`` unless an earlier run has, and read it back. What a lost run left half-written goes."""
-    if not is_written(df.sparkSession, path):
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
