@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark import StorageLevel, inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, Model
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ from twinfold.operators.cohort import union_all
 from twinfold.operators.evaluator import DEFAULT_METRICS, PrecisionRecallEvaluator, metric_key
 from twinfold.operators.fits import (
     WEIGHT_COL,
+    FittedLinear,
     block_bytes,
     compressed,
     feature_count,
@@ -29,6 +31,8 @@ from twinfold.operators.fits import (
     weighted_penalty,
 )
 from twinfold.operators.folds import validate_folds
+from twinfold.operators.joint_fits import MOST_COLUMNS, WantedFit, fit_together
+from twinfold.operators.scores import score_linear
 
 CV_METRIC = "metric for CV "
 
@@ -76,21 +80,46 @@ def _columns_read(estimator: Estimator, dataset: DataFrame) -> list[str]:
     return [c for c in dataset.columns if c in named]
 
 
-def _stack_scores(rows: DataFrame, models: Mapping[int, Model], label: str, prediction: str) -> DataFrame:
-    """Every row once per model with that model's positive score, in one pass over the rows."""
-    scored, names, kind = rows, rows.columns, None
-    for index, model in models.items():
-        transformed = model.transform(scored)
-        kind = kind or transformed.schema[prediction].dataType
-        name = f"_score_{index}"
-        scored = transformed.select(*names, positive_score_of(prediction, kind).alias(name))
-        names = [*names, name]
+def _stack_scores(
+    rows: DataFrame, models: Mapping[int, Model | FittedLinear], label: str, prediction: str, raw_col: str = ""
+) -> DataFrame:
+    """Every row once per model with that model's positive score, in one pass over the rows.
+
+    Linear models give their log odds if ``prediction`` is the column ``raw_col``, and else their probability.
+    """
+    if all(isinstance(m, FittedLinear) for m in models.values()):
+        kind = FittedLinear.margin if prediction == raw_col else FittedLinear.probability
+        scored = score_linear(rows, {f"_score_{i}": m for i, m in models.items()}, kind)
+    else:
+        scored, names, kind = rows, rows.columns, None
+        for index, model in models.items():
+            transformed = model.transform(scored)
+            kind = kind or transformed.schema[prediction].dataType
+            name = f"_score_{index}"
+            scored = transformed.select(*names, positive_score_of(prediction, kind).alias(name))
+            names = [*names, name]
     scores = [F.struct(F.lit(i).alias("paramSetID"), F.col(f"_score_{i}").alias("score")) for i in models]
     return scored.select(label, F.explode(F.array(*scores)).alias("_s")).select(
         label, "_s.paramSetID", F.col("_s.score").alias(prediction)
     )
 
 
+def _joint_grid(estimator: Estimator, param_maps: Sequence[Mapping[Param, Any]], evaluator, width: int) -> list[tuple[float, float]] | None:
+    """Penalty and mix of every parameter set, if all can be fitted together: plain binary logistic regression with
+    intercept on few columns, of which the evaluator reads the log odds or the probability."""
+    if type(estimator) is not LogisticRegression or not isinstance(evaluator, PrecisionRecallEvaluator):
+        return None
+    bounds = ("lowerBoundsOnCoefficients", "upperBoundsOnCoefficients", "lowerBoundsOnIntercepts", "upperBoundsOnIntercepts")
+    if any(estimator.isDefined(estimator.getParam(p)) for p in ("weightCol", *bounds)):
+        return None
+    plain = estimator.getFitIntercept() and estimator.getFamily() in ("auto", "binomial") and 0 < width <= MOST_COLUMNS
+    scored = evaluator.getRawPredictionCol() in (estimator.getRawPredictionCol(), estimator.getProbabilityCol())
+    if not (plain and scored and all({p.name for p in m} <= {"regParam", "elasticNetParam"} for m in param_maps)):
+        return None
+    sets = [estimator.copy({**m}) for m in param_maps]
+    return [(e.getRegParam(), e.getElasticNetParam()) for e in sets]
+
+
 class FoldCrossValidatorModel(CrossValidatorModel):
     """Best model, with ``avgMetrics`` as a DataFrame."""
 
@@ -243,6 +272,7 @@ class FoldCrossValidator(CrossValidator):
             data = data.persist(StorageLevel.MEMORY_AND_DISK)
         train = [data.filter(F.col(fold_col) != i).drop(fold_col) for i in range(n_folds)]
         validation = [data.filter(F.col(fold_col) == i).drop(fold_col) for i in range(n_folds)]
+        grid = None if whole else _joint_grid(estimator, param_maps, evaluator, width)
         if whole:
             validation = [whole.one_by_one(part) for part in validation]
             fitted = [whole.fits(i, part, param_maps) for i, part in enumerate(train)]
@@ -259,7 +289,11 @@ class FoldCrossValidator(CrossValidator):
             # all folds and parameter sets wait in one queue, so a small grid keeps every thread busy too
             with ThreadPool(min(self.getParallelism(), n_folds * len(param_maps))) as pool:
                 queue = sorted([*range(n_folds)] * len(param_maps))
-                models = {(fold, i): m for fold, i, m in pool.map(fit_next, queue, chunksize=1)}
+                if grid:
+                    with budget.block(size):
+                        models = self._fit_jointly(data, fold_col, width, n_folds, grid)
+                else:
+                    models = {(fold, i): m for fold, i, m in pool.map(fit_next, queue, chunksize=1)}
                 if isinstance(evaluator, PrecisionRecallEvaluator):
                     rows = self._grouped_metrics(models, validation)
                 else:
@@ -282,6 +316,18 @@ class FoldCrossValidator(CrossValidator):
         model = FoldCrossValidatorModel(best_model, table.orderBy("paramSetID"), fold_metrics, self.bestIndex)
         return self._copyValues(model)
 
+    def _fit_jointly(
+        self, data: DataFrame, fold_col: str, width: int, n_folds: int, grid: Sequence[tuple[float, float]]
+    ) -> dict[tuple[int, int], FittedLinear]:
+        """The models of all folds and parameter sets, from the same passes over the rows."""
+        lr = self.getEstimator()
+        keys = [(fold, i) for fold in range(n_folds) for i in range(len(grid))]
+        models = fit_together(
+            data, width, [WantedFit(*grid[i], fold) for fold, i in keys], fold_col,
+            lr.getFeaturesCol(), lr.getLabelCol(), lr.getMaxIter(), lr.getStandardization(),
+        )
+        return dict(zip(keys, models))
+
     def _width(self, data: DataFrame) -> int:
         """Length of the feature vectors, 0 if the estimator has no features column of vectors."""
         estimator = self.getEstimator()
@@ -305,14 +351,16 @@ class FoldCrossValidator(CrossValidator):
         return pool.map(inheritable_thread_target(validation[0].sparkSession)(one), list(models))
 
     def _grouped_metrics(
-        self, models: Mapping[tuple[int, int], Model], validation: Sequence[DataFrame]
+        self, models: Mapping[tuple[int, int], Model | FittedLinear], validation: Sequence[DataFrame]
     ) -> list[tuple[int, int, str, float]]:
         """The same rows from one table of all validation scores, evaluated per fold and parameter set."""
         evaluator = self.getEvaluator()
         label, prediction = evaluator.getLabelCol(), evaluator.getRawPredictionCol()
+        estimator = self.getEstimator()
+        raw_col = estimator.getRawPredictionCol() if hasattr(estimator, "getRawPredictionCol") else ""
         stacked = union_all(
             [
-                _stack_scores(rows, {i: m for (f, i), m in models.items() if f == fold}, label, prediction)
+                _stack_scores(rows, {i: m for (f, i), m in models.items() if f == fold}, label, prediction, raw_col)
                 .withColumn("fold", F.lit(fold))
                 for fold, rows in enumerate(validation)
             ]

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BYTES_PER_VALUE = 8
@@ -103,12 +103,26 @@ def weighted_penalty(reg: float, alpha: float, weights: float, squares: float) -
 
 @dataclass(frozen=True)
 class FittedLinear:
-    """Penalty, mix, coefficients and intercept of one logistic model."""
+    """Penalty, mix, coefficients and intercept of one logistic model, and the column of vectors that it reads."""
 
     reg: float
     alpha: float
     coefficients: tuple[float, ...]
     intercept: float
+    features_col: str = "features"
+
+    def margin(self, values: str) -> Column:
+        """Log odds of a row whose feature vector is the array column ``values``."""
+        return F.expr(self._margin_sql(values))
+
+    def probability(self, values: str) -> Column:
+        """Positive probability of such a row."""
+        return F.expr(f"1D / (1D + exp(-({self._margin_sql(values)})))")
+
+    def _margin_sql(self, values: str) -> str:
+        # as text: many models of many columns take one call each to build
+        start = f"{self.intercept!r}D" if math.isfinite(self.intercept) else f"double('{self.intercept}')"
+        return " + ".join([start, *[f"{w!r}D * `{values}`[{j}]" for j, w in enumerate(self.coefficients) if w]])
 
 
 def fit_grid(df: DataFrame, columns: Sequence[str], grid: Sequence[tuple[float, float]], label_col: str = "label", **params) -> list[FittedLinear]:

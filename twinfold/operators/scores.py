@@ -2,33 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import add
 
 from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.functions.columns import ID_COL, LABEL_COL, MATCH_COL, log10_score
+from twinfold.functions.columns import ID_COL, LABEL_COL, MATCH_COL, log10_score, require_new_column
 from twinfold.operators.cohort import union_all
 from twinfold.operators.clustering import assemble
+from twinfold.operators.fits import FittedLinear
 from twinfold.operators.ranking import exact_percentile
 
 SCORE_COL = "prob_1"
+VALUES = "_values"
 
 
-def score_with(df: DataFrame, model: Model, score_col: str = SCORE_COL) -> DataFrame:
+def score_with(df: DataFrame, model: Model | FittedLinear, score_col: str = SCORE_COL) -> DataFrame:
     """Append the positive probability of a fitted classifier; its other output columns are dropped."""
+    if isinstance(model, FittedLinear):
+        return score_linear(df, {score_col: model})
     outputs = [model.getRawPredictionCol(), model.getProbabilityCol(), model.getPredictionCol()]
     scored = model.transform(df)
     return scored.withColumn(score_col, vector_to_array(F.col(model.getProbabilityCol()))[1]).drop(*outputs)
 
 
-def score_with_all(df: DataFrame, models: Sequence[Model], prefix: str = "_score_") -> tuple[DataFrame, list[str]]:
+def score_linear(df: DataFrame, models: Mapping[str, FittedLinear], score: Callable[..., Column] = FittedLinear.probability) -> DataFrame:
+    """Append a column per linear model of one vector column: its positive probability, or another ``score`` of it."""
+    require_new_column(df, VALUES, *models)
+    (features,) = {m.features_col for m in models.values()}
+    values = df.withColumn(VALUES, vector_to_array(F.col(features)))
+    return values.select(*df.columns, *[score(m, VALUES).alias(name) for name, m in models.items()])
+
+
+def score_with_all(
+    df: DataFrame, models: Sequence[Model | FittedLinear], prefix: str = "_score_"
+) -> tuple[DataFrame, list[str]]:
     """Append one score column per model in a single pass over the rows."""
     names = [f"{prefix}{i}" for i in range(len(models))]
+    if models and all(isinstance(m, FittedLinear) for m in models):
+        return score_linear(df, dict(zip(names, models))), names
     columns = df.columns
     for i, model in enumerate(models):
         score = vector_to_array(F.col(model.getProbabilityCol()))[1].alias(names[i])
@@ -36,7 +52,7 @@ def score_with_all(df: DataFrame, models: Sequence[Model], prefix: str = "_score
     return df, names
 
 
-def mean_score(df: DataFrame, models: Sequence[Model], score_col: str = "avg_prob") -> DataFrame:
+def mean_score(df: DataFrame, models: Sequence[Model | FittedLinear], score_col: str = "avg_prob") -> DataFrame:
     """Mean positive probability over several models: the row-wise form of :func:`average_scores`."""
     scored, names = score_with_all(df, models)
     return scored.withColumn(score_col, reduce(add, [F.col(n) for n in names]) / len(names)).drop(*names)
