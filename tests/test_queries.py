@@ -42,6 +42,12 @@ def test_cluster_classify_runs_the_flow_at_its_own_size(monkeypatch):
     assert ran == [("pos", "neg", "ss", ClusterFlowConfig())]
 
 
+def test_score_union_joins_the_members_once(spark):
+    found = entry.queries()["score_union"](spark, FOLDER)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan
+
+
 def test_entry_point(spark):
     assert entry.entry(spark).count() == 10
 

@@ -826,7 +826,8 @@ def evaluator_metrics(spark, folder):
 
 @register("score_union", sql.query(sql.BY_MODEL, select=f"SELECT {IDS}, prob_1, model_id FROM by_model"))
 def score_union(spark, folder):
-    rows = study(oc.members(spark, folder))
+    # stored: a task of a union of joins would hold the sorted rows of every join in it
+    rows = materialise(study(oc.members(spark, folder)).select(*oc.IDS), "members")
     tables = {m: rows.select(*oc.IDS, oc.model_score(m).alias("prob_1")) for m in oc.SCORE_FACTORS}
     return scores.union_scores(tables, "model_id")
 
