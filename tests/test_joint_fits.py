@@ -75,3 +75,19 @@ def test_a_grid_takes_a_few_passes(rows, monkeypatch):
     single = validator.fit(rows)
     theirs, ours = ({(r.fold, r.paramSetID): r.value for r in m.foldMetrics.collect()} for m in (single, found))
     assert all(ours[k] == pytest.approx(theirs[k], abs=2e-3) for k in theirs)
+
+
+def test_the_two_stage_flow_fits_inner_folds_together(spark, monkeypatch, tmp_path):
+    from twinfold.plans import two_stage as plan
+
+    rng, parts = random.Random(4), ([], [], [])
+    for g in range(20):
+        for label, part, n in ((1.0, 0, 1), (0.0, 1, 4), (0.0, 2, 2)):
+            for _ in range(n):
+                parts[part].append((1 + sum(map(len, parts)), g, label, rng.randint(30, 80) + 6 * int(label), rng.randint(0, 1)))
+    tables = [spark.createDataFrame(p, "patid bigint, matched_positive_id bigint, label double, AGE int, A_FLAG int") for p in parts]
+    calls, fit = [], plan.fit_together
+    monkeypatch.setattr(plan, "fit_together", lambda *args, **kw: calls.append(len(args[2])) or fit(*args, **kw))
+    monkeypatch.setattr(plan, "fit_unpenalised", lambda *args: pytest.fail("fitted one by one"))
+    plan.two_stage(*tables, plan.TwoStageConfig(n_outer=2, n_inner=2, recalls=(0.1,)), str(tmp_path / "run"))
+    assert sorted(calls) == [1, 1, 2, 2]

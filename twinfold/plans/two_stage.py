@@ -18,6 +18,7 @@ from twinfold.operators.cohort import union_all
 from twinfold.operators.curve import STANDARD_RECALLS, areas, metrics_by_scope
 from twinfold.operators.fits import block_bytes, feature_count, fit_budget, fitting_partitions
 from twinfold.operators.folds import fold_table
+from twinfold.operators.joint_fits import MOST_COLUMNS, WantedFit, fit_together
 from twinfold.operators.scores import (
     SCORE_COL,
     mean_score,
@@ -190,9 +191,14 @@ def _outer_fold(
         with budget.block(block_bytes(n_rows, width)):  # shared by the outer folds that run at the same time
             return fit_unpenalised(sized.filter(F.col(INNER) != j), config)
 
-    fit = inheritable_thread_target(tagged.sparkSession)(fit_one)
-    with ThreadPool(min(config.parallelism, config.n_inner)) as pool:
-        models = pool.map(fit, range(config.n_inner))
+    if 0 < width <= MOST_COLUMNS:
+        # all inner models from the same passes over the stored rows; nothing is kept in memory
+        wanted = [WantedFit(left_out=j) for j in range(config.n_inner)]
+        models = fit_together(train, width, wanted, INNER, max_iter=config.max_iter)
+    else:
+        fit = inheritable_thread_target(tagged.sparkSession)(fit_one)
+        with ThreadPool(min(config.parallelism, config.n_inner)) as pool:
+            models = pool.map(fit, range(config.n_inner))
     # one pass: every training row with the score of every inner model
     scored, names = score_with_all(train, models)
     all_scores = F.array(*[F.col(n) for n in names])
@@ -217,9 +223,12 @@ def _outer_fold(
         raise ValueError(f"outer fold {sim} has no case among its training rows")
     train2 = second_stage_features(held_out.drop(INNER), cut)
     test2 = second_stage_features(tested, cut, keep=(MATCH_COL, ID_COL, LABEL_COL, PART))
-    n_second = train2.count()
-    with budget.block(block_bytes(n_second, width + 1)):
-        model = fit_unpenalised(fitting_partitions(train2, n_second, width + 1), config)
+    if width < MOST_COLUMNS:
+        (model,) = fit_together(train2, width + 1, [WantedFit()], max_iter=config.max_iter)
+    else:
+        n_second = train2.count()
+        with budget.block(block_bytes(n_second, width + 1)):
+            model = fit_unpenalised(fitting_partitions(train2, n_second, width + 1), config)
     second = union_all(
         [
             score_with(train2, model).withColumn("set", F.lit("train")).select(*columns),
