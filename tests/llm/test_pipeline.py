@@ -2,11 +2,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from twinfold.llm import pii, quality, toxicity
-from twinfold.llm.common import stored, table
+from twinfold.llm import jaccard, pii, quality, toxicity
+from twinfold.llm.common import SLICE_BYTES, map_slices, stored, table
 
 from .test_jaccard import plain_components
 from .test_packing import check_pieces
@@ -47,3 +49,22 @@ def test_stages_against_plain_versions(spark, folder):
     wanted = {i: [*library.encode(r.text, add_special_tokens=False).ids, 2] for i, r in before.items()}
     check_pieces(after, wanted, 4096)
     assert zlib.crc32(np.asarray(wanted[after[0].doc_id], "<u4").tobytes()[4 * after[0].start :][: 4 * after[0].length]) == after[0].ids_crc32
+
+
+def test_texts_come_in_batches_of_bounded_bytes(spark):
+    def held(batch):  # a slice shares the buffers of its whole batch
+        return pa.RecordBatch.from_pydict({"bytes": [batch.column("text").buffers()[2].size]})
+
+    texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("0123456789"), 200).alias("text"))
+    assert max(r.bytes for r in map_slices(texts, held, "bytes bigint", "text").collect()) <= 2 * SLICE_BYTES
+
+
+def test_repeated_shingles_are_counted():
+    rng = np.random.default_rng(3)
+    for sizes in ([0], [1], [0, 3, 3], [40, 1, 0, 200]):
+        sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in sizes]
+        values, times = np.unique(np.concatenate(sets), return_counts=True)
+        found = jaccard._repeated(sets)
+        assert not sets  # let go before the counting
+        assert found.column("shingle").to_pylist() == values[times > 1].tolist()
+        assert found.column("times").to_pylist() == times[times > 1].tolist()

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import cached_by, claim_memory, pick, quoted, slices, stored
+from twinfold.llm.common import cached_by, claim_memory, give_back_memory, map_texts, pick, quoted, slices, stored
 
 WORDS = 5
 PERCENT = 80
@@ -155,16 +155,23 @@ def survey(df: DataFrame) -> DataFrame:
                 waiting, size = [], 0
         if waiting:
             yield _repeated(waiting)
+        give_back_memory()
 
-    return df.mapInArrow(run, "doc_id bigint, at bigint, n bigint, node bigint, shingle bigint, times bigint")
+    return map_texts(df, run, "doc_id bigint, at bigint, n bigint, node bigint, shingle bigint, times bigint")
 
 
 _SURVEY_NAMES = ["doc_id", "at", "n", "node", "shingle", "times"]
 
 
 def _repeated(sets: list[np.ndarray]) -> pa.RecordBatch:
-    values, times = np.unique(np.concatenate(sets), return_counts=True)
-    values, times = values[times > 1], times[times > 1]
+    """Shingles that are in several of the sets, with their counts. Sorted in place and the list emptied: no further copies."""
+    values = np.concatenate(sets)
+    sets.clear()
+    values.sort()
+    same = values[1:] == values[:-1]
+    starts = np.flatnonzero(same & ~np.r_[False, same[:-1]])
+    times = np.flatnonzero(same & ~np.r_[same[1:], False]) + 2 - starts
+    values = values[starts]
     none = pa.nulls(len(values), pa.int64())
     return pa.RecordBatch.from_arrays([none, none, none, none, _signed(values), pa.array(times)], _SURVEY_NAMES)
 
@@ -224,8 +231,9 @@ def entered(df: DataFrame, common: tuple[np.ndarray, np.ndarray], boundary: int,
             flat = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, dtype=np.uint64)
             fixed = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*fixed, pa.ListArray.from_arrays(offsets, _signed(flat))], ["doc_id", "at", "n", "keys"])
+        give_back_memory()
 
-    return df.mapInArrow(run, "doc_id bigint, at bigint, n bigint, keys array<bigint>")
+    return map_texts(df, run, "doc_id bigint, at bigint, n bigint, keys array<bigint>")
 
 
 @lru_cache(maxsize=2)
@@ -243,8 +251,9 @@ def whole_sets(df: DataFrame) -> DataFrame:
             offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), _signed(np.concatenate(sets)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), flat], ["node", "shingles"])
+        give_back_memory()
 
-    return df.mapInArrow(run, "node bigint, shingles array<bigint>")
+    return map_texts(df, run, "node bigint, shingles array<bigint>")
 
 
 def bounded(ids: DataFrame) -> DataFrame:

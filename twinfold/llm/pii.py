@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import map_slices, pick, quoted, slices
+from twinfold.llm.common import map_slices, map_texts, pick, quoted, slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "routing")
@@ -223,7 +223,7 @@ def redact_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
             arrays[at] = pa.array(clean, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return df.mapInArrow(run, df.schema)
+    return map_texts(df, run, df.schema)
 
 
 def spans_text(spans: str, kinds: tuple[str, ...] | None = None):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import cached_by, claim_memory, map_slices, pick, slices
+from twinfold.llm.common import cached_by, claim_memory, map_slices, map_texts, pick, slices
 
 HASH_BITS = 20
 GRAM = 5
@@ -260,4 +260,4 @@ def drop_toxic(df: DataFrame, machine: bytes, limit: float = 0.5, text_col: str
         for batch in slices(batches, text_col):
             yield batch.filter(pa.array(text_scores(batch.column(at).to_pylist(), machine) < limit))
 
-    return df.mapInArrow(run, df.schema)
+    return map_texts(df, run, df.schema)
