@@ -59,6 +59,17 @@ def test_cells_copies_and_single_labels(spark):
         fit_together(cells.filter("foldID = 0"), 3, [WantedFit(left_out=0)], "foldID")
 
 
+def test_passes_read_blocks_of_rows(rows, monkeypatch):
+    seen, add_up = [], joint_fits._add_up
+    monkeypatch.setattr(joint_fits, "_add_up", lambda df, *args: seen.append(df.count()) or add_up(df, *args))
+    wanted = [WantedFit(), WantedFit(0.1, 0.0, 1)]
+    models = fit_together(rows, 5, wanted, "foldID")
+    assert max(seen) <= 3  # one for each partition, not one for each of the 600 rows
+    monkeypatch.setattr(joint_fits, "BLOCK_BYTES", 8 * 7 * 50)
+    for small, one in zip(fit_together(rows, 5, wanted, "foldID"), models):
+        assert max(seen) >= 12 and small.coefficients == pytest.approx(one.coefficients, abs=1e-7)
+
+
 def test_a_grid_takes_a_few_passes(rows, monkeypatch):
     passes, fits, add_up, fit = [], [], joint_fits._add_up, LogisticRegression._fit
     monkeypatch.setattr(joint_fits, "_add_up", lambda *args: passes.append(1) or add_up(*args))

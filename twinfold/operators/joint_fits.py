@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.operators.fits import FittedLinear
-from twinfold.session import materialise
+from twinfold.session import scratch_path
 
 # Sums of products of two columns are kept for every model; wider tables are fitted one by one.
 MOST_COLUMNS = 64
-CHUNK_ROWS = 2048
+# Rows are stored in blocks of this size, and these in row groups that a task can hold.
+BLOCK_BYTES, ROW_GROUP_BYTES = 128 << 10, 16 << 20
 STEP_TOLERANCE, LOSS_TOLERANCE = 1e-8, 1e-11
 
 
@@ -51,8 +52,7 @@ def fit_together(
     values = vector_to_array(F.col(features_col))
     fold = F.col(fold_col).cast("int") if fold_col else F.lit(-1)
     rows = df.select(F.col(label_col).cast("double").alias("y"), fold.alias("fold"), values.alias("x"))
-    # plain columns: every pass reads them in batches, without the vectors
-    rows = materialise(rows.select("y", "fold", *[F.col("x")[j].alias(f"x{j}") for j in range(width)]), "fit-rows")
+    rows = _stored_blocks(rows.select("y", "fold", *[F.col("x")[j].alias(f"x{j}") for j in range(width)]))
     left_out = [w.left_out for w in wanted]
 
     n, positives, centre, spread = _moments(rows, width, left_out)
@@ -110,17 +110,36 @@ class _Sums:
     curvature: np.ndarray
 
 
-def _add_up(rows: DataFrame, per_chunk, size: int) -> np.ndarray:
-    """Sum over all rows of ``per_chunk(x, y, fold)``, an array of ``size`` numbers; one small row per task reaches the driver."""
-    width, chunk = len(rows.columns) - 2, CHUNK_ROWS
+def _stored_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of numbers ``y, fold, x0, ...``, stored as ``n, block``: the bytes of the columns of ``n`` rows.
+
+    Every pass over the blocks then moves bytes to the Python workers, not rows. A null number becomes NaN.
+    """
+    width = len(rows.columns)
+    chunk = max(1, BLOCK_BYTES // (8 * width))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in range(width)]
+            starts = range(0, batch.num_rows, chunk)
+            packed = [b"".join(c[at : at + chunk].tobytes() for c in columns) for at in starts]
+            sizes = pa.array([min(chunk, batch.num_rows - at) for at in starts], pa.int64())
+            yield pa.RecordBatch.from_pydict({"n": sizes, "block": pa.array(packed, pa.binary())})
+
+    blocks, path = rows.mapInArrow(task, "n bigint, block binary"), scratch_path(rows.sparkSession, "fit-rows")
+    blocks.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def _summed(rows: DataFrame, per_chunk, size: int) -> np.ndarray:
+    """Sum over all blocks of ``per_chunk(x, y, fold)``, an array of ``size`` numbers; one small row per task reaches the driver."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
-            y, fold, *x = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(width + 2))
-            for at in range(0, batch.num_rows, chunk):
-                part = slice(at, at + chunk)
-                total += per_chunk(np.column_stack([c[part] for c in x]), y[part], fold[part])
+            for n, block in zip(batch.column("n").to_pylist(), batch.column("block")):
+                y, fold, *x = np.frombuffer(block.as_buffer()).reshape(-1, n)
+                total += per_chunk(np.column_stack(x), y, fold)
         yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
 
     found = np.zeros(size)
@@ -129,29 +148,30 @@ def _add_up(rows: DataFrame, per_chunk, size: int) -> np.ndarray:
     return found
 
 
+def _add_up(rows: DataFrame, per_chunk, size: int) -> np.ndarray:
+    """:func:`_summed` for one step of the models."""
+    return _summed(rows, per_chunk, size)
+
+
 def _moments(rows: DataFrame, width: int, left_out: Sequence[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows and positives of every model, the centre of all rows, and each model's standard deviations."""
     # what a model leaves out is one fold: moments per fold and of all rows are enough
     folds = sorted({f for f in left_out if f is not None})
-    names = [f"x{j}" for j in range(width)]
-    mean = rows.agg(*[F.avg(c).alias(c) for c in names]).first()
-    centre = np.array([mean[c] if mean[c] is not None else 0.0 for c in names])
-    off = {c: F.col(c) - F.lit(float(m)) for c, m in zip(names, centre)}
-    table = rows.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("y").alias("y"),
-        F.count_if(~F.col("y").isin(0.0, 1.0)).alias("bad"),
-        *[F.sum(off[c]).alias(f"s_{c}") for c in names],
-        *[F.sum(off[c] * off[c]).alias(f"q_{c}") for c in names],
-    )
-    found = {f: np.zeros(2 + 2 * width) for f in folds} | {None: np.zeros(2 + 2 * width)}
-    for r in table.collect():
-        if r.bad:
-            raise ValueError("labels must be 0 or 1")
-        values = np.array([r.n, r.y, *[r[f"s_{c}"] for c in names], *[r[f"q_{c}"] for c in names]], float)
-        found[None] = found[None] + values
-        if r.fold in folds:
-            found[r.fold] = values
+
+    def totals(x, y, fold):
+        return np.concatenate([[len(y), np.count_nonzero((y != 0) & (y != 1))], x.sum(axis=0)])
+
+    counted = _summed(rows, totals, 2 + width)
+    if counted[1]:
+        raise ValueError("labels must be 0 or 1")
+    centre = counted[2:] / max(counted[0], 1.0)
+
+    def moments(x, y, fold):
+        values = np.column_stack([np.ones(len(y)), y, x - centre, (x - centre) ** 2])
+        return np.concatenate([values.sum(axis=0), *[values[fold == f].sum(axis=0) for f in folds]])
+
+    sums = _summed(rows, moments, (1 + len(folds)) * (2 + 2 * width)).reshape(1 + len(folds), -1)
+    found = {None: sums[0]} | dict(zip(folds, sums[1:]))
     own = np.array([found[None] - (found[f] if f is not None else 0.0) for f in left_out])
     n, s, q = own[:, :1], own[:, 2 : 2 + width], own[:, 2 + width :]
     variance = (q - s**2 / np.maximum(n, 1)) / np.maximum(n - 1, 1)
@@ -174,7 +194,11 @@ def _slopes(rows: DataFrame, place: np.ndarray, centre: np.ndarray, scale: np.nd
         prob = np.where(margin >= 0, 1.0, small) / (1 + small)
         loss = np.log1p(small) + np.maximum(margin, 0) - margin * y[:, None]
         slope = ((prob - y[:, None]) * trains).T @ z
-        curve = (prob * (1 - prob) * trains).T @ (z[:, left] * z[:, right])
+        curve = prob * (1 - prob) * trains
+        if n_models * width < 2 * len(left):  # a product per model costs less than all pairs of columns
+            curve = np.array([((z * c[:, None]).T @ z)[left, right] for c in curve.T])
+        else:
+            curve = curve.T @ (z[:, left] * z[:, right])
         return np.concatenate([(loss * trains).sum(axis=0), slope.ravel(), curve.ravel()])
 
     sums = _add_up(rows, per_chunk, size)
