@@ -3,10 +3,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from twinfold.llm import matrices, packing, tokens
+from twinfold.llm import common, matrices, packing, tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -132,3 +133,17 @@ def test_few_long_texts_and_equal_rows_are_dealt_out(spark, vocabulary):
     assert len(sizes) >= 10 and sum(sizes) == found.count() and max(sizes) <= 2 * sum(sizes) / len(sizes)
     packed = packing.pack(docs, vocabulary, window=64, per_group=300).collect()
     assert len(packed) == found.count() and sum(r.length for r in packed) == 3000 + 110_002
+
+
+def test_tasks_that_place_pieces_hold_no_remembered_parts(vocabulary):
+    tokens.tokenizer(vocabulary).encode_all(["a few words"])
+    columns = {"doc_id": [1, 2], "start": [0, 0], "length": [3, 5], "ids_crc32": [7, 8], "doc_tokens": [3, 5]}
+    placed = list(packing.place_batches(iter([pa.RecordBatch.from_pydict(columns)]), 8))
+    assert [r["offset"] for b in placed for r in b.to_pylist()] == [0, 5]
+    assert tokens._tokenizer.cache_info().currsize == 0
+
+
+def test_scans_below_text_operators_decode_few_rows_at_once(spark, vocabulary):
+    spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+    packing.pieces(spark.createDataFrame(ROWS, "doc_id bigint, text string, start string"), vocabulary)
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) == common.SCAN_ROWS < 4096

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinfold.llm.common import map_slices, pick
+from twinfold.llm.common import claim_memory, map_slices, pick
 from twinfold.llm.tokens import tokenizer
 
 WINDOW = 4096
@@ -147,6 +147,14 @@ def place(table: pa.Table, window: int) -> pa.Table:
     return table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
 
 
+def place_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """One group's batches, placed. What the worker remembers of parts goes first: no task that places pieces needs it."""
+    claim_memory("packing")
+    rows = list(batches)
+    if rows:
+        yield from place(pa.Table.from_batches(rows), window).to_batches()
+
+
 def pack(df: DataFrame, vocabulary: str, window: int = WINDOW, per_group: int = DOCS_PER_GROUP, **columns: str) -> DataFrame:
     """All pieces of all documents with the sequence they are in and their offset there.
 
@@ -154,10 +162,6 @@ def pack(df: DataFrame, vocabulary: str, window: int = WINDOW, per_group: int =
     from 0. Only five numbers per piece are shuffled, never ids or texts.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(batches)
-        if rows:
-            yield from place(pa.Table.from_batches(rows), window).to_batches()
-
     found = pieces(df, vocabulary, window, **columns)
-    return dealt(found, df, per_group, columns.get("text_col", "text")).mapInArrow(run, PLACED_SCHEMA)
+    groups = dealt(found, df, per_group, columns.get("text_col", "text"))
+    return groups.mapInArrow(lambda batches: place_batches(batches, window), PLACED_SCHEMA)
