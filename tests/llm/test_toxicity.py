@@ -92,3 +92,33 @@ def test_query_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     rows = out.join(labels, "doc_id").filter("held_out").collect()
     assert sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.9
+
+
+def test_terms_of_many_words_equal_those_of_each(monkeypatch):
+    rng = random.Random(3)
+    marks = "abcxyz.,'!?<>="
+    alphabets = (marks, marks + "éßñ\xff\xb5", marks + "Σς日本", "😀a𝒳" + marks)
+    words = ["".join(rng.choice(a) for _ in range(rng.choice((1, 2, 3, 4, 9, 40)))) for a in alphabets for _ in range(400)]
+    words += ["x" * 64, "x" * 65, "é" * 64, "日" * 70, "...", "<>", "a", "abc", ".abc.", "\x00\x00\x00", "naïve", "i\u0307stanbul"]
+    places = np.arange(1 << toxicity.HASH_BITS, dtype=np.int32)
+    places[rng.sample(range(len(places)), len(places) // 2)] = -1
+    bare = [b for w in words if len(b := w.strip(toxicity.MARKS)) >= toxicity.GRAM - 2]
+    for word, terms in zip(bare, toxicity.many_terms(bare), strict=True):
+        assert set(terms) == set(toxicity.word_terms(word)), repr(word)
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 300))) for _ in range(40)] + [None, "", " \n "]
+    monkeypatch.setattr(toxicity, "LOT_CHARS", 5000)
+    for size in (toxicity.WORD_CACHE, 50):
+        monkeypatch.setattr(toxicity, "WORD_CACHE", size)
+        for cut in (None, places):
+            for text, terms in zip(texts, toxicity.text_terms(texts, toxicity._Terms(cut)), strict=True):
+                wanted = {t for w in (text or "").lower().split() for t in toxicity.word_terms(w)}
+                assert terms.tolist() == sorted(t for t in wanted if cut is None or cut[t] >= 0)
+
+
+def test_hashes_runs_of_new_words_together(monkeypatch):
+    """Runs of characters are not hashed one by one: a call for each word and for short ones only."""
+    calls = []
+    monkeypatch.setattr(toxicity, "hashed", lambda term, hashed=toxicity.hashed: calls.append(term) or hashed(term))
+    words = [f"wörd{i}tail" for i in range(500)]
+    assert len(list(toxicity.text_terms([" ".join(words)] * 2, toxicity._Terms(None)))) == 2
+    assert sorted(calls) == sorted(f"={w}" for w in words)

@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ GRAM = 5
 MARKS = ".,;:!?\"'()[]"
 WORD_CACHE = 150_000
 CACHED_WORD_CHARS = 64
+LOT_CHARS = 1 << 18
 SCORE_SCHEMA = "doc_id bigint, score double"
 
 
@@ -57,6 +59,44 @@ def word_terms(word: str) -> tuple[int, ...]:
     return tuple({hashed(f"={word}"), *(hashed(framed[i : i + GRAM]) for i in range(max(1, len(framed) - GRAM + 1)))})
 
 
+@lru_cache(maxsize=None)
+def _changes(size: int) -> tuple[int, list[np.ndarray]]:
+    """CRC-32 of strings of one size is linear in their bits: that of zeros, and what each byte changes at each place."""
+    zeros = zlib.crc32(bytes(size))
+    changes = [[zlib.crc32(bytes(i) + bytes([b]) + bytes(size - 1 - i)) ^ zeros for b in range(256)] for i in range(size)]
+    mask = (1 << HASH_BITS) - 1
+    return zeros & mask, [np.array([c & mask for c in of_place], dtype=np.int32) for of_place in changes]
+
+
+def many_terms(words: list[str], places: np.ndarray | None = None) -> list[tuple[int, ...]]:
+    """``word_terms`` of words without marks that have a whole run with their borders, all in one pass; a term may be listed
+    twice. With ``places`` the place of each term, without those that have none."""
+    if not words:
+        return []
+    chars = np.frombuffer("".join([f"<{w}>" for w in words]).encode(), dtype=np.uint8)
+    begins = np.append(np.flatnonzero((chars & 0xC0) != 0x80), len(chars))
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2)
+    terms = np.zeros(len(begins) - 1, dtype=np.int32)
+    sizes = begins[GRAM:] - begins[:-GRAM]
+    for size in np.flatnonzero(np.bincount(sizes)).tolist():
+        runs = np.flatnonzero(sizes == size)
+        zeros, changes = _changes(size)
+        found = np.full(len(runs), zeros, dtype=np.int32)
+        for i, change in enumerate(changes):
+            found ^= change[chars[begins[runs] + i]]
+        terms[runs] = found
+    # no run begins at the last characters of a word: the first of these places takes the whole word, the others nothing
+    terms[ends - GRAM + 1] = [hashed(f"={w}") for w in words]
+    kept = np.ones(len(terms), dtype=bool)
+    for i in range(1, GRAM - 1):
+        kept[ends - i] = False
+    if places is not None:
+        terms = places[terms]
+        kept &= terms >= 0
+    flat, cuts = terms[kept].tolist(), np.cumsum(kept)[ends - 1].tolist()
+    return [tuple(flat[a:b]) for a, b in zip([0, *cuts], cuts)]
+
+
 class _Terms(dict):
     """Remembered terms of words, cut down to those that a model knows: ``places`` has -1 for the others."""
 
@@ -69,19 +109,44 @@ class _Terms(dict):
         if self._places is not None:
             terms = tuple(p for p in self._places[list(terms)].tolist() if p >= 0)
         if len(word) <= CACHED_WORD_CHARS:
-            if len(self) >= WORD_CACHE:
-                self.clear()
             self[word] = terms
         return terms
 
-
-def text_terms(text: str | None, known: _Terms) -> np.ndarray:
-    """The distinct terms of a whole text in rising order; none for null."""
-    words = set((text or "").lower().split())
-    terms = set().union(*map(known.__getitem__, words))
-    found = np.fromiter(terms, dtype=np.int32, count=len(terms))
-    found.sort()
-    return found
+    def meet(self, words: set[str]) -> None:
+        """Remember the terms of new words, most of them in one pass; others are found when they are asked for. Beyond
+        ``WORD_CACHE`` words all are forgotten first, so that those of one call stay."""
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        new = [w for w in words if w not in self and len(w) <= CACHED_WORD_CHARS]
+        bare = [w.strip(MARKS) for w in new]
+        whole = [len(b) >= GRAM - 2 for b in bare]
+        self.update(zip(compress(new, whole), many_terms(list(compress(bare, whole)), self._places)))
+
+
+def text_terms(texts: list[str | None], known: _Terms) -> Iterator[np.ndarray]:
+    """The distinct terms of each whole text in rising order; none for null."""
+    for lot in _lots(texts):
+        words = [set(t.lower().split()) for t in lot]
+        known.meet(set().union(*words))
+        for some in words:
+            terms = set().union(*map(known.__getitem__, some))
+            found = np.fromiter(terms, dtype=np.int32, count=len(terms))
+            found.sort()
+            yield found
+
+
+def _lots(texts: list[str | None]) -> Iterator[list[str]]:
+    """The texts in lots of about ``LOT_CHARS`` characters, or of a single longer text."""
+    lot, chars = [], 0
+    for text in texts:
+        text = text or ""
+        if lot and chars + len(text) > LOT_CHARS:
+            yield lot
+            lot, chars = [], 0
+        lot.append(text)
+        chars += len(text)
+    if lot:
+        yield lot
 
 
 class Machine:
@@ -221,7 +286,7 @@ cached_by("toxicity", lambda: (_all_terms.clear(), loaded.cache_clear()))
 
 def _hash_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     claim_memory("toxicity")
-    packed = [text_terms(t, _all_terms).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
+    packed = [t.astype("<i4").tobytes() for t in text_terms(batch.column("text").to_pylist(), _all_terms)]
     columns = {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic").cast(pa.int32())}
     return pa.RecordBatch.from_pydict(columns | {"terms": pa.array(packed, pa.binary())})
 
@@ -237,7 +302,7 @@ def loaded(machine: bytes) -> tuple[Machine, _Terms]:
 def text_scores(texts: list[str | None], machine: bytes) -> np.ndarray:
     claim_memory("toxicity")
     made, known = loaded(machine)
-    return made.scores([text_terms(t, known) for t in texts])
+    return made.scores(list(text_terms(texts, known)))
 
 
 def score_texts(df: DataFrame, machine: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
