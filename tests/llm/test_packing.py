@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -147,3 +148,19 @@ def test_scans_below_text_operators_decode_few_rows_at_once(spark, vocabulary):
     spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
     packing.pieces(spark.createDataFrame(ROWS, "doc_id bigint, text string, start string"), vocabulary)
     assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) == common.SCAN_ROWS < 4096
+
+
+def test_different_parts_are_read_in_one_call(vocabulary):
+    """A batch has many different parts; a scalar object for each took more time than the rest of known parts."""
+    parts = ["", "a\0b", "日本", "ÀÉ", *(f"part{i}" for i in range(100_000))]
+    array = pa.array(parts, pa.large_string())
+    assert tokens._strings(array) == parts and tokens._strings(array[:0]) == []
+    assert tokens._strings(array[2:]) == parts[2:]
+
+    def seconds(fn):
+        began = time.process_time()
+        fn()
+        return time.process_time() - began
+
+    one_by_one, at_once = (min(seconds(f) for _ in range(3)) for f in (array.to_pylist, lambda: tokens._strings(array)))
+    assert at_once < one_by_one / 2
