@@ -147,3 +147,10 @@ def test_documents_are_rejected_beyond_the_base_rules(spark):
     out = quality.judged(rows, quality.certified_cutoffs(rows, labels)).join(labels, "doc_id").filter("not base_failed")
     counts = {(r.quality, r.kept): r["count"] for r in out.groupBy("quality", "kept").count().collect()}
     assert counts[0, False] > 100 and counts.get((1, False), 0) <= 0.02 * counts[1, True]
+
+
+def test_verdict_plans_hold_no_making_of_the_cutoffs(spark, folder):
+    """The driver optimizes a plan anew whenever a part of the query ends: texts are measured once in the one that keeps rows."""
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    plan = quality.keep_good(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1 and "Aggregate" not in plan
